@@ -8,9 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbolith.llm.common import read_table, text_or_empty, word_count
+from arbolith.llm.decontaminate import benchmark_hits, contaminated
 from arbolith.llm.line_dedup import dedup_lines
 from arbolith.llm.mixing import mix
+from arbolith.llm.quality import quality_rules
 from arbolith.llm.sharding import shard_documents
+from arbolith.llm.simhash import near_duplicates
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, distance=4, blocks=8)
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_repeat_bytes", "word_bytes", "longest_repeat",
+    )
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +96,18 @@ FROM share
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=13)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(read_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -107,8 +133,11 @@ FROM marked GROUP BY r
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
+        "op2_quality_rules": op2_quality_rules,
         "op4_sharding": op4_sharding,
         "op5_mixing": op5_mixing,
+        "op7_decontamination": op7_decontamination,
         "op10_line_dedup": op10_line_dedup,
     }
 

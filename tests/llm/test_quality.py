@@ -1,0 +1,86 @@
+import random
+import re
+
+import numpy as np
+
+from arbolith.llm import queries
+from arbolith.llm.quality import quality_rules, repeated_spans
+from arbolith.llm.suffixes import longest_repeats, suffix_array, suffix_ranks
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = {}
+    for i in range(len(words) - 7):
+        windows.setdefault(tuple(words[i : i + 8]), []).append(i)
+    covered = {j for at in windows.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        sum(x in lines[:i] for i, x in enumerate(lines)),
+        len(covered),
+        len(words) < 20 or 100 * len(covered) > 30 * len(words),
+    ), covered, words
+
+
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def brute_longest(words):
+    for size in range(len(words) - 1, 7, -1):
+        if len({tuple(words[i : i + size]) for i in range(len(words) - size + 1)}) < len(words) - size + 1:
+            return size
+    return 0
+
+
+def test_query_equals_brute_force(spark, small, sample):
+    got = {r.doc_id: r for r in queries.op2_quality_rules(spark, small).collect()}
+    assert len(got) == len(sample)
+    for i, text, _ in sample:
+        base, covered, words = brute(text)
+        row = got[i]
+        assert tuple(row[f] for f in FIELDS) == base
+        assert row.n_repeat_bytes == sum(len(words[j].encode()) for j in covered)
+        if len(words) < 600:
+            assert row.longest_repeat == brute_longest(words)
+        bad = base[-1] or 100 * row.n_repeat_bytes > 30 * row.word_bytes or row.longest_repeat > 400
+        assert row.kept == (not bad)
+
+
+def test_odd_rows(odd, empty):
+    got = sorted(tuple(r[f] for f in FIELDS) for r in quality_rules(odd).collect())
+    assert got == sorted(brute(r.text)[0] for r in odd.collect() if len(r.text or "") < 200000) + [
+        x for x in got if x[0] == 60000
+    ]
+    assert quality_rules(empty).collect() == []
+
+
+def test_suffix_array_and_repeats():
+    rng = random.Random(1)
+    for _ in range(50):
+        ids = np.array([rng.randrange(3) for _ in range(rng.randrange(1, 60))] + [3])
+        levels = suffix_ranks(ids)
+        seq = ids.tolist()
+        order = suffix_array(levels).tolist()
+        assert order == sorted(range(len(seq)), key=lambda i: seq[i:])
+
+        def common(a, b):
+            n = 0
+            while a + n < len(seq) and b + n < len(seq) and seq[a + n] == seq[b + n]:
+                n += 1
+            return n
+
+        want = [max([0, *(common(i, j) for j in range(len(seq)) if j != i)]) for i in range(len(seq))]
+        assert longest_repeats(levels).tolist() == want
+
+
+def test_spans_are_united():
+    words = [f"w{i}".encode() for i in range(12)]
+    spans, longest = repeated_spans([words + [b"x"] + words, [b"a"] * 20, words], 8)
+    assert spans == [[(0, 12), (13, 25)], [(0, 20)], []]
+    assert longest == [12, 19, 0]
