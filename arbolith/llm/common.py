@@ -27,14 +27,19 @@ def saved(df: DataFrame) -> DataFrame:
     The cluster names the folder in spark.checkpoint.dir; only where that is unset
     (tests, a laptop) a temporary folder is taken.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set on first use."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None)
             or tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
         )
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def text_or_empty(name: str) -> Column:

@@ -21,7 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbolith.llm.common import slices, text_or_empty
@@ -91,79 +91,101 @@ def _search(shard: list[list[int]], windows: Windows) -> tuple[np.ndarray, np.nd
     return which, place[index.locate(rows)]
 
 
-def _mark(broadcast, last: bool):
+def mark(texts: list[str | None], windows: Windows, before: list[list[dict]], named: list[list[str]]):
+    """For each text: its number of words, the united spans of windows and `before`, the sorted items and `named`."""
+    words = [benchmark_words(t) for t in texts]
+    get = windows.number.get
+    which, at = _search([list(map(get, w, repeat(0))) for w in words], windows)
+    bounds = np.cumsum([0, *(len(w) + 1 for w in words)])
+    covered = np.zeros(bounds[-1] + 1, np.int64)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + windows.length[which], -1)
+    for k, spans in enumerate(before):
+        for s in spans:
+            covered[bounds[k] + s["first"]] += 1
+            covered[bounds[k] + s["last"]] -= 1
+    names = [set(x) for x in named]
+    owner = np.searchsorted(bounds, at, "right") - 1
+    for x in np.unique(owner + which * len(words)).tolist():
+        names[x % len(words)].update(windows.owners[x // len(words)])
+    inside = np.r_[False, np.cumsum(covered) > 0]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    hits: list[list[dict]] = [[] for _ in words]
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        k = int(np.searchsorted(bounds, a, "right")) - 1
+        hits[k].append({"first": a - int(bounds[k]), "last": b - int(bounds[k])})
+    return [len(w) for w in words], hits, [sorted(x) for x in names]
+
+
+def _pass(broadcast, drop_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = broadcast.value
-        get = windows.number.get
-        for batch in slices(batches, "text", 4 << 20):
-            words = [benchmark_words(t) for t in batch.column("text").to_pylist()]
-            shard = [list(map(get, w, repeat(0))) for w in words]
-            which, at = _search(shard, windows)
-            bounds = np.cumsum([0, *(len(w) + 1 for w in words)])
-            covered = np.zeros(bounds[-1] + 1, np.int64)
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + windows.length[which], -1)
-            before = batch.column("hits").to_pylist()
-            names = [set(x) for x in batch.column("items").to_pylist()]
-            for k, spans in enumerate(before):
-                for s in spans:
-                    covered[bounds[k] + s["first"]] += 1
-                    covered[bounds[k] + s["last"]] -= 1
-            found = np.unique(np.searchsorted(bounds, at, "right") - 1 + which * len(words)) if len(at) else at
-            for x in found.tolist():
-                names[x % len(words)].update(windows.owners[x // len(words)])
-            inside = np.r_[False, np.cumsum(covered) > 0]
-            edges = np.flatnonzero(inside[1:] != inside[:-1])
-            hits: list[list[dict]] = [[] for _ in words]
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                k = int(np.searchsorted(bounds, a, "right")) - 1
-                hits[k].append({"first": a - int(bounds[k]), "last": b - int(bounds[k])})
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.nulls(len(words), pa.string()) if last else batch.column("text"),
-                    pa.array([len(w) for w in words], pa.int64()),
-                    pa.array(hits, SPAN),
-                    pa.array([sorted(x) for x in names], pa.list_(pa.string())),
-                ],
-                names=["id", "text", "n_words", "hits", "items"],
+        for batch in slices(batches, "_text", 4 << 20):
+            columns = dict(zip(batch.schema.names, batch.columns))
+            n, hits, names = mark(
+                columns["_text"].to_pylist(), windows, columns["_hits"].to_pylist(), columns["_items"].to_pylist()
             )
+            columns |= {"_n_words": pa.array(n, pa.int64()), "_hits": pa.array(hits, SPAN), "_items": pa.array(names, pa.list_(pa.string()))}
+            if drop_text:
+                columns["_text"] = pa.nulls(len(n), pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def benchmark_hits(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_id_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = 13,
-    block_bytes: int = 4 << 20,
-) -> DataFrame:
-    """One row per input row: `id_col`, n_words, hits (united spans of word places), items (sorted names), n_hit."""
-    spark = docs.sparkSession
+def _marked(rows: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """`rows` (with _text) and _n_words, _hits, _items, _n_hit, without _text."""
     items = benchmark.select(
         F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("name"), text_or_empty(item_text_col).alias("text")
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // block_bytes
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(text_col).cast("string").alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<first:int,last:int>>").alias("hits"),
-        F.array().cast("array<string>").alias("items"),
+    rows = rows.select(
+        "*",
+        F.lit(0).cast("long").alias("_n_words"),
+        F.array().cast("array<struct<first:int,last:int>>").alias("_hits"),
+        F.array().cast("array<string>").alias("_items"),
     )
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else items
         windows = Windows([(r.name, r.text) for r in part.collect()], window)  # about block_bytes
-        rows = rows.mapInArrow(_mark(spark.sparkContext.broadcast(windows), k == blocks - 1), rows.schema)
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + (s["last"] - s["first"]).cast("long"))
-    return rows.select(F.col("id").alias(id_col), "n_words", "hits", "items", n_hit.alias("n_hit"))
+        rows = rows.mapInArrow(_pass(rows.sparkSession.sparkContext.broadcast(windows), k == blocks - 1), rows.schema)
+    n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda n, s: n + (s["last"] - s["first"]).cast("long"))
+    return rows.withColumn("_n_hit", n_hit).drop("_text")
 
 
-def contaminated(n_hit, n_words):
+def contaminated(n_hit: Column, n_words: Column) -> Column:
     """A twentieth of the words or more are in benchmark windows."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def benchmark_hits(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 13,
+    block_bytes: int = 4 << 20,
+) -> DataFrame:
+    """One row per input row: `id_col`, n_words, hits (united spans of word places), items (sorted names), n_hit."""
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    marked = _marked(rows, benchmark, item_id_col, item_text_col, window, block_bytes)
+    return marked.select(F.col(id_col), *(F.col(f"_{c}").alias(c) for c in ("n_words", "hits", "items", "n_hit")))
+
+
+def without_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 13,
+    block_bytes: int = 4 << 20,
+) -> DataFrame:
+    """The rows of `docs` that are not contaminated, in one pass without a shuffle."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("_text", F.col(names[docs.columns.index(text_col)]).cast("string"))
+    marked = _marked(rows, benchmark, item_id_col, item_text_col, window, block_bytes)
+    return marked.filter(~contaminated(F.col("_n_hit"), F.col("_n_words"))).select(*names).toDF(*docs.columns)

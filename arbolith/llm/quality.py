@@ -17,21 +17,38 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from arbolith.llm.common import slices
 from arbolith.llm.suffixes import longest_repeats, suffix_ranks
 
 WHITE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
-FIELDS = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_repeat_bytes long, "
-    "longest_repeat long, word_bytes long, repeats array<struct<first:int,last:int>>"
-)
+SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+FIELDS = {
+    name: pa.int64()
+    for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_repeat_bytes", "word_bytes", "longest_repeat")
+} | {"repeats": SPANS, "base_failed": pa.bool_(), "kept": pa.bool_()}
+
+
+@dataclass(frozen=True)
+class Rules:
+    """base_failed: under `least_words` words, or repeats of `repeat_words` words or more cover over `most_percent` of them.
+
+    kept: not base_failed, repeats cover at most `most_percent` of the words' bytes, and none is longer than `most_repeat` words.
+    """
+
+    repeat_words: int = 8
+    least_words: int = 20
+    most_percent: int = 30
+    most_repeat: int = 400
 
 
 def repeated_spans(texts: list[list[bytes]], repeat_words: int) -> tuple[list[list[tuple[int, int]]], list[int]]:
@@ -74,67 +91,56 @@ def _most(groups: np.ndarray, values: np.ndarray) -> tuple[list[int], list[int]]
     return groups[first].tolist(), np.maximum.reduceat(values, first).tolist()
 
 
-def _measure(repeat_words: int):
+def measure(texts: list[str | None], rules: Rules) -> dict[str, list]:
+    """The columns of FIELDS for each text."""
+    texts = [t or "" for t in texts]
+    encoded = [t.encode() for t in texts]
+    words = [e.split() for e in encoded]
+    spans, longest = repeated_spans(words, rules.repeat_words)
+    out: dict[str, list] = {name: [] for name in FIELDS}
+    for text, raw, ws, found, most in zip(texts, encoded, words, spans, longest):
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        solid = len(raw.translate(None, WHITE))
+        repeated = sum(b - a for a, b in found)
+        covered = sum(len(w) for a, b in found for w in ws[a:b])
+        failed = len(ws) < rules.least_words or 100 * repeated > rules.most_percent * len(ws)
+        row = {
+            "n_words": len(ws),
+            "word_chars": len(text) - (len(raw) - solid),
+            "n_symbols": len(raw) - len(raw.translate(None, SYMBOLS)),
+            "n_dup_lines": len(lines) - len(set(lines)),
+            "n_repeat_words": repeated,
+            "n_repeat_bytes": covered,
+            "word_bytes": solid,
+            "longest_repeat": most,
+            "repeats": [{"first": a, "last": b} for a, b in found],
+            "base_failed": failed,
+            "kept": not failed and 100 * covered <= rules.most_percent * solid and most <= rules.most_repeat,
+        }
+        for name, value in row.items():
+            out[name].append(value)
+    return out
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """One row per input row: `id_col` and FIELDS (repeats in word positions)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            encoded = [t.encode() for t in texts]
-            words = [e.split() for e in encoded]
-            spans, longest = repeated_spans(words, repeat_words)
-            rows: list[list] = [[] for _ in range(9)]
-            for text, raw, ws, found, most in zip(texts, encoded, words, spans, longest):
-                lines = [x for x in raw.split(b"\n") if x.strip()]
-                solid = len(raw.translate(None, WHITE))
-                for column, value in zip(
-                    rows,
-                    (
-                        len(ws),
-                        len(text) - (len(raw) - solid),
-                        len(raw) - len(raw.translate(None, SYMBOLS)),
-                        len(lines) - len(set(lines)),
-                        sum(b - a for a, b in found),
-                        sum(len(w) for a, b in found for w in ws[a:b]),
-                        most,
-                        solid,
-                        [{"first": a, "last": b} for a, b in found],
-                    ),
-                ):
-                    column.append(value)
-            span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(pa.array(r, pa.int64()) for r in rows[:8]), pa.array(rows[8], span)],
-                names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_repeat_bytes",
-                       "longest_repeat", "word_bytes", "repeats"],
-            )
-
-    return run
-
-
-def quality_rules(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    repeat_words: int = 8,
-    least_words: int = 20,
-    most_covered: float = 0.3,
-    most_repeat: int = 400,
-) -> DataFrame:
-    """One row per input row: `id_col`, the counts in FIELDS (repeats in word positions), base_failed and kept.
-
-    base_failed: under `least_words` words, or repeats cover over `most_covered` of them.
-    kept: not base_failed, repeats cover at most `most_covered` of the words' bytes, and no
-    repeat is longer than `most_repeat` words.
-    """
+            measured = measure(batch.column("text").to_pylist(), rules)
+            arrays = [pa.array(measured[name], kind) for name, kind in FIELDS.items()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", *FIELDS])
+
     columns = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = columns.schema["id"].dataType.simpleString()
-    measured = columns.mapInArrow(_measure(repeat_words), f"id {kind}, {FIELDS}").withColumnRenamed("id", id_col)
-    percent = round(100 * most_covered)
-    return measured.withColumn(
-        "base_failed",
-        (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > percent * F.col("n_words")),
-    ).withColumn(
-        "kept",
-        ~F.col("base_failed")
-        & (100 * F.col("n_repeat_bytes") <= percent * F.col("word_bytes"))
-        & (F.col("longest_repeat") <= most_repeat),
-    )
+    fields = from_arrow_schema(pa.schema(list(FIELDS.items())))
+    return columns.mapInArrow(run, T.StructType([columns.schema["id"], *fields])).withColumnRenamed("id", id_col)
+
+
+def passing(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows of `docs` that the rules keep, in one pass without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, 4 << 20):
+            yield batch.filter(pa.array(measure(batch.column(text_col).to_pylist(), rules)["kept"], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

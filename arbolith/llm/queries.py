@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbolith.llm import pii, secrets
 from arbolith.llm.common import read_table, text_or_empty, word_count
 from arbolith.llm.decontaminate import benchmark_hits, contaminated
+from arbolith.llm.licenses import TEMPLATES, license_scan, terms_of
 from arbolith.llm.line_dedup import dedup_lines
 from arbolith.llm.mixing import mix
 from arbolith.llm.quality import quality_rules
 from arbolith.llm.sharding import shard_documents
 from arbolith.llm.simhash import near_duplicates
+from arbolith.llm.spans import span_count, span_digest, span_text
+from arbolith.llm.token_counts import count_tokens
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,74 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are the documents, in directories by source, language and length; only the longest lie three deep."""
+    tier = F.when(F.col("n_chars") < 800, F.array("source")).when(F.col("n_chars") < 3000, F.array("source", "lang"))
+    folder = tier.otherwise(F.array("source", "lang", F.lit("long")))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = read_table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat_ws("/", folder, name).alias("path")
+    )
+    return license_scan(files)
+
+
+def _op3_sql() -> str:
+    templates = ", ".join(f"('{name}', '{term}')" for name, text in TEMPLATES for term in terms_of(text))
+    return rf"""
+WITH template_terms(license, term) AS (VALUES {templates}),
+template_tf AS (SELECT license, term, count(*) AS n FROM template_terms GROUP BY license, term),
+vocabulary AS (SELECT DISTINCT term FROM template_terms),
+files AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         concat_ws('/', source, CASE WHEN n_chars < 800 THEN NULL ELSE lang END,
+                   CASE WHEN n_chars < 3000 THEN NULL ELSE 'long' END, doc_id || '.txt') AS path
+  FROM documents
+), lines AS (
+  SELECT r, generate_subscripts(string_split(text, chr(10)), 1) AS seg, unnest(string_split(text, chr(10))) AS line FROM files
+), words AS (
+  SELECT r, seg, unnest(regexp_extract_all(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS term FROM lines
+), counted AS (
+  SELECT r, seg, w.term, v.term IS NOT NULL AS known, count(*) AS tf FROM words w LEFT JOIN vocabulary v ON w.term = v.term
+  GROUP BY ALL
+), total AS (SELECT count(*) AS n FROM (SELECT DISTINCT r, seg FROM counted)),
+idf AS (
+  SELECT v.term, ln((total.n + 1.0::DOUBLE) / (count(c.r) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf
+  FROM vocabulary v CROSS JOIN total LEFT JOIN counted c ON c.term = v.term GROUP BY v.term, total.n
+), headers AS (
+  SELECT r, seg, coalesce(sum(tf) FILTER (WHERE NOT known), 0) AS others FROM counted GROUP BY r, seg
+  HAVING sum(tf) FILTER (WHERE known) > 0 AND sum(tf) FILTER (WHERE known) >= sum(tf) * 0.5
+), vectors AS (
+  SELECT c.r, c.seg, c.term, c.tf * idf.idf AS v FROM counted c JOIN headers h ON h.r = c.r AND h.seg = c.seg JOIN idf ON idf.term = c.term
+), norms AS (
+  SELECT v.r, v.seg, sum(v.v * v.v) + any_value(h.others) * pow(ln(any_value(total.n) + 1.0::DOUBLE) + 1.0::DOUBLE, 2) AS norm
+  FROM vectors v JOIN headers h ON h.r = v.r AND h.seg = v.seg CROSS JOIN total GROUP BY v.r, v.seg
+), weights AS (
+  SELECT t.license, t.term, t.n * idf.idf AS w FROM template_tf t JOIN idf ON idf.term = t.term
+), t_norms AS (SELECT license, sum(w * w) AS t_norm FROM weights GROUP BY license),
+scores AS (
+  SELECT v.r, w.license, round(sum(v.v * w.w) / sqrt(any_value(t.t_norm) * any_value(n.norm)), 4) AS cosine
+  FROM vectors v JOIN weights w ON w.term = v.term JOIN t_norms t ON t.license = w.license
+  JOIN norms n ON n.r = v.r AND n.seg = v.seg GROUP BY v.r, v.seg, w.license
+), own AS (
+  SELECT r, license, cosine FROM (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY cosine DESC, license) AS k FROM scores WHERE cosine >= 0.7) WHERE k = 1
+), known AS (
+  SELECT f.r, f.doc_id, f.path, regexp_extract(f.path, '^(.*)/[^/]*$', 1) AS dir, o.license AS own_license, o.cosine
+  FROM files f LEFT JOIN own o ON o.r = f.r
+), of_dir AS (
+  SELECT dir AS license_dir, arg_min(own_license, doc_id) AS dir_license FROM known WHERE own_license IS NOT NULL GROUP BY dir
+), inherited AS (
+  SELECT d.dir, arg_max(o.license_dir, length(o.license_dir)) AS license_dir, arg_max(o.dir_license, length(o.license_dir)) AS dir_license
+  FROM (SELECT DISTINCT dir FROM known) d
+  JOIN of_dir o ON d.dir = o.license_dir OR starts_with(d.dir, o.license_dir || '/') GROUP BY d.dir
+)
+SELECT k.doc_id, k.path, k.own_license, k.cosine, coalesce(k.own_license, i.dir_license) AS license,
+       CASE WHEN k.own_license IS NULL THEN i.license_dir END AS license_dir
+FROM known k LEFT JOIN inherited i ON i.dir = k.dir
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
     return sharded.select(
@@ -96,6 +168,16 @@ FROM share
 """
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(span_count(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        span_digest(F.col("base"), secrets.KINDS).alias("base_sha256"),
+        span_text(F.concat("base", "learned"), secrets.KINDS).alias("spans"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=13)
     return found.select(
@@ -108,6 +190,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(span_count(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE),
+        span_digest(F.col("base"), pii.KINDS).alias("base_sha256"),
+        span_text(F.concat("base", "discovered"), pii.KINDS).alias("spans"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(read_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -135,12 +234,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_quality_rules": op2_quality_rules,
+        "op3_license_scans": op3_license_scans,
         "op4_sharding": op4_sharding,
         "op5_mixing": op5_mixing,
+        "op6_secret_scans": op6_secret_scans,
         "op7_decontamination": op7_decontamination,
+        "op8_token_counts": op8_token_counts,
+        "op9_pii": op9_pii,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op3_license_scans": _op3_sql(), "op5_mixing": OP5_SQL, "op10_line_dedup": OP10_SQL}

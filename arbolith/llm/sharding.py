@@ -75,13 +75,19 @@ def schedule_bins(bins: list[tuple[int, int, int, int]], shards: int) -> list[tu
 
 
 def shard_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, buckets: int = 256, salts: int = 32
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, buckets: int = 256, salts: int = 32,
+    carry: bool = False,
 ) -> DataFrame:
-    """One row per input row: `id_col`, size, text_crc32 (long), shard (int), slot (long, gapless from 0 in each shard)."""
+    """One row per input row: `id_col`, size, text_crc32 (long), shard (int), slot (long, gapless from 0 in each shard).
+
+    With `carry`, all columns of `docs` come first (a column of the same name as one of these gives way).
+    """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
+    carried = [F.struct(*[c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]).alias("_row")] if carry else []
     rows = docs.select(
-        F.col(id_col),
+        *carried,
+        F.col(id_col).alias("_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *wide_hash(text, "g"),
@@ -110,8 +116,8 @@ def shard_documents(
         "g1", "g2", "salt", "shard", (F.col("base") + F.col("first")).alias("first")
     )
     numbered = rows.withColumn(
-        "nth", F.row_number().over(Window.partitionBy("g1", "g2", "salt").orderBy(F.col(id_col).asc_nulls_first())) - 1
+        "nth", F.row_number().over(Window.partitionBy("g1", "g2", "salt").orderBy(F.col("_id").asc_nulls_first())) - 1
     )
     return numbered.join(cell_slots, ["g1", "g2", "salt"]).select(
-        F.col(id_col), "size", "text_crc32", "shard", (F.col("first") + F.col("nth")).alias("slot")
+        F.col("_row.*") if carry else F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("first") + F.col("nth")).alias("slot")
     )

@@ -26,10 +26,11 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from arbolith.llm.common import saved, slices
+from arbolith.llm.common import saved, slices, text_or_empty, wide_hash
 
 #: Fingerprints under one key that are compared all at once.
 MOST = 1024
@@ -63,19 +64,17 @@ def simhash(text: str | None, shingle: int = 4) -> int:
     return majority_bits(shingle_hashes((text or "").encode().lower(), shingle))
 
 
-def _fingerprint(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            prints = np.array([simhash(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints.view(np.int64))], names=["id", "fp"])
-
-    return run
+def fingerprints(docs: DataFrame, keep: list[Column], text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """One row per input row: the columns of `keep`, and fp (the 64 bits as a signed long)."""
+    columns = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            prints = np.array([simhash(t, shingle) for t in batch.column("_text").to_pylist()], np.uint64)
+            kept = batch.drop_columns(["_text"])
+            yield kept.append_column("fp", pa.array(prints.view(np.int64)))
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """One row per input row: id, fp (the 64 bits as a signed long)."""
-    columns = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return columns.mapInArrow(_fingerprint(shingle), f"id {columns.schema['id'].dataType.simpleString()}, fp long")
+    return columns.mapInArrow(run, T.StructType([*columns.drop("_text").schema, T.StructField("fp", T.LongType())]))
 
 
 def block_masks(bits: list[int], blocks: int, shared: int) -> list[int]:
@@ -187,16 +186,41 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def roots(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """`nodes`, with one row for each value of fp, and root: the least fp that it reaches."""
+    found = components(links(nodes.select("fp"), distance, blocks)).withColumnRenamed("node", "fp")
+    return nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 8
 ) -> DataFrame:
     """One row per input row: `id_col`, fingerprint (16 hex digits), component_id (smallest id reachable)."""
-    rows = saved(fingerprints(docs, id_col, text_col, shingle))
-    nodes = saved(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
-    roots = components(links(nodes.select("fp"), distance, blocks))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = saved(fingerprints(docs, [F.col(id_col).alias("id")], text_col, shingle))
+    rooted = saved(roots(rows.groupBy("fp").agg(F.min("id").alias("least_id")), distance, blocks))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_per_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 8
+) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the one with the smallest id (null last) stays."""
+    text = wide_hash(text_or_empty(text_col), "t")
+    rows = saved(fingerprints(docs, [F.col(id_col).alias("id"), *text], text_col, shingle))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t1", "t2")).alias("first")
+    rooted = roots(rows.groupBy("fp").agg(first), distance, blocks)
+    stay = rooted.groupBy("root").agg(F.min("first").alias("k")).select("k.id", "k.t1", "k.t2").toDF("_id", "_t1", "_t2")
+    keys = ["_keep_id", "_keep_t1", "_keep_t2"]
+    named = docs.select("*", F.col(id_col).alias(keys[0]), *(h.alias(k) for h, k in zip(text, keys[1:])))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(keys, ("_id", "_t1", "_t2"))]
+    one = Window.partitionBy(*keys).orderBy(F.lit(0))
+    return (
+        named.join(stay, same, "left_semi")
+        .withColumn("_nth", F.row_number().over(one))
+        .filter("_nth = 1")
+        .drop(*keys, "_nth")
+    )

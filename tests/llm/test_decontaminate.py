@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 from arbolith.llm import queries
-from arbolith.llm.decontaminate import benchmark_hits
+from arbolith.llm.decontaminate import benchmark_hits, without_contaminated
 from arbolith.llm.fm_index import FMIndex
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -55,6 +55,9 @@ def test_short_items_blocks_and_odd_rows(spark, odd, empty):
         got = benchmark_hits(odd, bench, block_bytes=size).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in got) == want
     assert benchmark_hits(empty, bench).collect() == []
+    clean = without_contaminated(odd, bench)
+    assert clean.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(i for i, n, hit, _ in want if not (hit and 20 * hit >= n))
     assert {r.n_hit for r in benchmark_hits(odd, bench.limit(0)).collect()} == {0}
 
 

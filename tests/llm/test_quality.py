@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from arbolith.llm import queries
-from arbolith.llm.quality import quality_rules, repeated_spans
+from arbolith.llm.quality import passing, quality_rules, repeated_spans
 from arbolith.llm.suffixes import longest_repeats, suffix_array, suffix_ranks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,6 +58,8 @@ def test_odd_rows(odd, empty):
         x for x in got if x[0] == 60000
     ]
     assert quality_rules(empty).collect() == []
+    assert passing(empty).collect() == [] and passing(odd).columns == odd.columns
+    assert passing(odd).count() == quality_rules(odd).filter("kept").count()
 
 
 def test_suffix_array_and_repeats():

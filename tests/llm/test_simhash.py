@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from arbolith.llm import queries
-from arbolith.llm.simhash import forest, near_duplicates
+from arbolith.llm.simhash import components, forest, near_duplicates, one_per_group
 
 
 def brute_print(text):
@@ -78,3 +78,20 @@ def test_dense_key_is_cut_exactly():
         (int(prints[i]), int(x)) for i in range(len(prints)) for x in prints[np.bitwise_count(prints ^ prints[i]) <= 4]
     ]
     assert parts(forest(prints, 4)) == parts(every)
+
+
+def test_one_per_group(spark, odd, empty, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for rows in (docs, odd):
+        want = {c for *_, c in brute_components([(r.doc_id, r.text) for r in rows.collect()])}
+        stay = one_per_group(rows)
+        assert stay.columns == rows.columns
+        assert sorted(map(str, (r.doc_id for r in stay.collect()))) == sorted(map(str, want))
+    assert one_per_group(empty).collect() == []
+
+
+def test_components_of_a_long_path(spark):
+    n = 300
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1002), (1001, 1002)], "a long, b long")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {**{i: 0 for i in range(1, n + 1)}, 1001: 1000, 1002: 1000}

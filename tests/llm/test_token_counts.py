@@ -1,0 +1,60 @@
+import random
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from arbolith.llm import queries
+from arbolith.llm.token_counts import STEP, TokenCounter, WordMachine, chunk_maps, compose_prefixes, count_tokens
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def library(texts):
+    encoded = Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    return [len(e.ids) for e in encoded]
+
+
+def test_query_equals_library(spark, small, sample):
+    got = {r.doc_id: r for r in queries.op8_token_counts(spark, small).collect()}
+    assert len(got) == len(sample)
+    for (i, text, _), n in zip(sample, library([t for _, t, _ in sample])):
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len(text.encode()), n, n > 2048)
+
+
+def test_odd_rows(odd, empty):
+    rows = odd.collect()
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in count_tokens(odd, PATH).collect())
+    assert got == sorted((str(r.doc_id), len((r.text or "").encode()), n) for r, n in zip(rows, library([r.text for r in rows])))
+    assert count_tokens(empty, PATH).collect() == []
+
+
+def test_random_strings_equal_library():
+    rng = random.Random(1)
+    texts = ["", "it's", "''s 'r 're 'rex 've 'v 'l 'll 'lll", "x'd!'d", "<|endoftext|>a <|startoftext|><|endoftext|>",
+             "ΟΔΟΣ İx", "日本語 ١٢٣ ½", "!!!???", "’s don’t we'll", " \x1c \x85 x", "éé ẛ̣ Å <|ENDOFTEXT|> <|endof"]
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz'!? 0é日́S<|>\n", "ab'stred ln", "aAbB", "xyz0 "):
+        texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 200))) for _ in range(1500)]
+    with open(PATH) as f:
+        counter = TokenCounter(f.read())
+    assert counter.counts(texts) == library(texts)
+    counter.machine.most_states, counter.machine.most_words = 50, 20  # tables that start afresh all the time
+    counter.machine.clear()
+    assert counter.counts(texts[:2000]) == library(texts[:2000])
+
+
+def test_small_machine_merges_in_order():
+    machine = WordMachine([["a", "a"], ["a", "a</w>"], ["aa", "a</w>"], ["b", "aa"]])
+    assert [machine.count(b"a" * n) for n in range(1, 8)] == [1, 1, 1, 2, 2, 3, 3]
+    assert machine.count(b"baa") == 2
+
+
+def test_state_maps_compose():
+    classes = np.random.default_rng(0).integers(0, 10, (37, 64)).astype(np.uint8)
+    prefixes = compose_prefixes(chunk_maps(classes))
+    for start in range(7):
+        state = start
+        for k, row in enumerate(classes):
+            for c in row:
+                state = STEP[state * 10 + c]
+            assert prefixes[k, start] == state
