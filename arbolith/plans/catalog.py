@@ -5,11 +5,264 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arbolith.functions import envelope, paths
+from arbolith.functions.digest import digest
+from arbolith.functions.keys import object_key
+from arbolith.operators import reconcile, state
+from arbolith.plans.snapshots import NOW, SNAPSHOTS_SQL, SQL_OBJECT_KEY, TEST_KEY, path_of, snapshots
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    s = snapshots(spark, d)
+    return reconcile.changes(s.local, s.baseline, s.remote)
+
+
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.plan(_changes(spark, d))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def change_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _changes(spark, d).select("path", "here", "there")
+
+
+def reconcile_plan(spark: SparkSession, d: str) -> DataFrame:
+    return _plan(spark, d).select("path", "kind")
+
+
+def plan_with_rank(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.ordered(_plan(spark, d))
+
+
+def plan_uploads(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.of_kind(_plan(spark, d), "upload").select("path")
+
+
+def plan_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.summary(_plan(spark, d))
+
+
+def plan_bookkeeping(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.bookkeeping(_changes(spark, d))
+
+
+def all_paths(spark: SparkSession, d: str) -> DataFrame:
+    s = snapshots(spark, d)
+    return reconcile.three_way(s.local, s.baseline, s.remote).select("path")
+
+
+def scan_hash(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select(
+        path_of().alias("path"), F.octet_length("text").cast("long").alias("size"), digest(F.col("text")).alias("hash")
+    )
+
+
+def hash_cache_reuse(spark: SparkSession, d: str) -> DataFrame:
+    s = snapshots(spark, d)
+    return state.reuse_hashes(s.local.drop("hash"), s.baseline)
+
+
+def _awkward_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths as they come: with excluded names, climbing, absolute, doubled and decomposed parts."""
+    return spark.sql(
+        """
+        SELECT doc_id, CASE doc_id % 11
+            WHEN 0 THEN concat(source, '/.mirror/', doc_id) WHEN 1 THEN concat(source, '/.DS_Store')
+            WHEN 2 THEN concat('../', source, '/', doc_id) WHEN 3 THEN concat('/', source, '/', doc_id)
+            WHEN 4 THEN concat(source, '/../', doc_id) WHEN 5 THEN concat('./', source, '/', doc_id)
+            WHEN 6 THEN concat(source, '/Thumbs.db.txt/', doc_id) WHEN 7 THEN concat(lang, '/desktop.ini/', doc_id)
+            WHEN 8 THEN concat(lang, '/cafe\u0301/', doc_id) WHEN 9 THEN concat(lang, '//', doc_id, '/.hidden')
+            ELSE concat(source, '/', lang, '/', doc_id, '.txt') END AS path
+        FROM {docs}
+        """,
+        docs=_documents(spark, d),
+    )
+
+
+def exclude_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _awkward_paths(spark, d).filter(paths.included(F.col("path")))
+
+
+def safe_path_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _awkward_paths(spark, d).filter(paths.safe(F.col("path")))
+
+
+def nfc_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _awkward_paths(spark, d).select("doc_id", paths.canonical(F.col("path")).alias("canonical"))
+
+
+def prefix_list(spark: SparkSession, d: str) -> DataFrame:
+    keys = _documents(spark, d).select(path_of().alias("key"), F.octet_length("text").cast("long").alias("size"))
+    return keys.filter(paths.under(F.col("key"), "src1/"))
+
+
+def object_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select(path_of().alias("path")).select(
+        "path", F.concat(F.lit("vault/"), object_key(TEST_KEY, F.col("path"))).alias("store_key")
+    )
+
+
+def upsert_record_scan(spark: SparkSession, d: str) -> DataFrame:
+    s = snapshots(spark, d)
+    return state.record_scan(s.baseline, s.local, NOW)
+
+
+def upsert_confirm_sync(spark: SparkSession, d: str) -> DataFrame:
+    s = snapshots(spark, d)
+    return state.confirm_sync(s.baseline, s.local, NOW)
+
+
+def baseline_delete(spark: SparkSession, d: str) -> DataFrame:
+    s = snapshots(spark, d)
+    return state.remove(s.baseline, s.remote)
+
+
+def download_entries(spark: SparkSession, d: str) -> DataFrame:
+    return state.download_entries(_plan(spark, d), snapshots(spark, d).remote)
+
+
+def remote_delete_keys(spark: SparkSession, d: str) -> DataFrame:
+    return state.remote_deletes(_plan(spark, d), snapshots(spark, d).remote)
+
+
+def manifest_after_apply(spark: SparkSession, d: str) -> DataFrame:
+    s = snapshots(spark, d)
+    uploaded = s.local.select("path", "size", F.col("hash").alias("content_hash"), object_key(TEST_KEY, F.col("path")).alias("object_key"))
+    return state.manifest_after(s.remote, _plan(spark, d), uploaded)
+
+
+def baseline_after_apply(spark: SparkSession, d: str) -> DataFrame:
+    s = snapshots(spark, d)
+    changed = _changes(spark, d)
+    arrived = s.remote.select("path", "size", F.lit(NOW * 1_000_000_000).alias("mtime_ns"), F.col("content_hash").alias("hash"))
+    return state.baseline_after(s.baseline, reconcile.plan(changed), s.local, arrived, reconcile.bookkeeping(changed), NOW)
+
+
+def generation_guard(spark: SparkSession, d: str) -> DataFrame:
+    log = spark.read.parquet(f"{d}/events.parquet").select(
+        "event_id", "user_id", F.floor("value").cast("long").alias("generation")
+    )
+    return state.guard_generations(log, "user_id", "event_id", "generation")
+
+
+def generation_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Generations of documents, some large, as eight bytes and back."""
+    generation = F.when(F.col("doc_id") % 7 == 0, F.lit((1 << 63) - 1) - F.col("doc_id")).otherwise(F.col("doc_id") * F.col("n_chars"))
+    rows = _documents(spark, d).select("doc_id", generation.alias("generation"))
+    payload = envelope.generation_bytes(F.col("generation"))
+    return rows.select("doc_id", F.lower(F.hex(payload)).alias("prefix"), envelope.generation_of(payload).alias("generation"))
+
+
+def manifest_json(spark: SparkSession, d: str) -> DataFrame:
+    """Each manifest entry as JSON and read back."""
+    schema = "path string, size long, content_hash string, object_key string"
+    entry = F.from_json(F.to_json(F.struct("path", "size", "content_hash", "object_key")), schema)
+    return snapshots(spark, d).remote.select(entry.alias("e")).select("e.*")
+
+
+def envelope_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every document sealed and opened again, and what a wrong context opens (nothing)."""
+    key = F.unhex(F.lit(TEST_KEY.hex()))
+    context = envelope.frame_context(path_of(), F.lit(0), F.lit(True))
+    # the nonce is random: sealing happens once, before the rows are dealt out
+    boxes = _documents(spark, d).select("doc_id", "text", context.alias("context"), envelope.sealed(F.col("text").cast("binary"), key, context).alias("box"))
+    boxes = boxes.repartition("doc_id")
+    return boxes.select(
+        "doc_id",
+        (F.octet_length("box") - F.octet_length("text")).alias("overhead"),
+        digest(envelope.opened(F.col("box"), key, F.col("context"))).alias("opened_hash"),
+        envelope.opened(F.col("box"), key, F.concat("context", F.lit("x"))).isNull().alias("refused"),
+    )
+
+
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    reconcile_plan, change_classes, plan_summary, plan_with_rank, plan_uploads, plan_bookkeeping, all_paths, scan_hash,
+    hash_cache_reuse, exclude_filter, safe_path_filter, nfc_paths, prefix_list, object_keys, upsert_record_scan,
+    upsert_confirm_sync, baseline_delete, download_entries, remote_delete_keys, manifest_after_apply,
+    baseline_after_apply, generation_guard, generation_codec, manifest_json, envelope_roundtrip,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for q in QUERIES}
+
+
+AWKWARD_SQL = """
+paths AS (
+  SELECT doc_id, CASE doc_id % 11
+    WHEN 0 THEN source || '/.mirror/' || doc_id WHEN 1 THEN source || '/.DS_Store'
+    WHEN 2 THEN '../' || source || '/' || doc_id WHEN 3 THEN '/' || source || '/' || doc_id
+    WHEN 4 THEN source || '/../' || doc_id WHEN 5 THEN './' || source || '/' || doc_id
+    WHEN 6 THEN source || '/Thumbs.db.txt/' || doc_id WHEN 7 THEN lang || '/desktop.ini/' || doc_id
+    WHEN 8 THEN lang || '/cafe\u0301/' || doc_id WHEN 9 THEN lang || '//' || doc_id || '/.hidden'
+    ELSE source || '/' || lang || '/' || doc_id || '.txt' END AS path
+  FROM documents
+)"""
+
+_PATH = "source || '/' || lang || '/' || doc_id || '.txt'"
+_UPSERT = """
+SELECT coalesce(s.path, b.path) AS path,
+       CASE WHEN s.path IS NULL THEN b.size ELSE s.size END AS size,
+       CASE WHEN s.path IS NULL THEN b.mtime_ns ELSE s.mtime_ns END AS mtime_ns,
+       CASE WHEN s.path IS NULL THEN b.content_hash ELSE s.hash END AS content_hash,
+       {synced} AS last_synced_hash,
+       CASE WHEN s.path IS NULL THEN b.updated_at ELSE {now} END AS updated_at
+FROM {baseline} b FULL JOIN {seen} s ON b.path = s.path"""
+_CONFIRM = "CASE WHEN s.path IS NULL THEN b.last_synced_hash ELSE s.hash END"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    with_snapshots = f"WITH {SNAPSHOTS_SQL}"
+    with_paths = f"WITH {AWKWARD_SQL}"
+    upsert = lambda synced, baseline="baseline", seen="local": _UPSERT.format(synced=synced, now=NOW, baseline=baseline, seen=seen)
+    return {
+        "reconcile_plan": f"{with_snapshots} SELECT path, kind FROM plan",
+        "change_classes": f"{with_snapshots} SELECT path, here, there FROM changes",
+        "plan_summary": f"""{with_snapshots} SELECT count(*) FILTER (kind = 'download') AS download, count(*) FILTER (kind = 'upload') AS upload,
+            count(*) FILTER (kind = 'delete-local') AS delete_local, count(*) FILTER (kind = 'delete-remote') AS delete_remote,
+            count(*) FILTER (kind = 'conflict') AS conflict FROM plan""",
+        "plan_with_rank": f"{with_snapshots} SELECT kind_ord, kind, path FROM plan ORDER BY kind_ord, path",
+        "plan_uploads": f"{with_snapshots} SELECT path FROM plan WHERE kind = 'upload'",
+        "plan_bookkeeping": f"{with_snapshots} SELECT path, step, hash FROM bookkeeping",
+        "all_paths": f"""{with_snapshots} SELECT path FROM local UNION SELECT path FROM baseline UNION SELECT path FROM remote""",
+        "scan_hash": f"SELECT {_PATH} AS path, strlen(text) AS size, sha256(text) AS hash FROM documents",
+        "hash_cache_reuse": f"""{with_snapshots} SELECT l.path, l.size, l.mtime_ns, b.content_hash AS known_hash
+            FROM local l LEFT JOIN baseline b ON l.path = b.path AND l.size = b.size AND l.mtime_ns = b.mtime_ns""",
+        "exclude_filter": f"""{with_paths} SELECT * FROM paths
+            WHERE NOT list_has_any(string_split(path, '/'), ['.mirror', '.DS_Store', 'Thumbs.db', 'desktop.ini'])""",
+        "safe_path_filter": f"""{with_paths} SELECT * FROM paths
+            WHERE NOT starts_with(path, '/') AND NOT starts_with(path, './') AND NOT list_contains(string_split(path, '/'), '..')""",
+        "nfc_paths": f"{with_paths} SELECT doc_id, nfc_normalize(path) AS canonical FROM paths",
+        "prefix_list": f"SELECT * FROM (SELECT {_PATH} AS key, strlen(text) AS size FROM documents) WHERE starts_with(key, 'src1/')",
+        "object_keys": f"SELECT path, 'vault/' || {SQL_OBJECT_KEY('path')} AS store_key FROM (SELECT {_PATH} AS path FROM documents)",
+        "upsert_record_scan": f"{with_snapshots} {upsert('b.last_synced_hash')}",
+        "upsert_confirm_sync": f"{with_snapshots} {upsert(_CONFIRM)}",
+        "baseline_delete": f"{with_snapshots} SELECT * FROM baseline WHERE path NOT IN (SELECT path FROM remote)",
+        "download_entries": f"{with_snapshots} SELECT r.* FROM remote r JOIN plan p ON p.path = r.path AND p.kind = 'download'",
+        "remote_delete_keys": f"{with_snapshots} SELECT r.* FROM remote r JOIN plan p ON p.path = r.path AND p.kind = 'delete-remote'",
+        "manifest_after_apply": f"""{with_snapshots} SELECT r.* FROM remote r LEFT JOIN plan p ON p.path = r.path
+            WHERE p.kind IS NULL OR p.kind NOT IN ('upload', 'delete-remote')
+            UNION ALL SELECT l.path, l.size, l.hash, {SQL_OBJECT_KEY('l.path')} FROM local l JOIN plan p ON p.path = l.path AND p.kind = 'upload'""",
+        "baseline_after_apply": f"""{with_snapshots}, gone AS (
+              SELECT path FROM plan WHERE kind IN ('delete-local', 'delete-remote') UNION ALL SELECT path FROM bookkeeping WHERE step = 'forget'
+            ), kept AS (SELECT * FROM baseline WHERE path NOT IN (SELECT path FROM gone)),
+            synced AS (
+              SELECT l.* FROM local l WHERE path IN (SELECT path FROM plan WHERE kind = 'upload' UNION ALL SELECT path FROM bookkeeping WHERE step = 'adopt')
+              UNION ALL SELECT r.path, r.size, {NOW * 1_000_000_000}, r.content_hash FROM remote r JOIN plan p ON p.path = r.path AND p.kind = 'download'
+            ) {upsert(_CONFIRM, 'kept', 'synced')}""",
+        "generation_guard": """
+            SELECT event_id, user_id, generation, highest, generation >= highest AS accepted FROM (
+              SELECT *, greatest(coalesce(max(generation) OVER (PARTITION BY user_id ORDER BY event_id
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS highest
+              FROM (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS generation FROM events))""",
+        "generation_codec": """
+            SELECT doc_id, lower(lpad(to_hex(generation), 16, '0')) AS prefix, generation FROM (
+              SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 9223372036854775807 - doc_id ELSE doc_id * n_chars END AS generation FROM documents)""",
+        "manifest_json": f"{with_snapshots} SELECT * FROM remote",
+        "envelope_roundtrip": "SELECT doc_id, 28::INTEGER AS overhead, sha256(text) AS opened_hash, true AS refused FROM documents",
+    }
