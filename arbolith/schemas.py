@@ -24,7 +24,6 @@ BASELINE = _schema(
 )
 MANIFEST = _schema(("path", TEXT, False), ("size", LONG, False), ("content_hash", TEXT, False), ("object_key", TEXT, False))
 PLAN = _schema(("kind_ord", T.IntegerType(), False), ("kind", TEXT, False), ("path", TEXT, False))
-OBJECTS = _schema(("key", TEXT, False), ("size", LONG, False))
 OUTCOME = _schema(
     ("path", TEXT, False), ("kind", TEXT, False), ("status", TEXT, False), ("size", LONG, True), ("mtime_ns", LONG, True), ("hash", TEXT, True)
 )

@@ -10,8 +10,6 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbolith.schemas import OBJECTS
-
 
 class ObjectStore(Protocol):
     def put(self, key: str, chunks: Iterator[bytes]) -> None: ...
@@ -105,4 +103,4 @@ def object_listing(spark: SparkSession, root: str, prefix: str = "") -> DataFram
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     key = F.expr(f"substring(path, locate('{base}/', path) + {len(base) + 1})")
     rows = found.select(key.alias("key"), F.col("length").alias("size"))
-    return rows.filter(F.col("key").startswith(prefix)).to(OBJECTS) if prefix else rows.to(OBJECTS)
+    return rows.filter(F.col("key").startswith(prefix))

@@ -1,0 +1,92 @@
+import hashlib
+import hmac
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from arbolith.functions import envelope, keys, paths
+
+KEY = bytes([7] * 32)
+
+
+def test_safe_paths(spark):
+    cases = {
+        "docs/notes.md": True, "../etc/passwd": False, "/etc/passwd": False, "docs/../../etc/passwd": False, "./a": False,
+        "a//b": True, "a/./b": True, "a..b/c": True, "": False, "..": False, "a/..": False,
+    }
+    table = spark.createDataFrame([(p,) for p in cases], "path string")
+    assert {r.path: r.ok for r in table.select("path", paths.safe(F.col("path")).alias("ok")).collect()} == cases
+    with pytest.raises(Exception, match="unsafe path: ../x"):
+        spark.createDataFrame([("../x",)], "path string").select(paths.assert_safe(F.col("path"))).collect()
+
+
+def test_excluded_names(spark):
+    cases = {"a/.mirror/x": False, ".DS_Store": False, "a/thumbs.db": True, "Thumbs.db": False, "desktop.ini/y": False, ".mirrorignore": True}
+    table = spark.createDataFrame([(p,) for p in cases], "path string")
+    assert {r.path: r.ok for r in table.select("path", paths.included(F.col("path")).alias("ok")).collect()} == cases
+
+
+def test_canonical_paths(spark):
+    table = spark.createDataFrame([("café/x",), ("café/x",), (None,)], "path string")
+    assert [r[0] for r in table.select(paths.canonical(F.col("path"))).collect()] == ["café/x", "café/x", None]
+
+
+def test_object_keys(spark):
+    names = ["a.txt", "s3/test/file1.txt", "s3/test/file2.txt", "é", "x" * 500]
+    table = spark.createDataFrame([(n,) for n in names], "path string")
+    got = {r.path: r.key for r in table.select("path", keys.object_key(KEY, F.col("path")).alias("key")).collect()}
+    assert got == {n: keys.object_name(KEY, n) for n in names}
+    assert got["a.txt"] == "J6/WT/4QH7MPLNZVDSUAJKZXGH6E" and len(set(got.values())) == len(names)
+    assert keys.object_name(bytes(32), "a.txt") != got["a.txt"]
+    own = table.select("path", keys.object_key_from(lambda: KEY)(F.col("path")).alias("key"))
+    assert {r.path: r.key for r in own.collect()} == got
+    assert KEY.hex() not in own._jdf.queryExecution().toString()
+
+
+def test_hmac_and_hkdf(spark):
+    one = spark.range(1).select(keys.hmac_sha256(b"Jefe", F.lit("what do ya want for nothing?")).alias("h"))
+    assert one.first().h == "5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843"  # RFC 4231, case 2
+    long_key = b"k" * 100
+    assert spark.range(1).select(keys.hmac_sha256(long_key, F.lit("m")).alias("h")).first().h == hmac.new(long_key, b"m", "sha256").hexdigest()
+    okm = keys.hkdf(bytes([0x0B] * 22), bytes(range(13)), bytes(range(0xF0, 0xFA)), 42)  # RFC 5869, case 1
+    assert okm.hex() == "3cb25f25faacd57a90434f64d0362f2a2d2d0a90cf1a5a4c5db02d56ecc4c5bf34007208d5b887185865"
+
+
+def test_keys_differ_and_hide():
+    a, b = (keys.derive_keys(p, b"salt" * 4, n=1 << 10) for p in ("one", "two"))
+    assert len({a.content, a.name, a.manifest, a.keycheck, b.content}) == 5 and keys.key_check(a) != keys.key_check(b)
+    assert repr(a) == "Keys()"
+
+
+def test_generation_codec(spark):
+    numbers = [0, 1, 255, 65536, (1 << 63) - 1]
+    table = spark.createDataFrame([(n,) for n in numbers], "g long")
+    got = table.select("g", envelope.generation_bytes(F.col("g")).alias("b")).withColumn("back", envelope.generation_of(F.col("b"))).collect()
+    assert [(bytes(r.b), r.back) for r in got] == [(n.to_bytes(8, "big"), n) for n in numbers]
+    with pytest.raises(Exception, match="shorter"):
+        spark.createDataFrame([(bytearray(7),)], "p binary").select(envelope.generation_of(F.col("p"))).collect()
+
+
+@pytest.mark.parametrize("size", [0, 1, 11, 65519, 65520, 65521, 65536, 1 << 20])
+def test_seal_and_open(spark, size):
+    content = bytes(i % 251 for i in range(size))
+    key, context = F.lit(KEY), F.lit("fmt/tmp1.txt")
+    box = spark.createDataFrame([(bytearray(content),)], "c binary").select(envelope.sealed(F.col("c"), key, context).alias("box")).first().box
+    assert len(box) == size + 28
+    bad = bytearray(box)
+    bad[-1] ^= 1
+    table = spark.createDataFrame([(bytearray(box), "fmt/tmp1.txt"), (bytearray(box), "other"), (bad, "fmt/tmp1.txt")], "box binary, aad string")
+    got = [r[0] for r in table.select(envelope.opened(F.col("box"), key, F.col("aad"))).collect()]
+    assert bytes(got[0]) == content and got[1:] == [None, None]
+    wrong = table.limit(1).select(envelope.opened(F.col("box"), F.lit(bytes(32)), F.col("aad"))).first()[0]
+    assert wrong is None
+
+
+def test_digest_of_equal_content(tmp_path):
+    from arbolith.functions.digest import file_digest
+
+    for name, text in (("a", "one"), ("b", "one"), ("c", "two")):
+        (tmp_path / name).write_text(text)
+    a, b, c = (file_digest(str(tmp_path / n)) for n in "abc")
+    assert a == b != c and re.fullmatch("[0-9a-f]{64}", a) and a == hashlib.sha256(b"one").hexdigest()
