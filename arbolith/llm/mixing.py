@@ -127,17 +127,27 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A part of a document is its first words. Documents without words are taken 0 times.
     """
-    columns = docs.columns
-    size = word_count(text_or_empty(text_col))
-    mixed = mix(docs.withColumn("_size", size), id_col, source_col, "_size", F.xxhash64(text_col), **options)
+    rows = docs.select(
+        F.struct("*").alias("_row"),
+        F.col(id_col).alias("_id"),
+        F.col(source_col).alias("_from"),
+        F.col(text_col).cast("string").alias("_text"),
+        word_count(text_or_empty(text_col)).alias("_size"),
+    )
+    mixed = mix(rows, "_id", "_from", "_size", F.xxhash64("_text"), **options)
     part = (F.col("mix_part") > 0) & (F.col("mix_part") < F.col("_size"))
     whole = F.col("mix_whole") + F.when(F.col("mix_part") >= F.col("_size"), 1).otherwise(0)
+    none = F.array().cast("array<boolean>")
     copies = F.concat(
-        F.when(whole > 0, F.array_repeat(F.lit(True), whole.cast("int"))).otherwise(F.array().cast("array<boolean>")),
-        F.when(part, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")),
+        F.when(whole > 0, F.array_repeat(F.lit(True), whole.cast("int"))).otherwise(none),
+        F.when(part, F.array(F.lit(False))).otherwise(none),
+    )
+    text = F.when(F.col("_whole"), F.col("_text")).otherwise(first_words(F.col("_text"), F.col("mix_part")))
+    changed = {text_col: text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_whole"), F.col("_row.n_chars")).otherwise(F.length(text).cast("long"))
+    return (
+        mixed.filter(F.col("_size") > 0)
+        .withColumn("_whole", F.explode(copies))
+        .select(*(changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
     )
-    text = F.when(F.col("_whole"), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("mix_part")))
-    out = mixed.filter(F.col("_size") > 0).withColumn("_whole", F.explode(copies)).withColumn(text_col, text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length(text_col)))
-    return out.select(*columns)

@@ -48,7 +48,7 @@ class Rules:
     repeat_words: int = 8
     least_words: int = 20
     most_percent: int = 30
-    most_repeat: int = 400
+    most_repeat: int = 200
 
 
 def repeated_spans(texts: list[list[bytes]], repeat_words: int) -> tuple[list[list[tuple[int, int]]], list[int]]:

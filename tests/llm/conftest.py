@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp long, size long, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp long, size long, _text string"
 
 #: Nulls in every column, empty and white texts, repeated rows, ties, a long text, names that operators use inside.
 ODD = [
