@@ -1,9 +1,12 @@
 import heapq
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from arbolith.llm import queries
-from arbolith.llm.sharding import schedule_bins, shard_documents
+from arbolith.llm.sharding import _fill_bins, schedule_bins, shard_documents
 
 
 def check(rows, texts, shards):
@@ -62,3 +65,30 @@ def test_bins_go_to_the_least_loaded_shard():
     assert schedule_bins([(0, 0, 5, 1), (0, 1, 4, 2), (1, 0, 3, 3), (1, 1, 3, 1)], 2) == [
         (0, 0, 0, 0), (0, 1, 1, 0), (1, 0, 1, 2), (1, 1, 0, 1)
     ]
+
+
+def test_cells_that_span_batches():
+    rng = random.Random(1)
+    rows = []
+    for bucket in range(3):
+        groups = sorted(((rng.randrange(1, 50), g) for g in range(rng.randrange(1, 9))), reverse=True)
+        for size, g in groups:
+            ahead = 0
+            for salt in range(rng.randrange(1, 4)):
+                rows.append((bucket, g, g, salt, ahead, size, 9, 2, 5))
+                ahead += 2
+    names = ["bucket", "g1", "g2", "salt", "ahead", "group_bytes", "group_rows", "cell_rows", "cell_bytes"]
+    kinds = {"bucket": pa.int32(), "salt": pa.int32()}
+
+    def placed(step):
+        parts = [rows[i : i + step] for i in range(0, len(rows), step)]
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array([r[i] for r in p], kinds.get(n, pa.int64())) for i, n in enumerate(names)], names=names)
+            for p in parts
+        ]
+        return [r for b in _fill_bins(4)(iter(batches)) for r in b.to_pylist()]
+
+    whole = placed(1000)
+    assert placed(1) == placed(2) == placed(3) == whole
+    for r, (bucket, g, *_) in zip(whole, rows):
+        assert r["bin"] == next(x["bin"] for x in whole if (x["bucket"], x["g1"]) == (bucket, g))

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from arbolith.llm import queries
-from arbolith.llm.simhash import components, forest, near_duplicates, one_per_group
+from arbolith.llm.simhash import _link, components, forest, near_duplicates, one_per_group
 
 
 def brute_print(text):
@@ -95,3 +96,34 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1002), (1001, 1002)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, n + 1)}, 1001: 1000, 1002: 1000}
+
+
+def test_keys_that_span_batches():
+    rng = random.Random(9)
+    for _ in range(200):
+        rows = sorted((rng.randrange(4), rng.getrandbits(3) | rng.choice([0, 0xFF00])) for _ in range(rng.randrange(1, 25)))
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows) + 1) for _ in range(6))})
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in rows[a:b]], pa.int64()), pa.array([f for _, f in rows[a:b]], pa.int64())], names=["key", "fp"]
+            )
+            for a, b in zip(cuts, cuts[1:])
+        ]
+        batches.insert(rng.randrange(len(batches) + 1), batches[0].slice(0, 0))
+        edges = {frozenset(e) for b in _link(2)(iter(batches)) for e in zip(*(c.to_pylist() for c in b.columns))}
+        near = {
+            frozenset((f, g)) for k, f in rows for m, g in rows if k == m and f != g and (f ^ g).bit_count() <= 2
+        }
+        assert edges <= near
+
+        def groups(links):
+            parts = {f: {f} for _, f in rows}
+            for e in links:
+                a, b = e
+                both = parts[a] | parts[b]
+                for x in both:
+                    parts[x] = both
+            return {frozenset(p) for p in parts.values()}
+
+        # within each key the edges connect what the links connect; over all keys then too
+        assert groups(edges) == groups(near)
