@@ -73,3 +73,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """An equi-join of `left` with a `right` that has been aggregated by `keys`.
+
+    Joined on `keys` alone, the right side would keep its partitioning, and Spark splits skewed partitions only where it
+    has shuffled both sides for the join. One more key, a hash of the others, makes it do so.
+    """
+    extra = F.xxhash64(*keys).alias("_spread")
+    return left.select("*", extra).join(right.select("*", extra), [*keys, "_spread"], how).drop("_spread")

@@ -6,8 +6,8 @@ to 128 bits. Each document counts once for each of its lines; hashes that reach
 
 Scale: the counts combine before the shuffle, so a line found in a third of all documents
 costs one row a task. Positions to drop travel back to the texts under a 128-bit key of
-the text, which is the same for copies and needs no unique id; a hot text is split by
-Spark's skew join, as the other side has one row a text.
+the text, which is the same for copies and needs no unique id. Both joins are ones that Spark can split
+where a line or a text is very common, as their other sides have one row for each.
 
 Null and empty texts are one empty line, which is never dropped while `min_chars` >= 1.
 Rows that repeat count once each. An empty table gives an empty table.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbolith.llm.common import SPACE, lower_ascii, text_or_empty, wide_hash
+from arbolith.llm.common import SPACE, lower_ascii, skew_join, text_or_empty, wide_hash
 
 
 def line_key(line: Column) -> Column:
@@ -46,19 +46,18 @@ def dedup_lines(
     texts = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text")).select(
         F.col(id_col), "_text", *wide_hash(F.col("_text"), "_t")
     )
-    dropped = (
+    places = (
         texts.select("_t1", "_t2", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
         .withColumn("_key", line_key(F.col("_line")))
         .filter(F.length("_key") >= min_chars)
         .select("_t1", "_t2", "_pos", *wide_hash(F.col("_key"), "h"))
-        .join(frequent, ["h1", "h2"], "left_semi")
-        .groupBy("_t1", "_t2")
-        .agg(F.collect_set("_pos").alias("_gone"))
     )
+    gone = skew_join(places, frequent, ["h1", "h2"], "left_semi")
+    dropped = gone.groupBy("_t1", "_t2").agg(F.collect_set("_pos").alias("_gone"))
     lines = F.split("_text", "\n")
     none = F.array().cast("array<int>")
     return (
-        texts.join(dropped, ["_t1", "_t2"], "left")
+        skew_join(texts, dropped, ["_t1", "_t2"], "left")
         .withColumn("_lines", lines)
         .withColumn(
             "_stay",
