@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbolith.llm.common import lower_ascii, text_or_empty, wide_hash
+from arbolith.llm.common import lower_ascii, skew_join, text_or_empty, wide_hash
 
 #: The customary short notices of common licenses.
 TEMPLATES = (
@@ -132,7 +132,7 @@ def license_scan(
         .select("t1", "t2", F.col("b.own").alias("own_license"), (-F.col("b.c")).alias("cosine"))
     )
     slim = rows.select("id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), *wide_hash(F.col("text"), "t"))
-    known = slim.join(own, ["t1", "t2"], "left").drop("t1", "t2")
+    known = skew_join(slim, own, ["t1", "t2"], "left").drop("t1", "t2")
     of_dir = (
         known.filter("own_license is not null and dir is not null")
         .groupBy(F.col("dir").alias("license_dir"))
@@ -156,7 +156,7 @@ def license_scan(
         .agg(nearest)
         .select("dir", "n.license_dir", "n.dir_license")
     )
-    return known.join(inherited, "dir", "left").select(
+    return skew_join(known, inherited, ["dir"], "left").select(
         F.col("id").alias(id_col),
         "path",
         "own_license",
