@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbolith.llm.common import saved, slices
+from arbolith.llm.common import saved, skew_join, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, *(f"like_{k}" for k in BASE))
@@ -172,10 +172,11 @@ def find_pii(
     scanned = saved(scan(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     patterns = confident_patterns(scanned, rounds, confidence, support)
     plain = "array<struct<kind:string,first:int,last:int,value:string>>"
+    occurrences = scanned.select("row", F.explode("more").alias("s")).select(
+        "row", "s.first", "s.last", "s.value", F.explode("s.patterns").alias("pattern")
+    )
     discovered = (
-        scanned.select("row", F.explode("more").alias("s"))
-        .select("row", "s.first", "s.last", "s.value", F.explode("s.patterns").alias("pattern"))
-        .join(patterns, "pattern")
+        skew_join(occurrences, patterns, ["pattern"], "inner")
         .groupBy("row", "first", "last", "value")
         .agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
         .groupBy("row")
