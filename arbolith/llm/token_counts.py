@@ -36,15 +36,14 @@ from arbolith.llm.common import slices
 
 SPACE, NUMBER, OTHER, QUOTE, LETTER, LONE, R, V, L, E = range(10)
 GAP, WORD, MARKS, QUOTED, AFTER_R, AFTER_V, AFTER_L = range(7)
+#: Fixed value: the word pattern of the vocabulary, which the segmenter is compiled for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STARTS, STARTED_BEFORE = 1, 2  # what a transition emits: a word starts here; one started a character ago
 CHUNK = 64
 
 
 def _segmenter() -> tuple[np.ndarray, np.ndarray]:
-    """Next state and emission by state * 10 + class, for the word pattern of the vocabulary:
-
-    's 't 're 've 'm 'll 'd at the start of a word, runs of letters, single numbers, runs of others.
-    """
+    """Next state and emission by state * 10 + class, for PATTERN."""
     step, emit = np.zeros((7, 10), np.uint8), np.zeros((7, 10), np.uint8)
     letters = (LETTER, LONE, R, V, L, E)
     for state in range(7):
@@ -242,6 +241,10 @@ class TokenCounter:
         from tokenizers import Tokenizer
 
         spec = json.loads(tokenizer_json)
+        steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        if (pattern, spec["model"]["end_of_word_suffix"], steps) != (PATTERN, "</w>", ["NFC", "Replace", "Lowercase"]):
+            raise ValueError("only tokenizers with lower-cased words of this pattern and word ends are compiled")
         self.library = Tokenizer.from_str(tokenizer_json)
         self.machine = WordMachine(spec["model"]["merges"])
         self.classes = np.full(0x110000, 255, np.uint8)

@@ -1,7 +1,9 @@
+import json
 import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from arbolith.llm import queries
@@ -58,3 +60,11 @@ def test_state_maps_compose():
             for c in row:
                 state = STEP[state * 10 + c]
             assert prefixes[k, start] == state
+
+
+def test_other_tokenizers_are_refused():
+    with open(PATH) as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[a-z]+"
+    with pytest.raises(ValueError, match="only tokenizers"):
+        TokenCounter(json.dumps(spec))
