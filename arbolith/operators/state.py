@@ -59,10 +59,22 @@ def remote_deletes(plan: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.join(plan.filter("kind = 'delete-remote'").select("path"), "path", "left_semi")
 
 
+def _together(**tables: DataFrame) -> DataFrame:
+    """One row a path with a struct column for each table, null where the table lacks the path; one shuffle for all of them."""
+    tagged = None
+    for name, table in tables.items():
+        part = table.select("path", F.struct(*table.columns).alias(name))
+        tagged = part if tagged is None else tagged.unionByName(part, allowMissingColumns=True)
+    return tagged.groupBy("path").agg(*[F.max(name).alias(name) for name in tables])
+
+
 def manifest_after(manifest: DataFrame, plan: DataFrame, uploaded: DataFrame) -> DataFrame:
     """The manifest once a plan is applied; `uploaded` has the entries of the paths to upload."""
-    kept = remove(manifest, plan.filter("kind = 'delete-remote'"))
-    return insert_entries(kept, uploaded.join(plan.filter("kind = 'upload'").select("path"), "path", "left_semi"))
+    columns = manifest.columns
+    rows = _together(old=manifest, new=uploaded.select(*columns), todo=plan.select("path", "kind"))
+    kind = F.coalesce("todo.kind", F.lit(""))
+    entry = F.when((kind == "upload") & F.col("new").isNotNull(), F.col("new")).when(kind != "delete-remote", F.col("old"))
+    return rows.select(entry.alias("e")).filter("e is not null").select("e.*")
 
 
 def baseline_after(
@@ -73,13 +85,23 @@ def baseline_after(
     `local` and `arrived` have path, size, mtime_ns and hash. Adopted paths are confirmed as they are here, forgotten ones go;
     conflicts stay as they were.
     """
-    gone = plan.filter("kind in ('delete-local', 'delete-remote')").select("path")
-    gone = gone.unionByName(bookkeeping.filter("step = 'forget'").select("path"))
-    columns = ["path", "size", "mtime_ns", "hash"]
-    here = plan.filter("kind = 'upload'").select("path").unionByName(bookkeeping.filter("step = 'adopt'").select("path"))
-    there = plan.filter("kind = 'download'").select("path")
-    synced = local.join(here, "path", "left_semi").select(*columns).unionByName(arrived.join(there, "path", "left_semi").select(*columns))
-    return confirm_sync(remove(baseline, gone), synced, now)
+    seen = ["path", "size", "mtime_ns", "hash"]
+    rows = _together(
+        old=baseline, here=local.select(*seen), there=arrived.select(*seen), todo=plan.select("path", "kind"), mend=bookkeeping.select("path", "step")
+    )
+    kind, step = F.coalesce("todo.kind", F.lit("")), F.coalesce("mend.step", F.lit(""))
+    synced = F.when((kind == "upload") | (step == "adopt"), F.col("here")).when(kind == "download", F.col("there"))
+    confirmed = F.struct(
+        F.col("path"), F.col("now.size").alias("size"), F.col("now.mtime_ns").alias("mtime_ns"), F.col("now.hash").alias("content_hash"),
+        F.col("now.hash").alias("last_synced_hash"), F.lit(now).cast("long").alias("updated_at"),
+    )
+    return (
+        rows.filter(~kind.isin("delete-local", "delete-remote") & (step != "forget"))
+        .withColumn("now", synced)
+        .select(F.when(F.col("now").isNotNull(), confirmed).otherwise(F.col("old")).alias("e"))
+        .filter("e is not null")
+        .select("e.*")
+    )
 
 
 def guard_generations(log: DataFrame, device: str, sequence: str, generation: str) -> DataFrame:
