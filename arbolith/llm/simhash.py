@@ -214,10 +214,13 @@ def one_per_group(
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t1", "t2")).alias("first")
     rooted = roots(rows.groupBy("fp").agg(first), distance, blocks)
     stay = rooted.groupBy("root").agg(F.min("first").alias("k")).select("k.id", "k.t1", "k.t2").toDF("_id", "_t1", "_t2")
-    keys = ["_key", "_k1", "_k2"]
-    named = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_key"), *(h.alias(k) for h, k in zip(text, keys[1:])))
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(keys, ("_id", "_t1", "_t2"))]
+    keys = ["_key", "_k1", "_k2"]  # an id as text, so that null ids are joined and the window needs no second shuffle
+    as_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    named = docs.select(F.struct("*").alias("_row"), as_key(id_col).alias("_key"), *(h.alias(k) for h, k in zip(text, keys[1:])))
     one = Window.partitionBy(*keys).orderBy(F.lit(0))
     return (
-        named.join(stay, same, "left_semi").withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select("_row.*")
+        named.join(stay.select(as_key("_id").alias("_key"), F.col("_t1").alias("_k1"), F.col("_t2").alias("_k2")), keys, "left_semi")
+        .withColumn("_nth", F.row_number().over(one))
+        .filter("_nth = 1")
+        .select("_row.*")
     )
