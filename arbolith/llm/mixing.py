@@ -13,7 +13,7 @@ stratum, in seeded order, whole documents are taken until the stratum's share is
 the one at the border gives part of its words. So a stratum misses its share by less than
 one word and no document exceeds its cap.
 
-Scale: one pre-aggregated row per source decides the targets. Strata hold about
+Scale: one pre-aggregated row per source decides the targets; they are broadcast if they are few enough. Strata hold about
 `stratum_rows` rows whatever the source's size, so a source with a third of all rows is
 spread over as many tasks as it needs. All of it is DataFrame functions.
 
@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbolith.llm.common import SPACE, text_or_empty, word_count
+from arbolith.llm.common import SPACE, saved, text_or_empty, word_count
 
 
 def source_targets(
@@ -89,16 +89,21 @@ def mix(
     budget: float = 1.5,
     max_epochs: int = 2,
     seed: int = 17,
-    stratum_rows: int = 4096,
+    stratum_rows: int = 1024,
+    broadcast_sources: int = 100_000,
 ) -> DataFrame:
     """`sizes` with columns mix_source_size, mix_target, mix_whole (whole repetitions), mix_part
     (words of one more, partial when below the size) and mix_taken (words in all)."""
-    targets = source_targets(sizes, source_col, size_col, weights, budget, max_epochs).select(
-        F.col("source").alias("_source"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        F.ceil(F.col("n_docs") / stratum_rows).alias("_strata"),
+    targets = saved(
+        source_targets(sizes, source_col, size_col, weights, budget, max_epochs).select(
+            F.col("source").alias("_source"),
+            F.col("source_size").alias("mix_source_size"),
+            F.col("target").alias("mix_target"),
+            F.ceil(F.col("n_docs") / stratum_rows).alias("_strata"),
+        )
     )
+    if targets.count() <= broadcast_sources:  # else the join shuffles both sides, and Spark can split a large source
+        targets = F.broadcast(targets)
     stratum = Window.partitionBy(source_col, "_stratum")
     order = stratum.orderBy("_hash", size_col, *([tie] if tie is not None else []))
     before = order.rowsBetween(Window.unboundedPreceding, -1)

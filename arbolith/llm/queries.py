@@ -147,7 +147,7 @@ WITH sizes AS (
 ), final AS (
   SELECT arg_min(level, k) AS final_level FROM levelled WHERE level * weight <= cap
 ), targets AS (
-  SELECT source, source_size, CAST(ceil(CAST(n_docs AS DOUBLE) / 4096) AS BIGINT) AS strata,
+  SELECT source, source_size, CAST(ceil(CAST(n_docs AS DOUBLE) / 1024) AS BIGINT) AS strata,
          CASE WHEN final_level IS NULL THEN CAST(cap AS DOUBLE)
               ELSE least(CAST(cap AS DOUBLE), final_level * weight) END AS target
   FROM levelled, final

@@ -52,6 +52,7 @@ def test_query_meets_targets(spark, small, sample):
 def test_large_sources_are_cut_into_strata(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id", "source", "length(text) as size")
     got = mix(docs, stratum_rows=3).collect()
+    assert sorted(got) == sorted(mix(docs, stratum_rows=3, broadcast_sources=0).collect())
     taken, target = Counter(), {}
     for r in got:
         taken[r.source] += r.mix_taken
