@@ -73,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
