@@ -263,7 +263,15 @@ class TokenCounter:
         return OTHER if len(split(f"!{char}")) == 1 else NUMBER
 
     def normal(self, text: str) -> str:
-        return text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
+        """The text as the file's own normalizer leaves it, but for white space, which the segmenter drops anyway.
+
+        Characters up to U+00FF are composed already, and lower-case each for itself.
+        """
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.library.normalizer.normalize_str(text)
+        return text.lower()
 
     def counts(self, texts: list[str]) -> list[int]:
         parts, owners, totals = [], [], np.zeros(len(texts), np.int64)

@@ -35,7 +35,8 @@ def test_random_strings_equal_library():
     rng = random.Random(1)
     texts = ["", "it's", "''s 'r 're 'rex 've 'v 'l 'll 'lll", "x'd!'d", "<|endoftext|>a <|startoftext|><|endoftext|>",
              "ΟΔΟΣ İx", "日本語 ١٢٣ ½", "!!!???", "’s don’t we'll", " \x1c \x85 x", "éé ẛ̣ Å <|ENDOFTEXT|> <|endof"]
-    for alphabet in ("abcdefghijklmnopqrstuvwxyz'!? 0é日́S<|>\n", "ab'stred ln", "aAbB", "xyz0 "):
+    texts += ["".join(chr(c) for c in range(256)), *(f"a{chr(c)}b {chr(c)}" for c in range(256))]
+    for alphabet in ("éÉßµÿÀ\xa0\x85\xad aE'S", "abcdefghijklmnopqrstuvwxyz'!? 0é日́S<|>\n", "ab'stred ln", "aAbB", "xyz0 "):
         texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 200))) for _ in range(1500)]
     with open(PATH) as f:
         counter = TokenCounter(f.read())
