@@ -8,9 +8,9 @@ more. A directory has the license of its licence file: of the files directly in
 license, the one with the smallest id. Files without a license of their own inherit that of the nearest directory
 above them that has one.
 
-Scale: DataFrame functions only. Document frequencies are counted for template words alone, before
-a shuffle of as many rows as words; few segments pass as headers, and only these are exploded into terms. The
-templates' words are a literal of the plan, a bound set by `templates`. Ancestors are
+Scale: DataFrame functions only. Document frequencies are counted for template words alone and combined before
+their shuffle; few segments pass as headers, and these are scored where they are. Only texts with a license are
+shuffled. The templates' words are literals of the plan, a bound set by `templates`. Ancestors are
 looked up once a directory, not once a file.
 
 Null or empty texts have no segments. Null paths have no directory and inherit nothing. Rows that
@@ -19,14 +19,15 @@ repeat get the same answer. Ties go to the license first by name.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbolith.llm.common import lower_ascii, skew_join, text_or_empty, wide_hash
+from arbolith.llm.common import lower_ascii, saved, skew_join, text_or_empty, wide_hash
 
 #: The customary short notices of common licenses.
 TEMPLATES = (
@@ -50,19 +51,18 @@ def _words(line: Column) -> Column:
 
 
 def header_segments(texts: DataFrame, vocabulary: Sequence[str], share: float) -> DataFrame:
-    """t1, t2, segment, matched (its template words), others (count of its other words), once for each distinct text.
+    """t1, t2, matched (the segment's template words), others (count of its other words).
 
     `texts` has t1 and t2, the text's hash, and text.
     """
     known = list(vocabulary)
     return (
-        texts.select("t1", "t2", F.posexplode(F.split("text", "\n")).alias("segment", "line"))
-        .select("t1", "t2", "segment", _words(F.col("line")).alias("words"))
+        texts.select("t1", "t2", F.explode(F.split("text", "\n")).alias("line"))
+        .select("t1", "t2", _words(F.col("line")).alias("words"))
         .withColumn("matched", F.filter("words", lambda w: w.isin(known)))
         .withColumn("others", F.size("words") - F.size("matched"))
         .filter((F.size("matched") > 0) & (F.size("matched") >= F.size("words") * share))
         .drop("words")
-        .dropDuplicates(["t1", "t2", "segment"])
     )
 
 
@@ -79,35 +79,38 @@ def document_frequencies(texts: DataFrame, vocabulary: Sequence[str]) -> tuple[i
     return counts.pop("", 0), counts
 
 
+def _sum_over(words: Column, value: Callable[[Column], Column]) -> Column:
+    return F.aggregate(words, F.lit(0.0), lambda total, w: total + value(w))
+
+
+def _lookup(values: dict[str, float], word: Column) -> Column:
+    """The word's value, 0 if it has none."""
+    table = F.create_map(*[F.lit(x) for item in sorted(values.items()) for x in item])
+    return F.coalesce(F.try_element_at(table, word), F.lit(0.0))
+
+
 def segment_scores(texts: DataFrame, templates: Sequence[tuple[str, str]], share: float) -> DataFrame:
-    """(t1, t2, segment, license, cosine) for each header segment and each template that it shares a word with."""
-    spark = texts.sparkSession
+    """t1, t2 and scores, an array of (the cosine below 0, license), for each header segment.
+
+    A term's tf * idf is a sum of idf over its occurrences; so the dot product with a template is a sum over the segment's
+    words, and so is the squared length, if each occurrence adds idf squared times tf. No term is exploded or joined.
+    """
     vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
     total, found = document_frequencies(texts, vocabulary)
-    terms = spark.createDataFrame([(t, found.get(t, 0)) for t in vocabulary], "term string, df long")
-    terms = terms.select("term", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    rows = [(name, term, n) for name, text in templates for term, n in sorted(Counter(terms_of(text)).items())]
-    weights = spark.createDataFrame(rows, "license string, term string, n long").join(F.broadcast(terms), "term")
-    weights = weights.select("license", "term", (F.col("n") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("license").agg(F.sum(F.col("w") * F.col("w")).alias("t_norm"))
-    unseen = F.log(F.lit(total) + 1.0) + 1.0
-    segment = ["t1", "t2", "segment"]
-    tf = (
-        header_segments(texts, vocabulary, share)
-        .select(*segment, "others", F.explode("matched").alias("term"))
-        .groupBy(*segment, "others", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .join(F.broadcast(terms), "term")
-        .withColumn("v", F.col("tf") * F.col("idf"))
-    )
-    norm = tf.groupBy(*segment, "others").agg(F.sum(F.col("v") * F.col("v")).alias("in_norm"))
-    dots = tf.join(F.broadcast(weights), "term").groupBy(*segment, "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    length = F.sqrt(F.col("t_norm") * (F.col("in_norm") + F.col("others") * unseen * unseen))
-    return (
-        dots.join(norm, segment)
-        .join(F.broadcast(norms), "license")
-        .select(*segment, "license", F.round(F.col("dot") / length, 4).alias("cosine"))
-    )
+    idf = {t: math.log((total + 1) / (found.get(t, 0) + 1)) + 1 for t in vocabulary}
+    unseen = math.log(total + 1) + 1
+    matched = F.col("matched")
+    squares = {t: v * v for t, v in idf.items()}
+    length = _sum_over(matched, lambda w: _lookup(squares, w) * F.size(F.filter(matched, lambda x: x == w)))
+    length = F.sqrt(length + F.col("others") * F.lit(unseen * unseen))
+    scores = []
+    for name, text in templates:
+        own = {t: n * idf[t] for t, n in Counter(terms_of(text)).items()}
+        norm = math.sqrt(sum(w * w for w in own.values()))
+        dot = _sum_over(matched, lambda w, own=own: _lookup({t: v * idf[t] for t, v in own.items()}, w))
+        scores.append(F.struct((-F.round(dot / (F.lit(norm) * F.col("length")), 4)).alias("below"), F.lit(name).alias("license")))
+    headers = saved(header_segments(texts, vocabulary, share))  # else each use of a column would split the lines again
+    return headers.withColumn("length", length).select("t1", "t2", F.array(*scores).alias("scores"))
 
 
 def license_scan(
@@ -123,13 +126,12 @@ def license_scan(
     (own, else the nearest directory's) and license_dir (the directory it is inherited from, null for an own one)."""
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), text_or_empty(text_col).alias("text"))
     texts = rows.select(*wide_hash(F.col("text"), "t"), "text")
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("own"))).alias("b")
+    best = segment_scores(texts, templates, share).select("t1", "t2", F.array_min("scores").alias("b"))
     own = (
-        segment_scores(texts, templates, share)
-        .filter(F.col("cosine") >= least)
+        best.filter(F.col("b.below") <= -least)
         .groupBy("t1", "t2")
-        .agg(best)
-        .select("t1", "t2", F.col("b.own").alias("own_license"), (-F.col("b.c")).alias("cosine"))
+        .agg(F.min("b").alias("b"))
+        .select("t1", "t2", F.col("b.license").alias("own_license"), (-F.col("b.below")).alias("cosine"))
     )
     slim = rows.select("id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), *wide_hash(F.col("text"), "t"))
     known = skew_join(slim, own, ["t1", "t2"], "left").drop("t1", "t2")
