@@ -190,6 +190,34 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), item_places AS (
+  SELECT item, w, least(13, len(w)) AS n, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS k FROM items WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[k : k + n - 1], ' ') AS phrase FROM item_places
+), doc_places AS (
+  SELECT r, n, unnest(generate_series(1, len(w) - n + 1)) AS k, w FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+), found AS (
+  SELECT p.r, p.k, p.n, v.item FROM doc_places p JOIN windows v ON v.n = p.n AND v.phrase = array_to_string(p.w[p.k : p.k + p.n - 1], ' ')
+), hits AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + n - 1)) AS place FROM found) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items,
+       sha256(coalesce(m.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN hits h ON h.r = d.r LEFT JOIN named m ON m.r = d.r
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -246,4 +274,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scans": _op3_sql(), "op5_mixing": OP5_SQL, "op10_line_dedup": OP10_SQL}
+    return {
+        "op3_license_scans": _op3_sql(),
+        "op5_mixing": OP5_SQL,
+        "op7_decontamination": OP7_SQL,
+        "op10_line_dedup": OP10_SQL,
+    }
