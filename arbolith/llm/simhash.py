@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbolith.llm.common import saved, slices, text_or_empty, wide_hash
+from arbolith.llm.common import saved, skew_join, slices, text_or_empty, wide_hash
 
 #: Fingerprints under one key that are compared all at once.
 MOST = 1024
@@ -172,10 +172,10 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = skew_join(both.filter("b > a"), low, ["a"], "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        small = skew_join(down, low, ["a"], "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         after = saved(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         # done when each node has one edge, down to a node that has none
         many = after.groupBy("a").count().filter("count > 1").limit(1)
@@ -199,7 +199,7 @@ def near_duplicates(
     rows = saved(fingerprints(docs, [F.col(id_col).alias("id")], text_col, shingle))
     rooted = saved(roots(rows.groupBy("fp").agg(F.min("id").alias("least_id")), distance, blocks))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = skew_join(rooted, least, ["root"], "inner").select("fp", "component_id")
     return rows.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
