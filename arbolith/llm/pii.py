@@ -133,13 +133,13 @@ def confident_patterns(scanned: DataFrame, rounds: int = 3, confidence: float =
     )
     seeded = edges.filter("seed <> ''").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds"))
     # for each pattern and each kind it has seeds of, all of its instances
-    graph = saved(edges.join(seeded, "pattern"))
+    graph = saved(skew_join(edges, seeded, ["pattern"], "inner"))
     scores = None
     for _ in range(rounds):
         if scores is None:
             scored = graph.withColumn("score", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0))
         else:
-            scored = graph.join(scores, ["kind", "value"]).withColumn(
+            scored = skew_join(graph, scores, ["kind", "value"], "inner").withColumn(
                 "score", F.when(F.col("seed") == "", F.col("score")).otherwise((F.col("seed") == F.col("kind")).cast("double"))
             )
         patterns = saved(
@@ -150,8 +150,7 @@ def confident_patterns(scanned: DataFrame, rounds: int = 3, confidence: float =
         # 1 - product of (1 - confidence), as a sum of logarithms
         doubt = F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))
         scores = (
-            graph.select("kind", "value", "pattern")
-            .join(patterns, ["kind", "pattern"])
+            skew_join(graph.select("kind", "value", "pattern"), patterns, ["kind", "pattern"], "inner")
             .groupBy("kind", "value")
             .agg((1 - F.exp(F.sum(doubt))).alias("score"))
         )
