@@ -21,6 +21,7 @@ same answer; without seeds nothing is discovered.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -84,12 +85,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def identifiers(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
     """Tokens with a digit and at least 5 characters once trimmed, that touch no span."""
-    ahead = sorted((a, b) for _, a, b in taken)
+    ahead = deque(sorted((a, b) for _, a, b in taken))
     for m in TOKEN.finditer(text) if DIGITS.search(text) else ():
         a = m.start() + len(m[0]) - len(m[0].lstrip(TRIM))
         b = a + len(m[0].strip(TRIM))
         while ahead and ahead[0][1] <= a:
-            ahead.pop(0)
+            ahead.popleft()
         if b - a >= 5 and not (ahead and ahead[0][0] < b):
             yield a, b
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,11 +58,11 @@ def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[
     """Runs of credential characters with a letter and a digit that touch no span."""
     if not DIGIT.search(text):
         return []
-    out, ahead = [], sorted((a, b) for _, a, b, _ in taken)
+    out, ahead = [], deque(sorted((a, b) for _, a, b, _ in taken))
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         while ahead and ahead[0][1] <= a:
-            ahead.pop(0)
+            ahead.popleft()
         if ahead and ahead[0][0] < b:
             continue
         if DIGIT.search(m[0]) and ALPHA.search(m[0]):

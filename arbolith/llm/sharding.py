@@ -75,7 +75,7 @@ def schedule_bins(bins: list[tuple[int, int, int, int]], shards: int) -> list[tu
 
 
 def shard_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, buckets: int = 256, salts: int = 32,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, buckets: int = 256, salts: int = 1024,
     carry: bool = False,
 ) -> DataFrame:
     """One row per input row: `id_col`, size, text_crc32 (long), shard (int), slot (long, gapless from 0 in each shard).
