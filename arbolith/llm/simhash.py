@@ -205,15 +205,9 @@ def near_duplicates(
     )
 
 
-def one_per_group(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 8
-) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the one with the smallest id (null last) stays."""
-    text = wide_hash(text_or_empty(text_col), "t")
-    rows = saved(fingerprints(docs, [F.col(id_col).alias("id"), *text], text_col, shingle))
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t1", "t2")).alias("first")
-    rooted = roots(rows.groupBy("fp").agg(first), distance, blocks)
-    stay = rooted.groupBy("root").agg(F.min("first").alias("k")).select("k.id", "k.t1", "k.t2").toDF("_id", "_t1", "_t2")
+def keep_first(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of `docs` for each row of `stay`: id, and the text's hash t1, t2."""
+    stay, text = stay.toDF("_id", "_t1", "_t2"), wide_hash(text_or_empty(text_col), "t")
     keys = ["_key", "_k1", "_k2"]  # an id as text, so that null ids are joined and the window needs no second shuffle
     as_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     named = docs.select(F.struct("*").alias("_row"), as_key(id_col).alias("_key"), *(h.alias(k) for h, k in zip(text, keys[1:])))
@@ -224,3 +218,15 @@ def one_per_group(
         .filter("_nth = 1")
         .select("_row.*")
     )
+
+
+def one_per_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 8
+) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the one with the smallest id (null last) stays."""
+    text = wide_hash(text_or_empty(text_col), "t")
+    rows = saved(fingerprints(docs, [F.col(id_col).alias("id"), *text], text_col, shingle))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t1", "t2")).alias("first")
+    rooted = roots(rows.groupBy("fp").agg(first), distance, blocks)
+    stay = rooted.groupBy("root").agg(F.min("first").alias("k")).select("k.id", "k.t1", "k.t2")
+    return keep_first(docs, stay, id_col, text_col)
