@@ -6,13 +6,13 @@ word after). Every identifier-like token of the corpus, a token with a digit, is
 around it. Spark scores the graph of patterns and instances for each kind of seed, in turn: a
 pattern's confidence is the mean score of its instances (with one failure added), and an
 instance's score is the chance that not all of its patterns are wrong; seeds keep score 1
-and 0 for other kinds. Patterns that end with `confidence` and `support` distinct seeds
-discover the instances in them: spans of kind like_email, like_ip, like_card or like_phone.
+and 0 for other kinds. Each round's scores reach the patterns of all instances, seeded or not. Patterns that end with
+`confidence` and `support` distinct instances that are seeds or score `confidence` discover the instances in them:
+spans of kind like_email, like_ip, like_card or like_phone.
 
 Scale: one pass over the texts leaves ids, spans and contexts in the shared checkpoint folder;
-texts are never shuffled. Edges are distinct (pattern, value) pairs, aggregated before each shuffle; patterns
-without a seed are dropped first, as their confidence is 0 in the first round and their instances' scores then come
-from other patterns only. Confident patterns are joined, not collected.
+texts are never shuffled. Edges are distinct (pattern, value) pairs, aggregated before each shuffle. An instance
+without a score adds nothing to a sum, so only its count is kept. Confident patterns are joined, not collected.
 
 Null texts count as empty. Places are code points, ends exclusive. Rows that repeat get the
 same answer; without seeds nothing is discovered.
@@ -132,31 +132,36 @@ def confident_patterns(scanned: DataFrame, rounds: int = 3, confidence: float =
     edges = saved(
         spans.select(F.explode("s.patterns").alias("pattern"), F.col("s.value").alias("value"), F.col("s.kind").alias("seed")).distinct()
     )
-    seeded = edges.filter("seed <> ''").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds"))
-    # for each pattern and each kind it has seeds of, all of its instances
-    graph = saved(skew_join(edges, seeded, ["pattern"], "inner"))
-    scores = None
-    for _ in range(rounds):
-        if scores is None:
-            scored = graph.withColumn("score", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0))
-        else:
-            scored = skew_join(graph, scores, ["kind", "value"], "inner").withColumn(
-                "score", F.when(F.col("seed") == "", F.col("score")).otherwise((F.col("seed") == F.col("kind")).cast("double"))
-            )
+    sizes = saved(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    seeds = edges.filter("seed <> ''").select("pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
+    others = edges.filter("seed = ''").select("pattern", "value")
+    scored = seeds
+    for k in range(rounds):
+        if k:
+            found = skew_join(others, scores, ["value"], "inner").select("pattern", F.explode("s").alias("s"))
+            scored = seeds.unionByName(found.select("pattern", "s.kind", "s.score"))
+        sums = scored.groupBy("pattern", "kind").agg(
+            F.sum("score").alias("total"), F.count_if(F.col("score") >= confidence).alias("sure")
+        )
+        # instances without a score count with 0
         patterns = saved(
-            scored.groupBy("pattern", "kind").agg(
-                (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.max("seeds").alias("seeds")
-            )
+            skew_join(sums, sizes, ["pattern"], "inner").select("pattern", "kind", (F.col("total") / (F.col("n") + 1)).alias("confidence"), "sure")
         )
+        if k == rounds - 1:
+            break
         # 1 - product of (1 - confidence), as a sum of logarithms
         doubt = F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))
-        scores = (
-            skew_join(graph.select("kind", "value", "pattern"), patterns, ["kind", "pattern"], "inner")
-            .groupBy("kind", "value")
-            .agg((1 - F.exp(F.sum(doubt))).alias("score"))
+        by_pattern = patterns.groupBy("pattern").agg(F.collect_list(F.struct("kind", doubt.alias("doubt"))).alias("k"))
+        scores = saved(
+            skew_join(edges.select("value", "pattern"), by_pattern, ["pattern"], "inner")
+            .select("value", F.explode("k").alias("k"))
+            .groupBy("value", "k.kind")
+            .agg((1 - F.exp(F.sum("k.doubt"))).alias("score"))
+            .groupBy("value")
+            .agg(F.collect_list(F.struct("kind", "score")).alias("s"))
         )
-    good = patterns.filter((F.col("confidence") >= confidence) & (F.col("seeds") >= support))
-    best = F.max(F.struct("confidence", "seeds", "kind")).alias("b")
+    good = patterns.filter((F.col("confidence") >= confidence) & (F.col("sure") >= support))
+    best = F.max(F.struct("confidence", "sure", "kind")).alias("b")
     return good.groupBy("pattern").agg(best).select("pattern", "b.kind", "b.confidence")
 
 

@@ -66,3 +66,16 @@ def test_contexts_discover_unseen_identifiers(spark, empty):
         assert [(s.kind, text[s.first : s.last]) for s in found[i]] == [("like_phone", text.split()[3])]
     assert not any(found[i] for i, _ in seen + plain)
     assert find_pii(empty).collect() == []
+
+
+def test_discovered_identifiers_teach_further_contexts(spark):
+    """Numbers found after words that seeds taught teach the words of their other places, which hold no seed."""
+    seen = [(i, f"please call me +1 (555) 010-{1000 + i} thanks") for i in range(60)]
+    both = [(100 + i, f"please call me 555.010.{3000 + i} thanks. Ring our hotline 555.010.{3000 + i} today") for i in range(20)]
+    only = [(200 + i, f"Ring our hotline 555.010.{5000 + i} today") for i in range(3)]
+    plain = [(300 + i, f"chapter number {i + 10000} of the book") for i in range(30)]
+    got = find_pii(spark.createDataFrame(seen + both + only + plain, "doc_id long, text string")).collect()
+    found = {r.doc_id: r.discovered for r in got}
+    for i, text in only:
+        assert [(s.kind, text[s.first : s.last]) for s in found[i]] == [("like_phone", text.split()[3])]
+    assert all(len(found[i]) == 2 for i, _ in both) and not any(found[i] for i, _ in seen + plain)
