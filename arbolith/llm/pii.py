@@ -2,8 +2,8 @@
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers: the seed entities.
 The words around a seed are its lexical patterns (the two words before it; the word before and the
-word after). Every identifier-like token of the corpus, a token with a digit, is an instance of the patterns
-around it. Spark scores the graph of patterns and instances for each kind of seed, in turn: a
+word after). Every identifier-like part of the corpus (a token with a digit, an @ or an inner dot, also
+written out as [at] or [dot]; a run of digit groups) is an instance of the patterns around it. Spark scores the graph of patterns and instances for each kind of seed, in turn: a
 pattern's confidence is the mean score of its instances (with one failure added), and an
 instance's score is the chance that not all of its patterns are wrong; seeds keep score 1
 and 0 for other kinds. Each round's scores reach the patterns of all instances, seeded or not. Patterns that end with
@@ -38,7 +38,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # no match s
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+MARK = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]|[^\W\d_]\.[^\W\d_]", re.IGNORECASE)
+#: Groups of digits joined by up to 3 spaces, dots, brackets or hyphens; possessive, so that a match is never tried twice.
+RUN = re.compile(r"(?<!\w)\(?[0-9]++(?:[\x20.()\[\]-]{1,3}+[0-9]++)++")
 TRIM = "\"'()[]{}<>,;:.!?#$%&*|"
 FIELD = "struct<kind:string,first:int,last:int,value:string,patterns:array<string>>"
 
@@ -84,11 +87,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def identifiers(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit and at least 5 characters once trimmed, that touch no span."""
+    """Tokens with a digit, an @ or a dot inside, written out ([at], [dot]) or not, and runs of digit groups, by place: those of
+    at least 5 characters once trimmed that touch no span. A run and a token in it are both given."""
+    if not MARK.search(text):
+        return
+    found = {m.span() for m in RUN.finditer(text)}
+    for m in TOKEN.finditer(text):
+        if MARK.search(m[0]):
+            a = m.start() + len(m[0]) - len(m[0].lstrip(TRIM))
+            found.add((a, a + len(m[0].strip(TRIM))))
     ahead = deque(sorted((a, b) for _, a, b in taken))
-    for m in TOKEN.finditer(text) if DIGITS.search(text) else ():
-        a = m.start() + len(m[0]) - len(m[0].lstrip(TRIM))
-        b = a + len(m[0].strip(TRIM))
+    for a, b in sorted(found):
         while ahead and ahead[0][1] <= a:
             ahead.popleft()
         if b - a >= 5 and not (ahead and ahead[0][0] < b):

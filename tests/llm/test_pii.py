@@ -79,3 +79,17 @@ def test_discovered_identifiers_teach_further_contexts(spark):
     for i, text in only:
         assert [(s.kind, text[s.first : s.last]) for s in found[i]] == [("like_phone", text.split()[3])]
     assert all(len(found[i]) == 2 for i, _ in both) and not any(found[i] for i, _ in seen + plain)
+
+
+def test_identifiers_of_several_tokens_or_without_digits(spark):
+    """Numbers with spaces or a bracketed area code are found whole, and so are addresses that are written out."""
+    seen = [(i, f"please call me +1 (555) 010-{1000 + i} thanks") for i in range(40)]
+    seen += [(100 + i, f"or email me at someone{i}@example.org soon") for i in range(40)]
+    hidden = [(200, "please call me ", "020 794 0958"), (201, "please call me ", "555 010 3000"), (202, "please call me ", "(407) 555-7710")]
+    hidden += [(203, "or email me at ", "jane.doe[at]example[dot]com"), (204, "or email me at ", "Jo.Ann@localhost")]
+    rows = seen + [(i, f"{before}{value} thanks") for i, before, value in hidden]
+    rows += [(300 + i, f"in the end e.g. {1900 + i} 12 3 of the book") for i in range(30)]
+    got = {r.doc_id: r.discovered for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, before, value in hidden:
+        assert [(s.kind, s.value, s.first) for s in got[i]] == [("like_phone" if i < 203 else "like_email", value, len(before))]
+    assert not any(got[i] for i, *_ in seen) and not any(got[300 + i] for i in range(30))
