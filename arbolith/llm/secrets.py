@@ -4,8 +4,9 @@ The fixed patterns find assignments, access keys and hexadecimal runs. Up to `sa
 values of each kind become labelled credentials. Half of them build a prefix tree over
 character classes whose statistically compatible states are merged into a probabilistic
 automaton; the other half sets the likelihood that 98% of credentials reach. Then every
-candidate of the corpus, a run of credential characters with letters and digits, is scored,
-and those that are as likely as labelled credentials become spans of kind learned.
+candidate of the corpus, a run of 12 or more credential characters outside of the fixed patterns' spans, is scored,
+and those that are as likely as labelled credentials become spans of kind learned. A kind with fewer than 8 distinct
+labelled values has no automaton: nothing is learned from it.
 
 Scale: one pass over the texts, which leaves only ids, spans and candidates, in the shared
 checkpoint folder; scoring reads that. The labelled values are the `sample` smallest by a
@@ -37,7 +38,6 @@ KEYWORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run that is too short has no longer one inside
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
-DIGIT, ALPHA = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 SPAN = "struct<kind:string,first:int,last:int,value:string>"
 
@@ -55,17 +55,13 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs of credential characters with a letter and a digit that touch no span."""
-    if not DIGIT.search(text):
-        return []
+    """Runs of credential characters that touch no span."""
     out, ahead = [], deque(sorted((a, b) for _, a, b, _ in taken))
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         while ahead and ahead[0][1] <= a:
             ahead.popleft()
-        if ahead and ahead[0][0] < b:
-            continue
-        if DIGIT.search(m[0]) and ALPHA.search(m[0]):
+        if not (ahead and ahead[0][0] < b):
             out.append((a, b, m[0]))
     return out
 

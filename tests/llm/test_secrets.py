@@ -79,3 +79,20 @@ def test_automaton_merges_states_and_scores():
     assert sum(model.score(v) >= least for v in fresh) > 180
     assert model.score("mail7.example.com") < least and model.score("Z" * 32) < least
     assert infer(["a1"] * 3) is None
+
+
+def test_learned_keys_without_digits_or_letters(spark):
+    """Random keys that happen to hold no digit, and keys of digits only, are found; ordinary long words are not."""
+    rng = random.Random(6)
+    draw = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    upper, digits = "ABCDEFGHJKMNPQRSTUVWXYZ", "0123456789"
+    rows = [(i, f"some words token={draw(upper + digits, 12)} more") for i in range(150)]
+    rows += [(i, f"some words secret={draw(digits, 12)} more") for i in range(150, 300)]
+    bare = [(400 + i, f"the key is {draw(upper, 12)} today") for i in range(20)]
+    bare += [(500 + i, f"the key is {draw(digits, 12)} today") for i in range(20)]
+    plain = [(600, "internationalisation of Verantwortungsbewusstsein, anticonstitutionnellement responsabilidades"), (601, "============ ------------")]
+    got = find_secrets(spark.createDataFrame(rows + bare + plain, "doc_id long, text string")).collect()
+    learned = {r.doc_id: [s.value for s in r.learned] for r in got}
+    assert sum(learned[i] == [text.split()[3]] for i, text in bare[:20]) >= 16
+    assert sum(learned[i] == [text.split()[3]] for i, text in bare[20:]) >= 18
+    assert not any(learned[i] for i, _ in rows + plain)
