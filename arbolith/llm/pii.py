@@ -1,8 +1,8 @@
 """PII by bootstrapped contextual extraction.
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers: the seed entities.
-The words around a seed are its lexical patterns (the two words before it; the word before and the
-word after). Every identifier-like part of the corpus (a token with a digit, an @ or an inner dot, also
+The words around a seed, runs of letters, digits and underscores, are its lexical patterns (the two words before it; the word
+before and the word after), however far away they stand. Every identifier-like part of the corpus (a token with a digit, an @ or an inner dot, also
 written out as [at] or [dot]; a run of digit groups) is an instance of the patterns around it. Spark scores the graph of patterns and instances for each kind of seed, in turn: a
 pattern's confidence is the mean score of its instances (with one failure added), and an
 instance's score is the chance that not all of its patterns are wrong; seeds keep score 1
@@ -20,6 +20,7 @@ same answer; without seeds nothing is discovered.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -39,6 +40,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = re.compile(r"\w+")
 MARK = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]|[^\W\d_]\.[^\W\d_]", re.IGNORECASE)
 #: Groups of digits joined by up to 3 spaces, dots, brackets or hyphens; possessive, so that a match is never tried twice.
 RUN = re.compile(r"(?<!\w)\(?[0-9]++(?:[\x20.()\[\]-]{1,3}+[0-9]++)++")
@@ -73,7 +75,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if DIGITS.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
                 found.append(("ip", *m.span()))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -104,12 +106,27 @@ def identifiers(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[
             yield a, b
 
 
-def contexts(text: str, first: int, last: int, reach: int = 80) -> list[str]:
-    """Patterns of the words within `reach` characters around [first, last), lower-cased and trimmed."""
-    before = [w for w in (x.strip(TRIM) for x in text[max(0, first - reach) : first].lower().split()) if w]
-    after = [w for w in (x.strip(TRIM) for x in text[last : last + reach].lower().split()) if w]
-    out = [f"{before[-2]} {before[-1]} _"] if len(before) > 1 else []
-    return out + ([f"{before[-1]} _ {after[0]}"] if before and after else [])
+def words_before(text: str, first: int) -> list[str]:
+    """The two words nearest before `first`, fewer if there are no more. Looks back twice as far until they are whole."""
+    reach = 80
+    while True:
+        at = max(0, first - reach)
+        found = WORD.findall(text, at, first)
+        if at and found and WORD.fullmatch(text, at - 1, at + 1):  # begins before the part looked at
+            del found[0]
+        if not at or len(found) > 1:
+            return found[-2:]
+        reach *= 2
+
+
+def contexts(text: str, first: int, last: int) -> list[str]:
+    """Patterns of the words around [first, last), lower-cased; words of over 64 characters stand as their hash."""
+    before, after = words_before(text, first), WORD.search(text, last)
+    near = [
+        w.lower() if len(w) <= 64 else hashlib.md5(w.lower().encode()).hexdigest() for w in (*before, *([after[0]] if after else []))
+    ]
+    out = [f"{near[0]} {near[1]} _"] if len(before) > 1 else []
+    return out + ([f"{near[-2]} _ {near[-1]}"] if before and after else [])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
