@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from arbolith.llm.suffixes import suffix_array, suffix_ranks
+from arbolith.llm.suffixes import suffix_array
 
 
 class WaveletRanks:
@@ -42,7 +42,7 @@ class FMIndex:
         ends = np.flatnonzero(text == 0)
         unlike = text + 0  # each 0 becomes a symbol of its own, so that suffixes differ
         unlike[ends] = words + 1 + np.arange(len(ends))
-        order = suffix_array(suffix_ranks(unlike))
+        order = suffix_array(unlike)
         self.last = text[order - 1]
         self.ranks = WaveletRanks(self.last, bits)
         counts = np.bincount(text[text > 0], minlength=words + 2)

@@ -7,7 +7,8 @@ rejected when it is too short, when repeats cover too large a fraction of its wo
 characters, or when one repeat is too long.
 
 Scale: one pass without a shuffle; a task sorts the texts of about 4 MB at a time,
-and after the first level only words that the text repeats. Memory follows the longest text.
+and after the first round only words that the text repeats. Memory is linear in the longest text: some 60 bytes a word,
+whose words are numbered in pieces and never listed whole.
 
 Null and empty texts have no words and are rejected as too short. Rows that repeat get the
 same answer; no column but the id and the text is read.
@@ -15,6 +16,7 @@ same answer; no column but the id and the text is read.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,9 +30,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from arbolith.llm.common import slices
-from arbolith.llm.suffixes import longest_repeats, suffix_ranks
+from arbolith.llm.suffixes import longest_repeats
 
 WHITE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
+SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 FIELDS = {
     name: pa.int64()
@@ -51,25 +54,47 @@ class Rules:
     most_repeat: int = 200
 
 
-def repeated_spans(texts: list[list[bytes]], repeat_words: int) -> tuple[list[list[tuple[int, int]]], list[int]]:
-    """For each list of words: the united spans [first, last) of its repeats, and the longest repeat's length."""
+def pieces(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """`raw` cut at white space into pieces of about `size` bytes."""
+    at = 0
+    while len(raw) - at > size:
+        cut = SPACE.search(raw, at + size)
+        if not cut:
+            break
+        yield raw[at : cut.start()]
+        at = cut.start()
+    yield raw[at:] if at else raw
+
+
+def numbered(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of a text, equal for equal words, and the words' lengths in bytes."""
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)
+    ids, sizes = [], []
+    for piece in pieces(raw):
+        words = piece.split()
+        ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        sizes.append(np.fromiter(map(len, words), np.int32, len(words)))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+def repeated_spans(texts: list[np.ndarray], repeat_words: int) -> tuple[list[list[tuple[int, int]]], list[int]]:
+    """For each sequence of word numbers: the united spans [first, last) of its repeats, and the longest repeat's length."""
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     longest = [0] * len(texts)
     ids, starts, owners, used, at = [], [], [], 0, 0
-    for i, words in enumerate(texts):
-        if len(words) <= repeat_words:
+    for i, own in enumerate(texts):
+        if len(own) <= repeat_words:
             continue
-        number = defaultdict(count(used).__next__)
-        ids.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-        used += len(number)
-        ids.append(np.array([used]))  # ends the text; occurs nowhere else
+        ids.append(own + used)
+        used += int(own.max()) + 1
+        ids.append(np.array([used], np.int32))  # ends the text; occurs nowhere else
         used += 1
         starts.append(at)
         owners.append(i)
-        at += len(words) + 1
+        at += len(own) + 1
     if not ids:
         return spans, longest
-    lengths = longest_repeats(suffix_ranks(np.concatenate(ids)))
+    lengths = longest_repeats(np.concatenate(ids))
     begin = np.flatnonzero(lengths >= repeat_words)
     if not len(begin):
         return spans, longest
@@ -95,14 +120,14 @@ def measure(texts: list[str | None], rules: Rules) -> dict[str, list]:
     """The columns of FIELDS for each text."""
     texts = [t or "" for t in texts]
     encoded = [t.encode() for t in texts]
-    words = [e.split() for e in encoded]
-    spans, longest = repeated_spans(words, rules.repeat_words)
+    ids, sizes = zip(*map(numbered, encoded)) if texts else ((), ())
+    spans, longest = repeated_spans(list(ids), rules.repeat_words)
     out: dict[str, list] = {name: [] for name in FIELDS}
-    for text, raw, ws, found, most in zip(texts, encoded, words, spans, longest):
+    for text, raw, ws, found, most in zip(texts, encoded, sizes, spans, longest):
         lines = [x for x in raw.split(b"\n") if x.strip()]
         solid = len(raw.translate(None, WHITE))
         repeated = sum(b - a for a, b in found)
-        covered = sum(len(w) for a, b in found for w in ws[a:b])
+        covered = sum(int(ws[a:b].sum()) for a, b in found)
         failed = len(ws) < rules.least_words or 100 * repeated > rules.most_percent * len(ws)
         row = {
             "n_words": len(ws),

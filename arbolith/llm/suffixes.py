@@ -1,67 +1,86 @@
-"""Suffix arrays of integer sequences by prefix doubling over the positions that are still tied."""
+"""Suffix arrays of integer sequences by prefix doubling, and longest common prefixes, both in linear memory."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def suffix_ranks(ids: np.ndarray) -> list[np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... symbols, until all differ.
+def suffix_array(ids: np.ndarray) -> np.ndarray:
+    """Positions in the order of their suffixes.
 
-    Equal ranks at level k mean equal first 2**k symbols. `ids` are 0, 1, ...; its last symbol, and
-    whatever ends a part of it, occurs once. Only positions that are tied go on to the next level.
+    `ids` are 0, 1, ...; its last symbol, and whatever ends a part of it, occurs once. A round ranks suffixes by twice
+    as many symbols as the one before; only positions that are still tied take part, and only the last ranks are kept.
     """
     counts = np.bincount(ids)
     starts = np.cumsum(counts) - counts
-    rank = starts[ids].astype(np.int64)
-    levels = [rank.astype(np.int32)]
-    tied = np.flatnonzero(counts[ids] > 1)
+    rank = starts[ids].astype(np.int32)
+    tied = np.flatnonzero(counts[ids] > 1).astype(np.int32)
     width = 1
     while len(tied):
-        key = rank[tied] * len(ids) + rank[tied + width]
+        key = rank[tied].astype(np.int64)
+        key *= len(ids)
+        key += rank[tied + width]
         order = np.argsort(key, kind="stable")
         tied, key = tied[order], key[order]
-        at = np.arange(len(tied))
+        del order
+        at = np.arange(len(tied), dtype=np.int32)
         old = rank[tied]
         first_old = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], at, 0))
         is_new = np.r_[True, key[1:] != key[:-1]]
+        del key
         first_new = np.maximum.accumulate(np.where(is_new, at, 0))
         rank[tied] = old + first_new - first_old
         single = is_new & np.r_[is_new[1:], True]
         tied = tied[~single]
-        levels.append(rank.astype(np.int32))
         width *= 2
-    return levels
-
-
-def suffix_array(levels: list[np.ndarray]) -> np.ndarray:
-    order = np.empty(len(levels[-1]), np.int64)
-    order[levels[-1]] = np.arange(len(order))
+    order = np.empty(len(ids), np.int32)
+    order[rank] = np.arange(len(ids), dtype=np.int32)
     return order
 
 
-def common_prefixes(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common prefix of the suffixes at `a` and at `b`, pair by pair (a != b)."""
+def common_prefixes(ids: np.ndarray, a: np.ndarray, b: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
+    """Length of the longest common prefix of the suffixes at `a` and at `b`, pair by pair (a != b).
+
+    Pairs that still agree are compared over twice as many symbols in the next round.
+    """
     length = np.zeros(len(a), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        same = levels[k][a + length] == levels[k][b + length]
-        length += same.astype(np.int64) << k
+    live, width, last = np.arange(len(a)), 8, len(ids) - 1
+    while len(live):
+        left = []
+        step = max(1, cells // width)
+        for at in range(0, len(live), step):
+            part = live[at : at + step]
+            ahead = length[part, None] + np.arange(width)
+            unlike = ids[np.minimum(a[part, None] + ahead, last)] != ids[np.minimum(b[part, None] + ahead, last)]
+            ends = unlike.any(axis=1)
+            length[part] += np.where(ends, unlike.argmax(axis=1), width)
+            left.append(part[~ends])
+        live, width = np.concatenate(left), min(2 * width, cells)
     return length
 
 
-def longest_repeats(levels: list[np.ndarray]) -> np.ndarray:
+def longest_repeats(ids: np.ndarray) -> np.ndarray:
     """For each position, the length of its longest prefix that also starts elsewhere.
 
     The neighbours in the suffix array decide; these lengths are the depths of the innermost
-    common-prefix intervals, so the spans [i, i + length) cover all maximal repeats.
+    common-prefix intervals, so the spans [i, i + length) cover all maximal repeats. Where a position and its
+    neighbour follow the same symbol, the common prefix is one shorter than the one a place before; only the
+    others are compared, whose prefixes have n log n symbols in all.
     """
-    order, first = suffix_array(levels), levels[0]
-    a, b = order[:-1], order[1:]
-    alike = np.flatnonzero(first[a] == first[b])
-    longest = np.zeros(len(order), np.int64)
-    if len(alike):
-        a, b = a[alike], b[alike]
-        common = common_prefixes(levels, a, b)
-        longest[a] = common
-        np.maximum.at(longest, b, common)
+    order = suffix_array(ids)
+    before = np.full(len(ids), -1, np.int32)
+    before[order[1:]] = order[:-1]
+    del order
+    places = np.arange(len(ids), dtype=np.int32)
+    head = np.ones(len(ids), bool)  # whether the place's prefix has to be compared
+    inner = np.flatnonzero((before > 0) & (places > 0))
+    head[inner] = ids[inner - 1] != ids[before[inner] - 1]
+    common = np.zeros(len(ids), np.int32)
+    compared = np.flatnonzero(head & (before >= 0))
+    common[compared] = common_prefixes(ids, compared, before[compared])
+    origin = np.maximum.accumulate(np.where(head, places, 0))
+    common = common[origin] - (places - origin)
+    longest = common.copy()
+    has = np.flatnonzero(before >= 0)
+    longest[before[has]] = np.maximum(longest[before[has]], common[has])
     return longest

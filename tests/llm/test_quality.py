@@ -1,11 +1,14 @@
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 
 from arbolith.llm import queries
-from arbolith.llm.quality import passing, quality_rules, repeated_spans
-from arbolith.llm.suffixes import longest_repeats, suffix_array, suffix_ranks
+from arbolith.llm.quality import Rules, measure, numbered, passing, pieces, quality_rules, repeated_spans
+from arbolith.llm.suffixes import longest_repeats, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,10 +69,8 @@ def test_suffix_array_and_repeats():
     rng = random.Random(1)
     for _ in range(50):
         ids = np.array([rng.randrange(3) for _ in range(rng.randrange(1, 60))] + [3])
-        levels = suffix_ranks(ids)
         seq = ids.tolist()
-        order = suffix_array(levels).tolist()
-        assert order == sorted(range(len(seq)), key=lambda i: seq[i:])
+        assert suffix_array(ids).tolist() == sorted(range(len(seq)), key=lambda i: seq[i:])
 
         def common(a, b):
             n = 0
@@ -78,11 +79,62 @@ def test_suffix_array_and_repeats():
             return n
 
         want = [max([0, *(common(i, j) for j in range(len(seq)) if j != i)]) for i in range(len(seq))]
-        assert longest_repeats(levels).tolist() == want
+        assert longest_repeats(ids).tolist() == want
 
 
 def test_spans_are_united():
-    words = [f"w{i}".encode() for i in range(12)]
-    spans, longest = repeated_spans([words + [b"x"] + words, [b"a"] * 20, words], 8)
+    once = " ".join(f"w{i}" for i in range(12))
+    texts = [f"{once} x {once}", " ".join(["a"] * 20), once]
+    spans, longest = repeated_spans([numbered(t.encode())[0] for t in texts], 8)
     assert spans == [[(0, 12), (13, 25)], [(0, 20)], []]
     assert longest == [12, 19, 0]
+
+
+def test_verdicts_that_differ_from_the_base_rule():
+    """Repeats under 30% of the words but over 30% of their bytes, and one repeat of over 200 words, are rejected by the method alone."""
+    words = lambda n, tag: [f"{tag}{i}" for i in range(n)]
+    heavy = [f"{'long' * 10}{i}" for i in range(10)]
+    rows = {
+        "bytes": heavy + words(80, "a") + heavy,
+        "longest": words(201, "b") + words(1200, "c") + words(201, "b"),
+        "at the limit": words(200, "b") + words(1200, "c") + words(200, "b"),
+        "base": words(8, "d") * 4,
+        "short": words(19, "e"),
+        "clean": words(20, "f"),
+    }
+    out = measure([" ".join(w) for w in rows.values()], Rules())
+    got = {name: (failed, kept) for name, failed, kept in zip(rows, out["base_failed"], out["kept"])}
+    assert got == {
+        "bytes": (False, False), "longest": (False, False), "at the limit": (False, True),
+        "base": (True, False), "short": (True, False), "clean": (False, True),
+    }
+    assert out["longest_repeat"][:3] == [10, 201, 200]
+    for k, w in enumerate(rows.values()):
+        base, covered, _ = brute(" ".join(w))
+        assert (out["n_repeat_words"][k], out["base_failed"][k]) == (base[4], base[5])
+        assert out["n_repeat_bytes"][k] == sum(len(w[j]) for j in covered)
+
+
+def test_pieces_hold_whole_words():
+    rng = random.Random(8)
+    for _ in range(200):
+        raw = bytes(rng.choice(b"ab \n\x0b") for _ in range(rng.randrange(60)))
+        assert b"".join(pieces(raw, 5)) == raw
+        assert [w for p in pieces(raw, 5) for w in p.split()] == raw.split()
+        ids, sizes = numbered(raw)
+        assert sizes.tolist() == [len(w) for w in raw.split()] and len(set(ids.tolist())) == len(set(raw.split()))
+
+
+def test_memory_is_linear_in_a_long_text():
+    """20 MB of text that repeats one line for ever: within 1,000 MB of address space beyond what the imports take."""
+    script = (
+        "import resource, sys; sys.path.insert(0, '.')\n"
+        "from arbolith.llm.quality import Rules, measure\n"
+        "kb = int(next(x for x in open('/proc/self/status') if x.startswith('VmSize')).split()[1])\n"
+        "resource.setrlimit(resource.RLIMIT_AS, ((kb << 10) + (1000 << 20),) * 2)\n"
+        "out = measure(['the same line of text again\\n' * 740_000], Rules())\n"
+        "print(out['n_words'], out['n_repeat_words'], out['longest_repeat'])\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, timeout=300, env=os.environ | {"OPENBLAS_NUM_THREADS": "1"})
+    assert done.stdout.split() == ["[4440000]", "[4440000]", "[4439994]"], done.stderr[-500:]
