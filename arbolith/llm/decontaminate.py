@@ -6,9 +6,10 @@ and indexes every run of such words that is long enough for the shortest window;
 window can't occur elsewhere, so nothing is lost. Backward search finds all windows at once,
 sampled suffix positions locate every occurrence, and the covered spans are united.
 
-Scale: documents are read once and never shuffled. The benchmark is broadcast in blocks of
-about `block_bytes` of its text, chosen by its measured size: one block for usual benchmarks; with
-more, the documents pass by each block in turn within the same stage, each adding its spans.
+Scale: documents are read once and never shuffled. The benchmark's windows are broadcast as arrays of
+word numbers, about as large as its text, if its measured size is at most `block_bytes`. A larger benchmark is cut into blocks of
+that size (an item stays whole) and the documents are searched for one after the other; what later blocks find is kept by the text's hash in
+the shared folder and joined, so that no worker and no broadcast holds more than a block, and the driver one at a time.
 
 Null and empty texts have no words, on either side; an item without words is no item. Items with
 equal texts are all named; an item with a null id is named "". Rows that repeat get the same answer.
@@ -17,14 +18,16 @@ equal texts are all named; an item with a null id is named "". Rows that repeat
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from arbolith.llm.common import slices, text_or_empty
+from arbolith.llm.common import saved, skew_join, slices, text_or_empty, wide_hash
 from arbolith.llm.fm_index import FMIndex
 
 #: Lower-cases A-Z; ASCII other than letters and digits separates words.
@@ -38,32 +41,57 @@ def benchmark_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair (a[i], b[i]), equal for equal pairs."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
+def _window_numbers(ids: np.ndarray, window: int) -> np.ndarray:
+    """A number for each run of `window` ids, equal for equal runs: pairs of runs half as long, and two that overlap at the end."""
+    runs, width = ids, 1
+    while 2 * width <= window:
+        runs, width = _pairs(runs[: len(runs) - width], runs[width:]), 2 * width
+    rest = window - width
+    return _pairs(runs[: len(runs) - rest], runs[rest:]) if rest else runs
+
+
 class Windows:
     """The distinct windows of some items: word numbers, places and the items of each."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.number: dict[bytes, int] = {}
-        words, seen, owners = [], {}, []
-        firsts, lengths = [], []
-        for name, text in items:
-            own = benchmark_words(text)
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in own]
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                key = tuple(ids[i : i + size])
-                if key not in seen:
-                    seen[key] = len(firsts)
-                    firsts.append(len(words) + i)
-                    lengths.append(size)
-                    owners.append([])
-                if not owners[seen[key]] or owners[seen[key]][-1] != name:
-                    owners[seen[key]].append(name)
-            words += ids
-        self.words, self.first, self.length = (np.array(x, np.int64) for x in (words, firsts, lengths))
-        self.owners = owners
-
-
-def _runs(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        self.names = [name for name, _ in items]
+        ids = [[self.number.setdefault(w, len(self.number) + 1) for w in benchmark_words(text)] for _, text in items]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        self.words = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        # whole windows, alike if their runs are
+        places = [np.arange(b, b + n - window + 1) for b, n in zip(begins.tolist(), sizes.tolist()) if n >= window]
+        at = np.concatenate(places) if places else np.zeros(0, np.int64)
+        owner = np.searchsorted(begins, at, "right") - 1  # items without words begin where the next one does
+        runs = _window_numbers(self.words.astype(np.int64), window)[at] if len(at) else at
+        _, first, which = np.unique(runs, return_index=True, return_inverse=True)
+        pairs = np.unique(which * max(1, len(items)) + owner)
+        # items that are shorter
+        short: dict[tuple[int, ...], list[int]] = {}
+        for k, own in enumerate(ids):
+            if 0 < len(own) < window:
+                short.setdefault(tuple(own), []).append(k)
+        some = np.array([held[0] for held in short.values()], np.int64)
+        self.first = np.concatenate([at[first], begins[some]])
+        self.length = np.concatenate([np.full(len(first), window, np.int64), sizes[some]])
+        counts = [*np.bincount(pairs // max(1, len(items)), minlength=len(first)), *map(len, short.values())]
+        self.owner_ends = np.cumsum(counts, dtype=np.int64)
+        self.owner_items = np.concatenate([pairs % max(1, len(items)), np.array([k for held in short.values() for k in held], np.int64)])
+        #: Words of the shortest window.
+        self.least = int(self.length.min()) if len(self.length) else 0
+
+    def owners(self, window: int) -> list[str]:
+        begin = int(self.owner_ends[window - 1]) if window else 0
+        return [self.names[k] for k in self.owner_items[begin : int(self.owner_ends[window])].tolist()]
+
+
+def runs_to_index(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of non-zero ids that are `least` long or longer."""
     inside = np.r_[False, ids > 0, False]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -72,27 +100,31 @@ def _runs(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[long], ends[long]
 
 
-def _search(shard: list[list[int]], windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+def _search(shard: list[list[int]], windows: Windows, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Occurrences of the windows in a shard of word numbers, each followed by one 0: window, place."""
+    none = np.zeros(0, np.int64)
     ids = np.concatenate([np.array([*x, 0], np.int64) for x in shard])
-    starts, ends = _runs(ids, int(windows.length.min(initial=1)))
+    starts, ends = runs_to_index(ids, windows.least)
     if not len(starts) or not len(windows.first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
     sizes = ends - starts + 1  # a run and the 0 after it
     begins = np.cumsum(sizes) - sizes
     place = np.arange(sizes.sum()) + np.repeat(starts - begins, sizes)
     text = ids[place]
     text[begins + sizes - 1] = 0
     index = FMIndex(text, len(windows.number))
-    low, high = index.search(windows.words, windows.first, windows.length)
-    times = high - low
-    which = np.repeat(np.arange(len(low)), times)
-    rows = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
-    return which, place[index.locate(rows)]
-
-
-def mark(texts: list[str | None], windows: Windows, before: list[list[dict]], named: list[list[str]]):
-    """For each text: its number of words, the united spans of windows and `before`, the sorted items and `named`."""
+    found = [(none, none)]
+    for at in range(0, len(windows.first), step):
+        low, high = index.search(windows.words, windows.first[at : at + step], windows.length[at : at + step])
+        times = high - low
+        which = np.repeat(np.arange(len(low)), times)
+        rows = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
+        found.append((which + at, place[index.locate(rows)]))
+    return np.concatenate([w for w, _ in found]), np.concatenate([p for _, p in found])
+
+
+def mark(texts: list[str | None], windows: Windows):
+    """For each text: its number of words, the united spans of windows and the sorted items."""
     words = [benchmark_words(t) for t in texts]
     get = windows.number.get
     which, at = _search([list(map(get, w, repeat(0))) for w in words], windows)
@@ -100,14 +132,10 @@ def mark(texts: list[str | None], windows: Windows, before: list[list[dict]], na
     covered = np.zeros(bounds[-1] + 1, np.int64)
     np.add.at(covered, at, 1)
     np.add.at(covered, at + windows.length[which], -1)
-    for k, spans in enumerate(before):
-        for s in spans:
-            covered[bounds[k] + s["first"]] += 1
-            covered[bounds[k] + s["last"]] -= 1
-    names = [set(x) for x in named]
+    names: list[set[str]] = [set() for _ in words]
     owner = np.searchsorted(bounds, at, "right") - 1
     for x in np.unique(owner + which * len(words)).tolist():
-        names[x % len(words)].update(windows.owners[x // len(words)])
+        names[x % len(words)].update(windows.owners(x // len(words)))
     inside = np.r_[False, np.cumsum(covered) > 0]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     hits: list[list[dict]] = [[] for _ in words]
@@ -117,20 +145,35 @@ def mark(texts: list[str | None], windows: Windows, before: list[list[dict]], na
     return [len(w) for w in words], hits, [sorted(x) for x in names]
 
 
-def _pass(broadcast, drop_text: bool):
+def _search_shards(rows: DataFrame, windows: Windows) -> DataFrame:
+    """`rows` with _n_words, _hits and _items in place of _text."""
+    broadcast = rows.sparkSession.sparkContext.broadcast(windows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows: Windows = broadcast.value
         for batch in slices(batches, "_text", 4 << 20):
-            columns = dict(zip(batch.schema.names, batch.columns))
-            n, hits, names = mark(
-                columns["_text"].to_pylist(), windows, columns["_hits"].to_pylist(), columns["_items"].to_pylist()
+            n, hits, names = mark(batch.column("_text").to_pylist(), broadcast.value)
+            more = {"_n_words": pa.array(n, pa.int64()), "_hits": pa.array(hits, SPAN), "_items": pa.array(names, pa.list_(pa.string()))}
+            kept = batch.drop_columns(["_text"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *more.values()], names=[*kept.schema.names, *more])
+
+    found = "_n_words long, _hits array<struct<first:int,last:int>>, _items array<string>"
+    return rows.mapInArrow(run, T.StructType([*rows.drop("_text").schema, *T.StructType.fromDDL(found)]))
+
+
+def _united(spans: Column) -> Column:
+    """Spans with those that overlap or touch united, by place."""
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    last = lambda done: F.element_at(done, -1)
+    return F.aggregate(
+        F.array_sort(spans),
+        none,
+        lambda done, s: F.when((F.size(done) == 0) | (s["first"] > last(done)["last"]), F.concat(done, F.array(s))).otherwise(
+            F.concat(
+                F.slice(done, F.lit(1), F.size(done) - 1),
+                F.array(F.struct(last(done)["first"].alias("first"), F.greatest(last(done)["last"], s["last"]).alias("last"))),
             )
-            columns |= {"_n_words": pa.array(n, pa.int64()), "_hits": pa.array(hits, SPAN), "_items": pa.array(names, pa.list_(pa.string()))}
-            if drop_text:
-                columns["_text"] = pa.nulls(len(n), pa.string())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return run
+        ),
+    )
 
 
 def _marked(rows: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
@@ -140,18 +183,26 @@ def _marked(rows: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_c
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // block_bytes
-    rows = rows.select(
-        "*",
-        F.lit(0).cast("long").alias("_n_words"),
-        F.array().cast("array<struct<first:int,last:int>>").alias("_hits"),
-        F.array().cast("array<string>").alias("_items"),
-    )
-    for k in range(blocks):
+
+    def windows(k: int) -> Windows:
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else items
-        windows = Windows([(r.name, r.text) for r in part.collect()], window)  # about block_bytes
-        rows = rows.mapInArrow(_pass(rows.sparkSession.sparkContext.broadcast(windows), k == blocks - 1), rows.schema)
+        return Windows([(r.name, r.text) for r in part.collect()], window)  # about block_bytes
+
+    keys = wide_hash(F.coalesce("_text", F.lit("")), "_t")
+    marked = _search_shards(rows.select("*", *keys) if blocks > 1 else rows, windows(0))
+    if blocks > 1:
+        texts = rows.select("_text", *keys)
+        later = [saved(_search_shards(texts, windows(k)).filter(F.size("_hits") > 0).select("_t1", "_t2", "_hits", "_items")) for k in range(1, blocks)]
+        more = reduce(DataFrame.unionByName, later).groupBy("_t1", "_t2")  # at most `blocks` unlike rows a text
+        more = more.agg(F.flatten(F.collect_set("_hits")).alias("_h"), F.flatten(F.collect_set("_items")).alias("_i"))
+        marked = skew_join(marked, more, ["_t1", "_t2"], "left").withColumns(
+            {
+                "_hits": F.when(F.col("_h").isNull(), F.col("_hits")).otherwise(_united(F.concat("_hits", F.col("_h")))),
+                "_items": F.when(F.col("_i").isNull(), F.col("_items")).otherwise(F.array_sort(F.array_union("_items", F.col("_i")))),
+            }
+        )
     n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda n, s: n + (s["last"] - s["first"]).cast("long"))
-    return rows.withColumn("_n_hit", n_hit).drop("_text")
+    return marked.withColumn("_n_hit", n_hit)
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -167,7 +218,7 @@ def benchmark_hits(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 13,
-    block_bytes: int = 4 << 20,
+    block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row per input row: `id_col`, n_words, hits (united spans of word places), items (sorted names), n_hit."""
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
@@ -182,7 +233,7 @@ def without_contaminated(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 13,
-    block_bytes: int = 4 << 20,
+    block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """The rows of `docs` that are not contaminated, in one pass without a shuffle."""
     names = [f"c{i}" for i in range(len(docs.columns))]

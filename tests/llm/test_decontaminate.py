@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 from arbolith.llm import queries
-from arbolith.llm.decontaminate import benchmark_hits, without_contaminated
+from arbolith.llm.decontaminate import Windows, benchmark_hits, benchmark_words, runs_to_index, without_contaminated
 from arbolith.llm.fm_index import FMIndex
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -74,3 +74,47 @@ def test_index_finds_every_occurrence():
         for p, a, b in zip(patterns, low, high):
             want = [i for i in range(len(text)) if text[i : i + len(p)].tolist() == p]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_only_runs_that_can_hold_a_window_are_indexed():
+    """With windows of 13 words, a shard's scattered benchmark words are not indexed."""
+    item = " ".join(f"w{i}" for i in range(20))
+    windows = Windows([("a", item), ("b", ""), ("c", item + " w1")], 13)
+    assert windows.least == 13 and len(windows.first) == 9 and windows.owners(0) == ["a", "c"] and windows.owners(8) == ["c"]
+    text = f"w1 other w2 w3 {' '.join(f'w{i}' for i in range(12))} other {item} other w5"
+    ids = np.array([windows.number.get(w, 0) for w in benchmark_words(text)] + [0])
+    starts, ends = runs_to_index(ids, windows.least)
+    assert (ends - starts).tolist() == [14, 20] and int(ends[0]) == 16
+    assert Windows([], 13).least == 0 and Windows([("a", " .")], 13).least == 0
+
+
+def test_windows_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(60):
+        window = rng.randrange(1, 9)
+        items = [(str(k), " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 14)))) for k in range(rng.randrange(0, 6))]
+        want = {}
+        for name, text in items:
+            w = text.split()
+            size = min(window, len(w))
+            for i in range(len(w) - size + 1 if size else 0):
+                want.setdefault(tuple(w[i : i + size]), set()).add(name)
+        windows = Windows(items, window)
+        word = {n: w.decode() for w, n in windows.number.items()}
+        got = {
+            tuple(word[x] for x in windows.words[a : a + n].tolist()): set(windows.owners(k))
+            for k, (a, n) in enumerate(zip(windows.first.tolist(), windows.length.tolist()))
+        }
+        assert got == want and len(got) == len(windows.first)
+
+
+def test_large_benchmarks_are_searched_in_blocks(spark):
+    """Spans of several blocks are united, and no plan has more than one pass of workers, whatever the benchmark's size."""
+    rng = random.Random(4)
+    draw = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    items = [(k, draw(rng.randrange(1, 12))) for k in range(12)]
+    docs = [(k, draw(rng.randrange(0, 60))) for k in range(40)] * 2
+    bench, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found = benchmark_hits(table, bench, window=5, block_bytes=60)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in found.collect()) == brute(docs, items, 5)
