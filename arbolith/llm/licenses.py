@@ -1,16 +1,17 @@
-"""License scans: TF-IDF cosine of text segments to templates, then inheritance by directory.
-
-A segment is a line of a file; headers are the segments in which at least `share` of the words are
-template words. Terms weigh tf * idf, idf = ln((N + 1) / (df + 1)) + 1 over all N segments with words; every
-word outside of the templates weighs like a term that no segment has, and counts once each time it
-occurs. A file has the license of its most similar segment if the cosine is `least` or
-more. A directory has the license of its licence file: of the files directly in it that have a
-license, the one with the smallest id. Files without a license of their own inherit that of the nearest directory
-above them that has one.
-
-Scale: DataFrame functions only. Document frequencies are counted for template words alone and combined before
-their shuffle; few segments pass as headers, and these are scored where they are. Only texts with a license are
-shuffled. The templates' words are literals of the plan, a bound set by `templates`. Ancestors are
+"""License scans: TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
+
+A text is cut into units: lines, and sentences within lines. A unit with a cue (CUES) may belong to a notice. Segments to score are
+each such unit, it with its neighbours, so that wrapped notices are whole, and header blocks: all neighbouring units that hold a cue
+or of which half the words are words of notices. Of a licence file (LICENSE, COPYING, NOTICE and the like, by its base name) the whole
+text is a segment too. Terms are runs of a-z and 0-9 and weigh tf * idf, idf = ln((N + 1) / (df + 1)) + 1 over all N files with
+terms, df counted for every term. Templates are short notices, standard headers and whole licence texts. A file has the license of
+its most similar segment if the cosine is `least` or more. A directory has the license of its licence file: of the licence files
+directly in it that have a license, the one with the smallest id (null last), then path. Files without a license of their own
+inherit that of the nearest directory that has one, from their own up to the root "".
+
+Scale: DataFrame functions only. One pass cuts segments, which are few, and leaves them with ids, paths and hashes in the shared
+folder; another counts terms, combined before their shuffle. Texts themselves are never shuffled. Segments of equal texts are scored
+once, as sparse vectors joined to the term counts; the template matrix, whose size the templates bound, is broadcast. Ancestors are
 looked up once a directory, not once a file.
 
 Null or empty texts have no segments. Null paths have no directory and inherit nothing. Rows that
@@ -21,18 +22,22 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Callable, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Sequence
+from functools import reduce
+from importlib.resources import files as resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from arbolith.llm.common import lower_ascii, saved, skew_join, text_or_empty, wide_hash
+from arbolith.llm.common import saved, skew_join, text_or_empty, wide_hash
 
 #: The customary short notices of common licenses.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -40,77 +45,121 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This source code form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: What a notice can't do without.
+CUES = ("licen", "copyright", "permission", "redistribut", "warrant", "spdx", "public domain")
+CUE = "|".join(CUES)
+#: Base names of licence files, lower-cased.
+LICENCE_FILE = r"^((un)?licen[sc]e|copying|notice|copyright)([^a-z].*)?$"
+#: Texts of up to this many words are notices; their words make a unit part of a header block.
+NOTICE_WORDS = 300
+BREAK = "\x01"
 
 
-def terms_of(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text.lower())
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(line), "[^a-z0-9]+"), "")
-
+def templates() -> list[tuple[str, str]]:
+    """(license, text): the short notices, then the standard headers and whole texts in the folder of templates."""
+    folder = sorted(resources("arbolith.llm").joinpath("templates").iterdir(), key=lambda f: f.name)
+    texts = [(f.name.removesuffix(".txt").removesuffix(".header"), f.read_text()) for f in folder if f.name.endswith(".txt")]
+    return [*NOTICES, *texts]
 
-def header_segments(texts: DataFrame, vocabulary: Sequence[str], share: float) -> DataFrame:
-    """t1, t2, matched (the segment's template words), others (count of its other words).
-
-    `texts` has t1 and t2, the text's hash, and text.
-    """
-    known = list(vocabulary)
-    return (
-        texts.select("t1", "t2", F.explode(F.split("text", "\n")).alias("line"))
-        .select("t1", "t2", _words(F.col("line")).alias("words"))
-        .withColumn("matched", F.filter("words", lambda w: w.isin(known)))
-        .withColumn("others", F.size("words") - F.size("matched"))
-        .filter((F.size("matched") > 0) & (F.size("matched") >= F.size("words") * share))
-        .drop("words")
-    )
 
+def terms_of(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.lower())
 
-def document_frequencies(texts: DataFrame, vocabulary: Sequence[str]) -> tuple[int, dict[str, int]]:
-    """Number of segments with words, and of those with each template word (one row a word comes back)."""
-    known = list(vocabulary)
-    words = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(_words(F.col("line")).alias("words"))
-    hits = F.when(
-        F.size("words") > 0,
-        F.concat(F.array(F.lit("")), F.array_distinct(F.filter("words", lambda w: w.isin(known)))),
-    )
-    counted = words.select(F.explode(hits).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r.term: r.n for r in counted.collect()}
-    return counts.pop("", 0), counts
 
+def notice_words(known: Sequence[tuple[str, str]]) -> list[str]:
+    return sorted({t for _, text in known if len(terms := terms_of(text)) <= NOTICE_WORDS for t in terms})
 
-def _sum_over(words: Column, value: Callable[[Column], Column]) -> Column:
-    return F.aggregate(words, F.lit(0.0), lambda total, w: total + value(w))
 
+def _terms(text: Column) -> Column:
+    return F.array_remove(F.split(text, "[^a-z0-9]+"), "")
 
-def _lookup(values: dict[str, float], word: Column) -> Column:
-    """The word's value, 0 if it has none."""
-    table = F.create_map(*[F.lit(x) for item in sorted(values.items()) for x in item])
-    return F.coalesce(F.try_element_at(table, word), F.lit(0.0))
 
+def segments(low: Column, whole: Column, words: Sequence[str], share: float) -> list[tuple[str, Column]]:
+    """Columns, each from those before it, that end with `segs`: the segments of a lower-cased text."""
+    has_cue = reduce(Column.__or__, (F.contains(low, F.lit(c)) for c in CUES))
+    cut = F.split(F.regexp_replace(low, r"([.!?;])[ \t]+", "$1\n"), "\n")
+    units, places = F.col("_units"), F.col("_places")
 
-def segment_scores(texts: DataFrame, templates: Sequence[tuple[str, str]], share: float) -> DataFrame:
-    """t1, t2 and scores, an array of (the cosine below 0, license), for each header segment.
+    def header(unit: Column) -> Column:
+        own = _terms(unit)
+        return unit.rlike(CUE) | (F.size(F.filter(own, lambda w: w.isin(list(words)))) >= F.size(own) * share)
 
-    A term's tf * idf is a sum of idf over its occurrences; so the dot product with a template is a sum over the segment's
-    words, and so is the squared length, if each occurrence adds idf squared times tf. No term is exploded or joined.
+    marked = F.array_join(F.transform(units, lambda u: F.when(header(u), u).otherwise(F.lit(BREAK))), "\n")
+    before = lambda p: F.greatest(p - 1, F.lit(1))
+    near = lambda p: F.array(
+        *(F.array_join(F.slice(units, start, n), "\n") for start, n in ((p, 1), (p, 2), (before(p), 2), (before(p), 3)))
+    )
+    none = F.array().cast("array<string>")
+    return [
+        ("_units", F.when(has_cue, F.filter(cut, lambda u: u.rlike("[a-z0-9]")))),
+        ("_places", F.when(F.size(units) > 0, F.filter(F.sequence(F.lit(1), F.size(units)), lambda p: F.get(units, p - 1).rlike(CUE)))),
+        ("_blocks", F.when(F.size(places) > 0, F.filter(F.split(marked, BREAK), lambda b: b.rlike(CUE)))),
+        (
+            "segs",
+            F.array_distinct(
+                F.concat(
+                    F.coalesce(F.col("_blocks"), none),
+                    F.coalesce(F.flatten(F.transform(places, near)), none),
+                    F.when(whole, F.array(low)).otherwise(none),
+                )
+            ),
+        ),
+    ]
+
+
+def template_matrix(known: Sequence[tuple[str, str]], total: int, found: dict[str, int]) -> tuple[list[tuple], list[tuple[str, float]]]:
+    """Rows (term, weight in each template) and (license, length) of each template."""
+    idf = lambda t: math.log((total + 1) / (found.get(t, 0) + 1)) + 1
+    rows: defaultdict[str, list[float]] = defaultdict(lambda: [0.0] * len(known))
+    lengths = []
+    for k, (name, text) in enumerate(known):
+        own = {t: n * idf(t) for t, n in Counter(terms_of(text)).items()}
+        for t, w in own.items():
+            rows[t][k] = w
+        lengths.append((name, math.sqrt(sum(w * w for w in own.values()))))
+    return [(t, *w) for t, w in sorted(rows.items())], lengths
+
+
+def own_licenses(segs: DataFrame, texts: DataFrame, known: Sequence[tuple[str, str]], least: float) -> DataFrame:
+    """t1, t2, whole, own_license and cosine of the texts that have a license.
+
+    `segs` has t1, t2, whole and segs; `texts` has one row a file, its lower-cased text.
     """
-    vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
-    total, found = document_frequencies(texts, vocabulary)
-    idf = {t: math.log((total + 1) / (found.get(t, 0) + 1)) + 1 for t in vocabulary}
-    unseen = math.log(total + 1) + 1
-    matched = F.col("matched")
-    squares = {t: v * v for t, v in idf.items()}
-    length = _sum_over(matched, lambda w: _lookup(squares, w) * F.size(F.filter(matched, lambda x: x == w)))
-    length = F.sqrt(length + F.col("others") * F.lit(unseen * unseen))
-    scores = []
-    for name, text in templates:
-        own = {t: n * idf[t] for t, n in Counter(terms_of(text)).items()}
-        norm = math.sqrt(sum(w * w for w in own.values()))
-        dot = _sum_over(matched, lambda w, own=own: _lookup({t: v * idf[t] for t, v in own.items()}, w))
-        scores.append(F.struct((-F.round(dot / (F.lit(norm) * F.col("length")), 4)).alias("below"), F.lit(name).alias("license")))
-    headers = saved(header_segments(texts, vocabulary, share))  # else each use of a column would split the lines again
-    return headers.withColumn("length", length).select("t1", "t2", F.array(*scores).alias("scores"))
+    spark = segs.sparkSession
+    own = _terms(F.col("text"))
+    each = F.when(F.size(own) > 0, F.concat(F.array(F.lit("")), F.array_distinct(own)))  # "" counts the files
+    counts = saved(texts.select(F.explode(each).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    vocabulary = sorted({t for _, text in known for t in terms_of(text)})
+    found = {r.term: r.df for r in counts.filter(F.col("term").isin(["", *vocabulary])).collect()}  # no more than the templates' terms
+    total = found.pop("", 0)
+    rows, lengths = template_matrix(known, total, found)
+    names = [f"w{k}" for k in range(len(known))]
+    matrix = spark.createDataFrame(rows, T.StructType([T.StructField("term", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in names)]))
+    tf = (
+        segs.groupBy("t1", "t2", "whole")
+        .agg(F.first("segs").alias("segs"))
+        .select("t1", "t2", "whole", F.posexplode("segs").alias("k", "seg"))
+        .select("t1", "t2", "whole", "k", F.explode(_terms(F.col("seg"))).alias("term"))
+        .groupBy("t1", "t2", "whole", "k", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    weight = F.col("tf") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1)
+    sums = (
+        skew_join(tf, counts, ["term"], "inner")
+        .withColumn("w", weight)
+        .join(F.broadcast(matrix), "term", "left")
+        .groupBy("t1", "t2", "whole", "k")
+        .agg(F.sum(F.col("w") * F.col("w")).alias("norm"), *(F.sum(F.col("w") * F.col(n)).alias(n) for n in names))
+    )
+    cosine = lambda n, length: -F.round(F.coalesce(F.col(n), F.lit(0.0)) / (F.lit(length) * F.sqrt("norm")), 4)
+    scores = [F.struct(cosine(n, length).alias("below"), F.lit(name).alias("license")) for n, (name, length) in zip(names, lengths)]
+    return (
+        sums.select("t1", "t2", "whole", F.array_min(F.array(*scores)).alias("b"))
+        .filter(F.col("b.below") <= -least)
+        .groupBy("t1", "t2", "whole")
+        .agg(F.min("b").alias("b"))
+        .select("t1", "t2", "whole", F.col("b.license").alias("own_license"), (-F.col("b.below")).alias("cosine"))
+    )
 
 
 def license_scan(
@@ -118,47 +167,52 @@ def license_scan(
     id_col: str = "doc_id",
     path_col: str = "path",
     text_col: str = "text",
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
+    known: Sequence[tuple[str, str]] | None = None,
     share: float = 0.5,
     least: float = 0.7,
 ) -> DataFrame:
     """One row per input row: `id_col`, path, own_license, cosine (of its best segment, null if none is `least`), license
     (own, else the nearest directory's) and license_dir (the directory it is inherited from, null for an own one)."""
-    rows = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), text_or_empty(text_col).alias("text"))
-    texts = rows.select(*wide_hash(F.col("text"), "t"), "text")
-    best = segment_scores(texts, templates, share).select("t1", "t2", F.array_min("scores").alias("b"))
-    own = (
-        best.filter(F.col("b.below") <= -least)
-        .groupBy("t1", "t2")
-        .agg(F.min("b").alias("b"))
-        .select("t1", "t2", F.col("b.license").alias("own_license"), (-F.col("b.below")).alias("cosine"))
+    known = templates() if known is None else list(known)
+    path = F.col(path_col).cast("string")
+    rows = files.select(F.col(id_col).alias("id"), path.alias("path"), text_or_empty(text_col).alias("text"))
+    cut = rows.select(
+        "id",
+        "path",
+        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"),
+        F.coalesce(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(LICENCE_FILE), F.lit(False)).alias("whole"),
+        *wide_hash(F.col("text"), "t"),
+        F.lower("text").alias("low"),
     )
-    slim = rows.select("id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), *wide_hash(F.col("text"), "t"))
-    known = skew_join(slim, own, ["t1", "t2"], "left").drop("t1", "t2")
+    for name, column in segments(F.col("low"), F.col("whole"), notice_words(known), share):
+        cut = cut.withColumn(name, column)
+    slim = saved(cut.select("id", "path", "dir", "whole", "t1", "t2", "segs"))
+    texts = rows.select(F.lower("text").alias("text"))
+    own = own_licenses(slim.filter(F.size("segs") > 0).select("t1", "t2", "whole", "segs"), texts, known, least)
+    placed = slim.drop("segs")
+    mine = skew_join(placed, own, ["t1", "t2", "whole"], "left").drop("t1", "t2")
     of_dir = (
-        known.filter("own_license is not null and dir is not null")
+        mine.filter("whole and own_license is not null and dir is not null")
         .groupBy(F.col("dir").alias("license_dir"))
-        .agg(F.min(F.struct("id", "own_license")).alias("f"))
+        .agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "path", "own_license")).alias("f"))
         .select("license_dir", F.col("f.own_license").alias("dir_license"))
     )
     parts = F.split("dir", "/")
-    above = F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("license_dir")),
+    above = F.array_distinct(
+        F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))  # the root "" first
     )
-    nearest = F.max(F.struct("depth", "license_dir", "dir_license")).alias("n")
     inherited = (
-        slim.filter("dir is not null")
-        .select("dir")
-        .distinct()
-        .select("dir", F.explode(above).alias("a"))
-        .select("dir", "a.depth", "a.license_dir")
-        .join(of_dir, "license_dir")
+        skew_join(
+            placed.filter("dir is not null").select("dir").distinct().select("dir", F.explode(above).alias("license_dir")),
+            of_dir,
+            ["license_dir"],
+            "inner",
+        )
         .groupBy("dir")
-        .agg(nearest)
+        .agg(F.max(F.struct(F.length("license_dir").alias("n"), "license_dir", "dir_license")).alias("n"))
         .select("dir", "n.license_dir", "n.dir_license")
     )
-    return skew_join(known, inherited, ["dir"], "left").select(
+    return skew_join(mine, inherited, ["dir"], "left").select(
         F.col("id").alias(id_col),
         "path",
         "own_license",

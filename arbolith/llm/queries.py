@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arbolith.llm import pii, secrets
 from arbolith.llm.common import read_table, text_or_empty, word_count
 from arbolith.llm.decontaminate import benchmark_hits, contaminated
-from arbolith.llm.licenses import TEMPLATES, license_scan, terms_of
+from arbolith.llm.licenses import CUE, LICENCE_FILE, license_scan, notice_words, templates
 from arbolith.llm.line_dedup import dedup_lines
 from arbolith.llm.mixing import mix
 from arbolith.llm.quality import quality_rules
@@ -32,66 +32,98 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files are the documents, in directories by source, language and length; only the longest lie three deep."""
-    tier = F.when(F.col("n_chars") < 800, F.array("source")).when(F.col("n_chars") < 3000, F.array("source", "lang"))
-    folder = tier.otherwise(F.array("source", "lang", F.lit("long")))
-    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
-    files = read_table(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.concat_ws("/", folder, name).alias("path")
-    )
+    """Files are the documents, in directories by length, source and language: the shortest at the root, the longest three deep.
+
+    Their names are their ids; every twentieth id is a licence file.
+    """
+    tier = F.when(F.col("n_chars") < 300, F.array().cast("array<string>")).when(F.col("n_chars") < 800, F.array("source"))
+    tier = tier.when(F.col("n_chars") < 3000, F.array("source", "lang")).otherwise(F.array("source", "lang", F.lit("long")))
+    own = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 20 == 0, F.concat(F.lit("LICENSE."), own)).otherwise(F.concat(own, F.lit(".txt")))
+    files = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", tier, name).alias("path"))
     return license_scan(files)
 
 
 def _op3_sql() -> str:
-    templates = ", ".join(f"('{name}', '{term}')" for name, text in TEMPLATES for term in terms_of(text))
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    known = templates()
+    texts = ", ".join(f"({k}, '{name}', {quoted(text)})" for k, (name, text) in enumerate(known))
+    words = ", ".join(f"'{w}'" for w in notice_words(known))
     return rf"""
-WITH template_terms(license, term) AS (VALUES {templates}),
-template_tf AS (SELECT license, term, count(*) AS n FROM template_terms GROUP BY license, term),
-vocabulary AS (SELECT DISTINCT term FROM template_terms),
+WITH templates(t, license, text) AS (VALUES {texts}),
+template_tf AS (
+  SELECT t, license, term, count(*) AS n
+  FROM (SELECT t, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY t, license, term
+), notice_words(word) AS (SELECT unnest([{words}])),
 files AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
-         concat_ws('/', source, CASE WHEN n_chars < 800 THEN NULL ELSE lang END,
-                   CASE WHEN n_chars < 3000 THEN NULL ELSE 'long' END, doc_id || '.txt') AS path
+  SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS text,
+         concat_ws('/', CASE WHEN n_chars < 300 THEN NULL ELSE source END, CASE WHEN n_chars < 800 THEN NULL ELSE lang END,
+                   CASE WHEN n_chars < 3000 THEN NULL ELSE 'long' END,
+                   CASE WHEN doc_id % 20 = 0 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END) AS path
   FROM documents
-), lines AS (
-  SELECT r, generate_subscripts(string_split(text, chr(10)), 1) AS seg, unnest(string_split(text, chr(10))) AS line FROM files
-), words AS (
-  SELECT r, seg, unnest(regexp_extract_all(
-    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS term FROM lines
-), counted AS (
-  SELECT r, seg, w.term, v.term IS NOT NULL AS known, count(*) AS tf FROM words w LEFT JOIN vocabulary v ON w.term = v.term
-  GROUP BY ALL
-), total AS (SELECT count(*) AS n FROM (SELECT DISTINCT r, seg FROM counted)),
-idf AS (
-  SELECT v.term, ln((total.n + 1.0::DOUBLE) / (count(c.r) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf
-  FROM vocabulary v CROSS JOIN total LEFT JOIN counted c ON c.term = v.term GROUP BY v.term, total.n
-), headers AS (
-  SELECT r, seg, coalesce(sum(tf) FILTER (WHERE NOT known), 0) AS others FROM counted GROUP BY r, seg
-  HAVING sum(tf) FILTER (WHERE known) > 0 AND sum(tf) FILTER (WHERE known) >= sum(tf) * 0.5
+), placed AS (
+  SELECT r, doc_id, text, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir,
+         regexp_matches(lower(string_split(path, '/')[-1]), '{LICENCE_FILE}') AS whole
+  FROM files
+), df AS (
+  SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '[a-z0-9]+'))) AS term FROM files) GROUP BY term
+), total AS (SELECT count(*) AS n FROM files WHERE regexp_matches(text, '[a-z0-9]')),
+cut AS (
+  SELECT r, unnest(u) AS unit, generate_subscripts(u, 1) AS p FROM (
+    SELECT r, list_filter(string_split(regexp_replace(text, '([.!?;])[ 	]+', '' || chr(10), 'g'), chr(10)),
+                          lambda x: regexp_matches(x, '[a-z0-9]')) AS u
+    FROM files WHERE regexp_matches(text, '{CUE}'))
+), unit_words AS (
+  SELECT r, p, unnest(regexp_extract_all(unit, '[a-z0-9]+')) AS word FROM cut
+), known_share AS (
+  SELECT u.r, u.p, count(n.word) AS known, count(*) AS words FROM unit_words u LEFT JOIN notice_words n ON n.word = u.word GROUP BY u.r, u.p
+), marked AS (
+  SELECT c.r, c.p, c.unit, regexp_matches(c.unit, '{CUE}') AS cue,
+         regexp_matches(c.unit, '{CUE}') OR k.known >= k.words * 0.5 AS header
+  FROM cut c JOIN known_share k ON k.r = c.r AND k.p = c.p
+), lists AS (
+  SELECT r, list(unit ORDER BY p) AS u, list(p ORDER BY p) FILTER (WHERE cue) AS places,
+         string_agg(CASE WHEN header THEN unit ELSE chr(1) END, chr(10) ORDER BY p) AS text
+  FROM marked GROUP BY r
+), segs AS (
+  SELECT r, unnest(list_distinct(list_concat(
+    list_filter(string_split(text, chr(1)), lambda x: regexp_matches(x, '{CUE}')),
+    flatten(list_transform(places, lambda p: [
+      array_to_string(u[p : p], chr(10)), array_to_string(u[p : p + 1], chr(10)),
+      array_to_string(u[greatest(p - 1, 1) : greatest(p - 1, 1) + 1], chr(10)),
+      array_to_string(u[greatest(p - 1, 1) : greatest(p - 1, 1) + 2], chr(10))]))))) AS seg
+  FROM lists WHERE len(places) > 0
+  UNION ALL SELECT r, text FROM placed WHERE whole
+), numbered AS (
+  SELECT row_number() OVER () AS s, r, seg FROM segs
+), tf AS (
+  SELECT s, term, count(*) AS tf FROM (SELECT s, unnest(regexp_extract_all(seg, '[a-z0-9]+')) AS term FROM numbered) GROUP BY s, term
 ), vectors AS (
-  SELECT c.r, c.seg, c.term, c.tf * idf.idf AS v FROM counted c JOIN headers h ON h.r = c.r AND h.seg = c.seg JOIN idf ON idf.term = c.term
-), norms AS (
-  SELECT v.r, v.seg, sum(v.v * v.v) + any_value(h.others) * pow(ln(any_value(total.n) + 1.0::DOUBLE) + 1.0::DOUBLE, 2) AS norm
-  FROM vectors v JOIN headers h ON h.r = v.r AND h.seg = v.seg CROSS JOIN total GROUP BY v.r, v.seg
-), weights AS (
-  SELECT t.license, t.term, t.n * idf.idf AS w FROM template_tf t JOIN idf ON idf.term = t.term
-), t_norms AS (SELECT license, sum(w * w) AS t_norm FROM weights GROUP BY license),
-scores AS (
-  SELECT v.r, w.license, round(sum(v.v * w.w) / sqrt(any_value(t.t_norm) * any_value(n.norm)), 4) AS cosine
-  FROM vectors v JOIN weights w ON w.term = v.term JOIN t_norms t ON t.license = w.license
-  JOIN norms n ON n.r = v.r AND n.seg = v.seg GROUP BY v.r, v.seg, w.license
+  SELECT tf.s, tf.term, tf.tf * (ln((total.n + 1.0::DOUBLE) / (df.df + 1.0::DOUBLE)) + 1.0::DOUBLE) AS w
+  FROM tf JOIN df ON df.term = tf.term, total
+), norms AS (SELECT s, sum(w * w) AS norm FROM vectors GROUP BY s),
+weights AS (
+  SELECT t.t, t.license, t.term, t.n * (ln((total.n + 1.0::DOUBLE) / (coalesce(df.df, 0) + 1.0::DOUBLE)) + 1.0::DOUBLE) AS w
+  FROM template_tf t LEFT JOIN df ON df.term = t.term, total
+), t_norms AS (SELECT t, sum(w * w) AS t_norm FROM weights GROUP BY t),
+dots AS (
+  SELECT v.s, w.t, w.license, sum(v.w * w.w) AS dot FROM vectors v JOIN weights w ON w.term = v.term GROUP BY v.s, w.t, w.license
+), scores AS (
+  SELECT n.r, d.license, round(d.dot / sqrt(t.t_norm * m.norm), 4) AS cosine
+  FROM dots d JOIN t_norms t ON t.t = d.t JOIN norms m ON m.s = d.s JOIN numbered n ON n.s = d.s
 ), own AS (
   SELECT r, license, cosine FROM (
     SELECT *, row_number() OVER (PARTITION BY r ORDER BY cosine DESC, license) AS k FROM scores WHERE cosine >= 0.7) WHERE k = 1
 ), known AS (
-  SELECT f.r, f.doc_id, f.path, regexp_extract(f.path, '^(.*)/[^/]*$', 1) AS dir, o.license AS own_license, o.cosine
-  FROM files f LEFT JOIN own o ON o.r = f.r
+  SELECT p.*, o.license AS own_license, o.cosine FROM placed p LEFT JOIN own o ON o.r = p.r
 ), of_dir AS (
-  SELECT dir AS license_dir, arg_min(own_license, doc_id) AS dir_license FROM known WHERE own_license IS NOT NULL GROUP BY dir
+  SELECT dir AS license_dir, own_license AS dir_license FROM (
+    SELECT *, row_number() OVER (PARTITION BY dir ORDER BY doc_id NULLS LAST, path, own_license) AS k
+    FROM known WHERE whole AND own_license IS NOT NULL) WHERE k = 1
 ), inherited AS (
   SELECT d.dir, arg_max(o.license_dir, length(o.license_dir)) AS license_dir, arg_max(o.dir_license, length(o.license_dir)) AS dir_license
   FROM (SELECT DISTINCT dir FROM known) d
-  JOIN of_dir o ON d.dir = o.license_dir OR starts_with(d.dir, o.license_dir || '/') GROUP BY d.dir
+  JOIN of_dir o ON o.license_dir = '' OR d.dir = o.license_dir OR starts_with(d.dir, o.license_dir || '/') GROUP BY d.dir
 )
 SELECT k.doc_id, k.path, k.own_license, k.cosine, coalesce(k.own_license, i.dir_license) AS license,
        CASE WHEN k.own_license IS NULL THEN i.license_dir END AS license_dir

@@ -4,62 +4,121 @@ from collections import Counter
 
 import pytest
 
-from arbolith.llm.licenses import TEMPLATES, license_scan
+from arbolith.llm.licenses import CUE, license_scan, notice_words, templates
+
+KNOWN = templates()
+TEXT = {name: text for name, text in KNOWN}  # the last of a name: its whole text
 
 
 def terms(text):
-    return re.findall("[a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in text))
-
-
-def best(lines, line):
-    vocabulary = {t for _, text in TEMPLATES for t in terms(text)}
-    segments = [set(terms(x)) for x in lines if terms(x)]
-    idf = lambda t: math.log((len(segments) + 1) / (sum(t in s for s in segments) + 1)) + 1
-    words = terms(line)
-    inside = Counter(w for w in words if w in vocabulary)
-    if not inside or sum(inside.values()) < 0.5 * len(words):
-        return None
-    norm = sum((n * idf(t)) ** 2 for t, n in inside.items())
-    norm += (len(words) - sum(inside.values())) * (math.log(len(segments) + 1) + 1) ** 2
-    scores = []
-    for name, text in TEMPLATES:
-        own = Counter(terms(text))
-        dot = sum(n * inside[t] * idf(t) ** 2 for t, n in own.items())
-        scores.append((-round(dot / math.sqrt(norm * sum((n * idf(t)) ** 2 for t, n in own.items())), 4), name))
-    return min(scores)
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def cut(text, whole):
+    """The segments of a text, by plain loops."""
+    text = (text or "").lower()
+    units = [u for u in re.sub(r"([.!?;])[ \t]+", r"\1\n", text).split("\n") if terms(u)] if re.search(CUE, text) else []
+    cues = [bool(re.search(CUE, u)) for u in units]
+    words = set(notice_words(KNOWN))
+    out, block = set(), []
+    for u, cue in [*zip(units, cues), (None, False)]:
+        if u is not None and (cue or 2 * sum(t in words for t in terms(u)) >= len(terms(u))):
+            block.append(u)
+            continue
+        if re.search(CUE, "\n".join(block)) and any(cues):
+            out.add("\n".join(block))
+        block = []
+    for i in [i for i, cue in enumerate(cues) if cue]:
+        for a, b in ((i, i + 1), (i, i + 2), (max(0, i - 1), max(0, i - 1) + 2), (max(0, i - 1), max(0, i - 1) + 3)):
+            out.add("\n".join(units[a:b]))
+    return out | ({text} if whole else set())
+
+
+def scored(files):
+    """(cosine, license) of each file's best segment, over the document frequencies of all files."""
+    sets = [set(terms(t or "")) for _, _, t in files]
+    total, df = sum(map(bool, sets)), Counter(t for s in sets for t in s)
+    idf = lambda t: math.log((total + 1) / (df[t] + 1)) + 1
+    vector = lambda text: {t: n * idf(t) for t, n in Counter(terms(text)).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(name, v, size(v)) for name, v in ((name, vector(text)) for name, text in KNOWN)]
+    for _, path, text in files:
+        whole = bool(re.match(r"((un)?licen[sc]e|copying|notice|copyright)([^a-z]|$)", (path or "").split("/")[-1].lower()))
+        best = []
+        for seg in cut(text, whole):
+            v = vector(seg)
+            best += [(-round(sum(x * o.get(t, 0) for t, x in v.items()) / (size(v) * n), 4), name) for name, o, n in known if v]
+        yield min((b for b in best if -b[0] >= 0.7), default=None)
 
 
+MIT = TEXT["MIT"].replace("<year> <copyright holders>", "2021 Jane Doe and contributors")
 FILES = [
     (1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."),
     (2, "a/b/c/x.py", "no notice"),
-    (3, "a/b/LICENSE", "preamble\nReleased under the MIT license\nrest of it"),
+    (3, "a/b/LICENSE.md", "preamble\nReleased under the MIT license\nrest of it"),
     (4, "a/b/c/y.py", "# This work is licensed under GNU General Public License version 3\ncode"),
-    (5, "a/z.py", "the license of the version under the"),
+    (5, "a/z.py", "the version of the code that is under the bridge"),
     (6, "other/q.py", None),
     (7, "ab/r.py", "nothing"),
     (8, None, "Licensed under CC BY-NC 4.0"),
     (9, "top.py", "Licensed under CC BY 4.0"),
     (10, "a/b/d/e/f.py", ""),
     (10, "a/b/d/e/f.py", ""),
-]
+    (11, "m/LICENSE", MIT),
+    (12, "m/src/main.py", "import os"),
+    (13, "bsd2/COPYING", TEXT["BSD-2-Clause"].replace("\n", " \n * ")),
+    (14, "bsd3/LICENSE.txt", TEXT["BSD-3-Clause"].replace("<year>", "2019").upper()),
+    (15, "apache/LICENSE", TEXT["Apache-2.0"]),
+    (16, "gpl/COPYING", TEXT["GPL-3.0"]),
+    (17, "gpl/lib/x.c", "int x;"),
+    (18, "w/wrapped.py", "#!/bin/sh\n# This work is licensed under the GNU\n# General Public License,\n# version 3.\nimport os\n"),
+    (19, "w/long.txt", "A long paragraph about rivers and mills that goes on for a while. Licensed under the Apache License, Version 2.0. " * 2),
+    (20, "w/header.c", "/*\n * " + dict(reversed(KNOWN))["Apache-2.0"] + " */\nint main() { return 0; }\n"),
+    (21, "w/apache.c", "/*\n * Copyright 2020 The Authors\n *\n * " + next(t for n, t in KNOWN if n == "Apache-2.0" and "compliance" in t).replace("\n", "\n * ") + "/\nint f();"),
+    (22, "w/isc.h", "// " + TEXT["ISC"].replace("\n", "\n// ") + "\nvoid f();"),
+    (23, "w/other.txt", "Permission slips and warrants were kept in the copyright library of the town."),
+]
 
 
 def test_scan_equals_brute_force_and_inherits(spark):
     got = license_scan(spark.createDataFrame(FILES, "doc_id long, path string, text string")).collect()
     assert len(got) == len(FILES)
-    lines = [x for _, _, t in FILES for x in (t or "").split("\n")]
-    # the distinct texts score as they do among all lines
+    want = {i: w for (i, *_), w in zip(FILES, scored(FILES))}
     for r in got:
-        text = next(t for i, _, t in FILES if i == r.doc_id)
-        want = min((b for x in (text or "").split("\n") if (b := best(lines, x)) and -b[0] >= 0.7), default=None)
-        assert r.own_license == (want and want[1])
-        assert r.cosine == (pytest.approx(-want[0], abs=2e-4) if want else None)
+        w = want[r.doc_id]
+        assert r.own_license == (w and w[1]), r
+        assert r.cosine == (pytest.approx(-w[0], abs=2e-4) if w else None)
     by = {r.doc_id: (r.license, r.license_dir) for r in got}
     assert by[1] == ("Apache-2.0", None) and by[3] == ("MIT", None) and by[4] == ("GPL-3.0", None)
-    assert by[2] == ("GPL-3.0", "a/b/c")  # the nearest directory with a license
+    assert by[2] == ("MIT", "a/b")  # a notice in a source file is no licence file
     assert by[10] == ("MIT", "a/b") and by[5] == ("Apache-2.0", "a")
     assert by[6] == (None, None) and by[7] == (None, None)
     assert by[8] == ("CC-BY-NC-4.0", None) and by[9] == ("CC-BY-4.0", None)
+    assert by[11] == ("MIT", None) and by[12] == ("MIT", "m")
+    assert by[13][0] == "BSD-2-Clause" and by[14][0] == "BSD-3-Clause" and by[15][0] == "Apache-2.0" and by[16][0] == "GPL-3.0"
+    assert by[17] == ("GPL-3.0", "gpl")
+    assert by[18] == ("GPL-3.0", None) and by[19] == ("Apache-2.0", None) and by[20] == ("Apache-2.0", None)
+    assert by[21] == ("Apache-2.0", None) and by[22] == ("ISC", None) and by[23] == (None, None)
+
+
+def test_a_licence_file_at_the_root_covers_all_below(spark):
+    rows = [(None, "LICENSE", "GNU"), (3, "LICENSE", MIT), (2, "COPYING", TEXT["ISC"]), (4, "src/main.py", "x"), (5, "main.py", "y"), (6, "a/b/c/d.py", "z"), (7, "a/NOTICE", TEXT["Apache-2.0"])]
+    got = {r.doc_id: (r.license, r.license_dir) for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got[4] == ("ISC", "") and got[5] == ("ISC", "") and got[6] == ("Apache-2.0", "a") and got[3] == ("MIT", None)
+    assert got[None] == ("ISC", "")
+
+
+def test_licenses_stay_as_the_corpus_grows(spark):
+    """Term counts that grow in step with the corpus leave the cosines near what they are."""
+    lines = ["the river and the mill", "this work is about the general public", "a license of the town", "under version 2 of the plan", "we released the boat", "x"]
+    notice = "This project is released under the MIT License"
+    cosines = []
+    for n in (30, 3000):
+        rows = [(i, f"d/{i}.txt", f"{lines[i % 6]} {i % 7}\nmore words here\n" + (notice if i % 15 == 0 else "")) for i in range(n)]
+        got = license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).filter("own_license is not null").collect()
+        assert {r.own_license for r in got} == {"MIT"} and len(got) == n // 15
+        cosines.append(got[0].cosine)
+    assert abs(cosines[0] - cosines[1]) < 0.05
 
 
 def test_odd_rows(odd, empty):
