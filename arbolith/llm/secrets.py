@@ -1,16 +1,18 @@
 """Secret scans: fixed patterns, and formats inferred from what they find.
 
 The fixed patterns find assignments, access keys and hexadecimal runs. Up to `sample` distinct
-values of each kind become labelled credentials. Half of them build a prefix tree over
-character classes whose statistically compatible states are merged into a probabilistic
-automaton; the other half sets the likelihood that 98% of credentials reach. Then every
-candidate of the corpus, a run of 12 or more credential characters outside of the fixed patterns' spans, is scored,
-and those that are as likely as labelled credentials become spans of kind learned. A kind with fewer than 8 distinct
+values of each kind become labelled credentials. A prefix tree over their
+character classes whose statistically compatible states are merged becomes a probabilistic automaton. Parts of them that are left
+out in turn set the likelihood that 98% of credentials reach. Then every
+candidate of the corpus, a run of 12 or more credential characters outside of the fixed patterns' spans, is scored. It becomes a span
+of kind learned if it is as likely as labelled credentials are, and if its odds are even at least: likelier under the automaton than under
+a Markov chain of the classes of all texts, by as many times as there are more candidates than labelled credentials. The first rule
+alone says little where labelled values are few; the second holds at every size. A kind with fewer than 8 distinct
 labelled values has no automaton: nothing is learned from it.
 
-Scale: one pass over the texts, which leaves only ids, spans and candidates, in the shared
+Scale: one pass over the texts, which leaves only ids, spans, candidates and the chain's counts, in the shared
 checkpoint folder; scoring reads that. The labelled values are the `sample` smallest by a
-hash, a bound that doesn't grow with the corpus; the automata are no larger than them. Nothing is
+hash, a bound that doesn't grow with the corpus; the automata are no larger than them, and the chain has 144 counts. Nothing is
 shuffled but distinct credential values.
 
 Null texts count as empty and have no spans. Places are code points, ends exclusive. Rows that
@@ -24,6 +26,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,13 +69,39 @@ def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[
     return out
 
 
-def symbols(value: str) -> list[str]:
-    """Character classes: digit, a-f, g-z, A-F, G-Z; other characters stand for themselves."""
-    return [
-        "d" if "0" <= c <= "9" else "h" if "a" <= c <= "f" else "l" if "g" <= c <= "z"
-        else "H" if "A" <= c <= "F" else "L" if "G" <= c <= "Z" else c
-        for c in value
-    ]
+#: Character classes: digits, a-f, g-z, A-F, G-Z; other credential characters stand for themselves. 0 is any other character.
+CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", *"+/_.=-")
+CLASS = np.zeros(256, np.int64)
+for _k, _chars in enumerate(CLASSES):
+    CLASS[list(_chars.encode())] = _k + 1
+WIDTH = len(CLASSES) + 1
+
+
+def symbols(value: str) -> list[int]:
+    return CLASS[list(value.encode("ascii", "replace"))].tolist()
+
+
+def pair_counts(texts: list[str | None]) -> np.ndarray:
+    """How often each class follows each other, over all bytes of the texts."""
+    total = np.zeros(WIDTH * WIDTH, np.int64)
+    for text in texts:
+        at = np.r_[0, CLASS[np.frombuffer((text or "").encode(), np.uint8)], 0]
+        total += np.bincount(at[:-1] * WIDTH + at[1:], minlength=WIDTH * WIDTH)
+    return total
+
+
+class Chain:
+    """How likely a run of credential characters is in ordinary text: a Markov chain of classes, add-one smoothed."""
+
+    def __init__(self, counts: np.ndarray):
+        steps = counts.reshape(WIDTH, WIDTH).astype(float) + 1
+        steps[0, 0] = 0  # a run has begun
+        with np.errstate(divide="ignore"):
+            self.logs = np.log(steps / steps.sum(axis=1, keepdims=True))
+
+    def loglik(self, value: str) -> float:
+        path = [0, *symbols(value), 0]
+        return float(self.logs[path[:-1], path[1:]].sum())
 
 
 class Automaton:
@@ -83,10 +112,10 @@ class Automaton:
     """
 
     def __init__(self, values: list[str], alpha: float = 0.05):
-        self.next: list[dict[str, int]] = [{}]
+        self.next: list[dict[int, int]] = [{}]
         self.passed: list[int] = [0]
         self.ended: list[int] = [0]
-        self.taken: list[dict[str, int]] = [{}]
+        self.taken: list[dict[int, int]] = [{}]
         self.width = math.sqrt(0.5 * math.log(2 / alpha))
         for value in values:
             at = 0
@@ -101,6 +130,13 @@ class Automaton:
             self.passed[at] += 1
             self.ended[at] += 1
         self._merge()
+        # where a symbol leads most often: scoring goes on from there after a step that no labelled value takes
+        steps: dict[int, dict[int, int]] = {}
+        for q in self.states:
+            for x, n in self.taken[q].items():
+                targets = steps.setdefault(x, {})
+                targets[self.next[q][x]] = targets.get(self.next[q][x], 0) + n
+        self.usual = {x: max(sorted(t), key=t.get) for x, t in steps.items()}
 
     def _alike(self, f: int, n: int, g: int, m: int) -> bool:
         return abs(f / n - g / m) < self.width * (1 / math.sqrt(n) + 1 / math.sqrt(m))
@@ -137,6 +173,7 @@ class Automaton:
         while True:
             border = [(-self.passed[to], q, s) for q in settled for s, to in self.next[q].items() if to not in known]
             if not border:
+                self.states = settled
                 return
             _, q, s = min(border)
             new = self.next[q][s]
@@ -148,47 +185,65 @@ class Automaton:
                 self.next[q][s] = like
                 self._fold(like, new)
 
-    def score(self, value: str) -> float:
-        """Mean log-likelihood of the value's classes and its end; unseen steps count as 1 in 10,000."""
-        at, total, path = 0, 0.0, symbols(value)
-        for s in path:
+    def loglik(self, value: str) -> float:
+        """Log-likelihood of the value's classes and its end; unseen steps count as 1 in 10,000."""
+        at, total = 0, 0.0
+        for s in symbols(value):
             n = self.taken[at].get(s, 0) if at >= 0 else 0
             total += math.log(n / self.passed[at]) if n else math.log(1e-4)
-            at = self.next[at][s] if n else -1
+            at = self.next[at][s] if n else self.usual.get(s, -1)
         ended = self.ended[at] if at >= 0 else 0
-        total += math.log(ended / self.passed[at]) if ended else math.log(1e-4)
-        return total / (len(path) + 1)
+        return total + (math.log(ended / self.passed[at]) if ended else math.log(1e-4))
+
+    def score(self, value: str) -> float:
+        """Mean log-likelihood of a step."""
+        return self.loglik(value) / (len(value) + 1)
 
 
-def infer(values: list[str]) -> tuple[Automaton, float] | None:
-    """An automaton from every other value and the score that 98% of the rest reach."""
-    if len(values) < 8:
+def infer(values: list[str], folds: int = 4, least_values: int = 8) -> tuple[Automaton, float] | None:
+    """An automaton and the score that 98% of the values reach when automata of the others score them."""
+    if len(values) < least_values:
         return None
-    automaton = Automaton(values[::2])
-    held = sorted(automaton.score(v) for v in values[1::2])
-    return automaton, held[len(held) // 50]
+    held = []
+    for k in range(folds):
+        others = Automaton([v for i, v in enumerate(values) if i % folds != k])
+        held += [others.score(v) for v in values[k::folds]]
+    held.sort()
+    return Automaton(values), held[len(held) // 50]
+
+
+class Detector:
+    """Says whether a candidate is a credential: likely enough for some automaton, and at even odds or better."""
+
+    def __init__(self, models: list[tuple[Automaton, float]], chain: Chain, candidates: int, labelled: int):
+        self.models, self.chain = models, chain
+        self.odds = max(0.0, math.log(max(1, candidates) / max(1, labelled)))
+
+    def accepts(self, value: str) -> bool:
+        steps = len(value) + 1
+        likely = [x for a, least in self.models if (x := a.loglik(value)) >= least * steps]
+        return bool(likely) and max(likely) - self.chain.loglik(value) >= self.odds
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("value", pa.string())])
     for batch in slices(batches, "text"):
-        base, more = [], []
-        for text in batch.column("text").to_pylist():
+        base, more, texts = [], [], batch.column("text").to_pylist()
+        for text in texts:
             found = base_spans(text or "")
             base.append([dict(zip(("kind", "first", "last", "value"), s)) for s in found])
             more.append([dict(zip(("kind", "first", "last", "value"), ("", *s))) for s in candidates(text or "", found)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(base, pa.list_(span)), pa.array(more, pa.list_(span))], names=["id", "base", "more"]
-        )
+        pairs = [pair_counts(texts).tolist(), *[None] * (len(texts) - 1)]  # in the first row of the slice
+        arrays = [pa.array(base, pa.list_(span)), pa.array(more, pa.list_(span)), pa.array(pairs, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", "base", "more", "pairs"])
 
 
-def _score(models):
+def _score(detector):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = models.value
+        accepts = detector.value.accepts
         for batch in batches:
             kept = pa.array(
-                [[s for s in row if any(a.score(s["value"]) >= least for a, least in known)] for row in batch.column("more").to_pylist()],
-                batch.schema.field("more").type,
+                [[s for s in row if accepts(s["value"])] for row in batch.column("more").to_pylist()], batch.schema.field("more").type
             )
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("base"), kept], names=["id", "base", "more"])
 
@@ -199,13 +254,17 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: `id_col`, base and learned (arrays of kind, first, last, value)."""
     columns = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = columns.schema["id"].dataType.simpleString()
-    scanned = saved(columns.mapInArrow(_scan, f"id {kind}, base array<{SPAN}>, more array<{SPAN}>"))
+    scanned = saved(columns.mapInArrow(_scan, f"id {kind}, base array<{SPAN}>, more array<{SPAN}>, pairs array<long>"))
     values = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
     models = []
     for k in KINDS[:3]:
         smallest = values.filter(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample)
         models.append(infer([r.value for r in smallest.select("value").collect()]))
-    shared = docs.sparkSession.sparkContext.broadcast([m for m in models if m])
-    scored = scanned.mapInArrow(_score(shared), scanned.schema)
+    counts = np.zeros(WIDTH * WIDTH, np.int64)
+    for r in scanned.select(F.posexplode("pairs").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():  # 144 rows at most
+        counts[r.k] = r.n
+    sizes = scanned.agg(F.sum(F.size("more")).alias("more"), F.sum(F.size("base")).alias("base")).first()
+    detector = Detector([m for m in models if m], Chain(counts), sizes.more or 0, sizes.base or 0)
+    scored = scanned.drop("pairs").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(detector)), scanned.drop("pairs").schema)
     learned = F.transform("more", lambda s: s.withField("kind", F.lit("learned")))
     return scored.select(F.col("id").alias(id_col), "base", learned.alias("learned"))

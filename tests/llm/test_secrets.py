@@ -1,9 +1,13 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
+
+import numpy as np
 
 from arbolith.llm import queries
-from arbolith.llm.secrets import Automaton, find_secrets, infer
+from arbolith.llm.secrets import CLASSES, Automaton, Chain, Detector, find_secrets, infer, pair_counts, symbols
 
 KINDS = ("assign", "access", "hex")
 
@@ -96,3 +100,71 @@ def test_learned_keys_without_digits_or_letters(spark):
     assert sum(learned[i] == [text.split()[3]] for i, text in bare[:20]) >= 16
     assert sum(learned[i] == [text.split()[3]] for i, text in bare[20:]) >= 18
     assert not any(learned[i] for i, _ in rows + plain)
+
+
+def test_likelihoods_equal_brute_force():
+    """The chain against counts by dictionary; the automaton against the frequencies of its own states."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("aZ9 -é.\n/") for _ in range(rng.randrange(80))) for _ in range(50)] + [None, ""]
+    kind = lambda c: next((k + 1 for k, chars in enumerate(CLASSES) if c in chars), 0)
+    pairs = Counter()
+    for text in texts:
+        path = [0, *(kind(c) for c in text or "" for _ in c.encode()), 0]
+        pairs.update(zip(path, path[1:]))
+    counts = pair_counts(texts)
+    assert {(k // 12, k % 12): n for k, n in enumerate(counts.tolist()) if n} == dict(pairs)
+    chain = Chain(counts)
+    for _ in range(50):
+        value = "".join(rng.choice("aZ9-./") for _ in range(rng.randrange(1, 20)))
+        path = [0, *map(kind, value), 0]
+        want = sum(
+            math.log((pairs[a, b] + 1) / sum(pairs[a, x] + 1 for x in range(12) if a or x)) for a, b in zip(path, path[1:])
+        )
+        assert abs(chain.loglik(value) - want) < 1e-9
+    values = ["".join(rng.choice("ab7") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    automaton = Automaton(values)
+    for value in [*values[:20], "a-b", "zzz", "7777777777777777"]:
+        at, want = 0, 0.0
+        for s in symbols(value):
+            p = automaton.taken[at].get(s, 0) / automaton.passed[at] if at >= 0 else 0
+            want += math.log(p or 1e-4)
+            at = automaton.next[at][s] if p else automaton.usual.get(s, -1)
+        want += math.log((automaton.ended[at] / automaton.passed[at] if at >= 0 else 0) or 1e-4)
+        assert abs(automaton.loglik(value) - want) < 1e-9
+    total = sum(automaton.passed[q] for q in automaton.states)
+    assert total == sum(len(v) + 1 for v in values)  # every step of every value is counted in one state
+
+
+def ordinary(rng, n):
+    """Long words, hosts, paths, dates, versions and names as texts hold them."""
+    syllables = ["ver", "ant", "wor", "tung", "inter", "nation", "al", "is", "a", "tion", "anti", "con", "sti", "tu", "men", "te", "re", "spon", "sa", "bi", "li", "dad"]
+    word = lambda k: "".join(rng.choice(syllables) for _ in range(k))
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    makers = [
+        lambda: word(rng.randrange(5, 8)), lambda: f"mail{number(1)}.{word(2)}.example.com", lambda: f"{word(2)}/{word(2)}/{word(3)}.html",
+        lambda: f"20{number(2)}-{number(2)}-{number(2)}.{word(2)}", lambda: f"{word(2)}-{word(2)}-{number(1)}.{number(1)}.{number(2)}",
+        lambda: f"{word(2).title()}{word(2).title()}{word(3).title()}", lambda: f"{word(2)}_{word(3)}_{number(2)}", lambda: "=" * rng.randrange(12, 40),
+    ]
+    return [v for v in (rng.choice(makers)() for _ in range(3 * n)) if len(v) >= 12][:n]
+
+
+FORMATS = {
+    "hex": lambda r: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40]))),
+    "access": lambda r: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)),
+    "assign": lambda r: r.choice(["sk-", "ghp_", ""]) + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.choice([24, 36]))),
+}
+
+
+def test_held_out_recall_and_false_alarms_by_kind_and_sample(sample):
+    """Credentials and ordinary tokens that the fit has not seen, by kind and number of labelled values."""
+    prose = [t for _, t, _ in sample]
+    rng = random.Random(21)
+    plain = ordinary(rng, 2000)
+    chain = Chain(pair_counts(prose + [" ".join(ordinary(rng, 2000))]))
+    for kind, make in FORMATS.items():
+        for n in (8, 16, 36, 100, 400):
+            detector = Detector([infer([make(rng) for _ in range(n)])], chain, 20 * n, n)
+            fresh = [make(rng) for _ in range(500)]
+            recall, alarms = np.mean([*map(detector.accepts, fresh)]), np.mean([*map(detector.accepts, plain)])
+            print(f"secrets held-out: {kind} {n} values: recall {recall:.3f}, false alarms {alarms:.4f}")
+            assert alarms <= (0.03 if kind == "assign" else 0.002) and recall >= (0.9 if n >= 36 else 0.5)
