@@ -24,8 +24,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder that all executors share.
 
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset
-    (tests, a laptop) a temporary folder is taken.
+    The cluster names the folder in spark.checkpoint.dir; only a local session where that is unset
+    (tests, a laptop) takes a temporary folder.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -35,25 +35,45 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, set on first use."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-        )
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp")))
     return context.getCheckpointDir()
 
 
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ours in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 def lower_ascii(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased, nothing else; strings of ASCII alone take the faster function."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def word_count(c: Column) -> Column:
     """Number of maximal runs of characters outside SPACE (long)."""
-    spaced = F.translate(c, SPACE[1:], " " * (len(SPACE) - 1))
-    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
+    return F.size(words_of(c)).cast("long")
+
+
+def words_of(c: Column) -> Column:
+    return F.array_remove(F.split(c, r"[\x20\x09-\x0D]"), "")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row that have one (maps have none)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
 
 
 def wide_hash(c: Column, prefix: str) -> list[Column]:
@@ -84,3 +104,11 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     """
     extra = F.xxhash64(*keys).alias("_spread")
     return left.select("*", extra).join(right.select("*", extra), [*keys, "_spread"], how).drop("_spread")
+
+
+def bounded_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, most_rows: int = 500_000) -> DataFrame:
+    """An equi-join that leaves `left` where it is if `right`, a saved table of narrow rows, has at most `most_rows` of them:
+    it is broadcast then, some 50 MB. Else both are shuffled."""
+    if right.count() <= most_rows:
+        return left.join(F.broadcast(right), keys, how)
+    return skew_join(left, right, keys, how)

@@ -2,24 +2,23 @@
 
 Every source has a weight; together the sources share `budget` times all words. A source
 stops at `max_epochs` times its own size and what it can't use is dealt to the others by
-weight, until none is above its cap. That fixed point has a closed form: with the
-sources in order of cap / weight, the first k are capped and the others get
-weight * level, where level = (budget - caps of the first k) / (weights of the others)
-for the smallest k at which no other source is above its cap.
+weight, in rounds, until none is above its cap. A round's level is (budget - caps of the clamped sources) / (weights of the others); a
+source whose weight * level is above its cap is clamped for good, as levels only rise.
 
 Each document is then taken floor(target / size) whole times, and a seeded fraction once
-more: the documents of a source are dealt to strata by a hash of their id, and within a
+more: the documents of a source are dealt to strata by a hash of their id and text, and within a
 stratum, in seeded order, whole documents are taken until the stratum's share is reached;
 the one at the border gives part of its words. So a stratum misses its share by less than
 one word and no document exceeds its cap.
 
-Scale: one pre-aggregated row per source decides the targets; they are broadcast if they are few enough. Strata hold about
-`stratum_rows` rows whatever the source's size, so a source with a third of all rows is
+Scale: one pre-aggregated row per source decides the targets; sources are ranked by ranges and each round is an aggregate over their
+rows, so no task holds them all. Targets are broadcast if they are few enough. Strata hold about
+`stratum_rows` rows whatever the source's size, so a source with a third of all rows, or one id with as many, is
 spread over as many tasks as it needs. All of it is DataFrame functions.
 
 Null sources form one source, ordered last. Null or empty texts have size 0 and are taken
-0 times. Equal ids are ordered by size and text hash; rows equal in all three are
-interchangeable. A table without words has targets 0.
+0 times. Rows equal in id, source and `tie` share a stratum, where they are ordered by size and interchangeable
+if that is equal too. A table without words has targets 0.
 """
 
 from __future__ import annotations
@@ -29,7 +28,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbolith.llm.common import SPACE, saved, text_or_empty, word_count
+from arbolith.llm.common import saved, text_or_empty, word_count, words_of
+
+
+def ranked(df: DataFrame, order: Column) -> DataFrame:
+    """`df`, saved, with rank, from 0 by `order`: ranges are numbered on their own and follow each other."""
+    pieces = saved(df.repartitionByRange(order).withColumn("_piece", F.spark_partition_id()))
+    counts = {r._piece: r.n for r in pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    starts, at = [], 0
+    for piece in sorted(counts):
+        starts.append((piece, at))
+        at += counts[piece]
+    offsets = df.sparkSession.createDataFrame(starts, "_piece int, _start long")
+    nth = F.row_number().over(Window.partitionBy("_piece").orderBy(order)) - 1
+    return pieces.withColumn("_nth", nth).join(F.broadcast(offsets), "_piece").withColumn("rank", F.col("_start") + F.col("_nth")).drop("_piece", "_nth", "_start")
 
 
 def source_targets(
@@ -44,39 +56,30 @@ def source_targets(
     per_source = sizes.groupBy(F.col(source_col).alias("source")).agg(
         F.sum(size_col).alias("source_size"), F.count(F.lit(1)).alias("n_docs")
     )
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.array(*[F.lit(int(w)) for w in weights])
-    ranked = per_source.withColumn(
-        "weight", F.get(weight, (F.row_number().over(by_name) - 1) % len(weights)).cast("long")
-    )
-    everything = Window.partitionBy()
-    by_ratio = Window.orderBy(
-        (F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()
-    )
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    levelled = (
-        ranked.withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("capped", F.coalesce(F.sum("source_size").over(before), F.lit(0)) * max_epochs)
-        .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("level", (F.col("total") * F.lit(float(budget)) - F.col("capped")) / F.col("open"))
+    weight = F.get(F.array(*[F.lit(int(w)) for w in weights]), F.col("rank") % len(weights)).cast("long")
+    sources = saved(
+        ranked(per_source, F.col("source").asc_nulls_last())
+        .withColumn("weight", weight)
         .withColumn("cap", F.col("source_size") * max_epochs)
-        # the first source, in this order, that its level leaves at or below its cap sets the level of all after it
-        .withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-    )
-    level = F.min(F.when(F.col("fits"), F.struct(F.col("open") * -1, F.col("level")))).over(everything)["level"]
-    return levelled.withColumn("final", level).select(
-        "source",
-        "source_size",
-        "n_docs",
-        "weight",
-        F.when(F.col("final").isNull(), F.col("cap").cast("double"))
-        .otherwise(F.least(F.col("cap").cast("double"), F.col("final") * F.col("weight")))
-        .alias("target"),
+        .drop("rank")
     )
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    level, clamped = 0.0, -1
+    while True:  # what a level leaves above its cap stays so at the higher ones to come
+        over = F.col("weight") * F.lit(level) > F.col("cap")
+        sums = sources.agg(
+            F.count_if(over).alias("n"), F.sum(F.when(over, F.col("cap"))).alias("cap"), F.sum(F.when(~over, F.col("weight"))).alias("open")
+        ).first()
+        if sums.n == clamped or sums.open is None:
+            break
+        clamped, level = sums.n, (total * float(budget) - (sums.cap or 0)) / sums.open
+    cap = F.col("cap").cast("double")
+    return sources.select("source", "source_size", "n_docs", "weight", F.least(cap, F.lit(level) * F.col("weight")).alias("target"))
 
 
-def seeded_hash(id_col: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+def seeded_hash(id_col: str, tie: Column, seed: int) -> Column:
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (F.col(id_col), tie)]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
 
 
 def mix(
@@ -84,7 +87,7 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     size_col: str = "size",
-    tie: Column | None = None,
+    tie: Column | None = None,  # tells rows with equal ids apart, such as a hash of the text
     weights: Sequence[int] = (5, 2, 1),
     budget: float = 1.5,
     max_epochs: int = 2,
@@ -105,13 +108,13 @@ def mix(
     if targets.count() <= broadcast_sources:  # else the join shuffles both sides, and Spark can split a large source
         targets = F.broadcast(targets)
     stratum = Window.partitionBy(source_col, "_stratum")
-    order = stratum.orderBy("_hash", size_col, *([tie] if tie is not None else []))
+    order = stratum.orderBy("_hash", size_col)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     ratio = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     left = F.floor(F.col("_fraction") * F.sum(size_col).over(stratum)) - F.coalesce(F.sum(size_col).over(before), F.lit(0))
     return (
         sizes.join(targets, F.col(source_col).eqNullSafe(F.col("_source")))
-        .withColumn("_hash", seeded_hash(id_col, seed))
+        .withColumn("_hash", seeded_hash(id_col, F.lit("") if tie is None else tie, seed))
         .withColumn("_stratum", F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") % F.col("_strata"))
         .withColumn("mix_whole", F.floor(ratio))
         .withColumn("_fraction", ratio - F.col("mix_whole"))
@@ -121,25 +124,18 @@ def mix(
     )
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The first `n` words of `text`, joined by one space."""
-    spaced = F.translate(text, SPACE[1:], " " * (len(SPACE) - 1))
-    return F.array_join(F.slice(F.array_remove(F.split(spaced, " "), ""), F.lit(1), n.cast("int")), " ")
-
-
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, in the columns of `docs`.
 
-    A part of a document is its first words. Documents without words are taken 0 times.
+    A part of a document is its first words, joined by single spaces. A column n_chars counts the characters of the part then, in its
+    own type; other columns stay as they are. Documents without words are taken 0 times.
     """
-    rows = docs.select(
-        F.struct("*").alias("_row"),
-        F.col(id_col).alias("_id"),
-        F.col(source_col).alias("_from"),
-        F.col(text_col).cast("string").alias("_text"),
-        word_count(text_or_empty(text_col)).alias("_size"),
-    )
-    mixed = mix(rows, "_id", "_from", "_size", F.xxhash64("_text"), **options)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names))
+    rows = docs.toDF(*names)
+    text = F.col(of[text_col]).cast("string")
+    rows = rows.withColumns({"_size": word_count(text_or_empty(of[text_col])), "_tie": F.md5(text.cast("binary"))})
+    mixed = mix(rows, of[id_col], of[source_col], "_size", F.col("_tie"), **options)
     part = (F.col("mix_part") > 0) & (F.col("mix_part") < F.col("_size"))
     whole = F.col("mix_whole") + F.when(F.col("mix_part") >= F.col("_size"), 1).otherwise(0)
     none = F.array().cast("array<boolean>")
@@ -147,12 +143,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(whole > 0, F.array_repeat(F.lit(True), whole.cast("int"))).otherwise(none),
         F.when(part, F.array(F.lit(False))).otherwise(none),
     )
-    text = F.when(F.col("_whole"), F.col("_text")).otherwise(first_words(F.col("_text"), F.col("mix_part")))
-    changed = {text_col: text}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_whole"), F.col("_row.n_chars")).otherwise(F.length(text).cast("long"))
+    first = F.array_join(F.slice(words_of(text), F.lit(1), F.col("mix_part").cast("int")), " ")
+    changed = {text_col: F.when(F.col("_whole"), text).otherwise(first)}
+    if "n_chars" in of:
+        kept = F.col(of["n_chars"])
+        changed["n_chars"] = F.when(F.col("_whole"), kept).otherwise(F.length(first).cast(docs.schema["n_chars"].dataType))
     return (
         mixed.filter(F.col("_size") > 0)
         .withColumn("_whole", F.explode(copies))
-        .select(*(changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
+        .select(*(changed.get(c, F.col(n)).alias(c) for c, n in of.items()))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbolith.llm import pii, secrets
-from arbolith.llm.common import read_table, text_or_empty, word_count
+from arbolith.llm.common import read_table, saved, text_or_empty, word_count
 from arbolith.llm.decontaminate import benchmark_hits, contaminated
 from arbolith.llm.licenses import CUE, LICENCE_FILE, license_scan, notice_words, templates
 from arbolith.llm.line_dedup import dedup_lines
@@ -147,9 +147,9 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sizes = docs.select(
-        "doc_id", "source", word_count(text_or_empty("text")).alias("size"), F.xxhash64("text").alias("tie")
+        "doc_id", "source", word_count(text_or_empty("text")).alias("size"), F.md5(F.col("text").cast("binary")).alias("tie")
     )
-    return mix(sizes, tie=F.col("tie"), weights=(5, 2, 1), budget=1.5, max_epochs=2).select(
+    return mix(saved(sizes), tie=F.col("tie"), weights=(5, 2, 1), budget=1.5, max_epochs=2).select(
         "doc_id",
         "size",
         F.col("mix_source_size").alias("source_size"),
@@ -161,7 +161,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')) AS h
   FROM documents
 ), per_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sizes GROUP BY source

@@ -1,10 +1,12 @@
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arbolith.llm import queries
-from arbolith.llm.mixing import mix, mix_documents, source_targets
+from arbolith.llm.mixing import mix, mix_documents, seeded_hash, source_targets
 
 
 def filled(sizes, weights, budget):
@@ -70,3 +72,38 @@ def test_documents_are_repeated(spark, small, odd, empty):
     assert words == {r.doc_id: r.taken for r in queries.op5_mixing(spark, small).collect() if r.taken}
     assert mix_documents(empty).collect() == [] and mix_documents(odd).columns == odd.columns
     assert sum(len((r.text or "").encode().split()) for r in mix_documents(odd).collect()) > 60000
+
+
+def test_null_ids_of_one_source_are_spread(spark):
+    """A third of all rows have a null id and one source, a third one id: their strata are as small as others', by the tie."""
+    rows = [(None, "a", 5 + i % 7, f"t{i}") for i in range(400)] + [(1, "a", 3 + i % 5, f"u{i}") for i in range(400)] + [(i, "b", 4, f"v{i}") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, size long, tie string")
+    got = mix(table, tie=F.col("tie"), stratum_rows=50).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert 0 <= r.mix_taken <= 2 * r.size
+        taken[r.source] += r.mix_taken
+        target[r.source] = r.mix_target
+    assert all(abs(taken[s] - t) <= 20 for s, t in target.items())
+    assert sorted(map(str, got)) == sorted(map(str, mix(table.repartition(5), tie=F.col("tie"), stratum_rows=50).collect()))
+    strata = Counter(int(r.h[:8], 16) % 16 for r in table.filter("source = 'a'").select(seeded_hash("doc_id", F.col("tie"), 17).alias("h")).collect())
+    assert len(strata) == 16 and max(strata.values()) < 100
+
+
+def test_many_sources_are_ranked_by_ranges(spark):
+    rng = np.random.default_rng(3)
+    sizes = [(f"s{i:04d}", int(x)) for i, x in enumerate(rng.integers(0, 1000, 1500))] + [(None, 70)]
+    table = spark.createDataFrame(sizes, "source string, size long").repartition(6)
+    want = filled([n for _, n in sizes], [(5, 2, 1)[i % 3] for i in range(len(sizes))], Fraction(3, 2))
+    got = {r.source: r for r in source_targets(table).collect()}
+    assert [got[s].target for s, _ in sizes] == pytest.approx(want)
+    assert [got[s].weight for s, _ in sizes] == [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+
+
+def test_other_columns_stay_as_they_are(spark):
+    docs = spark.createDataFrame([(i, f"one two\nthree {i}", "s", 7, 2) for i in range(9)], "doc_id long, text string, source string, n_chars int, size int")
+    out = mix_documents(docs, weights=(1,), budget=1.3)
+    assert out.schema == docs.schema
+    whole = {f"one two\nthree {i}" for i in range(9)}
+    for r in out.collect():
+        assert r.size == 2 and (r.n_chars == 7 if r.text in whole else r.n_chars == len(r.text) and "\n" not in r.text)
