@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from arbolith.llm import queries
 from arbolith.llm.sharding import _fill_bins, schedule_bins, shard_documents
@@ -57,7 +58,9 @@ def test_odd_rows(odd, empty):
     check(shard_documents(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()], 16)
     assert shard_documents(empty).collect() == []
     carried = shard_documents(odd, carry=True)
-    assert [c for c in odd.columns if c != "size"] == [c for c in carried.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    assert carried.columns == ["given_size" if c == "size" else c for c in odd.columns] + ["size", "text_crc32", "shard", "slot"]
+    given = sorted(str(tuple(r)) for r in odd.collect())
+    assert sorted(str(tuple(r)[: len(odd.columns)]) for r in carried.collect()) == given
     assert carried.count() == odd.count()
 
 
@@ -92,3 +95,50 @@ def test_cells_that_span_batches():
     assert placed(1) == placed(2) == placed(3) == whole
     for r, (bucket, g, *_) in zip(whole, rows):
         assert r["bin"] == next(x["bin"] for x in whole if (x["bucket"], x["g1"]) == (bucket, g))
+
+
+def longest_first(sizes, shards):
+    heap = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        heapq.heapreplace(heap, heap[0] + size)
+    return max(heap)
+
+
+def test_loads_stay_near_plain_scheduling_with_skewed_sizes(spark):
+    """Within the docstring's bound; with one bucket and no more groups than bins, exactly plain scheduling."""
+    rng = random.Random(3)
+    sizes = [int(20 / (1 - rng.random()) ** 0.8) for _ in range(3000)]
+    texts = [(i, f"{i:05d}".ljust(n, "x")) for i, n in enumerate(sizes)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    whole = [len(t) + 1 for _, t in texts]
+    best = longest_first(whole, 16)
+    for buckets, slack in ((None, 1.0), (1, 1.0), (5, 1.01), (64, 1.02)):
+        load = Counter()
+        for r in shard_documents(table, buckets=buckets).collect():
+            load[r.shard] += r.size
+        assert sum(load.values()) == sum(whole)
+        assert max(load.values()) <= slack * best
+        assert max(load.values()) <= max(sum(whole) / 16 * (1 + 1 / 128) + max(whole), max(whole))
+
+
+def test_null_and_equal_ids_in_one_group_are_spread(spark):
+    """A third of all rows are one text under a null id, a third one text under one id; no cell holds many of them."""
+    texts = [(None, "copy")] * 400 + [(7, "other copy")] * 400 + [(i, f"text {i}") for i in range(400)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for carry in (False, True):
+        check(shard_documents(table, carry=carry).collect(), texts, 16)
+    cells = Counter()
+    rows = table.select("doc_id", F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("h")).collect()
+    cells.update((r.doc_id, r.h % 1024) for r in rows if r.doc_id in (None, 7))
+    assert max(cells.values()) <= 8
+
+
+def test_buckets_follow_the_number_of_groups(spark):
+    texts = [(i, f"text {i} " + "x" * (i % 50)) for i in range(2000)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = shard_documents(table, bucket_groups=300, most_buckets=5).collect()
+    check(rows, texts, 16)
+    load = Counter()
+    for r in rows:
+        load[r.shard] += r.size
+    assert max(load.values()) <= 1.01 * longest_first([len(t) + 1 for _, t in texts], 16)
