@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbolith.llm.common import saved, skew_join, slices, text_or_empty, wide_hash
+from arbolith.llm.common import bounded_join, saved, skew_join, slices, text_or_empty, wide_hash
 
 #: Fingerprints under one key that are compared all at once.
 MOST = 1024
@@ -153,11 +153,13 @@ def _link(distance: int):
 
 
 def links(prints: DataFrame, distance: int = 4, blocks: int = 8) -> DataFrame:
-    """Links (a, b) that connect the distinct values of `fp` within `distance` bits."""
+    """Links (a, b) that connect the distinct values of `fp`, of a saved table, within `distance` bits."""
     masks = block_masks(list(range(64)), blocks, blocks - distance)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     choice = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("m")) for i, m in enumerate(signed)])
-    keyed = prints.select("fp", F.explode(choice).alias("c")).select(
+    # each row becomes as many as there are masks: small partitions, which Spark doesn't unite as their number is given
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + prints.count() * len(masks) // 4_000_000)
+    keyed = prints.select("fp").repartition(parts, "fp").select("fp", F.explode(choice).alias("c")).select(
         F.xxhash64(F.col("c.i"), F.col("fp").bitwiseAND(F.col("c.m"))).alias("key"), "fp"
     )
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link(distance), "a long, b long")
@@ -166,7 +168,8 @@ def links(prints: DataFrame, distance: int = 4, blocks: int = 8) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): the smallest node that it reaches.
 
-    Large-star and small-star steps in turn, each a shuffle of the edges, until nothing changes.
+    Large-star and small-star steps in turn, each a shuffle of the edges, until nothing changes. Rounds grow with the logarithm of
+    the longest path; if `most_rounds` don't do, it raises and drops nothing.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     for _ in range(most_rounds):
@@ -188,6 +191,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 def roots(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
     """`nodes`, with one row for each value of fp, and root: the least fp that it reaches."""
+    nodes = saved(nodes)
     found = components(links(nodes.select("fp"), distance, blocks)).withColumnRenamed("node", "fp")
     return nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -206,18 +210,28 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of `docs` for each row of `stay`: id, and the text's hash t1, t2."""
-    stay, text = stay.toDF("_id", "_t1", "_t2"), wide_hash(text_or_empty(text_col), "t")
-    keys = ["_key", "_k1", "_k2"]  # an id as text, so that null ids are joined and the window needs no second shuffle
-    as_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    named = docs.select(F.struct("*").alias("_row"), as_key(id_col).alias("_key"), *(h.alias(k) for h, k in zip(text, keys[1:])))
-    one = Window.partitionBy(*keys).orderBy(F.lit(0))
-    return (
-        named.join(stay.select(as_key("_id").alias("_key"), F.col("_t1").alias("_k1"), F.col("_t2").alias("_k2")), keys, "left_semi")
-        .withColumn("_nth", F.row_number().over(one))
-        .filter("_nth = 1")
-        .select("_row.*")
+    """One row of `docs` for each row of `stay`: id, and the text's hash t1, t2.
+
+    Ids and hashes decide which rows go. The texts are read once more and stay where they are, unless too many rows go to broadcast
+    their hashes; only rows of which one of several equal ones stays are shuffled in any case.
+    """
+    keys, text = ["_key", "_k1", "_k2"], wide_hash(text_or_empty(text_col), "t")
+    as_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  # so that null ids are joined
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    hashes = [as_key(id_col).alias("_key"), *(h.alias(k) for h, k in zip(text, keys[1:]))]
+    named = docs.select(*hashes, *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)))
+    first = stay.toDF("_id", "_t1", "_t2").select(as_key("_id").alias("_key"), F.col("_t1").alias("_k1"), F.col("_t2").alias("_k2"), F.lit(True).alias("_one"))
+    marks = saved(
+        skew_join(docs.select(*hashes).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), first, keys, "left")
+        .filter("_one is null or _n > 1")
+        .select(*keys, F.coalesce("_one", F.lit(False)).alias("_one"))
     )
+    kept = bounded_join(named, marks, keys, "left_anti")
+    several = marks.filter("_one").drop("_one")
+    if not several.isEmpty():
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+        kept = kept.unionByName(bounded_join(named, several, keys, "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_nth"))
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def one_per_group(
