@@ -6,7 +6,8 @@ to 128 bits. Each document counts once for each of its lines; hashes that reach
 
 Scale: the counts combine before the shuffle, so a line found in a third of all documents
 costs one row a task. Positions to drop travel back to the texts under a 128-bit key of
-the text, which is the same for copies and needs no unique id. Both joins are ones that Spark can split
+the text, which is the same for copies and needs no unique id. Frequent lines, and then positions, are counted first: if there are few
+enough they are broadcast, and neither lines nor texts are shuffled. Else both joins are ones that Spark can split
 where a line or a text is very common, as their other sides have one row for each.
 
 Null and empty texts are one empty line, which is never dropped while `min_chars` >= 1.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbolith.llm.common import SPACE, lower_ascii, skew_join, text_or_empty, wide_hash
+from arbolith.llm.common import SPACE, bounded_join, lower_ascii, saved, text_or_empty, wide_hash
 
 
 def line_key(line: Column) -> Column:
@@ -39,10 +40,10 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10,
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, most_rows: int = 500_000
 ) -> DataFrame:
-    """One row per input row: `id_col`, n_lines, n_dropped (long), kept_text."""
-    frequent = frequent_lines(docs, text_col, min_docs, min_chars).select("h1", "h2")
+    """One row per input row: `id_col`, n_lines, n_dropped (long), kept_text. `most_rows` bounds what is broadcast."""
+    frequent = saved(frequent_lines(docs, text_col, min_docs, min_chars).select("h1", "h2"))
     texts = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text")).select(
         F.col(id_col), "_text", *wide_hash(F.col("_text"), "_t")
     )
@@ -52,12 +53,13 @@ def dedup_lines(
         .filter(F.length("_key") >= min_chars)
         .select("_t1", "_t2", "_pos", *wide_hash(F.col("_key"), "h"))
     )
-    gone = skew_join(places, frequent, ["h1", "h2"], "left_semi")
-    dropped = gone.groupBy("_t1", "_t2").agg(F.collect_set("_pos").alias("_gone"))
+    gone = bounded_join(places, frequent, ["h1", "h2"], "left_semi", most_rows)
+    dropped = saved(gone.groupBy("_t1", "_t2").agg(F.collect_set("_pos").alias("_gone")))
+    n_gone = dropped.agg(F.sum(F.size("_gone"))).first()[0] or 0  # positions, not rows, make its size
     lines = F.split("_text", "\n")
     none = F.array().cast("array<int>")
     return (
-        skew_join(texts, dropped, ["_t1", "_t2"], "left")
+        bounded_join(texts, dropped, ["_t1", "_t2"], "left", most_rows if n_gone <= 10 * most_rows else 0)
         .withColumn("_lines", lines)
         .withColumn(
             "_stay",

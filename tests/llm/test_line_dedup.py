@@ -34,3 +34,5 @@ def test_odd_rows(spark, odd, empty):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in dedup_lines(docs, min_docs=3).collect())
     assert got == [(i, *x) for i, x in enumerate(brute(texts, 3))]
+    for most in (0, 1):  # with lines and positions shuffled in place of broadcast
+        assert got == sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in dedup_lines(docs, min_docs=3, most_rows=most).collect())
