@@ -125,7 +125,6 @@ def sync(config: Config) -> int:
     for row in apply.sync(_session(), mirror, int(time.time())).toLocalIterator():
         print(f"{row.kind:<14} {row.status:<9} {row.path}")
         conflicts += row.status == "conflict"
-    apply.forget_work(mirror)
     if conflicts:
         print(f"{conflicts} conflicts were left as they are", file=sys.stderr)
     return 7 if conflicts else 0

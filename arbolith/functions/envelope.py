@@ -24,6 +24,11 @@ def generation_of(payload: Column) -> Column:
     return F.when(F.octet_length(payload) < 8, short).otherwise(value)
 
 
+def accepted_generation(payload: Column) -> Column:
+    """The generation in front of a payload, null where there aren't eight bytes: to tell bad payloads from good ones in a table."""
+    return F.when(F.octet_length(payload) >= 8, generation_of(payload))
+
+
 def body_of(payload: Column) -> Column:
     return F.substring(payload, 9, 1 << 30)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 BASE32, DIGITS32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 PURPOSES = ("content", "name", "manifest", "keycheck")
-KNOWN_TEXT = b"file mirror"
+KNOWN_TEXT = b"arbolith vault passphrase check"
 
 
 def hkdf(secret: bytes, salt: bytes, info: bytes, size: int = 32) -> bytes:

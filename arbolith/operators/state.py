@@ -35,11 +35,6 @@ def remove(table: DataFrame, paths: DataFrame) -> DataFrame:
     return table.join(paths.select("path"), "path", "left_anti")
 
 
-def insert_entries(manifest: DataFrame, entries: DataFrame) -> DataFrame:
-    """The manifest with `entries`, which replace those of the same path."""
-    return remove(manifest, entries).unionByName(entries.select(*manifest.columns))
-
-
 def reuse_hashes(stats: DataFrame, baseline: DataFrame) -> DataFrame:
     """`stats` (path, size, mtime_ns) with known_hash: the baseline's where path, size and mtime_ns all match, else null."""
     known = baseline.select("path", "size", "mtime_ns", F.col("content_hash").alias("known_hash"))
@@ -104,8 +99,20 @@ def baseline_after(
     )
 
 
-def guard_generations(log: DataFrame, device: str, sequence: str, generation: str) -> DataFrame:
-    """`log` with highest (before each write, 0 at first) and accepted: a write of a lower generation is a rollback."""
-    before = Window.partitionBy(device).orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
-    highest = F.greatest(F.coalesce(F.max(generation).over(before), F.lit(0)), F.lit(0)).cast("long")
-    return log.withColumn("highest", highest).withColumn("accepted", F.col(generation) >= F.col("highest"))
+def guard_generations(log: DataFrame, device: str, sequence: str, generation: str, piece: int = 1 << 20) -> DataFrame:
+    """`log` with highest (before each write, 0 at first) and accepted: a write of a lower generation is a rollback.
+
+    A device's log is cut by its sequence numbers into pieces of `piece`, each a task's work: the highest generation before a piece comes
+    from one row a piece. So no task sorts a busy device's whole log.
+    """
+    cut = log.withColumn("_piece", F.floor(F.col(sequence) / piece))
+    earlier = Window.partitionBy(device).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
+        cut.groupBy(device, "_piece")
+        .agg(F.max(generation).alias("_top"))
+        .select(F.col(device).alias("_device"), F.col("_piece").alias("_of"), F.max("_top").over(earlier).alias("_before"))
+    )
+    known = cut.join(pieces, cut[device].eqNullSafe(F.col("_device")) & cut["_piece"].eqNullSafe(F.col("_of")))
+    before = Window.partitionBy(device, "_piece").orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
+    highest = F.greatest(F.max(generation).over(before), F.col("_before"), F.lit(0)).cast("long")  # nulls don't count
+    return known.withColumn("highest", highest).withColumn("accepted", F.col(generation) >= F.col("highest")).select(*log.columns, "highest", "accepted")

@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +26,17 @@ from arbolith.operators.reconcile import bookkeeping, changes, last_wins, of_kin
 from arbolith.plans.manifest import read_manifest, write_manifest
 from arbolith.schemas import OUTCOME
 from arbolith.sources.objects import FolderStore
-from arbolith.sources.tables import State
+from arbolith.sources.tables import State, local_uri
 from arbolith.sources.tree import file_stat, scan_tree
 
+FRAME = pa.schema(
+    [("path", pa.string()), ("object_key", pa.string()), ("frame", pa.int64()), ("last", pa.bool_()), ("content", pa.binary()),
+     ("size", pa.int64()), ("mtime_ns", pa.int64()), ("hash", pa.string())]
+)
 FRAMES = "path string, object_key string, frame long, last boolean, content binary, size long, mtime_ns long, hash string"
-NAMES = [f.split()[0] for f in FRAMES.split(", ")]
-OUTCOMES = OUTCOME.names
+DONE = pa.schema(
+    [("path", pa.string()), ("kind", pa.string()), ("status", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64()), ("hash", pa.string())]
+)
 
 
 @dataclass(frozen=True)
@@ -48,125 +53,156 @@ class Mirror:
     ignore_file: str = ".mirrorignore"
 
 
-def _read_files(root: str, frame_bytes: int):
-    """Frames of each local file; the last one has the size, time and hash of what was read, or no hash if it changed."""
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most_rows: int = 4096, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of so many, or of so many bytes of their binary values."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(held) >= most_rows or size >= most_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                full = os.path.join(root, row.raw_path)
-                digest, number = hashlib.sha256(), 0
-                try:
-                    before = file_stat(full)
-                    with open(full, "rb") as f:
-                        chunk = f.read(frame_bytes)
-                        while True:
-                            digest.update(chunk)
-                            ahead = f.read(frame_bytes)
-                            if not ahead:
-                                break
-                            yield pd.DataFrame([(row.path, row.object_key, number, False, chunk, None, None, None)], columns=NAMES)
-                            chunk, number = ahead, number + 1
-                    steady = before == file_stat(full)
-                except FileNotFoundError:
-                    before, chunk, steady = (0, 0), b"", False
-                found = digest.hexdigest() if steady else None
-                yield pd.DataFrame([(row.path, row.object_key, number, True, chunk, *before, found)], columns=NAMES)
+def _task(rows: Callable[[Iterator[dict]], Iterator[tuple]], schema: pa.Schema):
+    """A function for mapInArrow from one that maps rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(rows(row for batch in batches for row in batch.to_pylist()), schema)
 
     return run
 
 
+class _NewFile:
+    """A file written beside its target, which it replaces when it is whole; else nothing of it stays."""
+
+    def __init__(self, target: str, temporary: str):
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        os.makedirs(os.path.dirname(temporary), exist_ok=True)
+        self.target, self.temporary, self.out = target, temporary, open(temporary, "wb")  # noqa: SIM115
+        self.digest = hashlib.sha256()
+
+    def write(self, content: bytes) -> None:
+        self.out.write(content)
+        self.digest.update(content)
+
+    def keep(self) -> None:
+        self.out.flush()
+        os.fsync(self.out.fileno())
+        self.out.close()
+        os.replace(self.temporary, self.target)
+
+    def drop(self) -> None:
+        self.out.close()
+        os.unlink(self.temporary)
+
+
+def _read_files(root: str, frame_bytes: int):
+    """Frames of each local file; the last one has the size, time and hash of what was read, or no hash if it changed."""
+
+    def rows(files: Iterator[dict]) -> Iterator[tuple]:
+        for row in files:
+            full = os.path.join(root, row["raw_path"])
+            digest, number = hashlib.sha256(), 0
+            try:
+                before = file_stat(full)
+                with open(full, "rb") as f:
+                    chunk = f.read(frame_bytes)
+                    while True:
+                        digest.update(chunk)
+                        ahead = f.read(frame_bytes)
+                        if not ahead:
+                            break
+                        yield row["path"], row["object_key"], number, False, chunk, None, None, None
+                        chunk, number = ahead, number + 1
+                steady = before == file_stat(full)
+            except FileNotFoundError:
+                before, chunk, steady = (0, 0), b"", False
+            yield row["path"], row["object_key"], number, True, chunk, *before, digest.hexdigest() if steady else None
+
+    return _task(rows, FRAME)
+
+
 def _write_objects(store: str, prefix: str):
     """Frames of a partition, in order, to objects; each frame follows its length."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = temporary = None
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                target = os.path.join(store, prefix + row.object_key)
-                if row.frame == 0:
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    temporary = f"{target}.{uuid.uuid4().hex}.part"
-                    out = open(temporary, "wb")  # noqa: SIM115
-                out.write(len(row.content).to_bytes(4, "big") + row.content)
-                if row.last:
-                    out.flush()
-                    os.fsync(out.fileno())
-                    out.close()
-                    steady = isinstance(row.hash, str)
-                    os.replace(temporary, target) if steady else os.unlink(temporary)
-                    yield pd.DataFrame(
-                        [(row.path, "upload", "done" if steady else "deferred", row.size, row.mtime_ns, row.hash if steady else None)],
-                        columns=OUTCOMES,
-                    )
-
-    return run
+    def rows(frames: Iterator[dict]) -> Iterator[tuple]:
+        new = None
+        try:
+            for row in frames:
+                if row["frame"] == 0:
+                    target = os.path.join(store, prefix + row["object_key"])
+                    new = _NewFile(target, f"{target}.{uuid.uuid4().hex}.part")
+                new.write(len(row["content"]).to_bytes(4, "big") + row["content"])
+                if row["last"]:
+                    steady = row["hash"] is not None
+                    done, new = new, None
+                    done.keep() if steady else done.drop()
+                    yield row["path"], "upload", "done" if steady else "deferred", row["size"], row["mtime_ns"], row["hash"]
+        finally:
+            if new:
+                new.drop()
+
+    return _task(rows, DONE)
 
 
 def _read_objects(store: str, prefix: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                number = 0
-                with open(os.path.join(store, prefix + row.object_key), "rb") as f:
+    def rows(entries: Iterator[dict]) -> Iterator[tuple]:
+        for row in entries:
+            number = 0
+            with open(os.path.join(store, prefix + row["object_key"]), "rb") as f:
+                head = f.read(4)
+                while head:
+                    box = f.read(int.from_bytes(head, "big"))
                     head = f.read(4)
-                    while head:
-                        box = f.read(int.from_bytes(head, "big"))
-                        head = f.read(4)
-                        yield pd.DataFrame(
-                            [(row.path, row.object_key, number, not head, box, row.size, None, row.content_hash)], columns=NAMES
-                        )
-                        number += 1
+                    yield row["path"], row["object_key"], number, not head, box, row["size"], None, row["content_hash"]
+                    number += 1
 
-    return run
+    return _task(rows, FRAME)
 
 
 def _write_files(root: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = temporary = digest = None
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                target = os.path.join(root, row.path)
-                if row.frame == 0:
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    os.makedirs(os.path.join(root, ".mirror", "tmp"), exist_ok=True)
-                    temporary = os.path.join(root, ".mirror", "tmp", uuid.uuid4().hex)
-                    out, digest = open(temporary, "wb"), hashlib.sha256()  # noqa: SIM115
-                out.write(row.content)
-                digest.update(row.content)
-                if row.last:
-                    out.flush()
-                    os.fsync(out.fileno())
-                    out.close()
-                    if digest.hexdigest() != row.hash:
-                        os.unlink(temporary)
-                        raise ValueError(f"content doesn't match its hash: {row.path}")
-                    os.replace(temporary, target)
-                    yield pd.DataFrame([(row.path, "download", "done", *file_stat(target), row.hash)], columns=OUTCOMES)
-
-    return run
+    def rows(frames: Iterator[dict]) -> Iterator[tuple]:
+        new = None
+        try:
+            for row in frames:
+                if row["frame"] == 0:
+                    new = _NewFile(os.path.join(root, row["path"]), os.path.join(root, ".mirror", "tmp", uuid.uuid4().hex))
+                new.write(row["content"])
+                if row["last"]:
+                    if new.digest.hexdigest() != row["hash"]:
+                        raise ValueError(f"content doesn't match its hash: {row['path']}")
+                    done, new = new, None
+                    done.keep()
+                    yield row["path"], "download", "done", *file_stat(done.target), row["hash"]
+        finally:
+            if new:
+                new.drop()
+
+    return _task(rows, DONE)
 
 
 def _delete(folder: str, prefix: str, column: str, kind: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                try:
-                    os.unlink(os.path.join(folder, prefix + row[column]))
-                except FileNotFoundError:
-                    pass
-                yield pd.DataFrame([(row["path"], kind, "done", None, None, None)], columns=OUTCOMES)
+    def rows(wanted: Iterator[dict]) -> Iterator[tuple]:
+        for row in wanted:
+            try:
+                os.unlink(os.path.join(folder, prefix + row[column]))
+            except FileNotFoundError:
+                pass
+            yield row["path"], kind, "done", None, None, None
 
-    return run
+    return _task(rows, DONE)
 
 
 def uploads(mirror: Mirror, files: DataFrame) -> DataFrame:
     """Outcomes of sealing and storing `files` (path, raw_path)."""
     named = files.select("path", "raw_path", object_key_from(mirror.name_key)(F.col("path")).alias("object_key"))
-    frames = named.mapInPandas(_read_files(mirror.root, envelope.FRAME_BYTES), FRAMES)
+    frames = named.mapInArrow(_read_files(mirror.root, envelope.FRAME_BYTES), FRAMES)
     context = envelope.frame_context(F.col("object_key"), F.col("frame"), F.col("last"))
     key = envelope.secret_column(mirror.content_key)(F.col("path"))
-    return frames.withColumn("content", envelope.sealed(F.col("content"), key, context)).mapInPandas(
+    return frames.withColumn("content", envelope.sealed(F.col("content"), key, context)).mapInArrow(
         _write_objects(mirror.store, mirror.prefix), OUTCOME
     )
 
@@ -174,12 +210,12 @@ def uploads(mirror: Mirror, files: DataFrame) -> DataFrame:
 def downloads(mirror: Mirror, entries: DataFrame) -> DataFrame:
     """Outcomes of fetching and opening manifest entries."""
     wanted = entries.select(assert_safe(F.col("path")).alias("path"), "size", "content_hash", "object_key")
-    frames = wanted.mapInPandas(_read_objects(mirror.store, mirror.prefix), FRAMES)
+    frames = wanted.mapInArrow(_read_objects(mirror.store, mirror.prefix), FRAMES)
     context = envelope.frame_context(F.col("object_key"), F.col("frame"), F.col("last"))
     key = envelope.secret_column(mirror.content_key)(F.col("path"))
     refused = F.raise_error(F.concat(F.lit("an object doesn't open: "), F.col("path"))).cast("binary")
     opened = F.coalesce(envelope.opened(F.col("content"), key, context), refused)
-    return frames.withColumn("content", opened).mapInPandas(_write_files(mirror.root), OUTCOME)
+    return frames.withColumn("content", opened).mapInArrow(_write_files(mirror.root), OUTCOME)
 
 
 def compare(spark: SparkSession, mirror: Mirror) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -192,9 +228,21 @@ def compare(spark: SparkSession, mirror: Mirror) -> tuple[DataFrame, DataFrame,
 
 
 def sync(spark: SparkSession, mirror: Mirror, now: int) -> DataFrame:
-    """Brings both sides together; the outcome of every action. Conflicts are left as they are."""
+    """Brings both sides together; the outcome of every action, a table that stays until the next run. Conflicts are left as they are.
+
+    Working tables, which hold the opened manifest, are gone when this returns or fails.
+    """
+    work, outcomes = (os.path.join(mirror.state, f"{name}-{uuid.uuid4().hex}") for name in ("work", "outcomes"))
+    forget(mirror, "outcomes-")
+    try:
+        _sync(spark, mirror, now, local_uri(work)).write.parquet(local_uri(outcomes))
+    finally:
+        forget(mirror, "work-")
+    return spark.read.parquet(local_uri(outcomes))
+
+
+def _sync(spark: SparkSession, mirror: Mirror, now: int, work: str) -> DataFrame:
     state, store = State(spark, mirror.state), FolderStore(mirror.store)
-    work = f"{mirror.state}/work-{uuid.uuid4().hex}"
     local, baseline, remote, changed = compare(spark, mirror)
 
     def written(df: DataFrame, name: str) -> DataFrame:
@@ -210,7 +258,7 @@ def sync(spark: SparkSession, mirror: Mirror, now: int) -> DataFrame:
     gone = written(
         local.join(of_kind(actions, "delete-local"), "path", "left_semi")
         .select("path", "raw_path")
-        .mapInPandas(_delete(mirror.root, "", "raw_path", "delete-local"), OUTCOME),
+        .mapInArrow(_delete(mirror.root, "", "raw_path", "delete-local"), OUTCOME),
         "delete-local",
     )
     sent = up.filter("status = 'done'")
@@ -224,7 +272,7 @@ def sync(spark: SparkSession, mirror: Mirror, now: int) -> DataFrame:
     write_manifest(manifest, store, mirror.prefix, generation, mirror.manifest_key)
     state.commit(after, generation)
     removed = written(
-        tables.remote_deletes(actions, remote).mapInPandas(_delete(mirror.store, mirror.prefix, "object_key", "delete-remote"), OUTCOME),
+        tables.remote_deletes(actions, remote).mapInArrow(_delete(mirror.store, mirror.prefix, "object_key", "delete-remote"), OUTCOME),
         "delete-remote",
     )
     conflicts = of_kind(actions, "conflict").select(
@@ -238,8 +286,9 @@ def sync(spark: SparkSession, mirror: Mirror, now: int) -> DataFrame:
     return outcomes
 
 
-def forget_work(mirror: Mirror) -> None:
-    """Removes the working tables of earlier runs."""
+def forget(mirror: Mirror, prefix: str) -> None:
+    """Removes tables of this or earlier runs."""
+    os.makedirs(mirror.state, exist_ok=True)
     for name in os.listdir(mirror.state):
-        if name.startswith("work-"):
-            shutil.rmtree(os.path.join(mirror.state, name))
+        if name.startswith(prefix):
+            shutil.rmtree(os.path.join(mirror.state, name), ignore_errors=True)

@@ -12,6 +12,7 @@ from arbolith.functions.digest import digest
 from arbolith.functions.keys import object_key
 from arbolith.operators import reconcile, state
 from arbolith.plans.snapshots import NOW, SNAPSHOTS_SQL, SQL_OBJECT_KEY, TEST_KEY, path_of, snapshots
+from arbolith.sources.objects import listed
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
@@ -180,11 +181,45 @@ def envelope_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def payload_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads of every length from none on: those shorter than a generation are refused, -1."""
+    payload = F.substring(F.concat(envelope.generation_bytes(F.col("doc_id") * F.col("n_chars")), F.lit(b"body")), 1, F.col("doc_id").cast("int") % 13)
+    rows = _documents(spark, d).select("doc_id", payload.alias("payload"))
+    generation = envelope.accepted_generation(F.col("payload"))
+    refused = generation.isNull().alias("refused")
+    return rows.select("doc_id", F.octet_length("payload").alias("bytes"), F.coalesce(generation, F.lit(-1)).alias("generation"), refused)
+
+
+def tampered_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Sealed manifest rows, some with a byte changed in nonce, content or tag, or read as another generation's: what still opens."""
+    key, entry = F.unhex(F.lit(TEST_KEY.hex())), F.to_json(F.struct("path", "size", "content_hash", "object_key"))
+    context = lambda generation: envelope.manifest_context("v/manifest.bin", F.lit(generation))
+    boxes = snapshots(spark, d).remote.select("path", "size", entry.alias("entry"), envelope.sealed(entry.cast("binary"), key, context(5)).alias("box"))
+    boxes = boxes.repartition("path").withColumn("variant", (F.col("size") % 5).cast("int"))
+    size = F.octet_length("box")
+    at = F.when(F.col("variant") == 1, 1).when(F.col("variant") == 2, 20).otherwise(size)
+    flipped = F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring("box", at, F.lit(1))), 16, 10).cast("long").bitwiseXOR(F.lit(1))), 2, "0"))
+    changed = F.concat(F.substring("box", F.lit(1), at - 1), flipped, F.substring("box", at + 1, size))
+    box = F.when(F.col("variant").isin(1, 2, 3), changed).otherwise(F.col("box"))
+    text = F.when(F.col("variant") == 4, envelope.opened(box, key, context(6))).otherwise(envelope.opened(box, key, context(5)))
+    return boxes.select("path", "variant", (text.cast("string") == F.col("entry")).alias("opens_same"), text.isNull().alias("refused"))
+
+
+def store_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The objects of a store under a prefix: keys of all documents, of which some are writes that weren't finished."""
+    name = F.concat(F.lit("vault/"), object_key(TEST_KEY, F.col("path")))
+    objects = _documents(spark, d).select("doc_id", path_of().alias("path"), F.octet_length("text").cast("long").alias("size")).select(
+        F.when(F.col("doc_id") % 13 == 0, F.concat(name, F.lit(".part"))).otherwise(name).alias("key"), "size"
+    )
+    return listed(objects, "vault/A")
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     reconcile_plan, change_classes, plan_summary, plan_with_rank, plan_uploads, plan_bookkeeping, all_paths, scan_hash,
     hash_cache_reuse, exclude_filter, safe_path_filter, nfc_paths, prefix_list, object_keys, upsert_record_scan,
     upsert_confirm_sync, baseline_delete, download_entries, remote_delete_keys, manifest_after_apply,
-    baseline_after_apply, generation_guard, generation_codec, manifest_json, envelope_roundtrip,
+    baseline_after_apply, generation_guard, generation_codec, manifest_json, envelope_roundtrip, payload_guard, tampered_rows,
+    store_listing,
 )
 
 
@@ -265,4 +300,12 @@ def oracle_sql() -> dict[str, str]:
               SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 9223372036854775807 - doc_id ELSE doc_id * n_chars END AS generation FROM documents)""",
         "manifest_json": f"{with_snapshots} SELECT * FROM remote",
         "envelope_roundtrip": "SELECT doc_id, 28::INTEGER AS overhead, sha256(text) AS opened_hash, true AS refused FROM documents",
+        "payload_guard": """SELECT doc_id, bytes, CASE WHEN bytes >= 8 THEN doc_id * n_chars ELSE -1 END AS generation, bytes < 8 AS refused
+            FROM (SELECT doc_id, n_chars, CAST(least(doc_id % 13, 12) AS INTEGER) AS bytes FROM documents)""",
+        "tampered_rows": f"""{with_snapshots} SELECT path, CAST(size % 5 AS INTEGER) AS variant, CASE WHEN size % 5 = 0 THEN true END AS opens_same,
+            size % 5 <> 0 AS refused FROM remote""",
+        "store_listing": f"""SELECT key, size FROM (
+              SELECT 'vault/' || {SQL_OBJECT_KEY('path')} || CASE WHEN doc_id % 13 = 0 THEN '.part' ELSE '' END AS key, size
+              FROM (SELECT doc_id, {_PATH} AS path, strlen(text) AS size FROM documents))
+            WHERE starts_with(key, 'vault/A') AND NOT ends_with(key, '.part')""",
     }

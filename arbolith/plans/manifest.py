@@ -1,13 +1,15 @@
 """The encrypted manifest: sealed rows in a folder for each generation, and one sealed head that names the folder.
 
 The head is eight bytes of generation and a sealed JSON body with the number of rows; it is replaced atomically, after
-its rows are written. Every row is sealed with the manifest's key and generation as context, so rows of another
-generation don't open, and the count tells if any are missing.
+its rows are written, which lie in ranges of paths, by path in each file. Every row is sealed with the manifest's key and generation
+as context, so rows of another generation don't open, and the count tells if any are missing. The generation before
+stays for readers that have begun; older ones are deleted.
 """
 
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from arbolith.functions import envelope
 from arbolith.schemas import MANIFEST
 from arbolith.sources.objects import FolderStore
-from arbolith.sources.tables import State
+from arbolith.sources.tables import State, keep_latest, local_uri
 
 
 class Rollback(ValueError):
@@ -37,13 +39,16 @@ def write_manifest(
     spark, secret = entries.sparkSession, envelope.secret_column(key)
     folder = f"{prefix}manifest/{generation}"
     content = F.to_json(F.struct(*MANIFEST.names)).cast("binary")
-    boxes = entries.select(envelope.sealed(content, secret(F.col("path")), _context(prefix, generation)).alias("box"))
-    boxes.write.mode("overwrite").parquet(f"{store.root}/{folder}")
-    rows = spark.read.parquet(f"{store.root}/{folder}").count()
+    ordered = entries.repartitionByRange("path").sortWithinPartitions("path")
+    boxes = ordered.select(envelope.sealed(content, secret(F.col("path")), _context(prefix, generation)).alias("box"))
+    rows_uri = local_uri(f"{store.root}/{folder}")
+    boxes.write.mode("overwrite").parquet(rows_uri)
+    rows = spark.read.parquet(rows_uri).count()
     head = spark.createDataFrame([(json.dumps({"folder": folder, "rows": rows}),)], "body string")
     box = envelope.sealed(F.col("body").cast("binary"), secret(F.col("body")), _context(prefix, generation))
     payload = head.select(F.concat(envelope.generation_bytes(F.lit(generation)), box).alias("p")).first()["p"]
     store.put(_head_key(prefix), iter([bytes(payload)]))
+    keep_latest(os.path.join(store.root, f"{prefix}manifest"), "", generation)
 
 
 def read_manifest(
@@ -65,7 +70,7 @@ def read_manifest(
     if body is None:
         raise ValueError("the manifest doesn't open with this key")
     facts = json.loads(body)
-    boxes = spark.read.schema("box binary").parquet(f"{store.root}/{facts['folder']}")
+    boxes = spark.read.schema("box binary").parquet(local_uri(f"{store.root}/{facts['folder']}"))
     if boxes.count() != facts["rows"]:
         raise ValueError("the manifest lacks rows")
     refused = F.raise_error(F.lit("a manifest row doesn't open")).cast("string")

@@ -10,6 +10,9 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbolith.functions.paths import under
+from arbolith.sources.tree import TreeSource
+
 
 class ObjectStore(Protocol):
     def put(self, key: str, chunks: Iterator[bytes]) -> None: ...
@@ -97,10 +100,13 @@ class MemoryStore:
         pass
 
 
+def listed(objects: DataFrame, prefix: str = "") -> DataFrame:
+    """Those of `objects` (key, size) under a prefix; unfinished writes are none."""
+    return objects.filter(under(F.col("key"), prefix.lstrip("/")) & ~F.endswith("key", F.lit(".part")))
+
+
 def object_listing(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """key and size of the objects of a FolderStore, listed by Spark's file source."""
-    base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    key = F.expr(f"substring(path, locate('{base}/', path) + {len(base) + 1})")
-    rows = found.select(key.alias("key"), F.col("length").alias("size"))
-    return rows.filter(F.col("key").startswith(prefix))
+    """key and size of the objects of a FolderStore as `FolderStore.list` gives them, hidden and empty ones too, listed by tasks."""
+    spark.dataSource.register(TreeSource)
+    found = spark.read.format("tree").options(path=root, ignore_files="", hash="false", exclude="false").load()
+    return listed(found.select(F.col("raw_path").alias("key"), "size"), prefix)

@@ -1,9 +1,14 @@
-"""Baseline and generation as Parquet versions behind one pointer file: a single writer, readers see whole versions."""
+"""Baseline and generation as Parquet versions behind one pointer file: a single writer, readers see whole versions.
+
+The version before the current one stays for readers that have begun; older ones are deleted.
+"""
 
 from __future__ import annotations
 
 import json
 import os
+import pathlib
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +17,19 @@ from arbolith.functions.digest import checked, non_negative
 from arbolith.schemas import BASELINE, LAYOUT
 
 
+def local_uri(path: str) -> str:
+    """The path for Spark, on the file system that `os` sees whatever Spark's default is."""
+    return pathlib.Path(os.path.abspath(path)).as_uri()
+
+
+def keep_latest(folder: str, prefix: str, number: int, keep: int = 2) -> None:
+    """Deletes the numbered folders in `folder` but for the `keep` up to `number`."""
+    for name in os.listdir(folder):
+        tail = name.removeprefix(prefix)
+        if name.startswith(prefix) and tail.isdigit() and int(tail) <= number - keep:
+            shutil.rmtree(os.path.join(folder, name), ignore_errors=True)
+
+
 class State:
     """What a device last knew: `baseline()` and `generation()`, replaced together by `commit()`."""
 
@@ -34,7 +52,7 @@ class State:
         at = self._pointer()
         if not at["version"]:
             return self.spark.createDataFrame([], BASELINE)
-        rows = self.spark.read.parquet(os.path.join(self.root, f"v{at['version']}"))
+        rows = self.spark.read.parquet(local_uri(os.path.join(self.root, f"v{at['version']}")))
         if at.get("layout", 0) < 1:
             rows = rows.withColumn("updated_at", F.lit(0).cast("long"))
         return rows.select(
@@ -51,7 +69,7 @@ class State:
         at = self._pointer()
         if baseline is not None:
             at |= {"version": at["version"] + 1, "layout": LAYOUT}
-            baseline.write.mode("overwrite").parquet(os.path.join(self.root, f"v{at['version']}"))
+            baseline.write.mode("overwrite").parquet(local_uri(os.path.join(self.root, f"v{at['version']}")))
         if generation is not None:
             at["generation"] = min(generation, (1 << 63) - 1)
         temporary = os.path.join(self.root, "current.json.new")
@@ -60,3 +78,4 @@ class State:
             f.flush()
             os.fsync(f.fileno())
         os.replace(temporary, os.path.join(self.root, "current.json"))
+        keep_latest(self.root, "v", at["version"])

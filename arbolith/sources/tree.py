@@ -10,8 +10,10 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +59,7 @@ class TreeReader(DataSourceReader):
         self.root = options["path"]
         self.names = [n for n in options.get("ignore_files", ".mirrorignore,.ignore").split(",") if n]
         self.hashing = options.get("hash", "true") == "true"
+        self.excluded = ALWAYS_EXCLUDED if options.get("exclude", "true") == "true" else ()
         self.parts = int(options.get("partitions", "64"))
 
     def _rules(self, directory: str) -> list[tuple[str, list[Rule]]]:
@@ -81,7 +84,7 @@ class TreeReader(DataSourceReader):
             path = f"{directory}/{entry.name}" if directory else entry.name
             mode = entry.stat(follow_symlinks=False).st_mode
             folder = stat.S_ISDIR(mode)
-            if entry.name not in ALWAYS_EXCLUDED and (folder or stat.S_ISREG(mode)) and not ignored(chain, path, folder):
+            if entry.name not in self.excluded and (folder or stat.S_ISREG(mode)) and not ignored(chain, path, folder):
                 yield path, folder
 
     def partitions(self) -> list[_Part]:
@@ -102,7 +105,7 @@ class TreeReader(DataSourceReader):
             elif deep:
                 yield from self._walk(path, [*chain, *self._rules(path)], deep)
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
+    def _rows(self, partition: _Part) -> Iterator[tuple]:
         for path in self._walk(partition.directory, self._chain(partition.directory), partition.deep):
             full = os.path.join(self.root, path)
             if self.hashing:
@@ -112,9 +115,15 @@ class TreeReader(DataSourceReader):
             else:
                 yield normalised(path), path, *file_stat(full), None, True
 
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(list(zip(SCAN.names, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))))
+        rows = self._rows(partition)
+        while some := list(islice(rows, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
 
 class TreeSource(DataSource):
-    """Options: path (the root), ignore_files, hash (false: only stat), partitions."""
+    """Options: path (the root), ignore_files, hash (false: only stat), exclude (false: also what is always excluded), partitions."""
 
     @classmethod
     def name(cls) -> str:

@@ -8,7 +8,7 @@ from arbolith.__main__ import main
 from arbolith.functions.keys import derive_keys
 from arbolith.operators.reconcile import plan
 from arbolith.plans.apply import Mirror, compare, sync
-from arbolith.plans.manifest import Rollback
+from arbolith.plans.manifest import Rollback, read_manifest
 from arbolith.sources.config import FileSecrets
 from arbolith.sources.objects import FolderStore
 from arbolith.sources.tables import State
@@ -153,3 +153,45 @@ def test_commands(spark, tmp_path, monkeypatch, capsys):
     assert call("status") == 0 and capsys.readouterr().out.split()[:2] == ["upload", "a.txt"]
     assert call("snapshot") == 0 and call("sync") == 0 and call("status") == 0
     assert "up to date" in capsys.readouterr().out
+
+
+def test_old_versions_and_working_tables_go(spark, devices):
+    a = devices("a")
+    for i in range(4):
+        put(a, "x", b"%d" % i)
+        assert run(spark, a) == [("upload", "done", "x")]
+    left = sorted(n for n in os.listdir(a.state) if not n.startswith("outcomes-"))
+    assert left == ["current.json", "v3", "v4"]
+    assert len(os.listdir(a.state)) == 4  # and the outcomes of the last run
+    assert sorted(os.listdir(os.path.join(a.store, "v", "manifest"))) == ["3", "4"]
+    # a run that fails leaves no opened manifest behind
+    b = devices("b")
+    for key, _ in FolderStore(a.store).list("v/"):
+        if "manifest" not in key:
+            FolderStore(a.store).delete(key)
+    with pytest.raises(Exception):
+        run(spark, b)
+    assert not any(n.startswith("work-") for n in os.listdir(b.state))
+
+
+def test_a_failed_transfer_leaves_no_partial_file(spark, devices):
+    a, b = devices("a"), devices("b")
+    put(a, "big", os.urandom(3 << 20))
+    run(spark, a)
+    key = max(FolderStore(a.store).list("v/"), key=lambda x: x[1])[0]
+    path = os.path.join(a.store, key)
+    with open(path, "r+b") as f:
+        f.seek((2 << 20) + 100)
+        f.write(b"xxxx")
+    with pytest.raises(Exception, match="doesn't open"):
+        run(spark, b)
+    assert files(b) == {} and not [n for _, _, names in os.walk(os.path.join(b.root, ".mirror", "tmp")) for n in names]
+
+
+def test_manifest_rows_lie_by_path(spark, devices):
+    a = devices("a")
+    for i in range(30):
+        put(a, f"d{i % 3}/f{(i * 7) % 30:02d}", b"x")
+    run(spark, a)
+    entries = [r.path for r in read_manifest(spark, FolderStore(a.store), "v/", State(spark, a.state), a.manifest_key).collect()]
+    assert len(entries) == 30 and entries == sorted(entries)

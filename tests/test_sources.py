@@ -101,6 +101,11 @@ def test_listing_and_missing_store(spark, tmp_path):
     for key in ("p/a", "p/x/b", "q/c"):
         store.put(key, iter([b"12"]))
     assert sorted(map(tuple, object_listing(spark, store.root, "p/").collect())) == [("p/a", 2), ("p/x/b", 2)]
+    for key in ("p/.hidden", "p/empty", "p/.DS_Store", "p/.mirrorignore"):
+        store.put(key, iter([b"*\n"] if key.endswith("ignore") else []))
+    (tmp_path / "s" / "p" / "c.123.part").write_bytes(b"unfinished")
+    for prefix in ("", "p/", "/p/x", "none"):
+        assert sorted(map(tuple, object_listing(spark, store.root, prefix).collect())) == sorted(store.list(prefix))
     with pytest.raises(ValueError):
         store.put("../x", iter([]))
 
