@@ -78,8 +78,10 @@ def doctor(config: Config) -> int:
 
 
 def _show(actions, counts) -> None:
-    for row in actions.toLocalIterator():
-        print(f"{row.kind:<14} {row.path}")
+    from arbolith.operators.reconcile import shown
+
+    for row in actions.select(shown(actions["kind"], actions["path"]).alias("line")).toLocalIterator():
+        print(row.line)
     found = counts.first().asDict()
     print(", ".join(f"{n} {k}" for k, n in found.items()) if any(found.values()) else "up to date")
 

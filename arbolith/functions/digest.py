@@ -28,3 +28,19 @@ def checked(hash_: Column) -> Column:
 def non_negative(n: Column) -> Column:
     """Sizes and generations that were stored out of range read as 0."""
     return F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("long")
+
+
+def saturated(n: Column) -> Column:
+    """A decimal number as a long: what is out of its range becomes the nearest long."""
+    most = F.lit((1 << 63) - 1).cast("decimal(38,0)")
+    return F.greatest(F.least(n.cast("decimal(38,0)"), most), -most - 1).cast("long")
+
+
+def parsed(hash_: Column) -> Column:
+    """The 32 bytes that 64 hexadecimal digits of either case stand for; null for anything else."""
+    return F.when(hash_.rlike("^[0-9A-Fa-f]{64}$"), F.unhex(hash_))
+
+
+def formatted(value: Column) -> Column:
+    """Bytes as lower-case hexadecimal digits."""
+    return F.lower(F.hex(value))

@@ -98,3 +98,8 @@ def bookkeeping(changed: DataFrame) -> DataFrame:
         )
     )
     return changed.select("path", step.alias("step"), F.col("local_hash").alias("hash")).filter("step is not null")
+
+
+def shown(kind: Column, path: Column) -> Column:
+    """A line of the plan: the action's name, padded, and the path."""
+    return F.concat(F.rpad(kind, 14, " "), F.lit(" "), path)

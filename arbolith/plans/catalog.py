@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbolith.functions import envelope, paths
-from arbolith.functions.digest import digest
+from arbolith.functions.digest import digest, formatted, parsed, saturated
 from arbolith.functions.keys import object_key
 from arbolith.operators import reconcile, state
 from arbolith.plans.snapshots import NOW, SNAPSHOTS_SQL, SQL_OBJECT_KEY, TEST_KEY, path_of, snapshots
@@ -214,12 +214,33 @@ def store_listing(spark: SparkSession, d: str) -> DataFrame:
     return listed(objects, "vault/A")
 
 
+def plan_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The plan as it is shown: the padded name of each action and its path."""
+    return reconcile.ordered(_plan(spark, d)).select("kind_ord", "path", reconcile.shown(F.col("kind"), F.col("path")).alias("line"))
+
+
+def hash_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of all documents, some in capitals, cut or with a wrong digit, as bytes and back."""
+    whole, case = digest(F.col("text")), F.col("doc_id") % 5
+    given = F.when(case == 1, F.upper(whole)).when(case == 2, F.substring(whole, 1, 63)).when(case == 3, F.concat(F.lit("g"), F.substring(whole, 2, 63)))
+    rows = _documents(spark, d).select("doc_id", given.otherwise(whole).alias("given"))
+    value = parsed(F.col("given"))
+    return rows.select("doc_id", F.coalesce(F.octet_length(value), F.lit(0)).alias("bytes"), F.coalesce(formatted(value), F.lit("refused")).alias("hash"))
+
+
+def saturated_casts(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers around both ends of a long."""
+    scale = F.lit(1 << 62).cast("decimal(38,0)")
+    number = (F.col("doc_id") % 9 - 4).cast("decimal(10,0)") * scale + F.col("n_chars").cast("decimal(10,0)")
+    return _documents(spark, d).select("doc_id", saturated(number).alias("size"))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     reconcile_plan, change_classes, plan_summary, plan_with_rank, plan_uploads, plan_bookkeeping, all_paths, scan_hash,
     hash_cache_reuse, exclude_filter, safe_path_filter, nfc_paths, prefix_list, object_keys, upsert_record_scan,
     upsert_confirm_sync, baseline_delete, download_entries, remote_delete_keys, manifest_after_apply,
     baseline_after_apply, generation_guard, generation_codec, manifest_json, envelope_roundtrip, payload_guard, tampered_rows,
-    store_listing,
+    store_listing, plan_lines, hash_codec, saturated_casts,
 )
 
 
@@ -304,6 +325,13 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, n_chars, CAST(least(doc_id % 13, 12) AS INTEGER) AS bytes FROM documents)""",
         "tampered_rows": f"""{with_snapshots} SELECT path, CAST(size % 5 AS INTEGER) AS variant, CASE WHEN size % 5 = 0 THEN true END AS opens_same,
             size % 5 <> 0 AS refused FROM remote""",
+        "plan_lines": f"{with_snapshots} SELECT kind_ord, path, rpad(kind, 14, ' ') || ' ' || path AS line FROM plan",
+        "hash_codec": """SELECT doc_id, CAST(CASE WHEN regexp_full_match(given, '[0-9A-Fa-f]{64}') THEN 32 ELSE 0 END AS INTEGER) AS bytes,
+            CASE WHEN regexp_full_match(given, '[0-9A-Fa-f]{64}') THEN lower(given) ELSE 'refused' END AS hash FROM (
+              SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN upper(sha256(text)) WHEN 2 THEN substr(sha256(text), 1, 63)
+                                             WHEN 3 THEN 'g' || substr(sha256(text), 2, 63) ELSE sha256(text) END AS given FROM documents)""",
+        "saturated_casts": """SELECT doc_id, CAST(greatest(least(CAST(doc_id % 9 - 4 AS HUGEINT) * 4611686018427387904 + n_chars,
+            CAST(9223372036854775807 AS HUGEINT)), -CAST(9223372036854775807 AS HUGEINT) - 1) AS BIGINT) AS size FROM documents""",
         "store_listing": f"""SELECT key, size FROM (
               SELECT 'vault/' || {SQL_OBJECT_KEY('path')} || CASE WHEN doc_id % 13 = 0 THEN '.part' ELSE '' END AS key, size
               FROM (SELECT doc_id, {_PATH} AS path, strlen(text) AS size FROM documents))
