@@ -58,7 +58,7 @@ BREAK = "\x01"
 def templates() -> list[tuple[str, str]]:
     """(license, text): the short notices, then the standard headers and whole texts in the folder of templates."""
     folder = sorted(resources("arbolith.llm").joinpath("templates").iterdir(), key=lambda f: f.name)
-    texts = [(f.name.removesuffix(".txt").removesuffix(".header"), f.read_text()) for f in folder if f.name.endswith(".txt")]
+    texts = [(f.name.removesuffix(".txt").removesuffix(".header"), f.read_text(encoding="utf-8")) for f in folder if f.name.endswith(".txt")]
     return [*NOTICES, *texts]
 
 

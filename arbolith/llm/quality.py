@@ -7,7 +7,7 @@ rejected when it is too short, when repeats cover too large a fraction of its wo
 characters, or when one repeat is too long.
 
 Scale: one pass without a shuffle; a task sorts the texts of about 4 MB at a time,
-and after the first round only words that the text repeats. Memory is linear in the longest text: some 60 bytes a word,
+and after the first round only words that the text repeats. Memory is linear in the longest text: under 100 bytes a word,
 whose words are numbered in pieces and never listed whole.
 
 Null and empty texts have no words and are rejected as too short. Rows that repeat get the
