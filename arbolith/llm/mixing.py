@@ -5,20 +5,21 @@ stops at `max_epochs` times its own size and what it can't use is dealt to the o
 weight, in rounds, until none is above its cap. A round's level is (budget - caps of the clamped sources) / (weights of the others); a
 source whose weight * level is above its cap is clamped for good, as levels only rise.
 
-Each document is then taken floor(target / size) whole times, and a seeded fraction once
-more: the documents of a source are dealt to strata by a hash of their id and text, and within a
-stratum, in seeded order, whole documents are taken until the stratum's share is reached;
-the one at the border gives part of its words. So a stratum misses its share by less than
-one word and no document exceeds its cap.
+Each document is then taken floor(target / size) whole times, and a seeded fraction of the source once
+more: documents in the order of a seeded hash of id and text, whole ones until the share is reached;
+the one at the border gives part of its words. So a source misses its target by less than
+a word, and no document exceeds its cap.
 
 Scale: one pre-aggregated row per source decides the targets; sources are ranked by ranges and each round is an aggregate over their
-rows, so no task holds them all. Targets are broadcast if they are few enough. Strata hold about
-`stratum_rows` rows whatever the source's size, so a source with a third of all rows, or one id with as many, is
-spread over as many tasks as it needs. All of it is DataFrame functions.
+rows, so no task holds them all. The border of a source is found without sorting it: sizes are summed by the hash's first two
+digits, then by two more among the rows of the bucket with the border, and only the rows of that one, one in 65,536, are looked at one by
+one. A window sees 256 sums a source. What a document gives
+follows from its own hash and its source's row, which is broadcast if sources are few enough; so neither texts nor sizes are
+shuffled, whatever the size of a source. All of it is DataFrame functions.
 
 Null sources form one source, ordered last. Null or empty texts have size 0 and are taken
-0 times. Rows equal in id, source and `tie` share a stratum, where they are ordered by size and interchangeable
-if that is equal too. A table without words has targets 0.
+0 times. Rows equal in id, source and `tie` have one hash and are taken alike: at the border each gives an equal part, rounded down.
+A table without words has targets 0.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbolith.llm.common import saved, text_or_empty, word_count, words_of
+from arbolith.llm.common import bounded_join, saved, text_or_empty, word_count, words_of
 
 
 def ranked(df: DataFrame, order: Column) -> DataFrame:
@@ -82,6 +83,29 @@ def seeded_hash(id_col: str, tie: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
 
 
+def borders(hashed: DataFrame, targets: DataFrame, levels: Sequence[int] = (2, 4)) -> DataFrame:
+    """`targets`, with _whole, and for a fraction of a source: _cut, the hash of its border, and _part, what each row with that hash gives.
+
+    `hashed` is a saved table of _source, _size and _hash. `levels` are the digits of the hash by which sizes are summed, in turn.
+    """
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    shares = targets.withColumn("_whole", F.floor(ratio)).withColumn("_share", F.floor((ratio - F.col("_whole")) * F.col("source_size")))
+    shares = saved(shares.select("*", F.struct("source").alias("_key")))  # a struct is never null, so that the null source joins too
+    rows = hashed.select(F.struct(F.col("_source").alias("source")).alias("_key"), "_hash", "_size")
+    at = saved(shares.filter("_share > 0").select("_key", F.lit("").alias("_bucket"), "_share", F.lit(0).cast("long").alias("_base")))
+    for before, digits in zip((0, *levels), (*levels, 32)):
+        inside = bounded_join(rows.withColumn("_bucket", F.substring("_hash", 1, before)), at, ["_key", "_bucket"], "inner")
+        sums = inside.groupBy("_key", "_share", "_base", F.substring("_hash", 1, digits).alias("_bucket")).agg(
+            F.sum("_size").alias("_sum"), F.count(F.lit(1)).alias("_n")
+        )
+        earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        base = F.col("_base") + F.coalesce(F.sum("_sum").over(earlier), F.lit(0))
+        found = sums.withColumn("_base", base).filter((F.col("_base") < F.col("_share")) & (F.col("_base") + F.col("_sum") >= F.col("_share")))
+        at = saved(found.select("_key", "_bucket", "_share", "_base", "_n"))
+    cut = at.select("_key", F.col("_bucket").alias("_cut"), F.floor((F.col("_share") - F.col("_base")) / F.col("_n")).alias("_part"))
+    return shares.join(cut, "_key", "left").drop("_share")
+
+
 def mix(
     sizes: DataFrame,
     id_col: str = "doc_id",
@@ -92,35 +116,25 @@ def mix(
     budget: float = 1.5,
     max_epochs: int = 2,
     seed: int = 17,
-    stratum_rows: int = 1024,
-    broadcast_sources: int = 100_000,
+    levels: Sequence[int] = (2, 4),
 ) -> DataFrame:
     """`sizes` with columns mix_source_size, mix_target, mix_whole (whole repetitions), mix_part
     (words of one more, partial when below the size) and mix_taken (words in all)."""
-    targets = saved(
-        source_targets(sizes, source_col, size_col, weights, budget, max_epochs).select(
-            F.col("source").alias("_source"),
-            F.col("source_size").alias("mix_source_size"),
-            F.col("target").alias("mix_target"),
-            F.ceil(F.col("n_docs") / stratum_rows).alias("_strata"),
+    hashed = sizes.withColumn("_hash", seeded_hash(id_col, F.lit("") if tie is None else tie, seed))
+    slim = saved(hashed.select(F.col(source_col).alias("_source"), F.col(size_col).alias("_size"), "_hash"))
+    targets = source_targets(slim, "_source", "_size", weights, budget, max_epochs)
+    plan = saved(
+        borders(slim, targets, levels).select(
+            "_key", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("_whole").alias("mix_whole"), "_cut", "_part"
         )
     )
-    if targets.count() <= broadcast_sources:  # else the join shuffles both sides, and Spark can split a large source
-        targets = F.broadcast(targets)
-    stratum = Window.partitionBy(source_col, "_stratum")
-    order = stratum.orderBy("_hash", size_col)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    ratio = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    left = F.floor(F.col("_fraction") * F.sum(size_col).over(stratum)) - F.coalesce(F.sum(size_col).over(before), F.lit(0))
+    size = F.col(size_col)
+    once_more = F.when(F.col("_hash") < F.col("_cut"), size).when(F.col("_hash") == F.col("_cut"), F.least("_part", size))
     return (
-        sizes.join(targets, F.col(source_col).eqNullSafe(F.col("_source")))
-        .withColumn("_hash", seeded_hash(id_col, F.lit("") if tie is None else tie, seed))
-        .withColumn("_stratum", F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") % F.col("_strata"))
-        .withColumn("mix_whole", F.floor(ratio))
-        .withColumn("_fraction", ratio - F.col("mix_whole"))
-        .withColumn("mix_part", F.greatest(F.lit(0), F.least(left, F.col(size_col))).cast("long"))
-        .withColumn("mix_taken", F.col("mix_whole") * F.col(size_col) + F.col("mix_part"))
-        .drop("_source", "_strata", "_hash", "_stratum", "_fraction")
+        bounded_join(hashed.withColumn("_key", F.struct(F.col(source_col).alias("source"))), plan, ["_key"], "inner", 100_000)
+        .withColumn("mix_part", F.coalesce(once_more, F.lit(0)).cast("long"))
+        .withColumn("mix_taken", F.col("mix_whole") * size + F.col("mix_part"))
+        .select(*sizes.columns, "mix_source_size", "mix_target", "mix_whole", "mix_part", "mix_taken")
     )
 
 

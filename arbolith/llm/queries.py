@@ -179,23 +179,21 @@ WITH sizes AS (
 ), final AS (
   SELECT arg_min(level, k) AS final_level FROM levelled WHERE level * weight <= cap
 ), targets AS (
-  SELECT source, source_size, CAST(ceil(CAST(n_docs AS DOUBLE) / 1024) AS BIGINT) AS strata,
+  SELECT source, source_size,
          CASE WHEN final_level IS NULL THEN CAST(cap AS DOUBLE)
               ELSE least(CAST(cap AS DOUBLE), final_level * weight) END AS target
   FROM levelled, final
 ), dealt AS (
-  SELECT s.*, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS ratio,
-         CAST('0x' || substr(s.h, 1, 8) AS BIGINT) % t.strata AS stratum
+  SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS ratio
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), share AS (
-  SELECT *, CAST(floor((ratio - floor(ratio)) * CAST(sum(size) OVER (PARTITION BY source, stratum) AS BIGINT)) AS BIGINT)
-           - CAST(coalesce(sum(size) OVER (PARTITION BY source, stratum ORDER BY h, size
-                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_over
+  SELECT *, CAST(floor((ratio - floor(ratio)) * source_size) AS BIGINT)
+           - CAST(sum(size) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) AS BIGINT)
+           + CAST(sum(size) OVER (PARTITION BY source, h) AS BIGINT) AS left_over, count(*) OVER (PARTITION BY source, h) AS alike
   FROM dealt
 )
 SELECT doc_id, size, source_size, target,
-       CAST(floor(ratio) AS BIGINT) * size + greatest(0, least(left_over, size)) AS taken
+       CAST(floor(ratio) AS BIGINT) * size + greatest(0, least(left_over // alike, size)) AS taken
 FROM share
 """
 

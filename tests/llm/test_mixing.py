@@ -47,19 +47,31 @@ def test_query_meets_targets(spark, small, sample):
         assert 0 <= r.taken <= 2 * r.size
         taken[source[r.doc_id]] += r.taken
         target[source[r.doc_id]] = r.target
-    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    assert all(0 <= t - taken[s] < 1.001 for s, t in target.items())
     assert sorted(rows) == sorted(queries.op5_mixing(spark, small).collect())
 
 
-def test_large_sources_are_cut_into_strata(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id", "source", "length(text) as size")
-    got = mix(docs, stratum_rows=3).collect()
-    assert sorted(got) == sorted(mix(docs, stratum_rows=3, broadcast_sources=0).collect())
-    taken, target = Counter(), {}
-    for r in got:
-        taken[r.source] += r.mix_taken
-        target[r.source] = r.mix_target
-    assert all(abs(taken[s] - t) <= 4 for s, t in target.items())
+def by_order(rows, weights, budget):
+    """Words that each (source, size, hash) gives: sorted by hash, whole rows until the fraction of the source is reached."""
+    names = sorted({s for s, _, _ in rows if s is not None}) + [None] * any(s is None for s, _, _ in rows)
+    sizes = [sum(n for t, n, _ in rows if t == s) for s in names]
+    out = Counter()
+    for s, size, target in zip(names, sizes, filled(sizes, [weights[i % len(weights)] for i in range(len(names))], budget)):
+        ratio = target / size if size else 0.0
+        left = int((ratio - int(ratio)) * size)
+        for n, h in sorted(((n, h) for t, n, h in rows if t == s), key=lambda x: x[1]):
+            out[s, n, h] = int(ratio) * n + min(left, n)
+            left -= min(left, n)
+    return out
+
+
+def test_taken_equals_a_sort_of_each_source(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id", "nullif(source, 'src3') as source", "cast(length(text) as long) as size")
+    hashed = docs.withColumn("h", seeded_hash("doc_id", F.lit(""), 17)).collect()
+    want = by_order([(r.source, r.size, r.h) for r in hashed], (5, 2, 1), Fraction(3, 2))
+    own = {r.doc_id: want[r.source, r.size, r.h] for r in hashed}
+    for levels in ((1,), (2, 4)):
+        assert {r.doc_id: r.mix_taken for r in mix(docs, levels=levels).collect()} == own
 
 
 def test_documents_are_repeated(spark, small, odd, empty):
@@ -75,19 +87,20 @@ def test_documents_are_repeated(spark, small, odd, empty):
 
 
 def test_null_ids_of_one_source_are_spread(spark):
-    """A third of all rows have a null id and one source, a third one id: their strata are as small as others', by the tie."""
+    """A third of all rows have a null id and one source, a third one id: the tie orders them; equal rows are taken alike."""
     rows = [(None, "a", 5 + i % 7, f"t{i}") for i in range(400)] + [(1, "a", 3 + i % 5, f"u{i}") for i in range(400)] + [(i, "b", 4, f"v{i}") for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, source string, size long, tie string")
-    got = mix(table, tie=F.col("tie"), stratum_rows=50).collect()
+    got = mix(table, tie=F.col("tie"), levels=(1,)).collect()
     taken, target = Counter(), {}
     for r in got:
         assert 0 <= r.mix_taken <= 2 * r.size
         taken[r.source] += r.mix_taken
         target[r.source] = r.mix_target
-    assert all(abs(taken[s] - t) <= 20 for s, t in target.items())
-    assert sorted(map(str, got)) == sorted(map(str, mix(table.repartition(5), tie=F.col("tie"), stratum_rows=50).collect()))
-    strata = Counter(int(r.h[:8], 16) % 16 for r in table.filter("source = 'a'").select(seeded_hash("doc_id", F.col("tie"), 17).alias("h")).collect())
-    assert len(strata) == 16 and max(strata.values()) < 100
+    assert all(0 <= t - taken[s] < 1.001 for s, t in target.items())
+    assert sorted(map(str, got)) == sorted(map(str, mix(table.repartition(5), tie=F.col("tie")).collect()))
+    alike = spark.createDataFrame([(None, "a", 10)] * 100 + [(i, "b", 10) for i in range(200)], "doc_id long, source string, size long")
+    parts = {r.mix_taken for r in mix(alike, weights=(1,), budget=0.9).collect() if r.source == "a"}
+    assert len(parts) == 1 and parts <= set(range(21))
 
 
 def test_many_sources_are_ranked_by_ranges(spark):
