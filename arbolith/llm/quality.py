@@ -6,7 +6,7 @@ least `repeat_words` words. The spans of all their occurrences are united. A tex
 rejected when it is too short, when repeats cover too large a fraction of its words or of its
 characters, or when one repeat is too long.
 
-Scale: one pass without a shuffle; a task sorts the texts of about 4 MB at a time,
+Scale: one pass without a shuffle; a task sorts the texts of about 1 MB at a time,
 and after the first round only words that the text repeats. Memory is linear in the longest text: under 100 bytes a word,
 whose words are numbered in pieces and never listed whole.
 
@@ -151,7 +151,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: `id_col` and FIELDS (repeats in word positions)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             measured = measure(batch.column("text").to_pylist(), rules)
             arrays = [pa.array(measured[name], kind) for name, kind in FIELDS.items()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", *FIELDS])
@@ -165,7 +165,7 @@ def passing(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) ->
     """The rows of `docs` that the rules keep, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 4 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             yield batch.filter(pa.array(measure(batch.column(text_col).to_pylist(), rules)["kept"], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ def suffix_array(ids: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(ids: np.ndarray, a: np.ndarray, b: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
+def common_prefixes(ids: np.ndarray, a: np.ndarray, b: np.ndarray, cells: int = 1 << 16) -> np.ndarray:
     """Length of the longest common prefix of the suffixes at `a` and at `b`, pair by pair (a != b).
 
     Pairs that still agree are compared over twice as many symbols in the next round.
