@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbolith.llm import pii, secrets
-from arbolith.llm.common import read_table, saved, text_or_empty, word_count
+from arbolith.llm.common import read_table, saved, text_or_empty, word_count, words_of
 from arbolith.llm.decontaminate import benchmark_hits, contaminated
 from arbolith.llm.licenses import CUE, LICENCE_FILE, license_scan, notice_words, templates
 from arbolith.llm.line_dedup import dedup_lines
 from arbolith.llm.mixing import mix
+from arbolith.llm.periodic import longest_run, periodic_runs
 from arbolith.llm.quality import quality_rules
 from arbolith.llm.sharding import shard_documents
 from arbolith.llm.simhash import near_duplicates
@@ -288,6 +289,36 @@ FROM marked GROUP BY r
 """
 
 
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id and text of `docs`, a tenth of them with their last words overwritten by repeats of a few before them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", text_or_empty("text").alias("text"), (h % 10 == 0).alias("hit"), (h / 10).cast("long").alias("g"))
+    words = F.when(F.coalesce("hit", F.lit(False)), words_of(F.col("text")))
+    n = F.size("w").cast("long")
+    docs = docs.select("doc_id", "text", "g", words.alias("w")).select("*", n.alias("n"), (F.col("g") % n).alias("a"))
+    docs = docs.withColumn("p", F.lit(1) + F.expr("(n - a) div (3 + g % 8)"))
+    unit = F.slice("w", F.col("a").cast("int") + 1, F.col("p").cast("int"))
+    times = F.expr("(n - a) div p + 1").cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(made_periodic(read_table(spark, sf_dir, "documents")), least_words=12)
+    line = lambda r: F.concat(F.concat_ws(",", *(r[k].cast("string") for k in ("start", "length", "period"))), F.lit("\n"))
+    return found.withColumn("most", longest_run(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "most.start",
+        "most.length",
+        "most.period",
+        F.expr("1000 * most.length div most.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -300,6 +331,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_pii": op9_pii,
         "op10_line_dedup": op10_line_dedup,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 

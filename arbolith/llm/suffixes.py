@@ -59,13 +59,11 @@ def common_prefixes(ids: np.ndarray, a: np.ndarray, b: np.ndarray, cells: int =
     return length
 
 
-def longest_repeats(ids: np.ndarray) -> np.ndarray:
-    """For each position, the length of its longest prefix that also starts elsewhere.
+def previous_prefixes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position, the one before it in the suffix array (-1 for the first) and the length of their longest common prefix.
 
-    The neighbours in the suffix array decide; these lengths are the depths of the innermost
-    common-prefix intervals, so the spans [i, i + length) cover all maximal repeats. Where a position and its
-    neighbour follow the same symbol, the common prefix is one shorter than the one a place before; only the
-    others are compared, whose prefixes have n log n symbols in all.
+    Where a position and its neighbour follow the same symbol, the common prefix is one shorter than the one a place
+    before; only the others are compared, whose prefixes have n log n symbols in all.
     """
     order = suffix_array(ids)
     before = np.full(len(ids), -1, np.int32)
@@ -79,7 +77,16 @@ def longest_repeats(ids: np.ndarray) -> np.ndarray:
     compared = np.flatnonzero(head & (before >= 0))
     common[compared] = common_prefixes(ids, compared, before[compared])
     origin = np.maximum.accumulate(np.where(head, places, 0))
-    common = common[origin] - (places - origin)
+    return before, common[origin] - (places - origin)
+
+
+def longest_repeats(ids: np.ndarray) -> np.ndarray:
+    """For each position, the length of its longest prefix that also starts elsewhere.
+
+    The neighbours in the suffix array decide; these lengths are the depths of the innermost
+    common-prefix intervals, so the spans [i, i + length) cover all maximal repeats.
+    """
+    before, common = previous_prefixes(ids)
     longest = common.copy()
     has = np.flatnonzero(before >= 0)
     longest[before[has]] = np.maximum(longest[before[has]], common[has])
