@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbolith.llm import pii, secrets
+from arbolith.llm import conversations, pii, secrets
 from arbolith.llm.common import read_table, saved, text_or_empty, word_count, words_of
 from arbolith.llm.decontaminate import benchmark_hits, contaminated
 from arbolith.llm.licenses import CUE, LICENCE_FILE, license_scan, notice_words, templates
@@ -289,6 +290,117 @@ FROM marked GROUP BY r
 """
 
 
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Rows with nulls as one space, a quarter of them damaged by a hash of conversation and turn."""
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), h.alias("h")).filter("h <> 0")
+    copies = F.when(F.col("h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(copies).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    found = conversations.report(conversations.repair(damaged_conversations(rows)))
+    ids = rows.select(F.col("conv_id").alias("id")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
+#: CRC-32 of a string of ASCII characters; a step back from the end a row carries the cheapest cost and audit of each state, as text.
+OP12_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, generate_series(1, 8)),
+                          lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(generate_series(0::BIGINT, 255::BIGINT)) AS i)
+), hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+           string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: xor(t[CAST(xor(c, b) % 256 AS INTEGER) + 1], c >> 8))) % 20 AS h
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE h WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hashed WHERE h <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         trim(text, E' 	
+
+') AS bare, left(role, 1) AS c
+  FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         i > 1 AND lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed
+), lengths AS (
+  SELECT conv_id, max(i) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM faulty GROUP BY conv_id
+), best(conv_id, i, v) AS (
+  SELECT conv_id, n + 1, ['000000000|', '000000004|II', '000000002|I', '000000000|'] FROM lengths
+  UNION ALL
+  SELECT conv_id, i, [
+    least(w[1], add('I', 2, w[3])), least(w[2], add('I', 2, w[3])), w[3], w[4]]
+  FROM (
+    SELECT conv_id, i, [r[1], r[2], least(r[3], add('I', 2, r[4])), least(r[4], add('I', 2, r[3]))] AS w
+    FROM (
+      SELECT b.conv_id, f.i, [
+        least(add('D', 3, b.v[1]), stay('R', 2, f.fault, b.v[3]),
+              CASE f.c WHEN 's' THEN stay('K', 0, f.fault, b.v[2]) WHEN 'u' THEN stay('K', 0, f.fault, b.v[3]) ELSE '~' END),
+        least(add('D', 3, b.v[2]), stay('R', 2, f.fault, b.v[3]), CASE f.c WHEN 'u' THEN stay('K', 0, f.fault, b.v[3]) ELSE '~' END),
+        least(add('D', 3, b.v[3]), stay('R', 2, f.fault, b.v[4]), CASE f.c WHEN 'a' THEN stay('K', 0, f.fault, b.v[4]) ELSE '~' END),
+        least(add('D', 3, b.v[4]), stay('R', 2, f.fault, b.v[3]), CASE f.c WHEN 'u' THEN stay('K', 0, f.fault, b.v[3]) ELSE '~' END)] AS r
+      FROM best b JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1)))
+, audits AS (
+  SELECT conv_id, CAST(left(v[1], 9) AS BIGINT) AS cost, substr(v[1], 11) AS audit FROM best WHERE i = 1
+), letters AS (
+  SELECT conv_id, generate_subscripts(string_split(audit, ''), 1) AS k, unnest(string_split(audit, '')) AS letter FROM audits WHERE audit <> ''
+), steps AS (
+  SELECT *, sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER w AS i, sum(CASE WHEN letter = 'D' THEN 0 ELSE 1 END) OVER w AS m
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), lines AS (
+  SELECT s.conv_id, s.k, s.m, s.letter, f.role, f.text,
+         max(CASE WHEN s.letter = 'K' AND f.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id) AS systems
+  FROM steps s JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = greatest(s.i, 1) WHERE s.letter <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE letter WHEN 'K' THEN role ELSE CASE WHEN (m - systems) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+                             || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS said
+  FROM lines GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(l.gaps, 0) AS gaps, coalesce(l.blank, 0) AS blank, coalesce(l.duplicate, 0) AS duplicate,
+       coalesce(l.truncated, 0) AS truncated, coalesce(l.illegal, 0) AS illegal, coalesce(a.cost, 0) AS cost, coalesce(a.audit, '') AS audit,
+       sha256(coalesce(r.said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN lengths l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def _op12_sql() -> str:
+    """OP12_SQL with add(letter, cost, rest) and stay(letter, cost, fault, rest) written out: an edit before the `rest` of an audit."""
+
+    def add(letter: str, cost: str, rest: str) -> str:
+        return f"(lpad(CAST(CAST(left({rest}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || '|{letter}' || substr({rest}, 11))"
+
+    sql = re.sub(r"add\('(.)', (\d), (\w\.?\w?\[\d\])\)", lambda m: add(*m.groups()), OP12_SQL)
+    stay = r"stay\('(.)', (\d), f\.fault, (b\.v\[\d\])\)"
+    return re.sub(stay, lambda m: f"CASE f.fault WHEN 0 THEN {add(*m.groups())} WHEN 3 THEN {add(m[1], f'{m[2]} + 1', m[3])} ELSE '~' END", sql)
+
+
 def made_periodic(docs: DataFrame) -> DataFrame:
     """doc_id and text of `docs`, a tenth of them with their last words overwritten by repeats of a few before them."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -331,6 +443,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_pii": op9_pii,
         "op10_line_dedup": op10_line_dedup,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
@@ -341,4 +454,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": OP5_SQL,
         "op7_decontamination": OP7_SQL,
         "op10_line_dedup": OP10_SQL,
+        "op12_conversation_repair": _op12_sql(),
     }
