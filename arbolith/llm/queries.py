@@ -14,6 +14,7 @@ from arbolith.llm.decontaminate import benchmark_hits, contaminated
 from arbolith.llm.licenses import CUE, LICENCE_FILE, license_scan, notice_words, templates
 from arbolith.llm.line_dedup import dedup_lines
 from arbolith.llm.mixing import mix
+from arbolith.llm.neighbours import nearest
 from arbolith.llm.periodic import longest_run, periodic_runs
 from arbolith.llm.quality import quality_rules
 from arbolith.llm.sharding import shard_documents
@@ -290,6 +291,10 @@ FROM marked GROUP BY r
 """
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % 20 == 0, k=20)
+
+
 def damaged_conversations(rows: DataFrame) -> DataFrame:
     """Rows with nulls as one space, a quarter of them damaged by a hash of conversation and turn."""
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
@@ -443,6 +448,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_pii": op9_pii,
         "op10_line_dedup": op10_line_dedup,
+        "op11_nearest_neighbours": op11_nearest_neighbours,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_periodic_runs": op13_periodic_runs,
     }
