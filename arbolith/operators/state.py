@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbolith.operators.ordered import running_max
+
 
 def _upsert(baseline: DataFrame, seen: DataFrame, synced: Column, now: Column) -> DataFrame:
     b, s = baseline.alias("b"), seen.alias("s")
@@ -99,20 +101,11 @@ def baseline_after(
     )
 
 
-def guard_generations(log: DataFrame, device: str, sequence: str, generation: str, piece: int = 1 << 20) -> DataFrame:
+def guard_generations(log: DataFrame, device: str, sequence: str, generation: str) -> DataFrame:
     """`log` with highest (before each write, 0 at first) and accepted: a write of a lower generation is a rollback.
 
-    A device's log is cut by its sequence numbers into pieces of `piece`, each a task's work: the highest generation before a piece comes
-    from one row a piece. So no task sorts a busy device's whole log.
+    One exchange, into ranges of (device, sequence); a busy device's log lies over as many tasks as it needs (`ordered`). Null generations don't count.
     """
-    cut = log.withColumn("_piece", F.floor(F.col(sequence) / piece))
-    earlier = Window.partitionBy(device).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = (
-        cut.groupBy(device, "_piece")
-        .agg(F.max(generation).alias("_top"))
-        .select(F.col(device).alias("_device"), F.col("_piece").alias("_of"), F.max("_top").over(earlier).alias("_before"))
-    )
-    known = cut.join(pieces, cut[device].eqNullSafe(F.col("_device")) & cut["_piece"].eqNullSafe(F.col("_of")))
-    before = Window.partitionBy(device, "_piece").orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
-    highest = F.greatest(F.max(generation).over(before), F.col("_before"), F.lit(0)).cast("long")  # nulls don't count
-    return known.withColumn("highest", highest).withColumn("accepted", F.col(generation) >= F.col("highest")).select(*log.columns, "highest", "accepted")
+    seen = running_max(log, device, [sequence], generation, "_top", before=True)
+    highest = F.greatest(F.col("_top"), F.lit(0)).cast("long")  # nulls don't count
+    return seen.withColumn("highest", highest).withColumn("accepted", F.col(generation) >= F.col("highest")).select(*log.columns, "highest", "accepted")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,12 @@ from arbolith.functions import envelope, paths
 from arbolith.functions.digest import digest, formatted, parsed, saturated
 from arbolith.functions.keys import object_key
 from arbolith.operators import reconcile, state
+from arbolith.operators.merge import merge_logs, merged_state
+from arbolith.operators.stamps import lamport_stamps
+from arbolith.plans.deltalog import DeltaLog, expired
 from arbolith.plans.snapshots import NOW, SNAPSHOTS_SQL, SQL_OBJECT_KEY, TEST_KEY, path_of, snapshots
 from arbolith.sources.objects import listed
+from arbolith.sources.shared import saved, shared_folder
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
@@ -235,12 +240,87 @@ def saturated_casts(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", saturated(number).alias("size"))
 
 
+def _device_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events as entries of four devices' logs; a third of them belong to one path. Content 0 is a deletion."""
+    return spark.sql(
+        """
+        SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE concat(event_type, '/', user_id % 1000) END AS path,
+               event_id div 3 AS lamport, concat('d', event_id % 4) AS device,
+               nullif(sha2(cast(cast(floor(value) AS bigint) % 4 AS string), 256), sha2('0', 256)) AS hash,
+               nullif(sha2(cast(event_id * 7 div 3 % 4 AS string), 256), sha2('0', 256)) AS base_hash
+        FROM {events}
+        """,
+        events=spark.read.parquet(f"{d}/events.parquet"),
+    )
+
+
+def merged_log(spark: SparkSession, d: str) -> DataFrame:
+    """What became of each entry of four devices' logs, and who lost each conflict."""
+    return merge_logs(_device_log(spark, d)).drop("settled", "state_hash")
+
+
+def merged_paths(spark: SparkSession, d: str) -> DataFrame:
+    return merged_state(merge_logs(_device_log(spark, d)))
+
+
+def stamped_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Events as operations of seven devices, of which every fifth has seen one a sixth of the history ago."""
+    operations = spark.sql(
+        """
+        SELECT concat('d', user_id % 7) AS device, event_id AS sequence, event_id AS op,
+               CASE WHEN event_id % 5 = 0 AND event_id >= span THEN event_id - span END AS sees
+        FROM (SELECT *, (SELECT (max(event_id) + 1) div 6 FROM {events}) AS span FROM {events})
+        """,
+        events=spark.read.parquet(f"{d}/events.parquet"),
+    )
+    return lamport_stamps(operations)
+
+
+def _kept_log(spark: SparkSession, entries: DataFrame, compactions: tuple[int, ...]) -> DeltaLog:
+    """`entries` as deltas of three passes, with compactions after the passes named."""
+    log = DeltaLog(spark, f"{shared_folder(spark)}/deltalog-{uuid.uuid4().hex}")
+    step = (entries.agg(F.max("lamport")).first()[0] or 0) // 3 + 1
+    for turn in range(3):
+        log.append(entries.filter(F.col("lamport").between(turn * step, (turn + 1) * step - 1)))
+        if turn in compactions:
+            log.compact()
+    return log
+
+
+def delta_log_state(spark: SparkSession, d: str) -> DataFrame:
+    """Every path's state, read from a log's newest snapshot and the deltas after it."""
+    return _kept_log(spark, _device_log(spark, d), (1,)).current()
+
+
+def swept_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of the devices' logs that neither a kept snapshot nor a kept delta names; an object is the content of one path."""
+    named = _device_log(spark, d)
+    content = lambda c: F.when(F.col(c).isNotNull(), F.sha2(F.concat("path", F.lit(":"), c), 256)).alias(c)
+    entries = saved(named.select("path", "lamport", "device", content("hash"), content("base_hash")))
+    log = _kept_log(spark, entries, (1, 2))
+    objects = entries.filter("hash is not null").select("hash").distinct()
+    return log.unreferenced(objects)
+
+
+def expired_tombstones(spark: SparkSession, d: str) -> DataFrame:
+    """Deletions that all devices have seen and that lie more than a day before the last event."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    log = _device_log(spark, d)
+    times = events.select(F.expr("event_id div 3").alias("lamport"), F.expr("concat('d', event_id % 4)").alias("device"), F.unix_timestamp("ts").alias("deleted_at"))
+    gone = merged_state(merge_logs(log)).filter("hash is null").drop("conflicts").join(times, ["lamport", "device"])
+    # a device has read what others wrote up to its own last entry but one tenth of its stamp
+    acknowledged = log.groupBy("device").agg(F.expr("max(lamport) - max(lamport) div 10").alias("lamport"))
+    oldest = (events.agg(F.max(F.unix_timestamp("ts"))).first()[0] or 0) - 86_400
+    return expired(gone, acknowledged, oldest).drop("hash")
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     reconcile_plan, change_classes, plan_summary, plan_with_rank, plan_uploads, plan_bookkeeping, all_paths, scan_hash,
     hash_cache_reuse, exclude_filter, safe_path_filter, nfc_paths, prefix_list, object_keys, upsert_record_scan,
     upsert_confirm_sync, baseline_delete, download_entries, remote_delete_keys, manifest_after_apply,
     baseline_after_apply, generation_guard, generation_codec, manifest_json, envelope_roundtrip, payload_guard, tampered_rows,
-    store_listing, plan_lines, hash_codec, saturated_casts,
+    store_listing, plan_lines, hash_codec, saturated_casts, merged_log, merged_paths, stamped_operations, delta_log_state, swept_objects,
+    expired_tombstones,
 )
 
 
@@ -260,6 +340,34 @@ paths AS (
   FROM documents
 )"""
 
+#: A fold of each path's entries, one a step.
+DEVICE_LOG_SQL = """
+entries AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE event_type || '/' || (user_id % 1000) END AS path, event_id // 3 AS lamport,
+         'd' || (event_id % 4) AS device, nullif(sha256(CAST(CAST(floor(value) AS BIGINT) % 4 AS VARCHAR)), sha256('0')) AS hash,
+         nullif(sha256(CAST(event_id * 7 // 3 % 4 AS VARCHAR)), sha256('0')) AS base_hash, epoch(date_trunc('second', ts))::BIGINT AS written
+  FROM events
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY lamport, device) AS i FROM entries
+), judged AS (
+  SELECT path, lamport, device, hash, base_hash, i, 'forward' AS outcome, NULL::BIGINT AS loser_lamport, NULL::VARCHAR AS loser_device,
+         NULL::VARCHAR AS loser_hash, lamport AS state_lamport, device AS state_device, hash AS state_hash FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT path, lamport, device, hash, base_hash, i, outcome,
+         CASE outcome WHEN 'conflict' THEN l END, CASE outcome WHEN 'conflict' THEN d END, CASE outcome WHEN 'conflict' THEN h END,
+         CASE WHEN takes THEN lamport ELSE l END, CASE WHEN takes THEN device ELSE d END, CASE WHEN takes THEN hash ELSE h END
+  FROM (
+    SELECT *, outcome IN ('forward', 'conflict') OR outcome = 'kept' AND hash IS NOT NULL AS takes FROM (
+      SELECT n.*, j.state_lamport AS l, j.state_device AS d, j.state_hash AS h,
+             CASE WHEN n.base_hash IS NOT DISTINCT FROM j.state_hash THEN 'forward' WHEN n.hash IS NOT DISTINCT FROM j.state_hash THEN 'converged'
+                  WHEN n.hash IS NOT NULL AND j.state_hash IS NOT NULL THEN 'conflict' ELSE 'kept' END AS outcome
+      FROM judged j JOIN numbered n ON n.path = j.path AND n.i = j.i + 1))
+), last_states AS (
+  SELECT path, arg_max(struct_pack(h := state_hash), i).h AS hash, arg_max(state_lamport, i) AS lamport, arg_max(state_device, i) AS device,
+         count(*) FILTER (outcome IN ('conflict', 'kept')) AS conflicts
+  FROM judged GROUP BY path
+)"""
+
 _PATH = "source || '/' || lang || '/' || doc_id || '.txt'"
 _UPSERT = """
 SELECT coalesce(s.path, b.path) AS path,
@@ -275,6 +383,7 @@ _CONFIRM = "CASE WHEN s.path IS NULL THEN b.last_synced_hash ELSE s.hash END"
 def oracle_sql() -> dict[str, str]:
     with_snapshots = f"WITH {SNAPSHOTS_SQL}"
     with_paths = f"WITH {AWKWARD_SQL}"
+    with_log = f"WITH RECURSIVE {DEVICE_LOG_SQL}"
     upsert = lambda synced, baseline="baseline", seen="local": _UPSERT.format(synced=synced, now=NOW, baseline=baseline, seen=seen)
     return {
         "reconcile_plan": f"{with_snapshots} SELECT path, kind FROM plan",
@@ -332,6 +441,42 @@ def oracle_sql() -> dict[str, str]:
                                              WHEN 3 THEN 'g' || substr(sha256(text), 2, 63) ELSE sha256(text) END AS given FROM documents)""",
         "saturated_casts": """SELECT doc_id, CAST(greatest(least(CAST(doc_id % 9 - 4 AS HUGEINT) * 4611686018427387904 + n_chars,
             CAST(9223372036854775807 AS HUGEINT)), -CAST(9223372036854775807 AS HUGEINT) - 1) AS BIGINT) AS size FROM documents""",
+        "merged_log": f"""{with_log} SELECT path, lamport, device, hash, base_hash, outcome, loser_lamport, loser_device, loser_hash,
+            state_lamport, state_device FROM judged""",
+        "merged_paths": f"{with_log} SELECT path, hash, lamport, device, conflicts FROM last_states",
+        "delta_log_state": f"{with_log} SELECT path, hash, lamport, device FROM last_states",
+        "stamped_operations": """
+            WITH RECURSIVE operations AS (
+              SELECT event_id AS op, user_id % 7 AS d, (SELECT (max(event_id) + 1) // 6 FROM events) AS span FROM events
+            ), clocked AS (
+              SELECT -1::BIGINT AS op, 0::BIGINT AS lamport, [0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS clocks, []::BIGINT[] AS recent
+              UNION ALL
+              SELECT op, lamport, list_transform(clocks, lambda c, k: CASE WHEN k = d + 1 THEN lamport ELSE c END),
+                     list_append(CASE WHEN len(recent) = span THEN recent[2:] ELSE recent END, lamport)
+              FROM (
+                SELECT o.op, o.d, o.span, c.clocks, c.recent,
+                       greatest(c.clocks[o.d + 1], CASE WHEN o.op % 5 = 0 AND o.op >= o.span THEN c.recent[1] ELSE 0 END) + 1 AS lamport
+                FROM clocked c JOIN operations o ON o.op = c.op + 1)
+            )
+            SELECT 'd' || o.d AS device, o.op AS sequence, o.op, CASE WHEN o.op % 5 = 0 AND o.op >= o.span THEN o.op - o.span END AS sees, c.lamport
+            FROM clocked c JOIN operations o ON o.op = c.op""",
+        "swept_objects": f"""{with_log}, ends AS (
+              SELECT max(lamport) // 3 + 1 AS step FROM entries
+            ), horizons AS (
+              SELECT (SELECT min(m) FROM (SELECT max(lamport) AS m FROM entries, ends WHERE lamport < 2 * step GROUP BY device)) AS older,
+                     (SELECT min(m) FROM (SELECT max(lamport) AS m FROM entries GROUP BY device)) AS newer
+            ), states AS (
+              SELECT path, arg_max(struct_pack(h := state_hash), i).h AS hash FROM judged, horizons WHERE lamport <= older GROUP BY path
+              UNION ALL SELECT path, arg_max(struct_pack(h := state_hash), i).h FROM judged, horizons WHERE lamport <= newer GROUP BY path
+              UNION ALL SELECT path, hash FROM entries, horizons WHERE lamport > older
+              UNION ALL SELECT path, base_hash FROM entries, horizons WHERE lamport > older
+            )
+            SELECT sha256(path || ':' || hash) AS hash FROM (SELECT path, hash FROM entries WHERE hash IS NOT NULL EXCEPT SELECT path, hash FROM states)""",
+        "expired_tombstones": f"""{with_log}, seen AS (
+              SELECT min(top - top // 10) AS horizon FROM (SELECT max(lamport) AS top FROM entries GROUP BY device))
+            SELECT s.lamport, s.device, s.path, e.written AS deleted_at FROM last_states s
+            JOIN entries e ON e.path = s.path AND e.lamport = s.lamport AND e.device = s.device, seen
+            WHERE s.hash IS NULL AND s.lamport <= horizon AND e.written < (SELECT max(written) FROM entries) - 86400""",
         "store_listing": f"""SELECT key, size FROM (
               SELECT 'vault/' || {SQL_OBJECT_KEY('path')} || CASE WHEN doc_id % 13 = 0 THEN '.part' ELSE '' END AS key, size
               FROM (SELECT doc_id, {_PATH} AS path, strlen(text) AS size FROM documents))
