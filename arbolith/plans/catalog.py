@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbolith.functions import envelope, paths
@@ -18,6 +18,7 @@ from arbolith.plans.deltalog import DeltaLog, expired
 from arbolith.plans.snapshots import NOW, SNAPSHOTS_SQL, SQL_OBJECT_KEY, TEST_KEY, path_of, snapshots
 from arbolith.sources.objects import listed
 from arbolith.sources.shared import saved, shared_folder
+from arbolith.streaming.hints import debounced
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
@@ -302,25 +303,40 @@ def swept_objects(spark: SparkSession, d: str) -> DataFrame:
     return log.unreferenced(objects)
 
 
+def _seconds(name: str) -> Column:
+    return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01', cast({name} AS timestamp_ntz))")
+
+
 def expired_tombstones(spark: SparkSession, d: str) -> DataFrame:
     """Deletions that all devices have seen and that lie more than a day before the last event."""
     events = spark.read.parquet(f"{d}/events.parquet")
     log = _device_log(spark, d)
-    times = events.select(F.expr("event_id div 3").alias("lamport"), F.expr("concat('d', event_id % 4)").alias("device"), F.unix_timestamp("ts").alias("deleted_at"))
+    times = events.select(F.expr("event_id div 3").alias("lamport"), F.expr("concat('d', event_id % 4)").alias("device"), _seconds("ts").alias("deleted_at"))
     gone = merged_state(merge_logs(log)).filter("hash is null").drop("conflicts").join(times, ["lamport", "device"])
     # a device has read what others wrote up to its own last entry but one tenth of its stamp
     acknowledged = log.groupBy("device").agg(F.expr("max(lamport) - max(lamport) div 10").alias("lamport"))
-    oldest = (events.agg(F.max(F.unix_timestamp("ts"))).first()[0] or 0) - 86_400
+    oldest = (events.agg(F.max(_seconds("ts"))).first()[0] or 0) - 86_400
     return expired(gone, acknowledged, oldest).drop("hash")
 
 
+def debounced_hints(spark: SparkSession, d: str) -> DataFrame:
+    """Events as hints about paths, in bursts with at most a quiet hour; a few say that hints were lost."""
+    hints = spark.read.parquet(f"{d}/events.parquet").select(
+        F.when(F.col("event_id") % 50 != 0, F.concat("event_type", F.lit("/"), (F.col("user_id") % 20).cast("string"))).alias("path"),
+        "ts",
+        F.when(F.col("event_id") % 7 == 0, "remove").otherwise("write").alias("kind"),
+    )
+    since = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast({} AS timestamp_ntz))"
+    return debounced(hints, "1 hour", "1 day").withColumns({c: F.expr(since.format(c)) for c in ("first", "last")})
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     reconcile_plan, change_classes, plan_summary, plan_with_rank, plan_uploads, plan_bookkeeping, all_paths, scan_hash,
     hash_cache_reuse, exclude_filter, safe_path_filter, nfc_paths, prefix_list, object_keys, upsert_record_scan,
     upsert_confirm_sync, baseline_delete, download_entries, remote_delete_keys, manifest_after_apply,
     baseline_after_apply, generation_guard, generation_codec, manifest_json, envelope_roundtrip, payload_guard, tampered_rows,
     store_listing, plan_lines, hash_codec, saturated_casts, merged_log, merged_paths, stamped_operations, delta_log_state, swept_objects,
-    expired_tombstones,
+    expired_tombstones, debounced_hints,
 )
 
 
@@ -477,6 +493,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT s.lamport, s.device, s.path, e.written AS deleted_at FROM last_states s
             JOIN entries e ON e.path = s.path AND e.lamport = s.lamport AND e.device = s.device, seen
             WHERE s.hash IS NULL AND s.lamport <= horizon AND e.written < (SELECT max(written) FROM entries) - 86400""",
+        "debounced_hints": """
+            WITH hints AS (
+              SELECT CASE WHEN event_id % 50 <> 0 THEN event_type || '/' || (user_id % 20) END AS path, ts,
+                     CASE WHEN event_id % 7 = 0 THEN 'remove' ELSE 'write' END AS kind FROM events
+            ), cut AS (
+              SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM hints
+            ), bursts AS (
+              SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM cut
+            )
+            SELECT path, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS hints,
+                   CASE WHEN path IS NULL THEN 'full-rescan' WHEN arg_max(kind, (ts, kind)) = 'remove' THEN 'confirm-delete' ELSE 'rescan' END AS intent
+            FROM bursts GROUP BY path, burst""",
         "store_listing": f"""SELECT key, size FROM (
               SELECT 'vault/' || {SQL_OBJECT_KEY('path')} || CASE WHEN doc_id % 13 = 0 THEN '.part' ELSE '' END AS key, size
               FROM (SELECT doc_id, {_PATH} AS path, strlen(text) AS size FROM documents))
