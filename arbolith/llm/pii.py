@@ -11,7 +11,7 @@ and 0 for other kinds. Each round's scores reach the patterns of all instances,
 spans of kind like_email, like_ip, like_card or like_phone.
 
 Scale: one pass over the texts leaves ids, spans and contexts in the shared checkpoint folder;
-texts are never shuffled. Edges are distinct (pattern, value) pairs, aggregated before each shuffle. An instance
+a text with very many identifiers makes several rows there, so that memory doesn't follow their number. Texts are never shuffled. Edges are distinct (pattern, value) pairs, aggregated before each shuffle. An instance
 without a score adds nothing to a sum, so only its count is kept. Confident patterns are joined, not collected.
 
 Null texts count as empty. Places are code points, ends exclusive. Rows that repeat get the
@@ -21,8 +21,8 @@ same answer; without seeds nothing is discovered.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbolith.llm.common import saved, skew_join, slices
+from arbolith.llm.spans import PIECE, span_rows
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, *(f"like_{k}" for k in BASE))
@@ -70,39 +71,47 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
+def is_ip(found: str) -> bool:
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in found.split(".")))
+
+
+def is_card(found: str) -> bool:
+    digits = found.replace(" ", "").replace("-", "")
+    return 14 <= len(digits) <= 19 and luhn(digits)
+
+
+def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, first, last) by start, then kind as listed."""
-    found = [("email", a, b) for a, b in emails(text)] if "@" in text else []
+    by_kind = [(("email", a, b) for a, b in emails(text))] if "@" in text else []
     if DIGITS.search(text):
-        for m in IP.finditer(text):
-            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
-                found.append(("ip", *m.span()))
-        for m in CARD.finditer(text):
-            digits = m[0].replace(" ", "").replace("-", "")
-            if 14 <= len(digits) <= 19 and luhn(digits):
-                found.append(("card", *m.span()))
+        by_kind.append(("ip", *m.span()) for m in IP.finditer(text) if is_ip(m[0]))
+        by_kind.append(("card", *m.span()) for m in CARD.finditer(text) if is_card(m[0]))
         if "+" in text:
-            for m in PHONE.finditer(text):
-                if 10 <= len(DIGITS.findall(m[0])) <= 15:
-                    found.append(("phone", *m.span()))
-    return sorted(found, key=lambda s: (s[1], BASE.index(s[0])))
+            by_kind.append(("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= len(DIGITS.findall(m[0])) <= 15)
+    return heapq.merge(*by_kind, key=lambda s: (s[1], BASE.index(s[0])))
 
 
-def identifiers(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit, an @ or a dot inside, written out ([at], [dot]) or not, and runs of digit groups, by place: those of
-    at least 5 characters once trimmed that touch no span. A run and a token in it are both given."""
-    if not MARK.search(text):
-        return
-    found = {m.span() for m in RUN.finditer(text)}
+def marked_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the tokens with a digit, an @ or a dot inside, written out ([at], [dot]) or not, trimmed."""
     for m in TOKEN.finditer(text):
         if MARK.search(m[0]):
             a = m.start() + len(m[0]) - len(m[0].lstrip(TRIM))
-            found.add((a, a + len(m[0].strip(TRIM))))
-    ahead = deque(sorted((a, b) for _, a, b in taken))
-    for a, b in sorted(found):
-        while ahead and ahead[0][1] <= a:
-            ahead.popleft()
-        if b - a >= 5 and not (ahead and ahead[0][0] < b):
+            yield a, a + len(m[0].strip(TRIM))
+
+
+def identifiers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Marked tokens and runs of digit groups, by place: those of at least 5 characters that touch no span (`taken`: their places, by start).
+    A run and a token in it are both given."""
+    if not MARK.search(text):
+        return
+    ahead, last = 0, None
+    for a, b in heapq.merge((m.span() for m in RUN.finditer(text)), marked_tokens(text)):
+        if (a, b) == last:
+            continue
+        last = a, b
+        while ahead < len(taken) and taken[ahead][1] <= a:
+            ahead += 1
+        if b - a >= 5 and not (ahead < len(taken) and taken[ahead][0] < b):
             yield a, b
 
 
@@ -129,27 +138,29 @@ def contexts(text: str, first: int, last: int) -> list[str]:
     return out + ([f"{near[-2]} _ {near[-1]}"] if before and after else [])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("kind", "first", "last", "value", "patterns")
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()))
-    span = pa.list_(pa.struct(list(zip(names, kinds))))
-    for batch in slices(batches, "text"):
-        base, more = [], []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            found = base_spans(text)
-            base.append([dict(zip(names, (k, a, b, text[a:b], contexts(text, a, b)))) for k, a, b in found])
-            more.append([dict(zip(names, ("", a, b, text[a:b], contexts(text, a, b)))) for a, b in identifiers(text, found)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(base, span), pa.array(more, span)], names=["id", "base", "more"]
-        )
+KIND = pa.struct([("kind", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
+
+
+def _scan(piece: int = PIECE):
+    def base(text: str) -> Iterator[tuple]:
+        return ((kind, a, b, text[a:b], contexts(text, a, b)) for kind, a, b in base_spans(text))
+
+    def more(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple]:
+        return (("", a, b, text[a:b], contexts(text, a, b)) for a, b in identifiers(text, taken))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield from span_rows(batch, base, more, KIND, piece)
+
+    return run
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, base and more: the seeds and the other identifier-like tokens, each with its patterns."""
-    columns = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def scan(docs: DataFrame, id_col: str, text_col: str, piece: int = PIECE) -> DataFrame:
+    """id, row, piece, base and more: the seeds and the other identifier-like tokens, each with its patterns. A text with very many of the latter makes
+    several rows, with the same `row` and `piece` 0, 1, ...; the seeds are in the first."""
+    columns = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = columns.schema["id"].dataType.simpleString()
-    return columns.mapInArrow(_scan, f"id {kind}, base array<{FIELD}>, more array<{FIELD}>")
+    return columns.mapInArrow(_scan(piece), f"id {kind}, row long, piece int, base array<{FIELD}>, more array<{FIELD}>")
 
 
 def confident_patterns(scanned: DataFrame, rounds: int = 3, confidence: float = 0.7, support: int = 3) -> DataFrame:
@@ -198,9 +209,10 @@ def find_pii(
     rounds: int = 3,
     confidence: float = 0.7,
     support: int = 3,
+    piece: int = PIECE,
 ) -> DataFrame:
     """One row per input row: `id_col`, base and discovered (arrays of kind, first, last, value)."""
-    scanned = saved(scan(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    scanned = saved(scan(docs, id_col, text_col, piece))
     patterns = confident_patterns(scanned, rounds, confidence, support)
     plain = "array<struct<kind:string,first:int,last:int,value:string>>"
     occurrences = scanned.select("row", F.explode("more").alias("s")).select(
@@ -219,7 +231,7 @@ def find_pii(
     )
     base = F.transform("base", lambda s: F.struct(*[s[f].alias(f) for f in ("kind", "first", "last", "value")]))
     return (
-        scanned.select("row", "id", base.alias("base"))
+        scanned.filter("piece = 0").select("row", "id", base.alias("base"))
         .join(discovered, "row", "left")
         .select(F.col("id").alias(id_col), "base", F.coalesce("discovered", F.array().cast(plain)).alias("discovered"))
     )

@@ -12,8 +12,9 @@ labelled values has no automaton: nothing is learned from it.
 
 Scale: one pass over the texts, which leaves only ids, spans, candidates and the chain's counts, in the shared
 checkpoint folder; scoring reads that. The labelled values are the `sample` smallest by a
-hash, a bound that doesn't grow with the corpus; the automata are no larger than them, and the chain has 144 counts. Nothing is
-shuffled but distinct credential values.
+hash of those of at most `longest` characters, a bound that doesn't grow with the corpus or its texts; the automata are no larger than them, and the chain has 144 counts.
+Nothing is shuffled but distinct credential values. A text with very many candidates makes several rows of the scan, so that memory doesn't follow
+the number of its spans; candidates of any length are scored whole.
 
 Null texts count as empty and have no spans. Places are code points, ends exclusive. Rows that
 repeat get the same answer; without labelled values there are no learned spans.
@@ -21,9 +22,9 @@ repeat get the same answer; without labelled values there are no learned spans.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbolith.llm.common import saved, slices
+from arbolith.llm.common import bounded_join, saved, slices
+from arbolith.llm.spans import PIECE, span_rows
 
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(
@@ -45,51 +47,57 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
 SPAN = "struct<kind:string,first:int,last:int,value:string>"
 
 
-def base_spans(text: str) -> list[tuple[str, int, int, str]]:
+def base_spans(text: str) -> Iterator[tuple[str, int, int, str]]:
     """(kind, first, last, credential), by start, then kind as listed."""
-    found = []
     low = text.lower()
+    by_kind = []
     if any(k in low for k in KEYWORDS):
-        found += [("assign", *m.span(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        by_kind.append(("assign", *m.span(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12)
     if "AKIA" in text:
-        found += [("access", *m.span(), m[0]) for m in ACCESS.finditer(text)]
-    found += [("hex", *m.span(), m[0]) for m in HEX.finditer(text)]
-    return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
+        by_kind.append(("access", *m.span(), m[0]) for m in ACCESS.finditer(text))
+    by_kind.append(("hex", *m.span(), m[0]) for m in HEX.finditer(text))
+    return heapq.merge(*by_kind, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs of credential characters that touch no span."""
-    out, ahead = [], deque(sorted((a, b) for _, a, b, _ in taken))
+def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Runs of credential characters that touch no span; `taken`: the spans' places, by start."""
+    ahead = 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        while ahead and ahead[0][1] <= a:
-            ahead.popleft()
-        if not (ahead and ahead[0][0] < b):
-            out.append((a, b, m[0]))
-    return out
+        while ahead < len(taken) and taken[ahead][1] <= a:
+            ahead += 1
+        if not (ahead < len(taken) and taken[ahead][0] < b):
+            yield a, b, m[0]
 
 
 #: Character classes: digits, a-f, g-z, A-F, G-Z; other credential characters stand for themselves. 0 is any other character.
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", *"+/_.=-")
-CLASS = np.zeros(256, np.int64)
+CLASS = np.zeros(256, np.uint8)
 for _k, _chars in enumerate(CLASSES):
     CLASS[list(_chars.encode())] = _k + 1
 WIDTH = len(CLASSES) + 1
 
 
-def symbols(value: str) -> list[int]:
-    return CLASS[list(value.encode("ascii", "replace"))].tolist()
+def symbols(value: str) -> np.ndarray:
+    return CLASS[np.frombuffer(value.encode("ascii", "replace"), np.uint8)]
 
 
 def pair_counts(texts: list[str | None]) -> np.ndarray:
     """How often each class follows each other, over all bytes of the texts."""
     total = np.zeros(WIDTH * WIDTH, np.int64)
     for text in texts:
-        at = np.r_[0, CLASS[np.frombuffer((text or "").encode(), np.uint8)], 0]
-        total += np.bincount(at[:-1] * WIDTH + at[1:], minlength=WIDTH * WIDTH)
+        for steps in walked(CLASS[np.frombuffer((text or "").encode(), np.uint8)]):
+            total += np.bincount(steps[:-1] * np.int64(WIDTH) + steps[1:], minlength=WIDTH * WIDTH)
     return total
 
 
+def walked(path: np.ndarray, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Class 0, the path's classes and class 0 again, in pieces that overlap by one."""
+    whole = np.concatenate([[0], path, [0]]).astype(np.uint8)
+    for at in range(0, len(whole) - 1, size):
+        yield whole[at : at + size + 1]
+
+
 class Chain:
     """How likely a run of credential characters is in ordinary text: a Markov chain of classes, add-one smoothed."""
 
@@ -100,8 +108,7 @@ class Chain:
             self.logs = np.log(steps / steps.sum(axis=1, keepdims=True))
 
     def loglik(self, value: str) -> float:
-        path = [0, *symbols(value), 0]
-        return float(self.logs[path[:-1], path[1:]].sum())
+        return float(sum(self.logs[steps[:-1], steps[1:]].sum() for steps in walked(symbols(value))))
 
 
 class Automaton:
@@ -119,7 +126,7 @@ class Automaton:
         self.width = math.sqrt(0.5 * math.log(2 / alpha))
         for value in values:
             at = 0
-            for s in symbols(value):
+            for s in symbols(value).tolist():
                 self.passed[at] += 1
                 self.taken[at][s] = self.taken[at].get(s, 0) + 1
                 if s not in self.next[at]:
@@ -188,7 +195,7 @@ class Automaton:
     def loglik(self, value: str) -> float:
         """Log-likelihood of the value's classes and its end; unseen steps count as 1 in 10,000."""
         at, total = 0, 0.0
-        for s in symbols(value):
+        for s in symbols(value).tolist():
             n = self.taken[at].get(s, 0) if at >= 0 else 0
             total += math.log(n / self.passed[at]) if n else math.log(1e-4)
             at = self.next[at][s] if n else self.usual.get(s, -1)
@@ -225,37 +232,50 @@ class Detector:
         return bool(likely) and max(likely) - self.chain.loglik(value) >= self.odds
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.struct([("kind", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("value", pa.string())])
-    for batch in slices(batches, "text"):
-        base, more, texts = [], [], batch.column("text").to_pylist()
-        for text in texts:
-            found = base_spans(text or "")
-            base.append([dict(zip(("kind", "first", "last", "value"), s)) for s in found])
-            more.append([dict(zip(("kind", "first", "last", "value"), ("", *s))) for s in candidates(text or "", found)])
-        pairs = [pair_counts(texts).tolist(), *[None] * (len(texts) - 1)]  # in the first row of the slice
-        arrays = [pa.array(base, pa.list_(span)), pa.array(more, pa.list_(span)), pa.array(pairs, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=["id", "base", "more", "pairs"])
+KIND = pa.struct([("kind", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("value", pa.string())])
+
+
+def _scan(longest: int, piece: int = PIECE):
+    def base(text: str) -> Iterator[tuple]:
+        for kind, a, b, value in base_spans(text):
+            yield kind, a, b, value if len(value) <= longest else None
+
+    def more(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple]:
+        return (("", *s) for s in candidates(text, taken))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            pairs = [pair_counts([t.as_py() for t in batch.column("text")]).tolist()]  # in the first row of the slice
+            for rows in span_rows(batch, base, more, KIND, piece):
+                column = pa.array([*pairs, *[None] * (rows.num_rows - len(pairs))], pa.list_(pa.int64()))
+                pairs = []
+                yield rows.append_column("pairs", column)
+
+    return run
 
 
 def _score(detector):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accepts = detector.value.accepts
         for batch in batches:
-            kept = pa.array(
-                [[s for s in row if accepts(s["value"])] for row in batch.column("more").to_pylist()], batch.schema.field("more").type
-            )
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("base"), kept], names=["id", "base", "more"])
+            lists = batch.column("more")
+            spans, offsets = lists.flatten(), lists.offsets.to_numpy()
+            kept = np.array([accepts(v.as_py()) for v in spans.field("value")], bool)
+            before = np.r_[0, np.cumsum(kept)]
+            rest = pa.ListArray.from_arrays(pa.array(before[offsets - offsets[0]], pa.int32()), spans.filter(pa.array(kept)))
+            at = batch.schema.get_field_index("more")
+            yield batch.set_column(at, "more", rest)
 
     return run
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 400) -> DataFrame:
-    """One row per input row: `id_col`, base and learned (arrays of kind, first, last, value)."""
-    columns = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 400, longest: int = 512, piece: int = PIECE) -> DataFrame:
+    """One row per input row: `id_col`, base and learned (arrays of kind, first, last, value; base values of over `longest` characters are null). A row of the scan holds `piece` candidates at most."""
+    columns = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = columns.schema["id"].dataType.simpleString()
-    scanned = saved(columns.mapInArrow(_scan, f"id {kind}, base array<{SPAN}>, more array<{SPAN}>, pairs array<long>"))
-    values = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
+    schema = f"id {kind}, row long, piece int, base array<{SPAN}>, more array<{SPAN}>, pairs array<long>"
+    scanned = saved(columns.mapInArrow(_scan(longest, piece), schema))
+    values = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value").filter("value is not null").distinct()
     models = []
     for k in KINDS[:3]:
         smallest = values.filter(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample)
@@ -263,8 +283,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = np.zeros(WIDTH * WIDTH, np.int64)
     for r in scanned.select(F.posexplode("pairs").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():  # 144 rows at most
         counts[r.k] = r.n
-    sizes = scanned.agg(F.sum(F.size("more")).alias("more"), F.sum(F.size("base")).alias("base")).first()
+    sizes = scanned.agg(F.sum(F.size("more")).alias("more"), F.sum(F.size("base")).alias("base"), F.max("piece").alias("pieces")).first()
     detector = Detector([m for m in models if m], Chain(counts), sizes.more or 0, sizes.base or 0)
     scored = scanned.drop("pairs").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(detector)), scanned.drop("pairs").schema)
     learned = F.transform("more", lambda s: s.withField("kind", F.lit("learned")))
+    if sizes.pieces:  # texts with very many candidates: what their further rows keep goes to the first one
+        scored = saved(scored)
+        rest = saved(scored.filter("piece > 0").groupBy("row").agg(F.flatten(F.collect_list("more")).alias("rest")).filter("size(rest) > 0"))
+        scored = bounded_join(scored.filter("piece = 0"), rest, ["row"], "left").withColumn("more", F.concat("more", F.coalesce("rest", F.array().cast(f"array<{SPAN}>"))))
     return scored.select(F.col("id").alias(id_col), "base", learned.alias("learned"))

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, fp long, size long, _text string"
@@ -32,3 +36,18 @@ def empty(spark):
 def sample(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source").collect()
     return [(r.doc_id, r.text, r.source) for r in rows]
+
+
+@pytest.fixture(scope="session")
+def in_bounded_memory():
+    """Runs Python code that prints what it finds, in a process of its own; gives the lines and the process's peak in MB."""
+
+    def run(code):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        code += "\nimport resource\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)\n"
+        out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=600)
+        assert out.returncode == 0, out.stderr[-2000:]
+        *lines, most = out.stdout.split("\n")[:-1]
+        return lines, int(most)
+
+    return run

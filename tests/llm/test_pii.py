@@ -212,3 +212,27 @@ def test_scores_equal_brute_force_and_held_out_identifiers_are_found(spark):
         recall, precision = len(right) / len(want), sum((i, k) in {(j, m) for j, m, _ in want} for i, k, _ in found) / max(1, len(found))
         print(f"PII held-out: {seen} seeds, recall {recall:.3f}, precision {precision:.3f}")
         assert precision >= 0.95 and recall >= (0.9 if seen >= 200 else 0.0)
+
+
+def test_a_long_text_of_identifiers_in_bounded_memory(in_bounded_memory):
+    """20 MB in which each token holds a digit, and 20 MB of addresses: the scan holds a few thousand spans at a time."""
+    lines, most = in_bounded_memory("""
+import pyarrow as pa
+from arbolith.llm.pii import _scan
+for text in ("row12345 " * 2_200_000, "mail 10.0.0.1 " * 400_000):
+    batch = pa.RecordBatch.from_pydict({"id": [1], "row": [1], "text": [text]})
+    n = rows = 0
+    for out in _scan()(iter([batch])):
+        n += len(out.column("base").flatten()) + len(out.column("more").flatten())
+        rows += out.num_rows
+    print(n, rows)
+""")
+    assert lines == ["2200000 220", "400000 1"] and most < 1000, most
+
+
+def test_many_identifiers_of_one_text_are_all_discovered(spark):
+    rows = [(i, f"please ring me on +1 (555) 010-1{i:03} today") for i in range(60)]
+    rows.append((99, "".join(f"please ring me on 0555 0{i:05} today. " for i in range(20))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda **k: {r.doc_id: sorted((s.first, s.last) for s in r.discovered) for r in find_pii(docs, **k).collect()}
+    assert found(piece=3) == found() and len(found()[99]) >= 20

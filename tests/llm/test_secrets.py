@@ -5,9 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from arbolith.llm import queries
 from arbolith.llm.secrets import CLASSES, Automaton, Chain, Detector, find_secrets, infer, pair_counts, symbols
+from arbolith.llm.secrets import _scan as secrets_scan
 
 KINDS = ("assign", "access", "hex")
 
@@ -168,3 +170,42 @@ def test_held_out_recall_and_false_alarms_by_kind_and_sample(sample):
             recall, alarms = np.mean([*map(detector.accepts, fresh)]), np.mean([*map(detector.accepts, plain)])
             print(f"secrets held-out: {kind} {n} values: recall {recall:.3f}, false alarms {alarms:.4f}")
             assert alarms <= (0.03 if kind == "assign" else 0.002) and recall >= (0.9 if n >= 36 else 0.5)
+
+
+def test_one_very_long_value_and_very_many(spark, in_bounded_memory):
+    """A hex run of 5 MB is a span, but no labelled value; 17 MB of short ones and a candidate of 5 MB stay in bounded memory."""
+    rng = random.Random(8)
+    rows = [(i, "key " + "".join(rng.choice("0123456789abcdef") for _ in range(32)) + " end") for i in range(40)]
+    rows += [(100, "a" * 5_000_000), (101, "Z9" * 2_500_000)]
+    got = {r.doc_id: r for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.kind, s.first, s.last, s.value) for s in got[100].base] == [("hex", 0, 5_000_000, None)]
+    assert all(len(got[i].base) == 1 and got[i].base[0].value for i in range(40))
+    lines, most = in_bounded_memory("""
+import pyarrow as pa
+from arbolith.llm.secrets import Automaton, Chain, Detector, _scan, pair_counts
+many = "0123456789abcdef1 " * 950_000
+dense = "Zq0-Zq1-Zq2-Zq3 " * 1_000_000
+for text in (many, dense, "f" * 5_000_000):
+    batch = pa.RecordBatch.from_pydict({"id": [1], "row": [1], "text": [text]})
+    n = 0
+    for out in _scan(512)(iter([batch])):
+        n += len(out.column("base").flatten()) + len(out.column("more").flatten())
+    print(n)
+detector = Detector([(Automaton(["0123456789abcdef"] * 20), -9.0)], Chain(pair_counts([many[:1000]])), 10, 10)
+detector.accepts("a1" * 2_500_000)
+""")
+    assert lines == ["950000", "1000000", "1"] and most < 1000, most
+
+
+def test_many_candidates_make_several_rows_of_one_text(spark):
+    """What is learned doesn't depend on how many rows a text's candidates make."""
+    rng = random.Random(9)
+    value = lambda: "".join(rng.choice("0123456789ABCDEF") for _ in range(32))
+    rows = [(i, f"token: {value()}") for i in range(60)] + [(99, " ".join(value() for _ in range(30))), (98, value())]
+    batch = pa.RecordBatch.from_pydict({"id": [99, 1], "row": [1, 2], "text": [rows[-2][1], rows[0][1]]})
+    parts = list(secrets_scan(512, 7)(iter([batch])))
+    pieces = [x for p in parts for x in zip(p.column("id").to_pylist(), p.column("piece").to_pylist())]
+    assert pieces == [(99, k) for k in range(5)] + [(1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    spans = lambda **k: {r.doc_id: sorted((s.first, s.last) for s in r.learned) for r in find_secrets(docs, **k).collect()}
+    assert spans(piece=7) == spans(piece=1) == spans() and len(spans()[99]) > 25
