@@ -112,7 +112,8 @@ def shard_documents(
         rows = saved(rows)
     counted = saved(rows.groupBy("g1", "g2", "salt").agg(F.count(F.lit(1)).alias("cell_rows"), F.sum("size").alias("cell_bytes")))
     if buckets is None:
-        buckets = min(most_buckets, 1 + counted.count() // bucket_groups)
+        groups = counted.select("g1", "g2").distinct().count()  # not cells, of which a large group has many
+        buckets = min(most_buckets, 1 + groups // bucket_groups)
     bins_in_bucket = max(shards, math.ceil(256 * shards / buckets))
     group = Window.partitionBy("bucket", "g1", "g2")
     cells = (

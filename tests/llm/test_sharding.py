@@ -142,3 +142,17 @@ def test_buckets_follow_the_number_of_groups(spark):
     for r in rows:
         load[r.shard] += r.size
     assert max(load.values()) <= 1.01 * longest_first([len(t) + 1 for _, t in texts], 16)
+
+
+def test_groups_are_counted_not_their_cells(spark):
+    """Few groups of very many rows lie in many cells, but they are few groups: plain longest-processing-time scheduling."""
+    texts = [(i, f"text {i % 100} " + "x" * (37 * (i % 100) % 59)) for i in range(100_000)]
+    rows = shard_documents(spark.createDataFrame(texts, "doc_id long, text string"), bucket_groups=100).collect()
+    check(rows, texts, 16)
+    load = Counter()
+    for r in rows:
+        load[r.shard] += r.size
+    sizes = Counter()
+    for _, t in texts:
+        sizes[t] += len(t) + 1
+    assert max(load.values()) <= 1.01 * max(longest_first(list(sizes.values()), 16), sum(sizes.values()) / 16)
