@@ -165,7 +165,11 @@ def passing(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) ->
     """The rows of `docs` that the rules keep, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 1 << 20):
-            yield batch.filter(pa.array(measure(batch.column(text_col).to_pylist(), rules)["kept"], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        for batch in slices(batches, "_text" if cast else text_col, 1 << 20):
+            texts = batch.column("_text" if cast else text_col).to_pylist()
+            rows = batch.drop_columns(["_text"]) if cast else batch
+            yield rows.filter(pa.array(measure(texts, rules)["kept"], pa.bool_()))
+
+    cast = docs.schema[text_col].dataType != T.StringType()  # the column itself stays as it is
+    given = docs.withColumn("_text", F.col(text_col).cast("string")) if cast else docs
+    return given.mapInArrow(run, docs.schema)

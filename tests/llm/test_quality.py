@@ -65,6 +65,14 @@ def test_odd_rows(odd, empty):
     assert passing(odd).count() == quality_rules(odd).filter("kept").count()
 
 
+def test_passing_takes_texts_of_any_type(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, bytearray(text.encode()), "x"), (2, None, "y")], "doc_id long, text binary, _other string")
+    kept = passing(docs)
+    assert kept.schema == docs.schema and [r.doc_id for r in kept.collect()] == [1]
+    assert passing(spark.createDataFrame([(1, 5)], "doc_id long, text long")).collect() == []
+
+
 def test_suffix_array_and_repeats():
     rng = random.Random(1)
     for _ in range(50):
