@@ -322,7 +322,7 @@ def expired_tombstones(spark: SparkSession, d: str) -> DataFrame:
 def debounced_hints(spark: SparkSession, d: str) -> DataFrame:
     """Events as hints about paths, in bursts with at most a quiet hour; a few say that hints were lost."""
     hints = spark.read.parquet(f"{d}/events.parquet").select(
-        F.when(F.col("event_id") % 50 != 0, F.concat("event_type", F.lit("/"), (F.col("user_id") % 20).cast("string"))).alias("path"),
+        F.when(F.col("event_id") % 50 != 0, F.concat("event_type", F.lit("/"), (F.col("user_id") % 4).cast("string"))).alias("path"),
         "ts",
         F.when(F.col("event_id") % 7 == 0, "remove").otherwise("write").alias("kind"),
     )
@@ -495,7 +495,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE s.hash IS NULL AND s.lamport <= horizon AND e.written < (SELECT max(written) FROM entries) - 86400""",
         "debounced_hints": """
             WITH hints AS (
-              SELECT CASE WHEN event_id % 50 <> 0 THEN event_type || '/' || (user_id % 20) END AS path, ts,
+              SELECT CASE WHEN event_id % 50 <> 0 THEN event_type || '/' || (user_id % 4) END AS path, ts,
                      CASE WHEN event_id % 7 = 0 THEN 'remove' ELSE 'write' END AS kind FROM events
             ), cut AS (
               SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM hints
