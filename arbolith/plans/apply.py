@@ -1,7 +1,7 @@
 """Applying a plan: downloads, uploads, local deletes, then one commit, then object deletes.
 
 Transfers are narrow jobs: tasks read a file or object in frames, Spark seals or opens the frames, and tasks of the same
-partition write them, whole files at a time through a temporary file and a rename; so a task may run again. Nothing is
+partition write them, whole files at a time through a temporary file and a rename; so a task may run again. Large files go in parts (`parts`). Nothing is
 committed before all transfers are done, and objects are only deleted once no manifest names them.
 """
 
@@ -14,7 +14,6 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,21 +23,13 @@ from arbolith.functions.paths import assert_safe
 from arbolith.operators import state as tables
 from arbolith.operators.reconcile import bookkeeping, changes, last_wins, of_kind, plan
 from arbolith.plans.manifest import read_manifest, write_manifest
+from arbolith.plans.parts import PART_BYTES, forget_parts, upload_in_parts
+from arbolith.plans.transfer import DONE, FRAME, FRAMES, NewFile, task
 from arbolith.schemas import OUTCOME
 from arbolith.sources.objects import FolderStore
 from arbolith.sources.tables import State, local_uri
 from arbolith.sources.tree import file_stat, scan_tree
 
-FRAME = pa.schema(
-    [("path", pa.string()), ("object_key", pa.string()), ("frame", pa.int64()), ("last", pa.bool_()), ("content", pa.binary()),
-     ("size", pa.int64()), ("mtime_ns", pa.int64()), ("hash", pa.string())]
-)
-FRAMES = "path string, object_key string, frame long, last boolean, content binary, size long, mtime_ns long, hash string"
-DONE = pa.schema(
-    [("path", pa.string()), ("kind", pa.string()), ("status", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64()), ("hash", pa.string())]
-)
-
-
 @dataclass(frozen=True)
 class Mirror:
     """A local root and a store that the driver and all tasks see under the same paths, and where keys come from."""
@@ -51,52 +42,7 @@ class Mirror:
     name_key: Callable[[], bytes]
     manifest_key: Callable[[], bytes]
     ignore_file: str = ".mirrorignore"
-
-
-def _batches(rows: Iterator[tuple], schema: pa.Schema, most_rows: int = 4096, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows in batches of so many, or of so many bytes of their binary values."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(len(x) for x in row if isinstance(x, bytes))
-        if len(held) >= most_rows or size >= most_bytes:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
-def _task(rows: Callable[[Iterator[dict]], Iterator[tuple]], schema: pa.Schema):
-    """A function for mapInArrow from one that maps rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(rows(row for batch in batches for row in batch.to_pylist()), schema)
-
-    return run
-
-
-class _NewFile:
-    """A file written beside its target, which it replaces when it is whole; else nothing of it stays."""
-
-    def __init__(self, target: str, temporary: str):
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        os.makedirs(os.path.dirname(temporary), exist_ok=True)
-        self.target, self.temporary, self.out = target, temporary, open(temporary, "wb")  # noqa: SIM115
-        self.digest = hashlib.sha256()
-
-    def write(self, content: bytes) -> None:
-        self.out.write(content)
-        self.digest.update(content)
-
-    def keep(self) -> None:
-        self.out.flush()
-        os.fsync(self.out.fileno())
-        self.out.close()
-        os.replace(self.temporary, self.target)
-
-    def drop(self) -> None:
-        self.out.close()
-        os.unlink(self.temporary)
+    part_bytes: int = PART_BYTES  # larger files are uploaded in parts of so many bytes
 
 
 def _read_files(root: str, frame_bytes: int):
@@ -122,7 +68,7 @@ def _read_files(root: str, frame_bytes: int):
                 before, chunk, steady = (0, 0), b"", False
             yield row["path"], row["object_key"], number, True, chunk, *before, digest.hexdigest() if steady else None
 
-    return _task(rows, FRAME)
+    return task(rows, FRAME)
 
 
 def _write_objects(store: str, prefix: str):
@@ -134,7 +80,7 @@ def _write_objects(store: str, prefix: str):
             for row in frames:
                 if row["frame"] == 0:
                     target = os.path.join(store, prefix + row["object_key"])
-                    new = _NewFile(target, f"{target}.{uuid.uuid4().hex}.part")
+                    new = NewFile(target, f"{target}.{uuid.uuid4().hex}.part")
                 new.write(len(row["content"]).to_bytes(4, "big") + row["content"])
                 if row["last"]:
                     steady = row["hash"] is not None
@@ -145,7 +91,7 @@ def _write_objects(store: str, prefix: str):
             if new:
                 new.drop()
 
-    return _task(rows, DONE)
+    return task(rows, DONE)
 
 
 def _read_objects(store: str, prefix: str):
@@ -160,7 +106,7 @@ def _read_objects(store: str, prefix: str):
                     yield row["path"], row["object_key"], number, not head, box, row["size"], None, row["content_hash"]
                     number += 1
 
-    return _task(rows, FRAME)
+    return task(rows, FRAME)
 
 
 def _write_files(root: str):
@@ -169,7 +115,7 @@ def _write_files(root: str):
         try:
             for row in frames:
                 if row["frame"] == 0:
-                    new = _NewFile(os.path.join(root, row["path"]), os.path.join(root, ".mirror", "tmp", uuid.uuid4().hex))
+                    new = NewFile(os.path.join(root, row["path"]), os.path.join(root, ".mirror", "tmp", uuid.uuid4().hex))
                 new.write(row["content"])
                 if row["last"]:
                     if new.digest.hexdigest() != row["hash"]:
@@ -181,7 +127,7 @@ def _write_files(root: str):
             if new:
                 new.drop()
 
-    return _task(rows, DONE)
+    return task(rows, DONE)
 
 
 def _delete(folder: str, prefix: str, column: str, kind: str):
@@ -193,7 +139,7 @@ def _delete(folder: str, prefix: str, column: str, kind: str):
                 pass
             yield row["path"], kind, "done", None, None, None
 
-    return _task(rows, DONE)
+    return task(rows, DONE)
 
 
 def uploads(mirror: Mirror, files: DataFrame) -> DataFrame:
@@ -254,7 +200,12 @@ def _sync(spark: SparkSession, mirror: Mirror, now: int, work: str) -> DataFrame
     changed = written(changes(local, baseline, remote), "changes")
     actions, mend = plan(changed), bookkeeping(changed)
     down = written(downloads(mirror, tables.download_entries(actions, remote)), "download")
-    up = written(uploads(mirror, local.join(of_kind(actions, "upload"), "path", "left_semi")), "upload")
+    wanted = local.join(of_kind(actions, "upload"), "path", "left_semi")
+    large = wanted.filter(F.col("size") > mirror.part_bytes)
+    up = uploads(mirror, wanted.filter(F.col("size") <= mirror.part_bytes))
+    if not large.isEmpty():
+        up = up.unionByName(upload_in_parts(mirror, large, mirror.part_bytes, written))
+    up = written(up, "upload")
     gone = written(
         local.join(of_kind(actions, "delete-local"), "path", "left_semi")
         .select("path", "raw_path")
@@ -271,6 +222,7 @@ def _sync(spark: SparkSession, mirror: Mirror, now: int, work: str) -> DataFrame
     generation = state.generation() + 1
     write_manifest(manifest, store, mirror.prefix, generation, mirror.manifest_key)
     state.commit(after, generation)
+    forget_parts(mirror)
     removed = written(
         tables.remote_deletes(actions, remote).mapInArrow(_delete(mirror.store, mirror.prefix, "object_key", "delete-remote"), OUTCOME),
         "delete-remote",

@@ -145,16 +145,22 @@ def _digest_files(path: pd.Series) -> pd.DataFrame:
 def scan_tree(spark: SparkSession, root: str, baseline: DataFrame | None = None, **options: str) -> DataFrame:
     """path, raw_path, size, mtime_ns, hash of the stable files under `root`.
 
-    With a baseline, only files whose path, size or time it doesn't know are hashed.
+    With a baseline, only files whose path, size or time it doesn't know are hashed. Files are dealt over all tasks to be hashed, whatever folder
+    they lie in.
     """
     spark.dataSource.register(TreeSource)
     columns = ["path", "raw_path", "size", "mtime_ns", "hash"]
-    read = spark.read.format("tree").options(path=root, **options)
+    listed = spark.read.format("tree").options(path=root, **options).option("hash", "false").load().drop("hash", "stable")
     if baseline is None:
-        return read.load().filter("stable").select(*columns)
-    known = reuse_hashes(read.option("hash", "false").load().drop("hash", "stable"), baseline)
+        return hashed(listed, root)
+    known = reuse_hashes(listed, baseline)
     hits = known.filter("known_hash is not null").withColumnRenamed("known_hash", "hash")
+    return hits.select(*columns).unionByName(hashed(known.filter("known_hash is null"), root))
+
+
+def hashed(files: DataFrame, root: str) -> DataFrame:
+    """path, raw_path, size, mtime_ns and hash of those of `files` (path, raw_path) that hold still."""
     full = F.concat(F.lit(root.rstrip("/") + "/"), F.col("raw_path"))
-    misses = known.filter("known_hash is null").select("path", "raw_path", _digest_files(full).alias("d"))
-    fresh = misses.filter("d.hash is not null").select("path", "raw_path", "d.size", "d.mtime_ns", "d.hash")
-    return hits.select(*columns).unionByName(fresh)
+    dealt = files.select("path", "raw_path").repartition(files.sparkSession.sparkContext.defaultParallelism, "raw_path")
+    found = dealt.select("path", "raw_path", _digest_files(full).alias("d"))
+    return found.filter("d.hash is not null").select("path", "raw_path", "d.size", "d.mtime_ns", "d.hash")

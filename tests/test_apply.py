@@ -1,14 +1,18 @@
+import dataclasses
 import functools
 import os
+import random
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from arbolith.__main__ import main
 from arbolith.functions.keys import derive_keys
 from arbolith.operators.reconcile import plan
 from arbolith.plans.apply import Mirror, compare, sync
 from arbolith.plans.manifest import Rollback, read_manifest
+from arbolith.plans.parts import forget_parts, join_parts, part_plan, planned_parts, seal_parts
 from arbolith.sources.config import FileSecrets
 from arbolith.sources.objects import FolderStore
 from arbolith.sources.tables import State
@@ -195,3 +199,52 @@ def test_manifest_rows_lie_by_path(spark, devices):
     run(spark, a)
     entries = [r.path for r in read_manifest(spark, FolderStore(a.store), "v/", State(spark, a.state), a.manifest_key).collect()]
     assert len(entries) == 30 and entries == sorted(entries)
+
+
+def large(n, seed):
+    return random.Random(seed).randbytes(n)
+
+
+def test_large_files_go_in_parts_and_come_back_whole(spark, devices):
+    """Sizes around the borders of frames and parts, among small files; the object is the one that a single task would have written."""
+    mib = 1 << 20
+    sizes = [2 * mib, 2 * mib + 1, 4 * mib, 5 * mib - 1, 6 * mib + 7, 10, 0]
+    a, b = (dataclasses.replace(devices(n), part_bytes=2 * mib) for n in "ab")
+    for k, n in enumerate(sizes):
+        put(a, f"f{k}.bin", large(n, k))
+    assert {(k, s) for k, s, _ in run(spark, a)} == {("upload", "done")}
+    assert {(k, s) for k, s, _ in run(spark, b)} == {("download", "done")}
+    assert files(a) == files(b)
+    assert not os.listdir(os.path.join(a.store, "v/parts")) and run(spark, a) == []
+
+
+def test_only_missing_parts_are_sealed_again(spark, devices):
+    mib = 1 << 20
+    a = devices("a")
+    put(a, "big.bin", large(9 * mib + 5, 1))
+    local = compare(spark, a)[0]
+    parts = planned_parts(a, local, mib).cache()
+    assert parts.count() == 10 and seal_parts(a, parts).select(F.spark_partition_id()).distinct().count() >= 0
+    forget_parts(a)
+    tasks = seal_parts(a, parts.filter("part % 2 = 0")).select("size", F.spark_partition_id().alias("t")).collect()  # the run is killed after these
+    assert sorted(r["size"] for r in tasks) == [0, 2, 4, 6, 8] and len({r.t for r in tasks}) > 1
+    assert [r.status for r in join_parts(a, parts).collect()] == ["deferred"]
+    again = seal_parts(a, parts).collect()
+    assert sorted(r["size"] for r in again) == [1, 3, 5, 7, 9] and {r.status for r in again} == {"done"}
+    assert [r.status for r in join_parts(a, parts).collect()] == ["done"]
+    # a file that changed since takes over nothing, and one that changes meanwhile isn't stored
+    put(a, "big.bin", large(9 * mib + 5, 2))
+    assert {r.status for r in seal_parts(a, parts.withColumn("upload", F.lit("other"))).collect()} == {"deferred"}
+    changed = planned_parts(a, compare(spark, a)[0], mib)
+    assert {r.upload for r in changed.collect()}.isdisjoint({r.upload for r in parts.collect()})
+    assert seal_parts(a, changed).count() == 10
+
+
+def test_part_sizes_grow_beyond_the_most_parts(spark):
+    sizes = spark.createDataFrame([("a", 0), ("b", 1), ("c", 100), ("d", 101), ("e", 10_000), ("f", 123_456)], "path string, size long")
+    plan = part_plan(sizes, part_bytes=95, most=10, unit=10).collect()
+    for path, size in (("a", 0), ("b", 1), ("c", 100), ("d", 101), ("e", 10_000), ("f", 123_456)):
+        mine = sorted((r.part, r.parts, r.step, r["first"], r.bytes) for r in plan if r.path == path)
+        parts, step = mine[0][1], mine[0][2]
+        assert len(mine) == parts <= 10 and step % 10 == 0 and step >= 100
+        assert [m[3] for m in mine] == [k * step for k in range(parts)] and sum(m[4] for m in mine) == size

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from arbolith.schemas import BASELINE
 from arbolith.sources.config import Config, FileSecrets, VaultHeader
@@ -134,3 +135,11 @@ def test_vault_and_secrets(tmp_path):
     secrets.store("short", b"x")
     with pytest.raises(ValueError, match="1 bytes"):
         secrets.load("short")
+
+
+def test_files_of_one_folder_are_hashed_by_several_tasks(spark, tmp_path):
+    tree(tmp_path, {f"flat/{i}.txt": f"content {i % 50}" for i in range(200)})
+    found = scan_tree(spark, str(tmp_path))
+    tasks = {r.t: r.n for r in found.groupBy(F.spark_partition_id().alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(tasks.values()) == 200 and len(tasks) > 1 and max(tasks.values()) < 120
+    assert found.select("hash").distinct().count() == 50
