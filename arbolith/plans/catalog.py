@@ -13,8 +13,10 @@ from arbolith.functions.digest import digest, formatted, parsed, saturated
 from arbolith.functions.keys import object_key
 from arbolith.operators import reconcile, state
 from arbolith.operators.merge import merge_logs, merged_state
+from arbolith.operators.names import case_collisions, conflict_copies, empty_folders
 from arbolith.operators.stamps import lamport_stamps
 from arbolith.plans.deltalog import DeltaLog, expired
+from arbolith.plans.parts import part_plan
 from arbolith.plans.snapshots import NOW, SNAPSHOTS_SQL, SQL_OBJECT_KEY, TEST_KEY, path_of, snapshots
 from arbolith.sources.objects import listed
 from arbolith.sources.shared import saved, shared_folder
@@ -330,13 +332,56 @@ def debounced_hints(spark: SparkSession, d: str) -> DataFrame:
     return debounced(hints, "1 hour", "1 day").withColumns({c: F.expr(since.format(c)) for c in ("first", "last")})
 
 
+def upload_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of all documents as files; parts of 1,000 bytes and up, so that longer texts than 20 of them have larger ones."""
+    sizes = _documents(spark, d).select(path_of().alias("path"), F.octet_length("text").cast("long").alias("size"))
+    return part_plan(sizes, part_bytes=1000, most=20, unit=100)
+
+
+def case_folded_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in folders whose names differ in case, in how letters are composed or in forms that folding makes one."""
+    spelled = F.element_at(
+        F.array(*(F.lit(x) for x in ("Straße", "STRASSE", "σας", "ΣΑΣ", "CAF\u00c9", "cafe\u0301", "plain", "Notes", "notes"))), (F.col("doc_id") % 9 + 1).cast("int")
+    )
+    name = F.when(F.col("doc_id") % 4 == 0, F.upper("lang")).otherwise(F.col("lang"))
+    number = F.concat(F.expr("doc_id div 2").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".TXT").otherwise(".txt"))
+    return case_collisions(_documents(spark, d).select(F.concat_ws("/", "source", F.when(F.col("doc_id") % 5 == 0, spelled), name, number).alias("path")))
+
+
+def conflict_names(spark: SparkSession, d: str) -> DataFrame:
+    """Copies for documents that lost conflicts, where some names are taken already and some losers are copies themselves."""
+    at, device = F.lit("2026-08-14T12-30-00Z"), F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string"))
+    tag = F.concat(F.lit(" (conflicted copy "), at, F.lit(" from "), device, F.lit(")"))
+    stem = F.concat_ws("/", "source", F.concat("lang", (F.col("doc_id") % 5).cast("string")))
+    ext = F.when(F.col("doc_id") % 2 == 0, ".tar.gz").otherwise("")
+    docs = _documents(spark, d).select("doc_id", stem.alias("stem"), tag.alias("tag"), device.alias("device"), ext.alias("ext"))
+    copied = F.concat("stem", F.when(F.col("doc_id") % 7 == 0, F.col("tag")).otherwise(""), "ext")
+    losers = docs.filter("doc_id % 3 <> 1").select(copied.alias("path"), F.col("doc_id").alias("lamport"), "device", at.alias("at"))
+    number = F.expr("doc_id div 30 * 2")
+    taken = F.when(number > 0, F.concat(F.lit(" "), number.cast("string"))).otherwise("")
+    # the tag of a name with an inner extension stands before the last one
+    inner = F.regexp_extract("ext", r"^(.*?)(\.[^.]*)?$", 1)
+    there = docs.filter("doc_id % 3 = 1").select(F.concat("stem", inner, "tag", taken, F.substring("ext", F.length(inner) + 1, F.lit(9))).alias("path"))
+    return conflict_copies(losers, there)
+
+
+def topmost_empty_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Folders by source, language and number, of which only some hold documents."""
+    folder = F.concat_ws("/", "source", "lang", (F.col("doc_id") % 40).cast("string"), (F.col("doc_id") % 3).cast("string"))
+    docs = _documents(spark, d).select("doc_id", folder.alias("folder"))
+    files = docs.filter("doc_id % 40 < 15 and (doc_id % 3 = 0 or doc_id % 40 > 10)").select(F.concat("folder", F.lit("/"), "doc_id").alias("path"))
+    parts = F.split("folder", "/")
+    folders = docs.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path"))
+    return empty_folders(files, folders)
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     reconcile_plan, change_classes, plan_summary, plan_with_rank, plan_uploads, plan_bookkeeping, all_paths, scan_hash,
     hash_cache_reuse, exclude_filter, safe_path_filter, nfc_paths, prefix_list, object_keys, upsert_record_scan,
     upsert_confirm_sync, baseline_delete, download_entries, remote_delete_keys, manifest_after_apply,
     baseline_after_apply, generation_guard, generation_codec, manifest_json, envelope_roundtrip, payload_guard, tampered_rows,
     store_listing, plan_lines, hash_codec, saturated_casts, merged_log, merged_paths, stamped_operations, delta_log_state, swept_objects,
-    expired_tombstones, debounced_hints,
+    expired_tombstones, debounced_hints, upload_parts, case_folded_collisions, conflict_names, topmost_empty_folders,
 )
 
 
@@ -505,6 +550,52 @@ def oracle_sql() -> dict[str, str]:
             SELECT path, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS hints,
                    CASE WHEN path IS NULL THEN 'full-rescan' WHEN arg_max(kind, (ts, kind)) = 'remove' THEN 'confirm-delete' ELSE 'rescan' END AS intent
             FROM bursts GROUP BY path, burst""",
+        "upload_parts": f"""SELECT path, size, step, parts, part, part * step AS first, least(step, size - part * step) AS bytes FROM (
+              SELECT *, unnest(generate_series(0, parts - 1)) AS part FROM (
+                SELECT *, greatest(1, (size + step - 1) // step) AS parts FROM (
+                  SELECT {_PATH} AS path, strlen(text) AS size, greatest(1000, (strlen(text) + 1999) // 2000 * 100) AS step FROM documents)))""",
+        "case_folded_collisions": """
+            WITH paths AS (
+              SELECT DISTINCT source || '/' || CASE WHEN doc_id % 5 = 0
+                       THEN ['Straße', 'STRASSE', 'σας', 'ΣΑΣ', 'CAF' || chr(201), 'cafe' || chr(769), 'plain', 'Notes', 'notes'][doc_id % 9 + 1] || '/' ELSE '' END
+                     || CASE WHEN doc_id % 4 = 0 THEN upper(lang) ELSE lang END || '/' || doc_id // 2 || CASE WHEN doc_id % 2 = 0 THEN '.TXT' ELSE '.txt' END AS path
+              FROM documents
+            ), prefixes AS (
+              SELECT path, array_to_string(string_split(path, '/')[1 : n], '/') AS prefix
+              FROM (SELECT path, unnest(generate_series(1, len(string_split(path, '/')))) AS n FROM paths)
+            ), folded AS (
+              SELECT *, replace(replace(lower(nfc_normalize(prefix)), 'ß', 'ss'), 'ς', 'σ') AS f FROM prefixes
+            ), clashes AS (SELECT f FROM folded GROUP BY f HAVING count(DISTINCT prefix) > 1)
+            SELECT path, arg_min(f, length(prefix)) AS at FROM folded WHERE f IN (SELECT f FROM clashes) GROUP BY path""",
+        "conflict_names": r"""
+            WITH docs AS (
+              SELECT doc_id, source || '/' || lang || doc_id % 5 AS stem, 'd' || doc_id % 3 AS device, CASE WHEN doc_id % 2 = 0 THEN '.tar' ELSE '' END AS inner_ext,
+                     CASE WHEN doc_id % 2 = 0 THEN '.gz' ELSE '' END AS ext FROM documents
+            ), tagged AS (
+              SELECT *, ' (conflicted copy 2026-08-14T12-30-00Z from ' || device || ')' AS tag FROM docs
+            ), losers AS (
+              SELECT stem || CASE WHEN doc_id % 7 = 0 THEN tag ELSE '' END || inner_ext || ext AS path, doc_id AS lamport, device, '2026-08-14T12-30-00Z' AS at, ext,
+                     stem || CASE WHEN doc_id % 7 = 0 AND inner_ext = '' THEN '' WHEN doc_id % 7 = 0 THEN tag || inner_ext ELSE inner_ext END || tag AS base
+              FROM tagged WHERE doc_id % 3 <> 1
+            ), taken AS (
+              SELECT stem || inner_ext || tag AS base, ext, list(DISTINCT doc_id // 30 * 2) AS used FROM tagged WHERE doc_id % 3 = 1 GROUP BY ALL
+            ), ranked AS (
+              SELECT l.*, row_number() OVER (PARTITION BY l.base, l.ext ORDER BY lamport, device, path) AS k, coalesce(used, []) AS used,
+                     count(*) OVER (PARTITION BY l.base, l.ext) AS n
+              FROM losers l LEFT JOIN taken t ON t.base = l.base AND t.ext = l.ext
+            ), free AS (
+              SELECT *, list_filter(generate_series(0, n + len(used)), lambda x: NOT list_contains(used, x))[k] AS number FROM ranked
+            )
+            SELECT path, lamport, device, "at", base || CASE WHEN number = 0 THEN '' ELSE ' ' || number END || ext AS copy FROM free""",
+        "topmost_empty_folders": """
+            WITH docs AS (
+              SELECT doc_id, source || '/' || lang || '/' || doc_id % 40 || '/' || doc_id % 3 AS folder,
+                     doc_id % 40 < 15 AND (doc_id % 3 = 0 OR doc_id % 40 > 10) AS filled FROM documents
+            ), levels AS (
+              SELECT array_to_string(string_split(folder, '/')[1 : n], '/') AS path, filled
+              FROM (SELECT folder, filled, unnest([1, 2, 3, 4]) AS n FROM docs)
+            ), empties AS (SELECT path FROM levels GROUP BY path HAVING NOT bool_or(filled))
+            SELECT path FROM empties e WHERE NOT EXISTS (SELECT 1 FROM empties o WHERE starts_with(e.path, o.path || '/'))""",
         "store_listing": f"""SELECT key, size FROM (
               SELECT 'vault/' || {SQL_OBJECT_KEY('path')} || CASE WHEN doc_id % 13 = 0 THEN '.part' ELSE '' END AS key, size
               FROM (SELECT doc_id, {_PATH} AS path, strlen(text) AS size FROM documents))

@@ -61,6 +61,7 @@ class TreeReader(DataSourceReader):
         self.hashing = options.get("hash", "true") == "true"
         self.excluded = ALWAYS_EXCLUDED if options.get("exclude", "true") == "true" else ()
         self.parts = int(options.get("partitions", "64"))
+        self.kind = options.get("kind", "files")
 
     def _rules(self, directory: str) -> list[tuple[str, list[Rule]]]:
         """Rules of one directory; of its files the first named is the strongest."""
@@ -78,13 +79,14 @@ class TreeReader(DataSourceReader):
         return [r for i in range(len(parts) + 1) for r in self._rules("/".join(parts[:i]))]
 
     def _entries(self, directory: str, chain: list) -> Iterator[tuple[str, bool]]:
-        """(path, whether it is a directory) of what is neither excluded, ignored, a link nor special."""
+        """(path, whether it is a directory) of what is neither excluded, ignored nor special; links only if they are asked for."""
         for entry in sorted(os.scandir(os.path.join(self.root, directory)), key=lambda e: e.name):
             entry.name.encode()  # a name that isn't UTF-8 fails the scan
             path = f"{directory}/{entry.name}" if directory else entry.name
             mode = entry.stat(follow_symlinks=False).st_mode
             folder = stat.S_ISDIR(mode)
-            if entry.name not in self.excluded and (folder or stat.S_ISREG(mode)) and not ignored(chain, path, folder):
+            wanted = folder or (stat.S_ISLNK(mode) if self.kind == "links" else stat.S_ISREG(mode))
+            if wanted and entry.name not in self.excluded and not ignored(chain, path, folder):
                 yield path, folder
 
     def partitions(self) -> list[_Part]:
@@ -100,15 +102,17 @@ class TreeReader(DataSourceReader):
 
     def _walk(self, directory: str, chain: list, deep: bool) -> Iterator[str]:
         for path, folder in self._entries(directory, chain):
-            if not folder:
+            if folder == (self.kind == "folders"):
                 yield path
-            elif deep:
+            if folder and deep:
                 yield from self._walk(path, [*chain, *self._rules(path)], deep)
 
     def _rows(self, partition: _Part) -> Iterator[tuple]:
         for path in self._walk(partition.directory, self._chain(partition.directory), partition.deep):
             full = os.path.join(self.root, path)
-            if self.hashing:
+            if self.kind != "files":
+                yield normalised(path), path, 0, max(0, os.lstat(full).st_mtime_ns), None, True
+            elif self.hashing:
                 found = stable_digest(full)
                 size, mtime, digest = found or (0, 0, None)
                 yield normalised(path), path, size, mtime, digest, found is not None
@@ -123,7 +127,7 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """Options: path (the root), ignore_files, hash (false: only stat), exclude (false: also what is always excluded), partitions."""
+    """Options: path (the root), ignore_files, hash (false: only stat), exclude (false: also what is always excluded), partitions, kind (files, links or folders)."""
 
     @classmethod
     def name(cls) -> str:
@@ -158,6 +162,12 @@ def scan_tree(spark: SparkSession, root: str, baseline: DataFrame | None = None,
     return hits.select(*columns).unionByName(hashed(known.filter("known_hash is null"), root))
 
 
+def listed_tree(spark: SparkSession, root: str, kind: str, **options: str) -> DataFrame:
+    """path, raw_path and mtime_ns of the files, links (which a scan skips) or folders under `root`, after the ignore rules."""
+    spark.dataSource.register(TreeSource)
+    return spark.read.format("tree").options(path=root, kind=kind, hash="false", **options).load().select("path", "raw_path", "mtime_ns")
+
+
 def hashed(files: DataFrame, root: str) -> DataFrame:
     """path, raw_path, size, mtime_ns and hash of those of `files` (path, raw_path) that hold still."""
     full = F.concat(F.lit(root.rstrip("/") + "/"), F.col("raw_path"))

@@ -1,0 +1,64 @@
+import random
+import re
+
+from arbolith.operators.names import case_collisions, conflict_copies, empty_folders, with_folded
+
+LOSER = "path string, lamport long, device string, at string"
+
+
+def paths(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "path string")
+
+
+def test_folding_is_full_and_composed(spark):
+    alike = [("Straße", "STRASSE"), ("σας", "ΣΑΣ"), ("café", "CAFÉ"), ("İx", "i̇X"), ("plain/A", "PLAIN/a"), ("ﬁn", "FIN")]
+    rows = spark.createDataFrame([x for pair in alike for x in zip(pair, pair[::-1])] + [(None, None), ("ı", "i")], "path string, other string")
+    both = with_folded(with_folded(rows, "path", "a"), "other", "b").collect()
+    assert len(both) == 14
+    assert all(r.a == r.b for r in both if r.path != "ı") and {(r.a, r.b) for r in both if r.path == "ı"} == {("ı", "i")}
+
+
+def test_collisions_of_folders_are_inherited(spark):
+    given = ("Docs/a.txt", "docs/b.txt", "docs/c/x", "other/Readme.md", "other/README.md", "other/fine", "x", None, "same/a", "same/b")
+    got = {r.path: r["at"] for r in case_collisions(paths(spark, *given, "same/a")).collect()}
+    assert got == {
+        "Docs/a.txt": "docs", "docs/b.txt": "docs", "docs/c/x": "docs", "other/Readme.md": "other/readme.md", "other/README.md": "other/readme.md",
+    }
+    assert case_collisions(paths(spark, "a", "b")).collect() == [] and case_collisions(paths(spark)).collect() == []
+
+
+def plain_copies(losers, existing):
+    """One name after the other, trying numbers until one is free."""
+    pattern = re.compile(r"(.* \(conflicted copy [0-9TZ-]+ from [^/()]*\))(?: ([1-9][0-9]{0,8}))?")
+    taken, out = set(existing), {}
+    for path, lamport, device, at in sorted(losers, key=lambda r: (r[1], r[2], r[0])):
+        ext = (re.search(r"[^/](\.[^./]*)$", path) or ["", ""])[1]
+        stem = path[: len(path) - len(ext)]
+        m = pattern.fullmatch(stem)
+        base = m[1] if m else f"{stem} (conflicted copy {at} from {re.sub('[/()]', '-', device)})"
+        number = 0
+        while (name := base + (f" {number}" if number else "") + ext) in taken:
+            number += 1
+        taken.add(name)
+        out[path, lamport, device] = name
+    return out
+
+
+def test_copies_get_the_least_free_names(spark):
+    rng, at = random.Random(3), "2026-08-14T12-30-00Z"
+    stems = ["a.txt", "dir.x/b", ".hidden", "c.tar.gz", f"a (conflicted copy {at} from lap).txt", f"dir.x/b (conflicted copy {at} from lap) 2", "é.md"]
+    losers = list({(rng.choice(stems), i, rng.choice(["lap", "desk (old)/x"]), at) for i in range(60)})
+    names = sorted(plain_copies(losers, []).values())
+    existing = set(rng.sample(names, 20)) | {"a.txt", "other", f"a (conflicted copy {at} from lap) 7.txt", f"a (conflicted copy {at} from lap) 07.txt"}
+    for there in ([], sorted(existing)):
+        got = conflict_copies(spark.createDataFrame(losers, LOSER), paths(spark, *there))
+        assert {(r.path, r.lamport, r.device): r.copy for r in got.collect()} == plain_copies(losers, there)
+    assert conflict_copies(spark.createDataFrame([], LOSER), paths(spark, "a")).collect() == []
+
+
+def test_topmost_empty_folders(spark):
+    files = paths(spark, "a/b/f", "top", "x/y/z/f")
+    folders = paths(spark, "a", "a/b", "a/c", "a/c/d", "e", "e/f", "x", "x/y", "x/y/z", "ab", "e")
+    assert sorted(r.path for r in empty_folders(files, folders).collect()) == ["a/c", "ab", "e"]
+    assert empty_folders(files, paths(spark)).collect() == []
+    assert sorted(r.path for r in empty_folders(paths(spark), folders).collect()) == ["a", "ab", "e", "x"]

@@ -3,11 +3,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from arbolith.operators.names import empty_folders
 from arbolith.schemas import BASELINE
 from arbolith.sources.config import Config, FileSecrets, VaultHeader
 from arbolith.sources.ignore import ignored, parse
 from arbolith.sources.objects import FolderStore, MemoryStore, object_listing
-from arbolith.sources.tree import scan_tree, stable_digest
+from arbolith.sources.tree import listed_tree, scan_tree, stable_digest
 
 
 def tree(root, files):
@@ -143,3 +144,18 @@ def test_files_of_one_folder_are_hashed_by_several_tasks(spark, tmp_path):
     tasks = {r.t: r.n for r in found.groupBy(F.spark_partition_id().alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert sum(tasks.values()) == 200 and len(tasks) > 1 and max(tasks.values()) < 120
     assert found.select("hash").distinct().count() == 50
+
+
+def test_links_and_folders_are_listed_after_the_ignore_rules(spark, tmp_path):
+    tree(tmp_path, {"a/f": "x", "b/c/f": "y", ".mirrorignore": "skip/\nempty/ignored.txt\n", "skip/f": "z", "empty/ignored.txt": "i"})
+    for folder in ("void/deep/er", "b/none", ".mirror/state"):
+        (tmp_path / folder).mkdir(parents=True)
+    os.symlink(tmp_path / "a", tmp_path / "to_folder")
+    os.symlink("nowhere", tmp_path / "b" / "dangling")
+    os.symlink("x", tmp_path / "skip" / "ignored")
+    for parts in ("1", "3", "64"):
+        assert names(listed_tree(spark, str(tmp_path), "links", partitions=parts)) == ["b/dangling", "to_folder"]
+        folders = listed_tree(spark, str(tmp_path), "folders", partitions=parts)
+        assert names(folders) == ["a", "b", "b/c", "b/none", "empty", "void", "void/deep", "void/deep/er"]
+    assert names(empty_folders(listed_tree(spark, str(tmp_path), "files"), folders)) == ["b/none", "empty", "void"]
+    assert names(scan_tree(spark, str(tmp_path))) == [".mirrorignore", "a/f", "b/c/f"]
