@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbolith.functions import envelope, paths
+from arbolith.functions import blake3, envelope, paths
 from arbolith.functions.digest import digest, formatted, parsed, saturated
 from arbolith.functions.keys import object_key
 from arbolith.operators import reconcile, state
@@ -375,6 +375,12 @@ def topmost_empty_folders(spark: SparkSession, d: str) -> DataFrame:
     return empty_folders(files, folders)
 
 
+def content_digests(spark: SparkSession, d: str) -> DataFrame:
+    """BLAKE3 of each document's text, its parts of 4 KiB hashed one by one and joined."""
+    parts = _documents(spark, d).select("doc_id", F.explode(blake3.text_parts(F.coalesce("text", F.lit("")), 4096)).alias("p")).select("doc_id", "p.*")
+    return blake3.joined_digests(parts, ["doc_id"])
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     reconcile_plan, change_classes, plan_summary, plan_with_rank, plan_uploads, plan_bookkeeping, all_paths, scan_hash,
     hash_cache_reuse, exclude_filter, safe_path_filter, nfc_paths, prefix_list, object_keys, upsert_record_scan,
@@ -382,6 +388,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     baseline_after_apply, generation_guard, generation_codec, manifest_json, envelope_roundtrip, payload_guard, tampered_rows,
     store_listing, plan_lines, hash_codec, saturated_casts, merged_log, merged_paths, stamped_operations, delta_log_state, swept_objects,
     expired_tombstones, debounced_hints, upload_parts, case_folded_collisions, conflict_names, topmost_empty_folders,
+    content_digests,
 )
 
 
