@@ -16,10 +16,12 @@ from arbolith.operators.merge import merge_logs, merged_state
 from arbolith.operators.names import case_collisions, conflict_copies, empty_folders
 from arbolith.operators.stamps import lamport_stamps
 from arbolith.plans.deltalog import DeltaLog, expired
+from arbolith.plans.manifest import read_manifest, write_manifest
 from arbolith.plans.parts import part_plan
 from arbolith.plans.snapshots import NOW, SNAPSHOTS_SQL, SQL_OBJECT_KEY, TEST_KEY, path_of, snapshots
-from arbolith.sources.objects import listed
-from arbolith.sources.shared import saved, shared_folder
+from arbolith.sources.objects import FolderStore, listed
+from arbolith.sources.shared import local_path, saved, shared_folder
+from arbolith.sources.tables import State
 from arbolith.streaming.hints import debounced
 
 
@@ -381,6 +383,17 @@ def content_digests(spark: SparkSession, d: str) -> DataFrame:
     return blake3.joined_digests(parts, ["doc_id"])
 
 
+def sealed_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of a sealed manifest, written to a store in two generations, read back by a device that has seen the first."""
+    folder = f"{local_path(shared_folder(spark))}/manifest-{uuid.uuid4().hex}"
+    store, device = FolderStore(f"{folder}/store"), State(spark, f"{folder}/state")
+    entries = snapshots(spark, d).remote
+    write_manifest(entries.filter("size % 2 = 0"), store, "v/", 1, lambda: TEST_KEY)
+    read_manifest(spark, store, "v/", device, lambda: TEST_KEY)
+    write_manifest(entries, store, "v/", 2, lambda: TEST_KEY)
+    return read_manifest(spark, store, "v/", device, lambda: TEST_KEY).withColumn("generation", F.lit(device.generation()).cast("long"))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     reconcile_plan, change_classes, plan_summary, plan_with_rank, plan_uploads, plan_bookkeeping, all_paths, scan_hash,
     hash_cache_reuse, exclude_filter, safe_path_filter, nfc_paths, prefix_list, object_keys, upsert_record_scan,
@@ -388,7 +401,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     baseline_after_apply, generation_guard, generation_codec, manifest_json, envelope_roundtrip, payload_guard, tampered_rows,
     store_listing, plan_lines, hash_codec, saturated_casts, merged_log, merged_paths, stamped_operations, delta_log_state, swept_objects,
     expired_tombstones, debounced_hints, upload_parts, case_folded_collisions, conflict_names, topmost_empty_folders,
-    content_digests,
+    content_digests, sealed_manifest,
 )
 
 
@@ -496,6 +509,7 @@ def oracle_sql() -> dict[str, str]:
         "generation_codec": """
             SELECT doc_id, lower(lpad(to_hex(generation), 16, '0')) AS prefix, generation FROM (
               SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 9223372036854775807 - doc_id ELSE doc_id * n_chars END AS generation FROM documents)""",
+        "sealed_manifest": f"{with_snapshots} SELECT *, 2::BIGINT AS generation FROM remote",
         "manifest_json": f"{with_snapshots} SELECT * FROM remote",
         "envelope_roundtrip": "SELECT doc_id, 28::INTEGER AS overhead, sha256(text) AS opened_hash, true AS refused FROM documents",
         "payload_guard": """SELECT doc_id, bytes, CASE WHEN bytes >= 8 THEN doc_id * n_chars ELSE -1 END AS generation, bytes < 8 AS refused

@@ -27,5 +27,3 @@ PLAN = _schema(("kind_ord", T.IntegerType(), False), ("kind", TEXT, False), ("pa
 OUTCOME = _schema(
     ("path", TEXT, False), ("kind", TEXT, False), ("status", TEXT, False), ("size", LONG, True), ("mtime_ns", LONG, True), ("hash", TEXT, True)
 )
-#: Version of the baseline table's layout; a table written by version 0 has no updated_at.
-LAYOUT = 1

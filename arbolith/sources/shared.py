@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def local_path(folder: str) -> str:
+    """A folder of the shared file system as a path that all tasks can open."""
+    parts = urlsplit(folder)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"not a folder that files can be opened in: {folder}")
+    return parts.path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """`df`, written there; its lineage ends."""
     shared_folder(df.sparkSession)

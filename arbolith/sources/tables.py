@@ -9,12 +9,31 @@ import json
 import os
 import pathlib
 import shutil
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbolith.functions.digest import checked, non_negative
-from arbolith.schemas import BASELINE, LAYOUT
+from arbolith.schemas import BASELINE
+
+
+def _with_update_times(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("updated_at", F.lit(0).cast("long"))
+
+
+#: From each layout of the baseline to the next one: the first is what version 0 lacked. A table is brought up to date whenever it is read, and written in the last layout.
+MIGRATIONS: tuple[Callable[[DataFrame], DataFrame], ...] = (_with_update_times,)
+LAYOUT = len(MIGRATIONS)
+
+
+def migrated(rows: DataFrame, layout: int, steps: tuple[Callable[[DataFrame], DataFrame], ...] = MIGRATIONS) -> DataFrame:
+    """`rows` of an older layout in the last one; a layout that is newer than all steps is refused."""
+    if not 0 <= layout <= len(steps):
+        raise ValueError(f"a baseline of layout {layout}; this version knows layouts up to {len(steps)}")
+    for step in steps[layout:]:
+        rows = step(rows)
+    return rows
 
 
 def local_uri(path: str) -> str:
@@ -53,9 +72,7 @@ class State:
         if not at["version"]:
             return self.spark.createDataFrame([], BASELINE)
         rows = self.spark.read.parquet(local_uri(os.path.join(self.root, f"v{at['version']}")))
-        if at.get("layout", 0) < 1:
-            rows = rows.withColumn("updated_at", F.lit(0).cast("long"))
-        return rows.select(
+        return migrated(rows, at.get("layout", 0)).select(
             "path",
             non_negative(F.col("size")).alias("size"),
             "mtime_ns",

@@ -1,9 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from arbolith.operators import state as ops
 from arbolith.schemas import BASELINE, LOCAL, MANIFEST, PLAN
-from arbolith.sources.tables import State
+from arbolith.sources.tables import LAYOUT, State, migrated
 
 H = {n: f"{n:02x}" * 32 for n in range(10)}
 
@@ -78,3 +80,25 @@ def test_versions(spark, tmp_path):
     state.commit(base(spark, ("a", 1, 1, "not hex", None, 1)))
     with pytest.raises(Exception, match="not a digest"):
         state.baseline().collect()
+
+
+def test_every_old_layout_is_brought_up_to_date(spark, tmp_path):
+    def mark(name):
+        return lambda df: df.withColumn(name, F.lit(len(df.columns)))
+
+    steps = (mark("a"), mark("b"), mark("c"))
+    for layout in range(4):
+        rows = spark.createDataFrame([("p", *range(layout))], ", ".join(["path string", *(f"{n} int" for n in "abc"[:layout])]))
+        assert migrated(rows, layout, steps).columns == ["path", "a", "b", "c"]
+    for layout in (-1, 4):
+        with pytest.raises(ValueError, match="layout"):
+            migrated(rows, layout, steps)
+    state = State(spark, str(tmp_path / "s"))
+    state.commit(base(spark, ("a", 1, 1, H[1], None, 5)))
+    known = json.loads((tmp_path / "s" / "current.json").read_text())
+    spark.createDataFrame([("a", 1, 1, H[1], None)], "path string, size long, mtime_ns long, content_hash string, last_synced_hash string").write.mode("overwrite").parquet(str(tmp_path / "s" / "v1"))
+    (tmp_path / "s" / "current.json").write_text(json.dumps(known | {"layout": 0}))
+    assert known["layout"] == LAYOUT and [tuple(r) for r in state.baseline().collect()] == [("a", 1, 1, H[1], None, 0)]
+    (tmp_path / "s" / "current.json").write_text(json.dumps(known | {"layout": LAYOUT + 1}))
+    with pytest.raises(ValueError, match="layout"):
+        state.baseline()
