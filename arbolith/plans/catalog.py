@@ -380,7 +380,8 @@ def topmost_empty_folders(spark: SparkSession, d: str) -> DataFrame:
 def content_digests(spark: SparkSession, d: str) -> DataFrame:
     """BLAKE3 of each document's text, its parts of 4 KiB hashed one by one and joined."""
     parts = _documents(spark, d).select("doc_id", F.explode(blake3.text_parts(F.coalesce("text", F.lit("")), 4096)).alias("p")).select("doc_id", "p.*")
-    return blake3.joined_digests(parts, ["doc_id"])
+    dealt = parts.repartition(spark.sparkContext.defaultParallelism, "doc_id", "part")  # hashing is the work here, not reading
+    return blake3.joined_digests(dealt, ["doc_id"])
 
 
 def sealed_manifest(spark: SparkSession, d: str) -> DataFrame:
