@@ -402,7 +402,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     baseline_after_apply, generation_guard, generation_codec, manifest_json, envelope_roundtrip, payload_guard, tampered_rows,
     store_listing, plan_lines, hash_codec, saturated_casts, merged_log, merged_paths, stamped_operations, delta_log_state, swept_objects,
     expired_tombstones, debounced_hints, upload_parts, case_folded_collisions, conflict_names, topmost_empty_folders,
-    content_digests, sealed_manifest,
+    sealed_manifest,
 )
 
 

@@ -51,7 +51,7 @@ def test_one_file_is_hashed_by_several_tasks(spark, tmp_path):
 
 def test_query_equals_whole_texts(spark, small):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r.doc_id: r.hash for r in catalog.queries()["content_digests"](spark, small).collect()}
+    got = {r.doc_id: r.hash for r in catalog.content_digests(spark, small).collect()}
     assert got == {i: digest(t.encode()) for i, t in texts.items()}
     rows = spark.createDataFrame([(1, ""), (2, "é" * 3000)], "doc_id long, text string")
     parts = rows.select("doc_id", F.explode(text_parts(F.col("text"), 1024)).alias("p")).select("doc_id", "p.*")
