@@ -6,10 +6,11 @@ and indexes every run of such words that is long enough for the shortest window;
 window can't occur elsewhere, so nothing is lost. Backward search finds all windows at once,
 sampled suffix positions locate every occurrence, and the covered spans are united.
 
-Scale: documents are read once and never shuffled. The benchmark's windows are broadcast as arrays of
-word numbers, about as large as its text, if its measured size is at most `block_bytes`. A larger benchmark is cut into blocks of
-that size (an item stays whole) and the documents are searched for one after the other; what later blocks find is kept by the text's hash in
-the shared folder and joined, so that no worker and no broadcast holds more than a block, and the driver one at a time.
+Scale: documents are read once and never shuffled. The benchmark's windows are broadcast as arrays of word numbers, about as
+large as its text. A benchmark of over `block_bytes` is cut into blocks of that size (an item stays whole), each a broadcast of its own.
+A shard then numbers its own words, is indexed once, and is searched for one block after the other: a worker holds one block, an
+executor's disk up to `pass_blocks` of them, 1 GB, the driver one at a time. Only each further GB of benchmark takes one
+more pass, whose finds are kept by the text's hash in the shared folder and joined.
 
 Null and empty texts have no words, on either side; an item without words is no item. Items with
 equal texts are all named; an item with a null id is named "". Rows that repeat get the same answer.
@@ -17,12 +18,13 @@ equal texts are all named; an item with a null id is named "". Rows that repeat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial, reduce
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,42 +102,63 @@ def runs_to_index(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[long], ends[long]
 
 
-def _search(shard: list[list[int]], windows: Windows, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences of the windows in a shard of word numbers, each followed by one 0: window, place."""
-    none = np.zeros(0, np.int64)
-    ids = np.concatenate([np.array([*x, 0], np.int64) for x in shard])
-    starts, ends = runs_to_index(ids, windows.least)
-    if not len(starts) or not len(windows.first):
-        return none, none
-    sizes = ends - starts + 1  # a run and the 0 after it
-    begins = np.cumsum(sizes) - sizes
-    place = np.arange(sizes.sum()) + np.repeat(starts - begins, sizes)
-    text = ids[place]
-    text[begins + sizes - 1] = 0
-    index = FMIndex(text, len(windows.number))
-    found = [(none, none)]
-    for at in range(0, len(windows.first), step):
-        low, high = index.search(windows.words, windows.first[at : at + step], windows.length[at : at + step])
-        times = high - low
-        which = np.repeat(np.arange(len(low)), times)
-        rows = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
-        found.append((which + at, place[index.locate(rows)]))
-    return np.concatenate([w for w, _ in found]), np.concatenate([p for _, p in found])
-
-
-def mark(texts: list[str | None], windows: Windows):
-    """For each text: its number of words, the united spans of windows and the sorted items."""
+class Shard:
+    """The word sequences of some texts and one index of them, for the windows of any number of blocks.
+
+    `number` gives words their numbers, 0 to those that no window holds; runs of fewer than `least` others aren't indexed.
+    """
+
+    def __init__(self, words: list[list[bytes]], number: dict[bytes, int], least: int):
+        self.number, self.index = number, None
+        ids = np.concatenate([np.array([*map(number.get, w, repeat(0)), 0], np.int64) for w in words])  # each text is followed by one 0
+        starts, ends = runs_to_index(ids, least)
+        if not len(starts):
+            return
+        sizes = ends - starts + 1  # a run and the 0 after it
+        begins = np.cumsum(sizes) - sizes
+        self.place = np.arange(sizes.sum()) + np.repeat(starts - begins, sizes)
+        text = ids[self.place]
+        text[begins + sizes - 1] = 0
+        self.index = FMIndex(text, len(number))
+
+    def search(self, windows: Windows, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of the windows: window, place."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        words, live = windows.words, np.arange(len(windows.first))
+        if self.number is not windows.number:  # by the shard's numbers; windows with words that it lacks can't occur
+            words = np.array([0, *map(self.number.get, windows.number, repeat(0))], np.int64)[words]
+            lacks = np.r_[0, np.cumsum(words == 0)]
+            live = np.flatnonzero(lacks[windows.first + windows.length] == lacks[windows.first])
+        for at in range(0, len(live) if self.index else 0, step):
+            part = live[at : at + step]
+            low, high = self.index.search(words, windows.first[part], windows.length[part])
+            times = high - low
+            which = np.repeat(part, times)
+            rows = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
+            found.append((which, self.place[self.index.locate(rows)]))
+        return np.concatenate([w for w, _ in found]), np.concatenate([p for _, p in found])
+
+
+def mark(texts: list[str | None], blocks: Sequence[Callable[[], Windows]]):
+    """For each text: its number of words, the united spans of windows and the sorted items. Blocks are held one at a time."""
     words = [benchmark_words(t) for t in texts]
-    get = windows.number.get
-    which, at = _search([list(map(get, w, repeat(0))) for w in words], windows)
+    shard = None
+    if len(blocks) > 1:  # the shard's own numbers, so that one index serves all blocks
+        own: dict[bytes, int] = {}
+        for w in chain.from_iterable(words):
+            own.setdefault(w, len(own) + 1)
+        shard = Shard(words, own, 1)
     bounds = np.cumsum([0, *(len(w) + 1 for w in words)])
     covered = np.zeros(bounds[-1] + 1, np.int64)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + windows.length[which], -1)
     names: list[set[str]] = [set() for _ in words]
-    owner = np.searchsorted(bounds, at, "right") - 1
-    for x in np.unique(owner + which * len(words)).tolist():
-        names[x % len(words)].update(windows.owners(x // len(words)))
+    for block in blocks:
+        windows = block()
+        which, at = (shard or Shard(words, windows.number, windows.least)).search(windows)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + windows.length[which], -1)
+        owner = np.searchsorted(bounds, at, "right") - 1
+        for x in np.unique(owner + which * len(words)).tolist():
+            names[x % len(words)].update(windows.owners(x // len(words)))
     inside = np.r_[False, np.cumsum(covered) > 0]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     hits: list[list[dict]] = [[] for _ in words]
@@ -145,13 +168,21 @@ def mark(texts: list[str | None], windows: Windows):
     return [len(w) for w in words], hits, [sorted(x) for x in names]
 
 
-def _search_shards(rows: DataFrame, windows: Windows) -> DataFrame:
+def _taken(block: Broadcast, keep: bool) -> Windows:
+    """A broadcast block, read from the executor's disk again at the next call unless `keep`."""
+    windows = block.value
+    if not keep:
+        vars(block).pop("_value", None)
+    return windows
+
+
+def _search_shards(rows: DataFrame, blocks: list[Broadcast]) -> DataFrame:
     """`rows` with _n_words, _hits and _items in place of _text."""
-    broadcast = rows.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 4 << 20):
-            n, hits, names = mark(batch.column("_text").to_pylist(), broadcast.value)
+        held = [partial(_taken, b, len(blocks) == 1) for b in blocks]
+        for batch in slices(batches, "_text", (4 if len(held) == 1 else 16) << 20):  # more texts for each reading of many blocks
+            n, hits, names = mark(batch.column("_text").to_pylist(), held)
             more = {"_n_words": pa.array(n, pa.int64()), "_hits": pa.array(hits, SPAN), "_items": pa.array(names, pa.list_(pa.string()))}
             kept = batch.drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, *more.values()], names=[*kept.schema.names, *more])
@@ -176,24 +207,29 @@ def _united(spans: Column) -> Column:
     )
 
 
-def _marked(rows: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+def _marked(rows: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_col: str, window: int, block_bytes: int, pass_blocks: int) -> DataFrame:
     """`rows` (with _text) and _n_words, _hits, _items, _n_hit, without _text."""
     items = benchmark.select(
         F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("name"), text_or_empty(item_text_col).alias("text")
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // block_bytes
+    passes = [range(k, min(k + pass_blocks, blocks)) for k in range(0, blocks, pass_blocks)]
 
-    def windows(k: int) -> Windows:
+    def windows(k: int) -> Broadcast:
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else items
-        return Windows([(r.name, r.text) for r in part.collect()], window)  # about block_bytes
+        found = Windows([(r.name, r.text) for r in part.collect()], window)  # about block_bytes
+        return rows.sparkSession.sparkContext.broadcast(found)
 
     keys = wide_hash(F.coalesce("_text", F.lit("")), "_t")
-    marked = _search_shards(rows.select("*", *keys) if blocks > 1 else rows, windows(0))
-    if blocks > 1:
+    marked = _search_shards(rows.select("*", *keys) if len(passes) > 1 else rows, list(map(windows, passes[0])))
+    if len(passes) > 1:
         texts = rows.select("_text", *keys)
-        later = [saved(_search_shards(texts, windows(k)).filter(F.size("_hits") > 0).select("_t1", "_t2", "_hits", "_items")) for k in range(1, blocks)]
-        more = reduce(DataFrame.unionByName, later).groupBy("_t1", "_t2")  # at most `blocks` unlike rows a text
+        later = []
+        for own in passes[1:]:
+            taken = list(map(windows, own))
+            later.append(saved(_search_shards(texts, taken).filter(F.size("_hits") > 0).select("_t1", "_t2", "_hits", "_items")))
+        more = reduce(DataFrame.unionByName, later).groupBy("_t1", "_t2")  # at most `passes` unlike rows a text
         more = more.agg(F.flatten(F.collect_set("_hits")).alias("_h"), F.flatten(F.collect_set("_items")).alias("_i"))
         marked = skew_join(marked, more, ["_t1", "_t2"], "left").withColumns(
             {
@@ -219,10 +255,11 @@ def benchmark_hits(
     item_text_col: str = "text",
     window: int = 13,
     block_bytes: int = 16 << 20,
+    pass_blocks: int = 64,
 ) -> DataFrame:
     """One row per input row: `id_col`, n_words, hits (united spans of word places), items (sorted names), n_hit."""
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    marked = _marked(rows, benchmark, item_id_col, item_text_col, window, block_bytes)
+    marked = _marked(rows, benchmark, item_id_col, item_text_col, window, block_bytes, pass_blocks)
     return marked.select(F.col(id_col), *(F.col(f"_{c}").alias(c) for c in ("n_words", "hits", "items", "n_hit")))
 
 
@@ -234,9 +271,10 @@ def without_contaminated(
     item_text_col: str = "text",
     window: int = 13,
     block_bytes: int = 16 << 20,
+    pass_blocks: int = 64,
 ) -> DataFrame:
     """The rows of `docs` that are not contaminated, in one pass without a shuffle."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("_text", F.col(names[docs.columns.index(text_col)]).cast("string"))
-    marked = _marked(rows, benchmark, item_id_col, item_text_col, window, block_bytes)
+    marked = _marked(rows, benchmark, item_id_col, item_text_col, window, block_bytes, pass_blocks)
     return marked.filter(~contaminated(F.col("_n_hit"), F.col("_n_words"))).select(*names).toDF(*docs.columns)

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from arbolith.llm import queries
+from arbolith.llm import decontaminate, queries
 from arbolith.llm.decontaminate import Windows, benchmark_hits, benchmark_words, runs_to_index, without_contaminated
 from arbolith.llm.fm_index import FMIndex
 
@@ -108,13 +108,32 @@ def test_windows_equal_brute_force():
         assert got == want and len(got) == len(windows.first)
 
 
-def test_large_benchmarks_are_searched_in_blocks(spark):
-    """Spans of several blocks are united, and no plan has more than one pass of workers, whatever the benchmark's size."""
+def test_large_benchmarks_are_searched_in_one_pass(spark):
+    """Spans of several blocks are united in one pass without a join; with more blocks than a pass takes, passes are joined."""
     rng = random.Random(4)
     draw = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
     items = [(k, draw(rng.randrange(1, 12))) for k in range(12)]
     docs = [(k, draw(rng.randrange(0, 60))) for k in range(40)] * 2
     bench, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
-    found = benchmark_hits(table, bench, window=5, block_bytes=60)
-    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
-    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in found.collect()) == brute(docs, items, 5)
+    for most, joined in ((64, False), (1, True), (2, True)):
+        found = benchmark_hits(table, bench, window=5, block_bytes=20, pass_blocks=most)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and ("Join" in plan) == joined
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in found.collect()) == brute(docs, items, 5)
+
+
+def test_a_shard_is_indexed_once_for_all_blocks(monkeypatch):
+    built = []
+    monkeypatch.setattr(decontaminate, "FMIndex", lambda *a: built.append(1) or FMIndex(*a))
+    rng = random.Random(6)
+    draw = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(str(k), draw(rng.randrange(0, 12))) for k in range(30)]
+    docs = [(k, draw(rng.randrange(0, 80))) for k in range(40)]
+    blocks = [Windows(items[k::7], 4) for k in range(7)]
+    got = decontaminate.mark([t for _, t in docs], [lambda b=b: b for b in blocks])
+    assert len(built) == 1
+    one = decontaminate.mark([t for _, t in docs], [lambda: Windows(items, 4)])
+    assert got == one
+    want = brute(docs, items, 4)
+    assert sorted((str(i), n, sum(h["last"] - h["first"] for h in hits), names) for (i, _), n, hits, names in zip(docs, *got)) == want
+    assert decontaminate.mark(["", None], [lambda b=b: b for b in blocks]) == ([0, 0], [[], []], [[], []])
