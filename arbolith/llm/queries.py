@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arbolith.llm import conversations, pii, secrets
 from arbolith.llm.common import read_table, saved, text_or_empty, word_count, words_of
 from arbolith.llm.decontaminate import benchmark_hits, contaminated
-from arbolith.llm.licenses import CUE, LICENCE_FILE, license_scan, notice_words, templates
+from arbolith.llm.licenses import CUE, LICENCE_FILE, MARKER, license_names, license_scan, name_words, notice_words, templates
 from arbolith.llm.line_dedup import dedup_lines
 from arbolith.llm.mixing import mix
 from arbolith.llm.neighbours import nearest
@@ -52,6 +52,10 @@ def _op3_sql() -> str:
     known = templates()
     texts = ", ".join(f"({k}, '{name}', {quoted(text)})" for k, (name, text) in enumerate(known))
     words = ", ".join(f"'{w}'" for w in notice_words(known))
+    names = license_names()
+    of_names = ", ".join(f"({k}, '{license}', '{name}')" for k, (license, name) in enumerate(names))
+    name_terms = ", ".join(f"'{w}'" for w in name_words(names))
+    most = max(len(name.split()) for _, name in names)
     return rf"""
 WITH templates(t, license, text) AS (VALUES {texts}),
 template_tf AS (
@@ -114,9 +118,43 @@ dots AS (
 ), scores AS (
   SELECT n.r, d.license, round(d.dot / sqrt(t.t_norm * m.norm), 4) AS cosine
   FROM dots d JOIN t_norms t ON t.t = d.t JOIN norms m ON m.s = d.s JOIN numbered n ON n.s = d.s
+), pieces AS (
+  SELECT row_number() OVER () AS q, r, regexp_extract_all(piece, '[a-z0-9]+')[1:{most}] AS w
+  FROM (SELECT r, unnest(string_split_regex(text, {quoted(MARKER)})[2:]) AS piece FROM files WHERE regexp_matches(text, '{CUE}'))
+), begun AS (
+  SELECT q, r, n, w[1:n] AS w FROM (SELECT q, r, w, unnest(generate_series(1, len(w))) AS n FROM pieces)
+  WHERE len(list_filter(w[1:n], lambda x: x NOT IN ({name_terms}))) = 0
+), run_tf AS (
+  SELECT q, r, n, numbers, term, count(*) AS tf FROM (
+    SELECT q, r, n, array_to_string(list_sort(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))), ' ') AS numbers, unnest(w) AS term FROM begun)
+  GROUP BY ALL
+), run_vectors AS (
+  SELECT v.*, v.tf * (ln((total.n + 1.0::DOUBLE) / (df.df + 1.0::DOUBLE)) + 1.0::DOUBLE) AS weight FROM run_tf v JOIN df ON df.term = v.term, total
+), run_norms AS (SELECT q, n, sum(weight * weight) AS norm FROM run_vectors GROUP BY q, n),
+names(name, license, words) AS (VALUES {of_names}),
+name_tf AS (
+  SELECT name, license, numbers, term, count(*) AS tf FROM (
+    SELECT name, license, array_to_string(list_sort(list_filter(string_split(words, ' '), lambda x: regexp_matches(x, '[0-9]'))), ' ') AS numbers,
+           unnest(string_split(words, ' ')) AS term FROM names)
+  GROUP BY ALL
+), name_vectors AS (
+  SELECT t.*, t.tf * (ln((total.n + 1.0::DOUBLE) / (coalesce(df.df, 0) + 1.0::DOUBLE)) + 1.0::DOUBLE) AS weight
+  FROM name_tf t LEFT JOIN df ON df.term = t.term, total
+), name_norms AS (SELECT name, sum(weight * weight) AS norm FROM name_vectors GROUP BY name),
+run_dots AS (
+  SELECT v.q, v.r, v.n, t.name, t.license, sum(v.weight * t.weight) AS dot
+  FROM run_vectors v JOIN name_vectors t ON t.term = v.term AND t.numbers = v.numbers GROUP BY ALL
+), named AS (
+  SELECT d.q, d.r, d.n, d.license, round(d.dot / sqrt(a.norm * b.norm), 4) AS cosine
+  FROM run_dots d JOIN run_norms a ON a.q = d.q AND a.n = d.n JOIN name_norms b ON b.name = d.name
+), best_named AS (
+  SELECT r, license, cosine FROM named
+  QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, n DESC, license) = 1
 ), own AS (
   SELECT r, license, cosine FROM (
-    SELECT *, row_number() OVER (PARTITION BY r ORDER BY cosine DESC, license) AS k FROM scores WHERE cosine >= 0.7) WHERE k = 1
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY named, cosine DESC, license) AS k FROM (
+      SELECT r, license, cosine, 0 AS named FROM scores WHERE cosine >= 0.7
+      UNION ALL SELECT r, license, cosine, 1 FROM best_named WHERE cosine >= 0.9 AND license <> '')) WHERE k = 1
 ), known AS (
   SELECT p.*, o.license AS own_license, o.cosine FROM placed p LEFT JOIN own o ON o.r = p.r
 ), of_dir AS (
