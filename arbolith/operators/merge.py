@@ -12,12 +12,12 @@ which logs arrive nor repeats change anything:
 Of entries with one stamp only the least by hash, then base, counts. A snapshot's rows (`settled`) come before all entries of their path.
 
 A busy path's log is folded in pieces (`ordered`): what is last in a piece is known without the pieces before, up to three cases
-(that content is still there, it is deleted, nothing was there), so a piece's summary is its result in each. One exchange.
+(that content is still there, it is deleted, nothing was there), so a piece's summary is its result in each. One exchange. A task holds some MB of
+entries at once, however many a path has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -59,27 +59,30 @@ def _columns(rows: pa.Table) -> zip:
     return zip(*(rows[c].to_pylist() for c in ("lamport", "device", "hash", "base_hash", "settled")))
 
 
-def _distinct(rows: pa.Table) -> Iterator[tuple]:
-    """Entries without the further ones of a stamp."""
-    stamp = None
+def _stamped(rows: pa.Table, stamp: tuple | None) -> tuple[list[tuple], tuple | None]:
+    """Entries without the further ones of a stamp (`stamp`: that of the row before), and the last row's stamp."""
+    out = []
     for row in _columns(rows):
         own = row[0], row[1], row[4]
         if own != stamp:
-            yield row
+            out.append(row)
         stamp = own
+    return out, stamp
 
 
-def _fold(rows: pa.Table, state: Current) -> Current:
-    for row in _distinct(rows):
-        state = step(state, *row)[1]
-    return state
+def _fold(made: tuple, rows: pa.Table) -> tuple:
+    """(states, stamp) after further rows: one state for each case."""
+    states, stamp = made
+    entries, stamp = _stamped(rows, stamp)
+    for row in entries:
+        states = tuple(step(s, *row)[1] for s in states)
+    return states, stamp
 
 
-def _last_content(rows: pa.Table, where: tuple) -> str | None:
-    content = None
-    for row in _distinct(rows):
-        content = row[2] or content
-    return content
+def _last_content(made: tuple, rows: pa.Table) -> tuple:
+    content, stamp = made
+    entries, stamp = _stamped(rows, stamp)
+    return next((row[2] for row in reversed(entries) if row[2] is not None), content), stamp
 
 
 def merge_logs(entries: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
@@ -88,40 +91,42 @@ def merge_logs(entries: DataFrame, snapshot: DataFrame | None = None) -> DataFra
     if snapshot is not None:
         log = log.unionByName(snapshot.select("path", "lamport", "device", "hash", F.lit(None).cast("string").alias("base_hash"), F.lit(True).alias("settled")))
     table = in_ranges(log.withColumn("_entry", ~F.col("settled")), ["path"], ["_entry", "lamport", "device"], ["hash", "base_hash"])
-    seen = chains(table, ["path"], _last_content)
-    contents = carries(seen, None, lambda before, last: last or before)
+    seen = chains(table, ["path"], lambda where: (None, None), _last_content)
+    contents = carries(seen, None, lambda before, made: before if made[0] is None else made[0])
     cases = lambda content: (Current(hash=content, passed=True), Current(passed=True), NOTHING)
-    results = chains(table, ["path"], lambda rows, where: tuple(_fold(rows, c) for c in cases(contents.get(where)))) if seen else []
+    results = chains(table, ["path"], lambda where: (cases(contents.get(where)), None), _fold) if seen else []
 
     def after(state: Current, made: tuple) -> Current:
         case = 2 if state.lamport is None else 1 if state.hash is None else 0
-        return state if made[case].passed else made[case]
+        return state if made[0][case].passed else made[0][case]
 
-    known = carries(results, NOTHING, after)
+    known = {where: (state, None) for where, state in carries(results, NOTHING, after).items()}
 
-    def rows(some: Runs, carry: list) -> dict[str, pa.Array]:
+    def rows(some: Runs, carry: list) -> tuple[dict[str, pa.Array], tuple]:
         out: list[tuple] = []
         starts = set(some.starts.tolist())
         run, state, stamp = -1, NOTHING, None
         for i, (lamport, device, hash, base, settled) in enumerate(_columns(some.rows)):
             if i in starts:
                 run += 1
-                state, stamp = carry[run], None
+                state, stamp = carry[run]
+            own = lamport, device, settled
             if settled:
                 state = step(state, lamport, device, hash, base, True)[1]
                 out.append(("settled", None, None, None, state.lamport, state.device, state.hash))
-            elif (lamport, device) == stamp:
+            elif own == stamp:
                 out.append(("repeated", None, None, None, state.lamport, state.device, state.hash))
             else:
-                stamp, before = (lamport, device), state
+                before = state
                 outcome, state = step(state, lamport, device, hash, base, False)
                 loser = (before.lamport, before.device, before.hash) if outcome == "conflict" else (None, None, None)
                 out.append((outcome, *loser, state.lamport, state.device, state.hash))
+            stamp = own
         kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
         names = [f.split()[0] for f in MADE.split(", ")]
-        return {n: pa.array(c, k) for n, c, k in zip(names, zip(*out), kinds)}
+        return {n: pa.array(c, k) for n, c, k in zip(names, zip(*out), kinds)}, (state, stamp)
 
-    return along(table, ["path"], known, NOTHING, rows, MADE).filter("outcome <> 'repeated'").drop("_entry")
+    return along(table, ["path"], known, (NOTHING, None), rows, MADE).filter("outcome <> 'repeated'").drop("_entry")
 
 
 def merged_state(merged: DataFrame) -> DataFrame:

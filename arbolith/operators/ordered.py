@@ -1,8 +1,9 @@
 """Folds along the rows of each key in order, at any number of rows a key.
 
 `in_ranges` deals rows out in ranges of (key, order): one exchange, after which a key's rows lie in consecutive partitions. A run is what a
-partition has of one key. Only a partition's first and last run can go on elsewhere, so `chains` brings two summaries a partition to
-the driver, however many rows there are; they are folded there into what each of these runs has to know of the runs before it, and
+partition has of one key. A task goes through its partition by pieces of a few MB and carries the state of a run that a piece cuts, so its memory follows neither
+the partition nor the run. Only a partition's first and last run can go on elsewhere, so `chains` brings two summaries a partition to
+the driver, however many rows there are; they are folded there into what each first run has to know of the runs before it, and
 `along` then works on all runs where they lie.
 """
 
@@ -25,6 +26,8 @@ from arbolith.sources.shared import saved
 
 Where = tuple[int, str]
 LOW = -(1 << 63)
+#: Bytes of rows that a task works on at once.
+PIECE = 8 << 20
 
 
 def in_ranges(df: DataFrame, keys: list[str], order: list[str | Column], ties: list[str] | None = None) -> DataFrame:
@@ -42,12 +45,11 @@ def differs(column: pa.ChunkedArray) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """Whole runs of a partition, as many as fit into a few MB, or one longer run."""
+    """Some MB of a partition's rows, cut into runs; a run may have begun in the piece before, and its last one may go on in the next."""
 
     rows: pa.Table
     keys: list[str]
-    opens: bool  # begins the partition
-    ends: bool
+    goes_on: bool  # its first run is the last one of the piece before
     starts: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
@@ -69,52 +71,55 @@ class Runs:
     def run(self, r: int) -> pa.Table:
         return self.rows.slice(int(self.starts[r]), int(self.lengths[r]))
 
-    def borders(self) -> list[tuple[int, str]]:
-        """Runs that may go on in other partitions."""
-        last = len(self.starts) - 1
-        return [(0, "first")] * self.opens + [(last, "last")] * (self.ends and (last > 0 or not self.opens))
 
-
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most_bytes: int = 8 << 20) -> Iterator[Runs]:
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most_bytes: int) -> Iterator[Runs]:
+    """The rows in pieces of some `most_bytes`, wherever that cuts them."""
     held: list[pa.RecordBatch] = []
-    ready: pa.Table | None = None
-    size, opens = 0, True
+    size, before = 0, None
+
+    def piece() -> Runs:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        cut = before is None or any(differs(pa.concat_tables([before, rows.slice(0, 1)])[k])[1] for k in keys)
+        return Runs(rows, keys, not cut)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        if size >= most_bytes:
-            joint = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch])
-            cuts = np.flatnonzero(np.any([differs(joint[k]) for k in keys], axis=0)[1:])
-            if len(cuts):
-                rows = pa.Table.from_batches([*held, batch.slice(0, int(cuts[-1]))])
-                if ready is not None:
-                    yield Runs(ready, keys, opens, False)
-                    opens = False
-                ready, held, size = rows.combine_chunks(), [], 0
-                batch = batch.slice(int(cuts[-1]))
         held.append(batch)
         size += batch.nbytes
+        if size >= most_bytes:
+            yield (some := piece())
+            before, held, size = some.rows.take([some.rows.num_rows - 1]), [], 0
     if held:
-        if ready is not None:
-            yield Runs(ready, keys, opens, False)
-            opens = False
-        ready = pa.Table.from_batches(held).combine_chunks()
-    if ready is not None:
-        yield Runs(ready, keys, opens, True)
+        yield piece()
 
 
-def chains(table: DataFrame, keys: list[str], summary: Callable[[pa.Table, Where], Any]) -> list[list[tuple[Where, Any]]]:
-    """Of each key whose rows lie in several partitions of `in_ranges`: its runs in order, with their summaries."""
+def chains(table: DataFrame, keys: list[str], start: Callable[[Where], Any], more: Callable[[Any, pa.Table], Any]) -> list[list[tuple[Where, Any]]]:
+    """Of each key whose rows lie in several partitions of `in_ranges`: its runs in order, with their summaries: `start`, taken on by `more` along the run's rows."""
     if table.rdd.getNumPartitions() < 2:
         return []
+    most_bytes = PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in runs(batches, keys):
-            for r, which in some.borders():
+        n, part, key, made = 0, 0, b"", None
+
+        def summary() -> pa.RecordBatch:
+            which = "first" if n == 1 else "last"
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "which": [which], "key": pa.array([key]), "made": pa.array([pickle.dumps(made)])})
+
+        for some in runs(batches, keys, most_bytes):
+            part, ends = some.part, {0, len(some.starts) - 1}  # what lies between goes on nowhere
+            for r in sorted(ends):
+                if r or not some.goes_on:
+                    if n == 1:
+                        yield summary()
+                    n += 1
+                    made = start((part, "first" if n == 1 else "last"))
                 rows = some.run(r)
                 key = pickle.dumps([rows[k][0].as_py() for k in keys])
-                made = pickle.dumps(summary(rows, (some.part, which)))
-                yield pa.RecordBatch.from_pydict({"part": pa.array([some.part], pa.int32()), "which": [which], "key": pa.array([key]), "made": pa.array([made])})
+                made = more(made, rows)
+        if n:
+            yield summary()
 
     found = sorted(table.mapInArrow(run, "part int, which string, key binary, made binary").collect(), key=lambda r: (r.part, r.which))
     out: list[list[tuple[Where, Any]]] = []
@@ -141,18 +146,22 @@ def carries(found: list[list[tuple[Where, Any]]], start: Any, after: Callable[[A
 
 
 def along(
-    table: DataFrame, keys: list[str], known: dict[Where, Any], start: Any, rows: Callable[[Runs, list], dict[str, pa.Array]], made: str
+    table: DataFrame, keys: list[str], known: dict[Where, Any], start: Any, rows: Callable[[Runs, list], tuple[dict[str, pa.Array], Any]], made: str
 ) -> DataFrame:
-    """`table` without `_part`, with the columns of the DDL string `made`, which `rows` gives for some runs and their carries."""
+    """`table` without `_part`, with the columns of the DDL string `made`, which `rows` gives for some runs and their carries, with the last run's carry for rows that follow."""
     schema = T.StructType([*(f for f in table.schema if f.name != "_part"), *T.StructType.fromDDL(made)])
+    most_bytes = PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in runs(batches, keys):
+        began, state = False, None
+        for some in runs(batches, keys, most_bytes):
+            # a run that begins within the partition has no rows before it
             carry = [start] * len(some.starts)
-            for r, which in some.borders():
-                carry[r] = known.get((some.part, which), start)
+            carry[0] = state if some.goes_on else start if began else known.get((some.part, "first"), start)
+            columns, state = rows(some, carry)
+            began = True
             out = some.rows.drop_columns(["_part"])
-            for name, column in rows(some, carry).items():
+            for name, column in columns.items():
                 out = out.append_column(name, column)
             yield from out.to_batches(max_chunksize=10_000)
 
@@ -162,11 +171,12 @@ def along(
 def counted(rows: DataFrame, key: str, order: str) -> DataFrame:
     """`rows` with n, from 1 along `order` within each key."""
     table = in_ranges(rows, [key], [order])
-    known = carries(chains(table, [key], lambda rows, where: rows.num_rows), 0, lambda a, b: a + b)
+    known = carries(chains(table, [key], lambda where: 0, lambda n, rows: n + rows.num_rows), 0, lambda a, b: a + b)
 
-    def number(some: Runs, carry: list) -> dict[str, pa.Array]:
+    def number(some: Runs, carry: list) -> tuple[dict[str, pa.Array], int]:
         place = np.arange(some.rows.num_rows) - np.repeat(some.starts, some.lengths)
-        return {"n": pa.array(place + np.array(carry)[some.run_of] + 1)}
+        n = place + np.array(carry)[some.run_of] + 1
+        return {"n": pa.array(n)}, int(n[-1])
 
     return along(table, [key], known, 0, number, "n long")
 
@@ -174,15 +184,16 @@ def counted(rows: DataFrame, key: str, order: str) -> DataFrame:
 def running_max(rows: DataFrame, key: str, order: list[str], value: str, made: str, ties: list[str] | None = None, before: bool = False) -> DataFrame:
     """`rows` with `made`: the greatest `value` of the key so far (nulls don't count; null if none), without the row itself if `before`."""
     table = in_ranges(rows, [key], order, ties)
-    top = lambda rows, where: max((x for x in rows[value].to_pylist() if x is not None), default=LOW)
-    known = carries(chains(table, [key], top), LOW, max)
+    top = lambda most, rows: max(most, LOW if (x := pc.max(rows[value]).as_py()) is None else int(x))
+    known = carries(chains(table, [key], lambda where: LOW, top), LOW, max)
 
-    def raised(some: Runs, carry: list) -> dict[str, pa.Array]:
+    def raised(some: Runs, carry: list) -> tuple[dict[str, pa.Array], int]:
         own, run = pd.Series(some.rows[value].cast(pa.int64()).fill_null(LOW).to_numpy()), some.run_of
         most = own.groupby(run).cummax()
+        after = max(int(most.iloc[-1]), carry[-1])
         if before:
             most = most.groupby(run).shift(1, fill_value=LOW)
         most = np.maximum(most.to_numpy(), np.array(carry, np.int64)[run])
-        return {made: pa.array(most, mask=most == LOW)}
+        return {made: pa.array(most, mask=most == LOW)}, after
 
     return along(table, [key], known, LOW, raised, f"{made} long")

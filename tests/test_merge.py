@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from arbolith.operators import ordered
 from arbolith.operators.merge import merge_logs, merged_state
 from arbolith.operators.ordered import counted, in_ranges, running_max
 from arbolith.operators.stamps import lamport_stamps
@@ -213,3 +215,14 @@ def test_tombstones_expire_when_all_devices_have_seen_them(spark):
     assert paths(expired(gone, seen(7, 20), 500)) == ["a"]
     assert paths(expired(gone, seen(9, 20), 1000)) == ["a", "b", "c"]
     assert paths(expired(gone, seen(4, 20), 1000)) == [] and paths(expired(gone, seen(), 1000)) == []
+
+
+def test_pieces_are_bounded_however_long_a_run_is():
+    """A path with all entries of a partition comes in pieces of a few MB, not as one."""
+    rows = [("a",)] * 10 + [("hot",)] * 40_000 + [(None,)] * 10
+    batches = pa.table({"path": [r[0] for r in rows], "hash": ["x" * 64] * len(rows), "_part": pa.array([3] * len(rows), pa.int32())}).to_batches(max_chunksize=1000)
+    pieces = list(ordered.runs(iter(batches), ["path"], 200_000))
+    assert max(p.rows.nbytes for p in pieces) < 300_000 and sum(p.rows.num_rows for p in pieces) == len(rows)
+    assert [p.goes_on for p in pieces] == [False] + [True] * (len(pieces) - 1) and len(pieces) > 10
+    assert sum(len(p.starts) for p in pieces) - sum(p.goes_on for p in pieces) == 3
+    assert list(ordered.runs(iter([]), ["path"], 1)) == []
