@@ -226,3 +226,26 @@ def test_pieces_are_bounded_however_long_a_run_is():
     assert [p.goes_on for p in pieces] == [False] + [True] * (len(pieces) - 1) and len(pieces) > 10
     assert sum(len(p.starts) for p in pieces) - sum(p.goes_on for p in pieces) == 3
     assert list(ordered.runs(iter([]), ["path"], 1)) == []
+
+
+@pytest.mark.parametrize("batch", [1, 3])
+def test_folds_cut_anywhere_equal_whole_ones(many_parts, monkeypatch, batch):
+    """Pieces of a batch, batches of a row or three: runs, and repeats of one stamp, are cut wherever they can be."""
+    monkeypatch.setattr(ordered, "PIECE", 1, raising=False)
+    was = many_parts.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    many_parts.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rng = random.Random(21)
+        rows = history(rng, 250, 25)
+        given = rows + rng.sample(rows, 100)
+        merged = merge_logs(many_parts.createDataFrame(given, ENTRY).repartition(3))
+        outcomes, state = fold(rows)
+        assert {(r.path, r.lamport, r.device): (r.outcome, (r.loser_lamport, r.loser_device, r.loser_hash)) for r in merged.collect()} == outcomes
+        assert states(merged_state(merged)) == state
+        whole = list({(r[0], r[1], r[2]): r for r in rows}.values())
+        early, late = ([r for r in whole if (r[1] < 12) == x] for x in (True, False))
+        snapshot = merged_state(merge_logs(many_parts.createDataFrame(early, ENTRY))).drop("conflicts")
+        assert states(merged_state(merge_logs(many_parts.createDataFrame(late, ENTRY), snapshot))) == fold(whole)[1]
+        test_folds_over_pieces_equal_plain_ones(many_parts)
+    finally:
+        many_parts.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
