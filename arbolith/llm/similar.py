@@ -1,14 +1,14 @@
-"""Near-dedup by similarity: MinHash bands find candidates, shingle sets decide, components follow.
+"""Near-dedup by similarity: SimHash components and MinHash keys find candidates, shingle sets decide, components follow.
 
 A text is lower-cased (A-Z), split into words and shingled as for SimHash. Two texts link when the Jaccard
-similarity of their sets of shingles is `percent` hundredths or more. 64 MinHash values make 16 keys of 4; texts that share a
-key are compared by their whole sets, so no link is false. A pair of similarity s shares no key with a chance of
-(1 - s^4)^16: 0.0003 at 0.8, under 0.000001 at 0.9.
+similarity of their sets of shingles is `percent` hundredths or more. Sets have fingerprints, which link within `distance` bits and make components as in
+`simhash`; the members of one are compared by their whole sets, so no link is false.
 
-SimHash can't do this: at 0.8 two texts differ in some 10 of 64 bits and often in 16 (`bits_apart` gives the expectation), and blocks that
-every such pair shares would have 3 bits each.
+Fingerprints don't reach all such pairs: at 0.8 two texts differ in some 10 of 64 bits and often in 16 (`bits_apart` gives the expectation), and blocks that
+every such pair shares would have 3 bits each. For the rest, 64 MinHash values make 16 keys of 4, and sets that share a key are compared too. A pair of
+similarity s shares no key with a chance of (1 - s^4)^16: 0.0003 at 0.8, under 0.000001 at 0.9; it is lost only if it lies in no component of fingerprints either.
 
-Scale: texts with one set of shingles are one node. Keys are 128 bytes a node; sets are made only for nodes that share a
+Scale: texts with one set of shingles are one node. Keys are 136 bytes a node; sets are made only for nodes that share a
 key with others, from one text each, and shuffled once by key; keys with the same members are compared once. A key's members are compared in one task, which holds their
 sets, `most` of them; they come out as a spanning forest (fewer edges than members). A key with more members is thinned first: all
 are compared with one of them, the leader, in as many tasks as Spark cuts the key into. 1 - Jaccard is a metric, so
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbolith.llm.common import bounded_join, saved, skew_join, slices, text_or_empty, wide_hash
-from arbolith.llm.simhash import components, keep_first, shingle_hashes
+from arbolith.llm.simhash import components, keep_first, majority_bits, roots, shingle_hashes
 
 BANDS, ROWS = 16, 4
 _RANDOM = np.random.default_rng(17)
@@ -64,7 +64,7 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """One row per input row: id, t1 and t2 (the text's hash), node (the hash of its shingles) and keys."""
+    """One row per input row: id, t1 and t2 (the text's hash), node (the hash of its shingles), fp (their fingerprint) and keys."""
     columns = docs.select(
         F.col(id_col).alias("id"), *wide_hash(text_or_empty(text_col), "t"), F.col(text_col).cast("string").alias("_text")
     )
@@ -73,13 +73,21 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
         for batch in slices(batches, "_text"):
             sets = [shingle_set(t, shingle) for t in batch.column("_text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            prints = np.array([majority_bits(s) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield batch.drop_columns(["_text"]).append_column("node", pa.array(nodes)).append_column("keys", keys)
+            kept = batch.drop_columns(["_text"]).append_column("node", pa.array(nodes))
+            yield kept.append_column("fp", pa.array(prints)).append_column("keys", keys)
 
-    more = [T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    more = [T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     return columns.mapInArrow(run, T.StructType([*columns.drop("_text").schema, *more]))
 
 
+def print_keys(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """(node, key): nodes (node, fp) whose fingerprints reach each other within `distance` bits share a key."""
+    rooted = roots(nodes.select("fp").distinct(), distance, blocks)
+    return saved(skew_join(nodes, rooted, ["fp"], "inner").select("node", F.xxhash64(F.lit("fp"), "root").alias("key")))
+
+
 def shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int, most_rows: int) -> DataFrame:
     """key, node and hashes (the bytes of its sorted shingle hashes) for `wanted` (node, keys, key_id, t1, t2) from texts (key_id, t1, t2, text)."""
     named = ["key_id", "t1", "t2"]
@@ -281,12 +289,15 @@ def one_per_similar(
     most: int = 512,
     rounds: int = 4,
     most_rows: int = 200_000,
+    distance: int = 4,
+    blocks: int = 8,
 ) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the one with the smallest id (null last) stays. `most_rows` bounds what is broadcast."""
     rows = keyed(docs, id_col, text_col, shingle)
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t1", "t2", "keys")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t1", "t2", "fp", "keys")).alias("first")
     nodes = saved(rows.groupBy("node").agg(first))
-    bands = nodes.select("node", F.explode("first.keys").alias("key"))
+    groups = print_keys(nodes.select("node", "first.fp"), distance, blocks)
+    bands = nodes.select("node", F.explode("first.keys").alias("key")).unionByName(groups)
     members = saved(skew_join(bands, distinct_keys(bands), ["key"], "inner"))
     as_key = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key_id")
     texts = docs.select(as_key, *wide_hash(text_or_empty(text_col), "t"), text_or_empty(text_col).alias("text"))
@@ -294,7 +305,7 @@ def one_per_similar(
 
     def with_sets(some: DataFrame) -> DataFrame:
         """key, node and hashes for (key, node) rows; of the documents of a node one is read."""
-        wanted = saved(some.groupBy("node").agg(F.collect_list("key").alias("keys")).join(first_row, "node"))  # 16 keys at most
+        wanted = saved(some.groupBy("node").agg(F.collect_list("key").alias("keys")).join(first_row, "node"))  # 17 keys at most
         return shingle_sets(texts, wanted, shingle, most_rows)
 
     large = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key"))

@@ -21,7 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose five-word shingles have a Jaccard similarity of 0.8 or more, the one with the smallest id."""
+    """Of each group of documents whose five-word shingles have a Jaccard similarity of 0.8 or more, the one with the smallest id.
+
+    Found by SimHash fingerprints, and by MinHash keys what lies beyond their reach; whole sets decide."""
     return one_per_similar(docs, shingle=5, percent=80)
 
 

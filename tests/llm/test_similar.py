@@ -4,7 +4,8 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from arbolith.llm.similar import bits_apart, one_per_similar, shingle_set, split_by_prefix, thinned, wanted_bits
+from arbolith.llm.simhash import majority_bits
+from arbolith.llm.similar import band_keys, bits_apart, one_per_similar, shingle_set, split_by_prefix, thinned, wanted_bits
 
 
 def shingles(text):
@@ -141,3 +142,20 @@ def test_prefixes_lose_no_link(spark):
 def test_fingerprints_cannot_reach_the_similarity():
     """The reason for MinHash: at 0.8 more bits differ than blocks of a useful size allow."""
     assert 9 < bits_apart(0.8) < 10.5 and bits_apart(0.95) > 4.5
+
+
+def test_fingerprints_find_what_shares_no_minhash_key(spark):
+    """Texts at 0.8 whose MinHash keys all differ, with fingerprints 4 and 3 bits apart: their component of fingerprints joins them."""
+    rows, found = [], [
+        ("w67806 w3956 w76067 w62261 w23247 w75187 w91455 w60595 w213 w35250 w85326 w73561", "e26", "e27", 4),
+        ("w80694 w13740 w48120 w37614 w4080 w4275 w83936 w424 w20942 w28131 w22431 w37393", "e3", "e6", 3),
+    ]
+    for k, (text, a, b, bits) in enumerate(found):
+        x, y = (shingle_set(f"{text} {end}", 5) for end in (a, b))
+        assert not set(band_keys(x)) & set(band_keys(y)) and (majority_bits(x) ^ majority_bits(y)).bit_count() == bits
+        rows += [(10 * k, f"{text} {a}"), (10 * k + 1, f"{text} {b}"), (10 * k + 2, f"{text} other words that go on and on")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert want == [0, 2, 10, 12]
+    for most in (512, 1):
+        assert sorted(r.doc_id for r in one_per_similar(docs, most=most).collect()) == want
